@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, secrets
+from lectern.llm import exact_dedup, pii, secrets, tiff
 from lectern.llm.common import table
 
 
+def op1_tiff_pages(spark, sf_dir):
+    pages = tiff.tiff_pages(tiff.store_texts(table(spark, sf_dir, "documents")), size_col="n_bytes", samples=False)
+    return pages.drop("samples")
+
+
 def op2_secret_ownership(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -14,9 +19,15 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_information_sanitising(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_tiff_pages": op1_tiff_pages,
     "op2_secret_ownership": op2_secret_ownership,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_information_sanitising": op7_information_sanitising,
 }
 
 ORACLES = {
