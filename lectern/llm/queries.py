@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, pii, secrets, tiff
+from lectern.llm import bpe, exact_dedup, pii, secrets, tiff
 from lectern.llm.common import table
 
 
@@ -23,11 +23,19 @@ def op7_information_sanitising(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False).drop("ids")
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_secret_ownership": op2_secret_ownership,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_information_sanitising": op7_information_sanitising,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLES = {
