@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, pii, secrets, tiff
+from lectern.llm import bpe, exact_dedup, pii, secrets, tiff, toxicity
 from lectern.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_secret_ownership(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxic_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op9_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_secret_ownership": op2_secret_ownership,
+    "op3_toxic_segments": op3_toxic_segments,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_information_sanitising": op7_information_sanitising,
     "op9_byte_bpe": op9_byte_bpe,
