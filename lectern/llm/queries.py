@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, pii, secrets, tiff, toxicity
+from lectern.llm import bpe, exact_dedup, neardup, pii, secrets, tiff, toxicity
 from lectern.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_toxic_segments(spark, sf_dir):
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_chosen_path(spark, sf_dir):
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_toxic_segments": op3_toxic_segments,
+    "op4_chosen_path": op4_chosen_path,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_information_sanitising": op7_information_sanitising,
     "op9_byte_bpe": op9_byte_bpe,
