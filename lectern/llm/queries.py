@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, neardup, pii, secrets, tiff, toxicity
+from lectern.llm import bpe, exact_dedup, neardup, packing, pii, secrets, tiff, toxicity
 from lectern.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op7_information_sanitising(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -46,6 +52,7 @@ QUERIES = {
     "op4_chosen_path": op4_chosen_path,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_information_sanitising": op7_information_sanitising,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
