@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, neardup, packing, pii, secrets, tiff, toxicity
+from lectern.llm import bpe, exact_dedup, neardup, packing, pages, pii, secrets, tiff, toxicity
 from lectern.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False).drop("ids")
 
 
+def op10_best_region(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    return pages.main_text(rows, pages.fit(rows))
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_secret_ownership": op2_secret_ownership,
@@ -54,6 +59,7 @@ QUERIES = {
     "op7_information_sanitising": op7_information_sanitising,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_best_region": op10_best_region,
 }
 
 ORACLES = {
