@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, neardup, packing, pages, pii, secrets, tiff, toxicity
+from lectern.llm import bpe, exact_dedup, line_dedup, neardup, packing, pages, pii, secrets, tiff, toxicity
 from lectern.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_similar_lines(spark, sf_dir):
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_information_sanitising(spark, sf_dir):
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_toxic_segments": op3_toxic_segments,
     "op4_chosen_path": op4_chosen_path,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_similar_lines": op6_similar_lines,
     "op7_information_sanitising": op7_information_sanitising,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
