@@ -1,4 +1,9 @@
-"""The library's own queries by name."""
+"""The library's own queries by name, gathered from the modules that define them."""
+
+from lectern.plans import audio, catalog, jobs, layout, reading, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (text, audio, layout, jobs, reading, catalog):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
