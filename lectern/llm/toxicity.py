@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col: s
                 prior = shares[word[:k]]
                 break
         toxic, total = held[unit]
-        shares[unit] = (toxic + PRIOR * prior) / (total + PRIOR)
+        # Shares close in on 0 or 1 along a chain, and must not reach them.
+        shares[unit] = min(max((toxic + PRIOR * prior) / (total + PRIOR), 1e-9), 1 - 1e-9)
     model = Model({u: math.log(p / (1 - p)) - root for u, p in shares.items()})
     return calibrated(model, texts.filter("role = 'calibrate'").select("text", "toxic"))
 
