@@ -9,7 +9,11 @@ from lectern.operators import jobs as O
 from lectern.plans.common import EVENTS_SQL, TURNS_SQL, job_events, table, turns
 
 _IDS = [m[0] for m in catalog.MODELS]
-_NOW = F.timestamp_micros(F.lit(1_700_000_000_000_000))
+
+
+def _now():
+    return F.timestamp_micros(F.lit(1_700_000_000_000_000))
+
 _MODELS = "(VALUES " + ", ".join(f"({i}, '{m[0]}', '{m[1]}', '{m[10]}')" for i, m in enumerate(catalog.MODELS)) + ") AS m(k, id, name, dv)"
 _VOICES = "(VALUES " + ", ".join(f"('{m}', {i}, '{v[0]}', '{v[1]}', {'NULL' if v[3] is None else repr(v[3])})" for m, vs in catalog.VOICES.items() for i, v in enumerate(vs)) + ") AS v(model_id, position, voice_id, name, emb)"
 
@@ -51,12 +55,12 @@ def drain(spark, sf_dir):
 
 
 def switched(spark, sf_dir):
-    return O.cancel_on_switch(_jobs(spark, sf_dir), "speecht5", _NOW).select("job_id", "status", "error", F.unix_millis("completed_at").alias("completed_ms"))
+    return O.cancel_on_switch(_jobs(spark, sf_dir), "speecht5", _now()).select("job_id", "status", "error", F.unix_millis("completed_at").alias("completed_ms"))
 
 
 def cancelled(spark, sf_dir):
     ids = job_events(spark, sf_dir).filter("value > 50").select("job_id")
-    return O.cancel_jobs(_jobs(spark, sf_dir), ids, _NOW).select("job_id", "status", F.unix_millis("completed_at").alias("completed_ms"))
+    return O.cancel_jobs(_jobs(spark, sf_dir), ids, _now()).select("job_id", "status", F.unix_millis("completed_at").alias("completed_ms"))
 
 
 def unfinished(spark, sf_dir):
@@ -64,7 +68,7 @@ def unfinished(spark, sf_dir):
 
 
 def results_applied(spark, sf_dir):
-    results = _jobs(spark, sf_dir).select("job_id", (F.col("job_id") % 3 != 0).alias("ok"), F.concat(F.lit("failed "), "job_id").alias("message"), _NOW.alias("at"))
+    results = _jobs(spark, sf_dir).select("job_id", (F.col("job_id") % 3 != 0).alias("ok"), F.concat(F.lit("failed "), "job_id").alias("message"), _now().alias("at"))
     return O.apply_results(_jobs(spark, sf_dir), results).select("job_id", "status", "error", F.unix_millis("completed_at").alias("completed_ms"))
 
 
@@ -99,7 +103,7 @@ def voices_checked(spark, sf_dir):
 
 def reports(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(0.5) + (F.col("doc_id") % 4) * 0.5).alias("speed"), F.timestamp_micros(F.lit(1_699_999_000_000_000) + F.col("doc_id") * 12345).alias("started_at"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") * 400).alias("duration_ms"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") * 1000).alias("n_samples"), F.when(F.col("doc_id") % 7 > 0, 24000).alias("sample_rate"))
-    return O.job_report(rows, _NOW)
+    return O.job_report(rows, _now())
 
 
 def buffered(spark, sf_dir):
@@ -119,7 +123,7 @@ def jobs_of_sessions(spark, sf_dir):
 
 def stopped(spark, sf_dir):
     jobs = turns(spark, sf_dir).select("session_id", "chunk_index", F.when(F.col("ready"), "done").otherwise("pending").alias("status"), F.lit(None).cast("timestamp").alias("completed_at"))
-    return O.stop_session(jobs, 7, _NOW).select("session_id", "chunk_index", "status", F.unix_millis("completed_at").alias("completed_ms"))
+    return O.stop_session(jobs, 7, _now()).select("session_id", "chunk_index", "status", F.unix_millis("completed_at").alias("completed_ms"))
 
 
 def session_lines(spark, sf_dir):

@@ -54,29 +54,28 @@ def text_from_plain(files: DataFrame) -> DataFrame:
     return files.select("path", T.utf8_text(F.col("content")).alias("text"))
 
 
+_OUTSIDE, _INSIDE = re.compile(r'"|,|\r\n|\r|\n|[^",\r\n]+'), re.compile(r'""|"|[^"]+')
+
+
 def csv_fields(text: str) -> list[list[str]]:
     """Rows of fields. Quotes toggle anywhere in a field and are doubled inside; carriage returns, newlines or both end rows."""
-    rows, row, field, quoted, touched = [], [], [], False, False
-    for m in re.finditer(r'""|"|,|\r\n|\r|\n|[^",\r\n]+', text):
-        t = m[0]
-        if quoted:
-            if t == '"':
-                quoted = False
-            else:
-                field.append('"' if t == '""' else t)
-        elif t == '"':
-            quoted = True
-        elif t == '""':
-            pass  # opened and closed at once
-        elif t == ",":
+    rows, row, field, quoted, at = [], [], [], False, 0
+    while at < len(text):
+        token = (_INSIDE if quoted else _OUTSIDE).match(text, at)[0]
+        at += len(token)
+        if token == '"':
+            quoted = not quoted
+        elif quoted:
+            field.append('"' if token == '""' else token)
+        elif token == ",":
             row.append("".join(field))
             field = []
-        elif t[0] in "\r\n":
+        elif token[0] in "\r\n":
             rows.append([*row, "".join(field)])
             row, field = [], []
         else:
-            field.append(t)
-    if row or any(field):
+            field.append(token)
+    if row or field:
         rows.append([*row, "".join(field)])
     return rows
 
