@@ -151,8 +151,10 @@ def sentence_array(text: Column) -> Column:
     by_paragraph = F.transform(paragraph_array(text), lambda p, i: F.transform(_pieces(p), lambda s: F.struct(s.alias("text"), i.cast("int").alias("paragraph_index"))))
     flat = F.flatten(by_paragraph)
     whole = trim_ws(F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", ""))
-    flat = F.when((F.size(flat) == 0) & (whole != ""), F.array(F.struct(whole.alias("text"), F.lit(0).alias("paragraph_index")))).otherwise(flat)
-    return F.transform(flat, lambda s, i: F.struct(s["text"].alias("text"), words(s["text"]).alias("words"), i.cast("int").alias("global_index"), s["paragraph_index"].alias("paragraph_index")))
+    alone = F.array(F.struct(whole.alias("text"), F.lit(0).alias("paragraph_index")))
+    # The array of one array names the sentences, so that they are computed once.
+    flat = F.transform(F.array(flat), lambda f: F.when((F.size(f) == 0) & (whole != ""), alone).otherwise(f))
+    return F.transform(F.get(flat, F.lit(0)), lambda s, i: F.struct(s["text"].alias("text"), words(s["text"]).alias("words"), i.cast("int").alias("global_index"), s["paragraph_index"].alias("paragraph_index")))
 
 
 def chunk_ranges(lengths: Column, max_chars: int = 300) -> Column:

@@ -30,7 +30,8 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, global_index, paragraph_index, text, words) of each sentence; texts that are blank or null give no row."""
-    return df.select(F.col(id_col), F.explode(T.sentence_array(F.col(text_col))).alias("s")).select(id_col, "s.global_index", "s.paragraph_index", "s.text", "s.words")
+    rows = held(df.select(F.col(id_col), T.sentence_array(F.col(text_col)).alias("all")), "all")
+    return rows.select(F.col(id_col), F.explode("all").alias("s")).select(id_col, "s.global_index", "s.paragraph_index", "s.text", "s.words")
 
 
 def prepare_reader_data(df: DataFrame, max_chars: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,7 +49,7 @@ def prepare_reader_data(df: DataFrame, max_chars: int = 300, id_col: str = "doc_
 
 def chunks(df: DataFrame, max_chars: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_index, text, first_sentence, last_sentence, n_words)."""
-    return prepare_reader_data(df, max_chars, id_col, text_col).select(id_col, F.inline("chunks"))
+    return held(prepare_reader_data(df, max_chars, id_col, text_col), "chunks").select(id_col, F.inline("chunks"))
 
 
 def reading_view(sentence_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
