@@ -5,13 +5,14 @@ the first n - ceil(0.75 n) + 1 of each. Lines meet by such a word; length, posit
 rule out pairs that cannot reach the threshold, and the rest are verified on the whole lines. A line goes if it is
 similar to an earlier one, by document id and then by place.
 
-Lines that share a word first meet the earliest of them, which settles groups of copies with one pair a member; those that it
-doesn't remove then meet all earlier ones. So no list of copies is paired with itself.
+The lines that share a word are a list. Each of them first meets the list's earliest line and its ``NEIGHBOURS`` predecessors, all
+from one sorted shuffle; that is every earlier line of most lists, and settles groups of copies with few pairs a
+member. What is not removed then meets the rest of its longer lists. So no list of copies is paired with itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import folded, saved
@@ -20,6 +21,23 @@ from lectern.llm.common import folded, saved
 PERCENT, MIN_WORDS = 75, 5
 #: Counters by which words are ranked; the table of their ranks has a byte each, whatever the corpus.
 COUNTERS = 65536
+#: Predecessors in a list that a line meets at once.
+NEIGHBOURS = 24
+
+
+def _bounds(x: str, y: str) -> str:
+    """SQL for whether two rows of one list may reach the threshold: by size, by place in the order, by the words' summaries."""
+    need = f"ceil({PERCENT} * ({x}n + {y}n) / {100 + PERCENT})"
+    return f"""{y}n * 100 >= {PERCENT} * {x}n and {x}n * 100 >= {PERCENT} * {y}n
+        and least({x}p, {y}p) + 1 + least({x}n - {x}p - 1, {y}n - {y}p - 1) >= {need}
+        and {x}n - bit_count({x}bits & ~{y}bits) >= {need} and {y}n - bit_count({y}bits & ~{x}bits) >= {need}"""
+
+
+_WORDS = 75, 5
+#: Counters by which words are ranked; the table of their ranks has a byte each, whatever the corpus.
+COUNTERS = 65536
+#: Predecessors in a list that a line meets at once.
+NEIGHBOURS = 24
 _NEED = f"ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT})"
 _BOUNDS = f"""y.n * 100 >= {PERCENT} * x.n and x.n * 100 >= {PERCENT} * y.n
     and least(x.p, y.p) + 1 + least(x.n - x.p - 1, y.n - y.p - 1) >= {_NEED}
@@ -69,16 +87,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without an id have no place in the order and keep their lines; ids are unique. Only the two columns are read.
     """
     lines = lines_of(docs, id_col, text_col)
-    rows = _prefixes(lines).repartition("token")
-    heads = rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "p", "bits")).alias("y"), F.count("*").alias("size")).filter("size > 1").select(F.col("token").alias("t"), "y", "size")
-    lists = saved(rows.alias("x").join(heads.alias("h"), F.expr("x.token = h.t")).select("x.*", "h.y", "h.size"))
-    later = "(x.doc_id > y.doc_id or (x.doc_id = y.doc_id and x.line_no > y.line_no))"
-    to_head = lists.alias("x").filter(F.expr(f"{later} and {_BOUNDS}")).select("doc_id", "line_no", F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
-    settled = saved(_verified(to_head, lines))
-    rest = lists.filter("size > 2").join(settled, ["doc_id", "line_no"], "left_anti").drop("y", "size")
-    to_all = rest.alias("x").join(lists.filter("size > 2").drop("y", "size").alias("y"), F.expr(f"x.token = y.token and {later} and {_BOUNDS}"))
-    to_all = to_all.select("x.doc_id", "x.line_no", F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
-    return settled.unionByName(_verified(to_all, lines)).distinct()
+    row = F.struct("doc_id", "line_no", "n", "p", "bits")
+    by_token = Window.partitionBy("token")
+    ordered = by_token.orderBy("doc_id", "line_no")
+    lists = _prefixes(lines).select(
+        "*",
+        F.count("*").over(by_token).alias("size"),
+        F.row_number().over(ordered).alias("at"),
+        F.first(row).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
+        F.collect_list(row).over(ordered.rowsBetween(-NEIGHBOURS, -1)).alias("before"),
+    )
+    # The head is among the predecessors of the first ones of a list.
+    seen = F.expr(f"if(at > {NEIGHBOURS + 1}, concat(array(head), before), before)")
+    lists = lists.filter("size > 1").withColumn("seen", seen).withColumn("near", F.expr(f"transform(filter(seen, y -> {_bounds('', 'y.')}), y -> struct(y.doc_id as y_doc, y.line_no as y_line))"))
+    held = saved(lists.filter(f"size(near) > 0 or size > {NEIGHBOURS + 2}").select("token", "doc_id", "line_no", "n", "p", "bits", "at", "size", "near"))
+    settled = saved(_verified(held.select("doc_id", "line_no", F.inline("near")).distinct(), lines))
+    long = held.filter(f"size > {NEIGHBOURS + 2}").drop("near", "size")
+    rest = long.filter(f"at > {NEIGHBOURS + 2}").join(settled, ["doc_id", "line_no"], "left_anti")
+    if rest.isEmpty():
+        return settled
+    far = rest.alias("x").join(long.alias("y"), F.expr(f"x.token = y.token and y.at < x.at - {NEIGHBOURS} and y.at > 1 and {_bounds('x.', 'y.')}"))
+    far = far.select("x.doc_id", "x.line_no", F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
+    return settled.unionByName(_verified(far, lines)).distinct()
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,3 +117,18 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("all"))
     kept = rows.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("gone", F.expr("coalesce(gone, cast(array() as array<int>))"))
     return kept.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.expr("array_join(filter(all, (x, i) -> not array_contains(gone, i)), '\n')").alias("text"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+u AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS raw FROM d),
+w AS (SELECT doc_id, k, list_distinct(list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '')) AS s FROM u),
+x AS (SELECT row_number() OVER (ORDER BY doc_id, k) AS id, doc_id, k, s, len(s) AS n FROM w WHERE len(s) >= 5),
+t AS (SELECT id, n, unnest(s) AS t FROM x),
+f AS (SELECT t, count(*) AS df FROM t GROUP BY t),
+o AS (SELECT id, t.t, n, row_number() OVER (PARTITION BY id ORDER BY df, t.t) AS p FROM t JOIN f USING (t)),
+q AS (SELECT id, t, n FROM o WHERE p <= n - ceil(0.75 * n) + 1),
+c AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM q a JOIN q b ON a.t = b.t AND b.id < a.id AND 4 * b.n >= 3 * a.n AND 4 * a.n >= 3 * b.n),
+g AS (SELECT DISTINCT y.doc_id, y.k FROM c JOIN x y ON y.id = c.later JOIN x z ON z.id = c.earlier WHERE 100 * len(list_intersect(y.s, z.s)) >= 75 * (y.n + z.n - len(list_intersect(y.s, z.s))))
+SELECT u.doc_id, count(*) AS n_lines, count(g.k) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY u.k) FILTER (g.k IS NULL), '') AS text FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.k = u.k GROUP BY u.doc_id
+"""
