@@ -68,5 +68,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_chosen_path": neardup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_similar_lines": line_dedup.ORACLE,
 }
