@@ -199,21 +199,25 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
 
     def look(batches):
         def rows():
+            bins = np.zeros(_BINS, np.int64)
             for batch in batches:
                 for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                     x = model.tokens(text or "")
                     found = sorted((s for _, _, s in segments(x)), reverse=True)
-                    bins = np.bincount(np.clip((x - _LOW) / _BIN, 0, _BINS - 1).astype(int), minlength=_BINS) if not toxic else np.zeros(0, int)
-                    yield toxic, len(x), found[0] if found else 0.0, found[:20], bins.tolist()
+                    if not toxic:
+                        bins += np.bincount(np.clip((x - _LOW) / _BIN, 0, _BINS - 1).astype(int), minlength=_BINS)
+                    yield toxic, len(x), found[0] if found else 0.0, found[:20], None
+            yield None, 0, 0.0, None, bins.tolist()  # the task's scores of clean documents, as counts
 
         yield from chunks(rows(), SEEN, 512)
 
     seen = texts.mapInArrow(look, "toxic int, n long, best double, all array<double>, bins array<long>")
-    rows = [(r.toxic, r.n, r.best, r.all, np.array(r.bins)) for r in seen.collect()]
+    rows = [(r.toxic, r.n, r.best, r.all, r.bins) for r in seen.collect()]
+    counts = sum((np.array(r[4], float) for r in rows if r[0] is None), np.zeros(_BINS))
+    rows = [r for r in rows if r[0] is not None]
     clean = [r for r in rows if not r[0]]
     if not clean or len(clean) == len(rows):
         return model
-    counts = sum(r[4] for r in clean).astype(float)
     value = _LOW + _BIN * (np.arange(_BINS) + 0.5)
     share = counts / max(counts.sum(), 1)
     low, high = 1e-3, 5.0
