@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: White space as browsers see it; Java's own class has only the ASCII part.
 _SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE, INK = f"[{_SPACES}]", f"[^{_SPACES}]"
+#: The same as characters.
+BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 #: Media types by file extension.
 MIME = {
@@ -48,7 +50,7 @@ def mime_type(extension: Column, fallback: Column) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def collapse_ws(text: Column) -> Column:
