@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.text import spread
+
 #: The only letters that the contracts fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A given table; with a key, one of fewer partitions than the cluster has cores is dealt out by it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, key) if key else df
 
 
 def scratch(spark: SparkSession) -> str:

@@ -7,50 +7,50 @@ from lectern.llm.common import table
 
 
 def op1_tiff_pages(spark, sf_dir):
-    pages = tiff.tiff_pages(tiff.store_texts(table(spark, sf_dir, "documents")), size_col="n_bytes", samples=False)
+    pages = tiff.tiff_pages(tiff.store_texts(table(spark, sf_dir, "documents", "doc_id")), size_col="n_bytes", samples=False)
     return pages.drop("samples")
 
 
 def op2_secret_ownership(spark, sf_dir):
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op3_toxic_segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_chosen_path(spark, sf_dir):
-    return neardup.near_groups(table(spark, sf_dir, "documents"))
+    return neardup.near_groups(table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op6_similar_lines(spark, sf_dir):
-    return line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op7_information_sanitising(spark, sf_dir):
-    return pii.find_pii(table(spark, sf_dir, "documents"))
+    return pii.find_pii(table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op8_best_fit_packing(spark, sf_dir):
     import public_tokenizers
 
-    return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_texts(table(spark, sf_dir, "documents", "doc_id"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id")
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False).drop("ids")
 
 
 def op10_best_region(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages")
+    rows = table(spark, sf_dir, "pages", "page_id")
     return pages.main_text(rows, pages.fit(rows))
 
 
