@@ -226,6 +226,11 @@ def epub_text(parts: DataFrame) -> DataFrame:
 CONTAINERS = {"docx": docx_text, "odt": odt_text, "pptx": pptx_text, "xlsx": xlsx_text, "epub": epub_text}
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the cluster names, so that its branches do not unzip every file again; unchanged where none is named."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def extract_corpus(files: DataFrame, use_ocr: bool = False) -> DataFrame:
     """(path, name, mime, text, n_chars, error) of each file of scan_corpus, or of routed() where other types may occur.
 
@@ -239,8 +244,7 @@ def extract_corpus(files: DataFrame, use_ocr: bool = False) -> DataFrame:
     doc = of("doc").select("path", T.doc_text(F.col("content")).alias("text"))
     branches = [plain, csv_text(csv_rows(of("csv"))), html, rtf, doc]
     zipped = files.filter(F.col("mime").isin(*[T.MIME[e] for e in CONTAINERS])).withColumn("ext", F.element_at(F.create_map(*[F.lit(x) for e in CONTAINERS for x in (T.MIME[e], e)]), F.col("mime")))
-    parts = explode_container(zipped)
-    by_ext = parts.join(zipped.select("path", "ext"), "path")
+    by_ext = _once(explode_container(zipped).join(zipped.select("path", "ext"), "path"))
     branches += [make(by_ext.filter(F.col("ext") == ext).drop("ext")) for ext, make in CONTAINERS.items()]
     texts = reduce(DataFrame.unionByName, branches)
     broken = by_ext.groupBy("path").agg(F.max(F.when(F.col("kind") == "error", F.col("text"))).alias("_broken"), F.count("*").alias("_parts"))
