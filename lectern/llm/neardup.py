@@ -3,12 +3,14 @@
 Every document has the set of its 5-word shingles, and 128 minwise tokens of that set. Documents with equal sets are one
 class from the start. In each of several independent trees, the classes branch by a selected minwise token: those that
 agree on it go to the same child. A node with few members is a leaf and is compared exhaustively; a larger one branches
-again, by 4/3 further tokens on average. Two sets with similarity J stay together at a branch with probability J at
-least, so that 12 trees lose a pair at the threshold with probability 0.25 ** 12 where leaves come at the first level.
+again, by three further tokens, or has all its pairs of blocks compared where branching would not part it. Two sets with
+similarity J stay together at a token with probability J, so a pair survives a node of any size with probability u =
+1 - (1 - J u) ** 3 at least, 0.98 at the threshold. The recall target is a loss of 1e-6: a share p of the 128 tokens is equal,
+binomial about J, and the mean of (1 - p u(p)) ** 12 over it is 6e-7 at 0.75 for any number of levels.
 
 Comparing in leaves is by minwise tokens and keeps what might be linked; its connected groups then come together
 with whole texts, and links are confirmed on the full sets. A group beyond ``BLOCK`` members is dealt into blocks, of which
-each two come to one task; one beyond ``LEAF`` members is confirmed leaf by leaf in the same way. No comparison gives more rows
+each two come to one task; one beyond ``LEAF`` members is confirmed leaf by leaf in the same way where that moves fewer texts. No comparison gives more rows
 than its members: members that are linked through others need no link of their own.
 """
 
@@ -25,7 +27,7 @@ from lectern.llm.graph import components
 WORDS = 5
 #: Similarity in hundredths from which documents are linked.
 PERCENT = 75
-MINWISE, TREES, LEAF, BLOCK, DEPTH = 128, 12, 4096, 256, 24
+MINWISE, TREES, BRANCHES, LEAF, BLOCK = 128, 12, 3, 4096, 256
 #: Least share of equal minwise tokens that is looked at: four standard deviations below the threshold.
 MAYBE = 0.60
 #: Characters of text that a task hashes at a time.
@@ -149,30 +151,30 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return saved(rows.mapInArrow(_sign(trees), "doc_id long, n_shingles long, key1 long, key2 long, roots array<long>, sig binary"))
 
 
-def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def leaves(reps: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(node, doc_id, size) of every leaf with two members or more.
 
-    Sizes are counted before members meet, and a node beyond ``leaf`` members never comes to one task: it branches. What still
-    is too large at the last level agrees on so many tokens that it is dealt into blocks, each with the node's smallest member.
+    Sizes are counted before members meet, and a node beyond ``leaf`` members never comes to one task. It branches by tokens that its
+    path has not used, if its children have at most half as many pairs to compare as it has; so there are few levels. Else its members
+    agree on too much, and it is dealt into blocks, of which each two are a leaf: none of its pairs is lost.
     """
-    rows = reps.select("doc_id", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "doc_id")
-    out = None
-    for _ in range(depth):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        held = saved(rows.join(sizes, "node").select("node", "doc_id", "size"))
-        small = held.filter(F.col("size") <= leaf)
-        out = small if out is None else out.unionByName(small)
-        large = held.filter(F.col("size") > leaf)
-        if large.isEmpty():
-            return out
-        chosen = F.expr("transform(sequence(0, if(pmod(xxhash64(node, 'more'), 3) = 0, 1, 0)), j -> pmod(xxhash64(node, j), %d))" % MINWISE)
-        branch = large.select("node", "doc_id", F.explode(F.array_distinct(chosen)).alias("c")).join(reps.select("doc_id", "sig"), "doc_id")
-        rows = branch.select(F.xxhash64("node", "c", F.expr("substring(sig, cast(2 * c + 1 as int), 2)")).alias("node"), "doc_id")
-    blocks = F.xxhash64("node", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / leaf))).alias("block")
-    dealt = large.select("node", blocks, "doc_id")
-    heads = dealt.select("node", "block").distinct().join(large.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    last = dealt.select(F.col("block").alias("node"), "doc_id").unionByName(heads.select(F.col("block").alias("node"), "doc_id")).distinct()
-    return out.unionByName(last.withColumn("size", F.lit(leaf).cast("long")))
+    rows = reps.select("doc_id", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), F.array("tree").alias("used"), "doc_id")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    held = saved(rows.join(sizes, "node").select("node", "used", "doc_id", "size"))
+    out = held.filter(F.col("size") <= leaf).select("node", "doc_id", "size")
+    chosen = F.expr(f"slice(array_sort(transform(array_except(sequence(0, {MINWISE - 1}), used), c -> struct(xxhash64(node, c) as h, c as c))), 1, {BRANCHES}).c")
+    while not (large := held.filter(F.col("size") > leaf)).isEmpty():
+        branch = large.select(F.col("node").alias("parent"), F.col("size").alias("above"), "used", "doc_id", F.explode(chosen).alias("c")).join(reps.select("doc_id", "sig"), "doc_id")
+        child = F.xxhash64("parent", "c", F.expr("substring(sig, cast(2 * c + 1 as int), 2)"))
+        rows = saved(branch.select("parent", "above", child.alias("node"), F.concat("used", F.array("c")).alias("used"), "doc_id"))
+        sizes = saved(rows.groupBy("parent", "above", "node").agg(F.count("*").alias("size")))
+        parted = saved(sizes.groupBy("parent", "above").agg(F.sum(F.col("size") * F.col("size")).alias("work")).filter("2 * work <= above * above").select("parent"))
+        stuck = large.join(parted.withColumnRenamed("parent", "node"), "node", "left_anti").select(F.col("node").alias("unit"), "doc_id", "size")
+        pairs = _in_blocks(stuck, max(leaf // 2, 1)).select(F.col("pair").alias("node"), "doc_id", F.lit(leaf).cast("long").alias("size"))
+        known = sizes.filter("size > 1").join(parted, "parent", "left_semi").select("node", "size")
+        held = saved(rows.join(known, "node").select("node", "used", "doc_id", "size"))
+        out = out.unionByName(pairs).unionByName(held.filter(F.col("size") <= leaf).select("node", "doc_id", "size"))
+    return out
 
 
 def distinct_leaves(rows: DataFrame) -> DataFrame:
@@ -331,7 +333,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     beyond = members.filter(F.col("size") > leaf)
     units = members.filter(F.col("size") <= leaf).select("unit", "doc_id", "size")
     if not beyond.isEmpty():
-        units = units.unionByName(leaf_rows.join(beyond.select("doc_id"), "doc_id").select(F.col("node").alias("unit"), "doc_id", "size"))
+        each = leaf_rows.join(beyond.select("doc_id", "unit", F.col("size").alias("all")), "doc_id")
+        moved = F.sum(F.ceil(F.col("size") / block)) >= F.col("all") * F.ceil(F.col("all") / block)
+        whole = saved(each.groupBy("unit", "all").agg(moved.alias("whole")).filter("whole").select("unit"))
+        units = units.unionByName(beyond.join(whole, "unit", "left_semi").select("unit", "doc_id", "size"))
+        units = units.unionByName(each.join(whole, "unit", "left_anti").select(F.col("node").alias("unit"), "doc_id", "size"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     full = _in_blocks(units, block).join(sigs, "doc_id").join(texts, "doc_id").select("pair", "doc_id", "sig", "text", "side")
     linked = components(_grouped(full, "pair", _confirmed)).select(F.col("node").alias("rep"), F.col("component").alias("reached"))

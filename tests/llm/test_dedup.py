@@ -97,6 +97,21 @@ def test_near(spark, words, leaf, block):
     assert got == near_oracle(texts)
 
 
+def test_near_hub(spark, words):
+    """Variants that are similar to a hub alone stay linked to it, though every node that holds them is large."""
+    hub = prose(words, 5, 400).split(" ")
+    texts = {0: " ".join(hub)}
+    for k in range(1001, 2001):
+        r, text = random.Random(k), list(hub)
+        for at in r.sample(range(80), 11):
+            text[5 * at] = f"v{k}x{at}"
+        texts[k] = " ".join(text)
+    sets = {i: shingles(texts[i]) for i in texts}
+    hung = {i for i in texts if 100 * len(sets[0] & sets[i]) >= 75 * len(sets[0] | sets[i])}
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(frame(spark, texts), leaf=64).collect()}
+    assert len(hung) == 1001 and not hung - {i for i in got if got[i] == 0}
+
+
 def test_near_edges(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0
     rows = neardup.near_groups(spark.createDataFrame([(None, "a b"), (5, "a b"), (5, "a b"), (3, "A B"), (4, None)], "doc_id long, text string")).collect()
