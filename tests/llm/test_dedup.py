@@ -112,6 +112,19 @@ def test_near_hub(spark, words):
     assert len(hung) == 1001 and not hung - {i for i in got if got[i] == 0}
 
 
+def test_near_few_equal_tokens(spark, words):
+    """A link at 0.756 of which only 76 of 128 minwise tokens are equal."""
+    hub, r = prose(words, 5, 400).split(" "), random.Random(880)
+    texts, other = {0: " ".join(hub)}, list(hub)
+    for at in r.sample(range(80), 11):
+        other[5 * at] = f"v880x{at}"
+    texts[880] = " ".join(other)
+    assert near_oracle(texts)[880][1] == 0
+    short, _ = neardup.minwise(neardup.shingle_sets(list(texts.values())), 12)
+    assert (short[0] == short[1]).sum() == 76
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(frame(spark, texts)).collect()} == {0: 0, 880: 0}
+
+
 def test_near_edges(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0
     rows = neardup.near_groups(spark.createDataFrame([(None, "a b"), (5, "a b"), (5, "a b"), (3, "A B"), (4, None)], "doc_id long, text string")).collect()
