@@ -43,8 +43,7 @@ def boxed_lines(spark, sf_dir):
 
 def word_lines(spark, sf_dir):
     """Boxes grouped to lines by their places, and how many lines a page has."""
-    rows = _boxes(spark, sf_dir).filter(F.col("page") % 4 == 1)
-    words = rows.select("doc_id", F.col("page").cast("int").alias("page"), F.lit(600.0).alias("page_height"), F.col("seq").cast("int").alias("seq"), "text", F.struct("x0", "y0", "x1", "y1").alias("bbox"))
+    words = _boxes(spark, sf_dir).select("doc_id", F.col("page").cast("int").alias("page"), F.lit(600.0).alias("page_height"), F.col("seq").cast("int").alias("seq"), "text", F.struct("x0", "y0", "x1", "y1").alias("bbox"))
     return O.words_to_lines(words).groupBy("doc_id", "page").agg(F.countDistinct("line_id").alias("lines"), F.count("*").alias("words"))
 
 

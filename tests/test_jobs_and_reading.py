@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from functools import cmp_to_key
 
 import pandas as pd
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import audio as A
 from lectern.operators import audio, catalog, jobs, layout, reading
+from lectern.plans import layout as layout_plans
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -93,6 +96,26 @@ def test_lines_of_words(spark):
     assert [(b.text, b.x, b.y, b.width, b.height) for b in blocks] == [("a b", 5.0, 5.0, 24.5, 6.0), ("c", 5.0, 40.0, 4.5, 5.0)]
 
 
+def test_word_lines_of_all_pages(spark, tmp_path):
+    r = random.Random(8)
+    items = [(page, line, r.randint(1, 2000), float(r.randint(1, 50)), float(r.randint(900, 9000))) for page in range(1, 41) for line in range(1, r.randint(2, 8))]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    expected = {}
+    for page in range(1, 41):
+        words = sorted((q * 10, x, part * 100 + line) for p, line, part, q, x in items if p == page)
+        words.sort(key=cmp_to_key(lambda a, b: a[0] - b[0] if abs(a[0] - b[0]) > 15 else a[1] - b[1]))
+        tops = []
+        for top, _, _ in words:
+            near = [i for i, y in enumerate(tops) if abs(y - top - 3) <= 15]
+            if near:
+                tops[near[0]] = min(tops[near[0]], top)
+            else:
+                tops.append(top + 3)
+        expected[str(page % 97), page] = (len(tops), len(words))
+    got = layout_plans.word_lines(spark, str(tmp_path)).collect()
+    assert {(g.doc_id, g.page): (g.lines, g.words) for g in got} == expected and len(got) == 40
+
+
 def test_lines_of_items(spark):
     df = spark.createDataFrame([("p", 1, 0, "a", 100.0), ("p", 1, 1, "", 50.0), ("p", 1, 2, "b", 98.0), ("p", 1, 3, "c", 80.0), ("p", 2, 0, "d", 80.0)], "path string, page int, seq int, str string, y double")
     lines = layout.items_to_lines(df)
