@@ -1,14 +1,14 @@
 """Personal data and information-theoretic sanitisation, in DataFrame operations only.
 
-Base kinds are found by pattern. The corpus then says which words near an entity give it away: for an entity e
-and a term t in a window around it, PMI(t, e) = log2(n(t, e) N / (n(t) n(e))) over documents, and t discloses e when
+Base kinds are found by pattern. The corpus then says which words beside an entity give it away: for an entity e
+and a term t in one document with it, PMI(t, e) = log2(n(t, e) N / (n(t) n(e))) over documents, and t discloses e when
 PMI(t, e) >= IC(e) / alpha with IC(e) = log2(N / n(e)). Disclosing terms are added as spans of kind ``term``, and
 ``sanitise`` removes them, or generalises those that are common enough.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import saved
@@ -34,26 +34,13 @@ VALID = {
     "card": f"length({DIGITS}) between 14 and 19 and {LUHN}",
     "phone": f"length({DIGITS}) between 10 and 15",
 }
-#: Words on either side of an entity that count as its context.
-WINDOW = 5
+#: A term is a whole run of so many letters, in lower case.
+TERM = r"\p{L}{3,}"
 #: Share of an entity's information that a term may give away is 1 / ALPHA; pairs seen in fewer documents are chance.
 ALPHA, SUPPORT = 1.5, 2
 #: A disclosing term in at least so many documents is generalised; a rarer one is removed.
 GENERALISE_FROM = 50
 
-_SPACE = r"[ \t\n\r\f\u000B]"
-
-
-def _near(side: str) -> str:
-    """SQL for the words beside a match s, nearest first, with their places."""
-    if side == "left":
-        words, first = f"reverse(slice(split(s.before, '{_SPACE}'), -least({WINDOW}, size(split(s.before, '{_SPACE}'))), {WINDOW}))", "s.start"
-        step = "struct(concat(a.out, array(struct(w as word, a.at - length(w) as start, a.at as end))) as out, a.at - length(w) - 1 as at)"
-    else:
-        words, first = f"slice(split(s.after, '{_SPACE}'), 1, {WINDOW})", "s.end"
-        step = "struct(concat(a.out, array(struct(w as word, a.at as start, a.at + length(w) as end))) as out, a.at + length(w) + 1 as at)"
-    return f"aggregate({words}, struct(cast(array() as array<struct<word:string,start:bigint,end:bigint>>) as out, {first} as at), (a, w) -> {step}, a -> a.out)"
-
 
 def _split(rows: DataFrame, kind: str, text: str) -> DataFrame:
     """rows with the matches of a kind and the gaps between them; both empty where the text can hold none."""
@@ -63,56 +50,72 @@ def _split(rows: DataFrame, kind: str, text: str) -> DataFrame:
 
 
 def _spans(kind: str) -> Column:
-    """Valid matches of a kind with their places in code points and the words near them: lengths of gaps and matches add up to the places."""
+    """Valid matches of a kind with their places in code points: lengths of gaps and matches add up to the places."""
     m, g = f"{kind}_m", f"{kind}_g"
-    placed = f"""aggregate(arrays_zip({m}, slice({g}, 1, size({m})), slice({g}, 2, size({m}))), struct(cast(array() as array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>) as out, 0L as at), (a, x) ->
-        struct(concat(a.out, array(struct(a.at + length(x.`1`) as start, a.at + length(x.`1`) + length(x.{m}) as end, x.{m} as value, x.`1` as before, x.`2` as after))) as out,
+    placed = f"""aggregate(arrays_zip({m}, slice({g}, 1, size({m}))), struct(cast(array() as array<struct<start:bigint,end:bigint,value:string>>) as out, 0L as at), (a, x) ->
+        struct(concat(a.out, array(struct(a.at + length(x.`1`) as start, a.at + length(x.`1`) + length(x.{m}) as end, x.{m} as value))) as out,
                a.at + length(x.`1`) + length(x.{m}) as at), a -> a.out)"""
-    valid = f"filter({placed}, s -> {VALID[kind].format('s.value')})"
-    return F.expr(f"transform({valid}, s -> struct(s.start as start, s.end as end, s.value as value, concat({_near('left')}, {_near('right')}) as near))")
+    return F.expr(f"filter({placed}, s -> {VALID[kind].format('s.value')})")
 
 
-def _terms(near: str) -> str:
-    """SQL for the words of a window as lower-case terms of letters, without the signs around them."""
-    cut = f"transform({near}, w -> struct(regexp_extract(w.word, r'^[^\\p{{L}}]*', 0) as lead, regexp_extract(w.word, r'^[^\\p{{L}}]*(\\p{{L}}{{3,}})[^\\p{{L}}]*$', 1) as core, w.start as start))"
-    return f"filter(transform({cut}, w -> struct(xxhash64(lower(w.core)) as term, w.start + length(w.lead) as start, w.start + length(w.lead) + length(w.core) as end, length(w.core) as n)), w -> w.n > 0)"
+def _words(text: str) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of each row, and the terms near each entity; a written table without the texts."""
+    """Base spans of each row and its distinct entities; a written table with the texts of those rows only that have an entity."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     base = [k for k in KINDS if k != "term"]
     for kind in base:
         rows = _split(rows, kind, "body")
-    rows = rows.select("uid", "doc_id", *[_spans(k).alias(k) for k in base])
+    rows = rows.select("uid", "doc_id", "body", *[_spans(k).alias(k) for k in base])
     spans = ", ".join(f"transform({k}, s -> struct(s.start as start, {i} as rank, s.end as end, '{k}' as kind))" for i, k in enumerate(base))
-    near = ", ".join(f"flatten(transform({k}, s -> transform({_terms('s.near')}, w -> struct(xxhash64('{k}', lower(s.value)) as entity, w.term as term, w.start as start, w.end as end))))" for k in base)
     entities = ", ".join(f"transform({k}, s -> xxhash64('{k}', lower(s.value)))" for k in base)
-    return saved(rows.select("uid", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.expr(f"array_sort(concat({spans}))").alias("spans"), F.expr(f"array_distinct(concat({entities}))").alias("entities"), F.expr(f"concat({near})").alias("near")))
+    body = F.when(F.expr(" + ".join(f"size({k})" for k in base) + " > 0"), F.col("body"))
+    return saved(rows.select("uid", "doc_id", body.alias("body"), *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.expr(f"array_sort(concat({spans}))").alias("spans"), F.expr(f"array_distinct(concat({entities}))").alias("entities")))
+
 
+def _beside(scanned: DataFrame, entity: DataFrame) -> DataFrame:
+    """(uid, entity, term): each document's distinct terms against those of its entities that are in entity."""
+    held = scanned.select("uid", F.explode("entities").alias("entity")).join(entity.select("entity"), "entity").groupBy("uid").agg(F.collect_set("entity").alias("held"))
+    words = scanned.filter("body is not null").join(held, "uid").select("uid", "held", F.explode(_words("body")).alias("word"))
+    return words.select("uid", F.explode("held").alias("entity"), F.xxhash64("word").alias("term"))
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, docs_with_term): pairs whose term gives its entity away. All counts are of documents, over the whole corpus.
 
-    Counting documents with a term explodes each document's distinct words once; what is shuffled is one partial
-    count a term and task.
+def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, docs_with_term): pairs whose term gives its entity away; and (uid, entity, term) of all documents with an
+    entity that may have one. All counts are of documents, over the whole corpus.
+
+    An entity in fewer documents than ``support`` has no pair, so its words are not exploded. Counting documents with a term explodes
+    each document's distinct words once; what is shuffled is one partial count a term, or a pair, and task.
     """
-    pair = scanned.select(F.explode(F.expr("array_distinct(transform(near, w -> struct(w.entity as entity, w.term as term)))")).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.expr(f"array_distinct(split(lower(coalesce({text_col}, '')), '[^\\\\p{{L}}]+'))")
-    term = docs.select(F.explode(words).alias("word")).select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = max(scanned.count(), 1)
+    entity = saved(scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter((F.col("n_entity") >= support) & (F.col("n_entity") < total)))
+    beside = _beside(scanned, entity)
+    pair = beside.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    term = docs.select(F.explode(_words(text_col)).alias("word")).select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     terms = saved(pair.join(entity, "entity"))
-    return terms.join(term, "term").filter((information > 0) & (pmi >= information / alpha)).select("entity", "term", F.col("n_term").alias("docs_with_term"))
+    return saved(terms.join(term, "term").filter(pmi >= information / alpha).select("entity", "term", F.col("n_term").alias("docs_with_term"))), beside
+
+
+def _places(scanned: DataFrame, hits: DataFrame) -> DataFrame:
+    """(uid, start, end, docs_with_term): every place of the terms of hits in their documents, in code points."""
+    rows = scanned.join(hits.select("uid").distinct(), "uid").select("uid", F.regexp_extract_all("body", F.lit(TERM), F.lit(0)).alias("m"), F.split("body", TERM, -1).alias("g"))
+    each = rows.select("uid", F.posexplode(F.expr("arrays_zip(m, slice(g, 1, size(m)))")).alias("k", "x")).select("uid", "k", F.col("x.m").alias("word"), F.length(F.col("x")["1"]).cast("long").alias("gap"))
+    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("uid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.withColumn("end", end).select("uid", F.xxhash64(F.lower("word")).alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
+    return placed.join(hits, ["uid", "term"]).drop("term")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """One row a document: base counts and digest, and all spans with the disclosing terms.
 
     Null text is empty; repeated ids are judged row by row; other columns are not read. Spans are in code points,
-    end exclusive. A document whose words near an entity are ordinary keeps them.
+    end exclusive. All places of a disclosing term in a document with its entity are spans, but those inside a base span.
+    A document whose words beside an entity are ordinary keeps them.
     """
     return _found(docs, id_col, text_col, alpha, support).select(
         "doc_id",
@@ -125,15 +128,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
 
 def _found(docs: DataFrame, id_col: str, text_col: str, alpha: float, support: int) -> DataFrame:
     scanned = scan(docs, id_col, text_col)
+    found, beside = disclosing(docs, scanned, text_col, alpha, support)
+    told = saved(beside.join(found, ["entity", "term"]).select("uid", "term", "docs_with_term").distinct())
     hits = (
-        scanned.select("uid", F.inline("near"))
-        .join(disclosing(docs, scanned, text_col, alpha, support), ["entity", "term"])
+        _places(scanned, told)
         .groupBy("uid")
         .agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"), F.collect_set(F.when(F.col("docs_with_term") >= GENERALISE_FROM, F.col("start"))).alias("common"))
     )
     empty = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)"
     clear = f"filter(coalesce(terms, {empty}), t -> not exists(spans, s -> s.start < t.end and t.start < s.end))"
-    return scanned.drop("near", "entities").join(hits, "uid", "left").withColumn("terms", F.expr(clear)).withColumn("common", F.expr("coalesce(common, cast(array() as array<bigint>))"))
+    return scanned.drop("body", "entities").join(hits, "uid", "left").withColumn("terms", F.expr(clear)).withColumn("common", F.expr("coalesce(common, cast(array() as array<bigint>))"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

@@ -87,6 +87,19 @@ def test_pii_disclosure(spark, words):
     assert clean[60].startswith("the  the [EMAIL] and the ") and clean[0] == texts[0]
 
 
+def test_pii_disclosure_far_away(spark, words):
+    """A name in the first line gives away the address in the last one, and goes wherever the document has it."""
+    texts = [f"the {prose(words, k, 30)} and the rest" for k in range(60)]
+    texts += [f"é Zanzibar,\n{prose(words[:9], 100 + k, 40)} (zanzibar) {prose(words[:9], 200 + k, 40)}\njo@x.org" for k in range(4)]
+    rows = {r.doc_id: r for r in pii.find_pii(frame(spark, texts)).collect()}
+    for i in range(60, 64):
+        spans = rows[i].spans.split(",")
+        assert all(f"term:{m.start()}:{m.end()}" in spans for m in re.finditer("zanzibar", texts[i], re.IGNORECASE))
+        assert texts[i].lower().count("zanzibar") == 2
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert all("zanzibar" not in clean[i].lower() and clean[i].endswith("[EMAIL]") for i in range(60, 64))
+
+
 def segments_oracle(x):
     """Maximal scoring segments by their definition: split at the best segment, again and again."""
     out = []
