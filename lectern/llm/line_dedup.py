@@ -61,9 +61,9 @@ def _rarity(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _prefixes(lines: DataFrame) -> DataFrame:
+def _prefixes(lines: DataFrame, min_words: int) -> DataFrame:
     """(token, doc_id, line_no, n, p, bits): a row for each word of each line's prefix, with its place p and the line's size n."""
-    words = lines.select("doc_id", "line_no", F.expr(_WORDS).alias("words")).filter(F.size("words") >= MIN_WORDS)
+    words = lines.select("doc_id", "line_no", F.expr(_WORDS).alias("words")).filter(F.size("words") >= max(min_words, 1))
     table = F.lit(_rarity(lines))
     ranked = F.transform("words", lambda w: F.struct(F.substring(table, (F.pmod(F.xxhash64(w), F.lit(COUNTERS)) + 1).cast("int"), F.lit(1)).alias("f"), w.alias("w")))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
@@ -80,17 +80,18 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return sets.filter(F.expr(f"100 * both >= {PERCENT} * (size(a) + size(b) - both)")).select("doc_id", "line_no").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no) of each line that is similar to an earlier one; line_no counts from 0.
 
-    Lines are parted by U+000A alone. Lines of fewer than five distinct words are never removed. Null text is empty; rows
+    Lines are parted by U+000A alone. Lines of fewer than min_words distinct words are never removed; the SQL has five, and with 1
+    all lines but blank ones are compared. Null text is empty; rows
     without an id have no place in the order and keep their lines; ids are unique. Only the two columns are read.
     """
     lines = lines_of(docs, id_col, text_col)
     row = F.struct("doc_id", "line_no", "n", "p", "bits")
     by_token = Window.partitionBy("token")
     ordered = by_token.orderBy("doc_id", "line_no")
-    lists = _prefixes(lines).select(
+    lists = _prefixes(lines, min_words).select(
         "*",
         F.count("*").over(by_token).alias("size"),
         F.row_number().over(ordered).alias("at"),
@@ -111,9 +112,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return settled.unionByName(_verified(far, lines)).distinct()
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): each document without its repeated lines; null text gives the empty text."""
-    gone = repeated_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")).withColumnRenamed("doc_id", "_id")
+    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("all"))
     kept = rows.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("gone", F.expr("coalesce(gone, cast(array() as array<int>))"))
     return kept.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.expr("array_join(filter(all, (x, i) -> not array_contains(gone, i)), '\n')").alias("text"))

@@ -159,3 +159,13 @@ def test_lines(spark, words):
     out = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
     assert out[103].text == "v w x y z" and out[103].n_removed == 2 and out[100].text == "" and out[102].text == texts[102]
     assert line_dedup.drop_lines(frame(spark, [])).count() == 0
+
+
+def test_short_lines(spark):
+    """With min_words of 1, lines of one to four distinct words are compared as well."""
+    r = random.Random(6)
+    texts = {k: "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(5)) for k in range(40)}
+    lines = [((i, n), set(line.split())) for i in sorted(texts) for n, line in enumerate(texts[i].split("\n"))]
+    expected = {k for j, (k, w) in enumerate(lines) if w and any(100 * len(w & v) >= 75 * len(w | v) for _, v in lines[:j])}
+    got = line_dedup.repeated_lines(frame(spark, texts), min_words=1).collect()
+    assert {(g.doc_id, g.line_no) for g in got} == expected
