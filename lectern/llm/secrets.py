@@ -20,8 +20,9 @@ from lectern.llm.common import chunks, saved
 
 #: Owners from which a value counts as a widely copied example.
 COPIED_OWNERS = 3
-#: Bits a character that a live-looking value has at least.
-MIN_ENTROPY = 3.0
+#: Bits a character that a live-looking value has at least; for a value of the assign kind, whose key word is evidence, scaled by
+#: the most that its length allows against that of FULL characters.
+MIN_ENTROPY, FULL = 3.0, 16
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "owned")
 #: Base patterns.
@@ -44,9 +45,10 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def looks_live(value: str) -> bool:
+def looks_live(value: str, kind: str = "owned") -> bool:
     """Letters and digits mixed, enough entropy, and no placeholder word."""
-    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) and not PLACEHOLDER.search(value) and entropy(value) >= MIN_ENTROPY
+    least = MIN_ENTROPY * min(1.0, math.log2(len(value)) / math.log2(FULL)) if kind == "assign" and value else MIN_ENTROPY
+    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) and not PLACEHOLDER.search(value) and entropy(value) >= least
 
 
 def value_hash(value: str) -> int:
@@ -76,7 +78,7 @@ def _scan(batches):
                 found = find(text or "")
                 base = [s for s in found if s[0] != "owned"]
                 count = Counter(s[0] for s in base)
-                spans = [{"kind": k, "start": s, "end": e, "hash": value_hash(v), "live": looks_live(v)} for k, s, e, v in found]
+                spans = [{"kind": k, "start": s, "end": e, "hash": value_hash(v), "live": looks_live(v, k)} for k, s, e, v in found]
                 yield uid, doc_id, owner, repo, count["assign"], count["access"], count["hex"], sha256(joined(base).encode()).hexdigest(), spans
 
     yield from chunks(rows(), SCANNED)

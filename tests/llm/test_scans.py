@@ -49,6 +49,15 @@ def test_ownership(spark):
     assert secrets.mask_secrets(df).columns == df.columns and len(masked) == 5
 
 
+def test_short_secrets(spark):
+    """Assigned values of six and seven characters can be live; dull ones are not."""
+    texts = ["password=hunter2 x", "token=a1b2c3", "secret=aaaaa1", "password=hunters"]
+    rows = {r.doc_id: r.n_specific for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert rows == {0: 1, 1: 1, 2: 0, 3: 0}
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(frame(spark, texts)).collect()}
+    assert masked == {0: "<secret> x", 1: "<secret>", 2: texts[2], 3: texts[3]}
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if c > "4" else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 
