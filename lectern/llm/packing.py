@@ -1,37 +1,38 @@
-"""Best-fit packing of documents into sequences of bounded length.
-
-Pieces are range-sorted by length over the cluster, which gives each its rank among those of its length. Lengths are whole
-numbers up to the sequence length, so documents and gaps come in few size classes however many there are. Sweeps from
-long to short give each class its successor, the smallest gap that holds it. Where more pieces want a gap than it has
-sequences, ranks decide: the first ones take it and the others go on to the next gap, or open sequences. Gaps are then updated and
-the next sweep follows. A sweep works on runs of equal sequences; what comes to the driver is one count a length and partition,
-what goes back is a table of runs, and every piece finds its own place from its rank.
+"""Best-fit packing of documents into sequences of bounded length, in bulk-synchronous rounds.
+
+A round range-sorts the pieces that wait, and the gaps that are left, by size over the whole cluster, and deals both by their ranks to
+slots of bounded size, so that every slot has its share of each size. Each slot then sweeps from long to short: a piece goes to its
+successor, the smallest gap that holds it; where several want one gap, the first by rank takes it and the next ones go on to their next successor. Gaps
+shrink as they are taken. A slot opens no more sequences than the tokens of its pieces need; what then fits nowhere waits with the gaps for
+the next round, where fewer slots hold more of both. The last slot opens what it needs.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lectern.llm.common import chunks, saved
 
 LENGTH = 2048
+#: Pieces and gaps that a slot sweeps at most.
+SLOT = 8192
 #: Words that a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 700_000
-#: Characters at which Python splits a text and the tokenizer does not.
-UNLIKE = re.compile("[\x1c-\x1f]")
+REMEMBERED = 1_000_000
+#: Bytes of text that a task tokenizes at a time.
+BATCH = 12_000_000
 
 
 class Words:
-    """Ids of whole texts, by the words between white space, which no token of this tokenizer crosses."""
+    """Ids of whole texts, by the words between white space, which no token of this tokenizer crosses; every new word is encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,30 +40,49 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.first, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words as one text, and part the ids where the next word begins."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        begins = np.array([a for a, _ in found.offsets], np.int64)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        cuts = [0, *np.searchsorted(begins, ends).tolist()]
-        self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cuts, cuts[1:]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        split = [None if UNLIKE.search(t) else t.split() for t in texts]
-        new = list(set().union(*(w for w in split if w)).difference(known))
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
-        return [self._ids([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
+        n, until, end = len(self.place), len(self.place) + len(words), self.used + len(ids)
+        if until > len(self.first):
+            self.first, self.many = np.resize(self.first, 2 * until), np.resize(self.many, 2 * until)
+        if end > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * end)
+        many = np.bincount(of, minlength=len(words))
+        self.many[n:until] = many
+        self.first[n:until] = self.used + np.cumsum(many) - many
+        self.pool[self.used : end] = ids
+        self.used = end
+        self.place.update(zip(words, range(n, until)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end at last."""
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        # Lower case is the tokenizer's own next step, but after composing: a few small letters compose with a mark where their capitals do not.
+        marks = pc.any(pc.match_substring_regex(texts, "[̀-ͯ]")).as_py()
+        split = pc.ascii_split_whitespace(texts if marks else pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        at = list(map(self.place.get, words))
+        if None in at:
+            new = [w for w, k in zip(words, at) if k is None]
+            for i in range(0, len(new), 4096):
+                self._learn(new[i : i + 4096])
+            at = list(map(self.place.__getitem__, words))
+        which = np.array(at, np.int64)[coded.indices.to_numpy()]
+        many = self.many[which]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+        ids = self.pool[np.repeat(self.first[which] - total[:-1], many) + np.arange(total[-1])]
+        bounds = split.offsets.to_numpy()
+        return ids, total[bounds - bounds[0]]
 
 
 @lru_cache(maxsize=2)
@@ -73,98 +93,157 @@ def words_at(path: str) -> Words:
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def _slices(texts: pa.Array):
+    """(from, to) of runs of texts with about BATCH bytes, at least one text each."""
+    total = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + BATCH, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def cut(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and a final id 0, in pieces of ``length`` of which the last may be shorter. Null text is empty and gives the final id alone."""
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and a final id 0, in pieces of ``length`` of which the last may be shorter.
+
+    Null text is empty and gives the final id alone. Repeated rows are cut each; other columns are not read.
+    """
 
     def run(batches):
         words = words_at(path)
 
         def rows():
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for a in range(0, len(texts), 256):
-                    for doc_id, got in zip(ids[a : a + 256], words.encode(texts[a : a + 256])):
-                        got += b"\0\0\0\0"
-                        for k, at in enumerate(range(0, len(got), 4 * length)):
-                            part = got[at : at + 4 * length]
-                            yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)
+                doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+                for a, b in _slices(texts):
+                    ids, bounds = words.encode(texts.slice(a, b - a))
+                    ended = np.zeros(len(ids) + b - a, "<u4")
+                    ended[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(bounds))] = ids
+                    raw = memoryview(ended.tobytes())
+                    for k, doc_id in enumerate(doc_ids[a:b]):
+                        first, last = int(bounds[k]) + k, int(bounds[k + 1]) + k + 1
+                        for piece, at in enumerate(range(first, last, length)):
+                            until = min(at + length, last)
+                            yield doc_id, piece, at - first, until - at, zlib.crc32(raw[4 * at : 4 * until])
 
         yield from chunks(rows(), PIECES, 8192)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """(piece length, first rank, first sequence, offset) of runs: pieces of consecutive ranks go to consecutive sequences at one offset.
+def sweep(sizes: list[int], gaps: list[tuple[int, int]], opening: int | None, length: int = LENGTH) -> tuple[list[tuple[int, int] | None], list[tuple[int, int]], int]:
+    """One slot's sweep: (sequence or None, offset) of each piece, the gaps (sequence, size) that are left, how many sequences were opened.
 
-    counts has the number of pieces by length. The number of runs depends on the lengths that occur, not on how many pieces there are.
+    sizes are in order from long to short, gaps are (sequence, size). At most ``opening`` sequences are opened, any number if it is None; pieces of
+    over half a sequence are not counted, as no two of them share one. Opened sequences are numbered -1, -2, ...
     """
-    runs: list[tuple[int, int, int, int]] = []
-    gaps: list[int] = []  # sizes in order
-    free: dict[int, list[tuple[int, int]]] = {}  # runs (first sequence, how many) of each size
-    opened = 0
-
-    def put(size: int, first: int, many: int) -> None:
-        if size and many:
-            if size not in free:
-                insort(gaps, size)
-                free[size] = []
-            free[size].append((first, many))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect_left(gaps, size)
-            if at == len(gaps):  # no successor: open sequences and fill each with as many as fit
-                each = min(length // size, left)
-                many = left // each
-                for k in range(each):
-                    runs.append((size, rank, opened, k * size))
-                    rank += many
-                put(length - each * size, opened, many)
-                opened += many
-                left -= many * each
-                continue
-            gap = gaps[at]
-            first, many = free[gap].pop()
+    free: dict[int, list[int]] = {}
+    held = 0  # bit s is set where there are gaps of size s
+    for sequence, size in reversed(gaps):
+        free.setdefault(size, []).append(sequence)
+        held |= 1 << size
+    out: list[tuple[int, int] | None] = []
+    opened = counted = 0
+    for size in sizes:
+        above = held >> size
+        if above:
+            gap = size + (above & -above).bit_length() - 1
+            sequence = free[gap].pop()
             if not free[gap]:
-                del free[gap]
-                gaps.pop(at)
-            take = min(left, many)
-            runs.append((size, rank, first, length - gap))
-            put(gap, first + take, many - take)
-            put(gap - size, first, take)
-            rank += take
-            left -= take
-    return runs
-
-
-def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """pieces with (sequence_id, offset); they have doc_id, piece and a length of 1 to ``length``, and their other columns stay.
-
-    Any number of pieces may share a length or an id: equal rows get a place each. An empty table gives an empty result.
+                held &= ~(1 << gap)
+        elif opening is None or 2 * size > length or counted < opening:
+            counted += 2 * size <= length
+            opened += 1
+            sequence, gap = -opened, length
+        else:
+            out.append(None)
+            continue
+        out.append((sequence, length - gap))
+        if rest := gap - size:
+            free.setdefault(rest, []).append(sequence)
+            held |= 1 << rest
+    return out, [(q, size) for size in sorted(free) for q in reversed(free[size])], opened
+
+
+PLACED, WAITS, GAP = 0, 1, 2
+
+
+def _swept(number: int, whole: bool, length: int):
+    """The sweep of a slot as a function of its rows; ``whole`` lets it open what it needs."""
+
+    def run(slot: pa.Table) -> pa.Table:
+        slot = slot.sort_by([("kind", "ascending"), ("at", "ascending")]).combine_chunks()
+        kind, size, sequence = (slot[c].to_numpy() for c in ("kind", "size", "sequence"))
+        n = int((kind == WAITS).sum())
+        gaps = list(zip(sequence[n:].tolist(), size[n:].tolist()))
+        opening = max(0, int(size[:n].sum()) - int(size[n:].sum())) // length
+        places, left, _ = sweep(size[:n].tolist(), gaps, None if whole else opening, length)
+        # A sequence's number tells the round, the slot and which of the slot's own it is.
+        base = (number << 56) + (int(slot["slot"][0].as_py()) << 16) if len(slot) else 0
+        name = lambda q: q if q >= 0 else base - q
+        rows = [(PLACED, name(p[0]), p[1]) if p else (WAITS, 0, 0) for p in places]
+        rest = [(GAP, name(q), s) for q, s in left]
+        columns = list(zip(*rows, *rest)) or [(), (), ()]
+        return pa.table(
+            {
+                "kind": pa.array(columns[0], pa.int32()),
+                "size": pa.array([*size[:n].tolist(), *(s for _, _, s in rest)], pa.int64()),
+                "sequence": pa.array(columns[1], pa.int64()),
+                "offset": pa.array([*(r[2] for r in rows), *(0 for _ in rest)], pa.int64()),
+                "row": pa.concat_arrays([_one(slot["row"].slice(0, n)), pa.nulls(len(rest), slot["row"].type)]),
+            }
+        )
+
+    return run
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _ranked(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """state, range-sorted by kind and falling size, as a table with each row's range partition and place in it; and where each partition's ranks begin."""
+    ranged = state.repartitionByRange("kind", F.col("size").desc(), F.xxhash64("row", "sequence")).sortWithinPartitions("kind", F.col("size").desc())
+    placed = saved(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    counted = placed.groupBy("kind", "part").agg(F.count("*").alias("n"), F.min("place").alias("low"))
+    before = F.sum("n").over(Window.partitionBy("kind").orderBy("part")) - F.col("n")
+    return placed, counted.select("kind", "part", (before - F.col("low")).alias("begin"))
+
+
+def pack(pieces: DataFrame, length: int = LENGTH, slot: int = SLOT) -> DataFrame:
+    """pieces with (sequence_id, offset); their length is 1 to ``length``, and their other columns stay. Columns that have those two names are replaced.
+
+    Any number of pieces may be equal: each row gets its own place. An empty table gives an empty result. A piece of no length or one beyond
+    ``length`` is an error. Every round is a written table, so slots stay as they were dealt if an executor is lost.
     """
-    names = pieces.columns
-    ranged = pieces.repartitionByRange(F.col("length").desc(), F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.col("length").desc())
-    placed = saved(ranged.select(*names, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
-    counted = placed.groupBy("_part", "length").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
-    totals: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(counted, key=lambda r: (r._part, r.length)):
-        before[r._part, r.length] = totals.get(r.length, 0) - r.first
-        totals[r.length] = totals.get(r.length, 0) + r.n
-    runs = np.array(sorted(sweep(totals, length)), np.int64).reshape(-1, 4)
-    keys = runs[:, 0] << 44 | runs[:, 1]
-
-    def run(batches):
-        for batch in batches:
-            parts, at, size = (batch.column(c).to_numpy() for c in ("_part", "_at", "length"))
-            rank = at + np.fromiter((before[p, s] for p, s in zip(parts.tolist(), size.tolist())), np.int64, len(at))
-            row = runs[np.searchsorted(keys, size << 44 | rank, "right") - 1]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], names=[*names, "sequence_id", "offset"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return placed.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    if not 1 <= slot < 1 << 16:
+        raise ValueError("a slot has 1 to 65535 rows")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    fits = F.col("length").between(1, length)
+    size = F.when(fits, F.col("length")).otherwise(F.raise_error(F.lit("a piece's length must be between 1 and the sequence length"))).cast("long")
+    state = pieces.select(F.lit(WAITS).alias("kind"), size.alias("size"), F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("offset"), F.struct(*names).alias("row"))
+    schema = StructType([StructField(f.name, f.dataType) for f in state.schema])  # a gap has no row
+    done: list[DataFrame] = []
+    whole, number = False, 0
+    while True:
+        ranked, begins = _ranked(state)
+        n = ranked.count()
+        slots = max(1, -(-n // slot))
+        # A row for each range partition and kind: as many as Spark makes partitions.
+        dealt = ranked.join(F.broadcast(begins), ["kind", "part"]).withColumn("at", F.col("begin") + F.col("place")).withColumn("slot", F.pmod("at", F.lit(slots)))
+        swept = dealt.groupBy("slot").applyInArrow(_swept(number, whole or slots == 1, length), schema)
+        found = saved(swept)
+        done.append(found.filter(F.col("kind") == PLACED))
+        now = found.agg(F.count_if(F.col("kind") == WAITS).alias("waits"), F.count_if(F.col("kind") == PLACED).alias("placed"), F.min(F.when(F.col("kind") == WAITS, F.col("size"))).alias("least")).first()
+        if not now.waits:
+            break
+        # A gap below the smallest waiting piece is never taken. Where a round placed little, the next one opens what it needs.
+        state = found.filter((F.col("kind") == WAITS) | (F.col("kind") == GAP) & (F.col("size") >= now.least))
+        whole, number = 8 * now.placed < now.waits, number + 1
+    places = done[0]
+    for more in done[1:]:
+        places = places.unionByName(more)
+    return places.select(*[F.col("row")[c].alias(c) for c in names], F.col("sequence").alias("sequence_id"), "offset")
 
 
 def pack_texts(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

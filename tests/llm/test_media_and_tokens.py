@@ -111,20 +111,63 @@ def test_packing(spark, words):
     assert packing.pack_texts(frame(spark, []), WORDS).count() == 0
 
 
+def best_fit(sizes, length):
+    """Best-fit decreasing by its definition: how full each sequence is, in the order in which they were opened."""
+    full = []
+    for size in sorted(sizes, reverse=True):
+        fits = [k for k, used in enumerate(full) if used + size <= length]
+        if fits:
+            full[max(fits, key=lambda k: full[k])] += size
+        else:
+            full.append(size)
+    return full
+
+
 @pytest.mark.parametrize("seed", range(5))
-def test_sweep_is_whole(seed):
+def test_sweep_is_best_fit(seed):
     r = random.Random(seed)
-    counts = {r.randint(1, 64): r.randint(1, 50) for _ in range(20)}
-    runs = sorted(packing.sweep(counts, 64))
+    sizes = sorted((min(64, int(r.expovariate(1 / 15)) + 1) for _ in range(500)), reverse=True)
+    places, gaps, opened = packing.sweep(sizes, [], None, 64)
+    want = best_fit(sizes, 64)
+    assert opened == len(want) and sorted(64 - n for n in want if n < 64) == [s for _, s in gaps]
     used = defaultdict(list)
-    for k, (size, rank, first, offset) in enumerate(runs):
-        until = runs[k + 1][1] if k + 1 < len(runs) and runs[k + 1][0] == size else counts[size]
-        for i in range(until - rank):
-            used[first + i].append((offset, size))
-    assert sum(map(len, used.values())) == sum(counts.values())
+    for (sequence, offset), size in zip(places, sizes):
+        used[sequence].append((offset, size))
+    assert sorted(sum(s for _, s in held) for held in used.values()) == sorted(want)
+    for held in used.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(held[-1]) <= 64
+
+
+def test_sweep_bounds():
+    """Given gaps are taken by the first in rank; what would open more than its share waits, long pieces excepted."""
+    places, gaps, opened = packing.sweep([40, 30, 30, 20, 5], [(7, 30), (8, 31)], 0, 64)
+    assert places == [(-1, 0), (7, 34), (8, 33), (-1, 40), None]
+    assert opened == 1 and packing.sweep([20, 20], [], 0, 64)[0] == [None, None]
+    assert packing.sweep([], [(3, 9)], None, 64) == ([], [(3, 9)], 0)
+
+
+@pytest.mark.parametrize("slot", [7, 40, 8192])
+def test_pack_rounds(spark, slot):
+    """Many slots and rounds: every row gets a place of its own, and few more sequences are opened than one best-fit over all opens."""
+    r = random.Random(slot)
+    sizes = [r.choice([3, 3, 3, 64, 33, 22, r.randint(1, 64)]) for _ in range(600)]
+    rows = [(k // 2, 0, n, "s", "r", 5) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, size string, row string, sequence_id int")
+    out = packing.pack(df, 64, slot)
+    assert out.columns == ["doc_id", "piece", "length", "size", "row", "sequence_id", "offset"]
+    used, seen = defaultdict(list), []
+    for x in out.collect():
+        used[x.sequence_id].append((x.offset, x.length))
+        seen.append((x.doc_id, x.length, x.size, x.row))
+    assert sorted(seen) == sorted((k // 2, n, "s", "r") for k, n in enumerate(sizes))
     for held in used.values():
         held.sort()
         assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(held[-1]) <= 64
+    one = len(best_fit(sizes, 64))
+    assert len(used) <= {7: 1.25 * one, 40: 1.05 * one, 8192: one}[slot]  # slots this small cannot mix sizes well
+    with pytest.raises(Exception, match="length must be between"):
+        packing.pack(df.withColumn("length", df.length + 64), 64).count()
 
 
 def test_pages(spark):
