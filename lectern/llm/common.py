@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
 def scratch(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    A temporary folder of this machine is taken only where the setting is missing, as in tests.
+    Without that setting a local session, as in tests, takes a temporary folder of this machine; a cluster is refused, as its
+    executors would not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
@@ -41,8 +45,24 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def folded(text: Column) -> Column:
-    """Null as empty, A-Z in lower case and nothing else changed."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Null as empty, A-Z in lower case and nothing else changed. Texts of ASCII alone take the faster way."""
+    body = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(body) == F.length(body), F.lower(body)).otherwise(F.translate(body, UPPER, LOWER))
+
+
+def wrapped() -> Column:
+    """A whole row as one column named row, so that none of its names can clash."""
+    return F.struct("*").alias("row")
+
+
+def unwrapped(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that a row was wrapped from, some of them changed."""
+    return df.select(*[changed.get(n, F.col("row")[n]).alias(n) for n in names])
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has few of them; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def chunks(rows, schema: pa.Schema, size: int = 2048):

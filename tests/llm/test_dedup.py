@@ -48,6 +48,17 @@ def test_exact_edges(spark):
         exact_dedup.exact_groups(frame(spark, []), salts=0)
 
 
+def test_exact_repeats(spark):
+    """A repeated id loses no other text, of rows that repeat id and text one stays, and a null id is a row like any other."""
+    rows = [(5, "a", 1), (9, "A", 2), (5, "b", 3), (7, "c", 4), (7, "c", 5), (None, "d", 6), (None, None, 7), (3, "", 8), (None, "e", 9), (None, "E", 10)]
+    kept = exact_dedup.drop_exact(spark.createDataFrame(rows, "doc_id long, text string, row long"))
+    assert kept.columns == ["doc_id", "text", "row"]
+    got = sorted((r.doc_id or 0, (r.text or "").lower(), r.row) for r in kept.collect())
+    assert [g[:2] for g in got] == [(0, "d"), (0, "e"), (3, ""), (5, "b"), (7, "c"), (9, "a")]
+    assert set(dict((g[:2], g[2]) for g in got).items()) >= {((9, "a"), 2), ((5, "b"), 3), ((3, ""), 8)}
+    assert exact_dedup.drop_exact(frame(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(30)], [(9, i) for i in range(20)] + [(None, 3), (4, 4)], [], [(random.Random(i).randint(0, 60), random.Random(-i - 1).randint(0, 60)) for i in range(50)]])
 def test_components(spark, edges):
     up = {}
