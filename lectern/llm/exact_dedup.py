@@ -32,8 +32,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("there must be a salt at least")
     rows = docs.select(F.col(id_col).alias("doc_id"), folded(F.col(text_col)).alias("body")).withColumn("digest", F.sha2("body", 256))
     narrow = saved(rows.select("doc_id", "digest"))
-    again = narrow.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    suspect = saved(narrow.join(again, "digest", "left_semi").select(F.xxhash64("doc_id").alias("mark")).distinct())
+    again = saved(narrow.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
+    suspect = saved(narrow.join(small(again), "digest", "left_semi").select(F.xxhash64("doc_id").alias("mark")).distinct())
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("mark")).join(small(suspect), "mark", "left_semi")
     texts = held.select("doc_id", folded(F.col("text")).alias("body")).withColumn("digest", F.sha2("body", 256)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     by_salt = texts.groupBy("digest", "salt", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
@@ -42,7 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not groups.groupBy("digest").count().filter("count > 1").isEmpty():
         # Two texts share a digest: then the text itself takes part in the last join as well.
         groups, key, narrow = winners, ["digest", "body"], rows
-    found = narrow.join(groups, key, "left")
+    found = narrow.join(small(groups) if len(key) == 1 else groups, key, "left")
     alone = F.col("group_size").isNull()
     return found.select(
         "doc_id",
