@@ -32,8 +32,13 @@ MIME = {
 }
 
 #: Abbreviations whose dot ends no sentence.
-ABBREVIATIONS = """mr mrs ms mx dr prof sr jr st ave blvd co corp inc ltd llc plc govt vs etc eg ie cf al pp
-jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun no vol ed eds trans rev""".split()
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "mx", "dr", "prof", "sr", "jr", "st", "ave", "blvd", "co",
+    "corp", "inc", "ltd", "llc", "plc", "govt", "vs", "etc", "eg", "ie", "cf", "al",
+    "pp", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov",
+    "dec", "mon", "tue", "wed", "thu", "fri", "sat", "sun", "no", "vol", "ed", "eds",
+    "trans", "rev",
+]
 #: Signs that end a sentence, signs that may close behind them, and what may follow an abbreviation's dot.
 ENDS, CLOSES, FOLLOWS = ".!?。！？…", "'\"”’)", "A-Z0-9一-鿿぀-ヿ가-힯'\"‘“"
 

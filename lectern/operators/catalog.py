@@ -10,16 +10,57 @@ from pyspark.sql import functions as F
 #: Language names by code.
 LANGUAGES = {"en": "English", "es": "Spanish", "fr": "French", "de": "German", "pt": "Portuguese", "ru": "Russian", "ko": "Korean", "hi": "Hindi", "ar": "Arabic"}
 
-#: Voices of the speech models. (id, name, accent, gender)
-SPEAKERS = [(f"{'a' if accent == 'en-us' else 'b'}{gender[0].lower()}_{name.lower()}", f"{name} ({accent}, {gender})") for accent, gender, names in [
-    ("en-us", "Female", "Heart Bella Nicole Aoede Kore Sarah Nova Sky Alloy Jessica River"),
-    ("en-us", "Male", "Adam Michael Eric Liam Onyx Echo Fenrir Puck Santa"),
-    ("en-gb", "Female", "Emma Isabella Alice Lily"),
-    ("en-gb", "Male", "George Lewis Daniel Fable"),
-] for name in names.split()]
-EXPRESSIVE = [(f"expr-voice-{n}-{gender[0].lower()}", f"Voice {n} ({gender})", f"{gender} voice (Kitten TTS Nano v0.8)") for n in range(2, 6) for gender in ("Male", "Female")]
+#: Where the default speaker vector is.
 XVECTORS = "https://huggingface.co/datasets/Xenova/transformers.js-docs/resolve/main/speaker_embeddings.bin"
 
+#: Voices of the large model. (id, name, description, speaker vector)
+LARGE_VOICES = [
+    ("af_heart", "Heart (en-us, Female)", None, None),
+    ("af_bella", "Bella (en-us, Female)", None, None),
+    ("af_nicole", "Nicole (en-us, Female)", None, None),
+    ("af_aoede", "Aoede (en-us, Female)", None, None),
+    ("af_kore", "Kore (en-us, Female)", None, None),
+    ("af_sarah", "Sarah (en-us, Female)", None, None),
+    ("af_nova", "Nova (en-us, Female)", None, None),
+    ("af_sky", "Sky (en-us, Female)", None, None),
+    ("af_alloy", "Alloy (en-us, Female)", None, None),
+    ("af_jessica", "Jessica (en-us, Female)", None, None),
+    ("af_river", "River (en-us, Female)", None, None),
+    ("am_adam", "Adam (en-us, Male)", None, None),
+    ("am_michael", "Michael (en-us, Male)", None, None),
+    ("am_eric", "Eric (en-us, Male)", None, None),
+    ("am_liam", "Liam (en-us, Male)", None, None),
+    ("am_onyx", "Onyx (en-us, Male)", None, None),
+    ("am_echo", "Echo (en-us, Male)", None, None),
+    ("am_fenrir", "Fenrir (en-us, Male)", None, None),
+    ("am_puck", "Puck (en-us, Male)", None, None),
+    ("am_santa", "Santa (en-us, Male)", None, None),
+    ("bf_emma", "Emma (en-gb, Female)", None, None),
+    ("bf_isabella", "Isabella (en-gb, Female)", None, None),
+    ("bf_alice", "Alice (en-gb, Female)", None, None),
+    ("bf_lily", "Lily (en-gb, Female)", None, None),
+    ("bm_george", "George (en-gb, Male)", None, None),
+    ("bm_lewis", "Lewis (en-gb, Male)", None, None),
+    ("bm_daniel", "Daniel (en-gb, Male)", None, None),
+    ("bm_fable", "Fable (en-gb, Male)", None, None),
+]
+#: Voices of the two small models, likewise.
+SMALL_VOICES = [
+    ("expr-voice-2-m", "Voice 2 (Male)", "Male voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-2-f", "Voice 2 (Female)", "Female voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-3-m", "Voice 3 (Male)", "Male voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-3-f", "Voice 3 (Female)", "Female voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-4-m", "Voice 4 (Male)", "Male voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-4-f", "Voice 4 (Female)", "Female voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-5-m", "Voice 5 (Male)", "Male voice (Kitten TTS Nano v0.8)", None),
+    ("expr-voice-5-f", "Voice 5 (Female)", "Female voice (Kitten TTS Nano v0.8)", None),
+]
+#: Voices of the vector model, likewise.
+VECTOR_VOICES = [
+    ("cmarctic", "CMU Arctic (default)", "Neutral US English, male. Public xvector from transformers.js docs.", XVECTORS),
+    ("custom", "Custom (paste URL)", "Provide your own 512-dim xvector .bin file URL.", ""),
+]
+
 #: Models. (id, name, repository, category, dtype, sample rate, custom, language, MB, file, default voice)
 MODELS = [
     ("kokoro-82m", "Kokoro-82M (q8f16)", "onnx-community/Kokoro-82M-v1.0-ONNX", "premium", "q8", 24000, True, "en", 86, "onnx/model_q8f16.onnx", "af_heart"),
@@ -27,15 +68,17 @@ MODELS = [
     ("speecht5", "SpeechT5", "Xenova/speecht5_tts", "balanced", "fp32", 16000, None, "en", 330, None, "cmarctic"),
     ("kitten-mini", "Kitten TTS Mini (~78MB)", "KittenML/kitten-tts-mini-0.8", "balanced", None, 24000, True, "en", 78, "kitten_tts_mini_v0_8.onnx", "expr-voice-2-m"),
     ("kitten-nano", "Kitten TTS Nano (~24MB)", "KittenML/kitten-tts-nano-0.8-int8", "fast", None, 24000, True, "en", 24, None, "expr-voice-2-m"),
-    *[(f"mms-tts-{code}", f"MMS-TTS ({LANGUAGES[lang]})", f"Xenova/mms-tts-{code}", "multilingual", "q8", 16000, None, lang, 50, None, "") for code, lang in [("eng", "en"), ("spa", "es"), ("fra", "fr"), ("deu", "de"), ("por", "pt"), ("rus", "ru"), ("kor", "ko"), ("hin", "hi"), ("ara", "ar")]],
+    ("mms-tts-eng", "MMS-TTS (English)", "Xenova/mms-tts-eng", "multilingual", "q8", 16000, None, "en", 50, None, ""),
+    ("mms-tts-spa", "MMS-TTS (Spanish)", "Xenova/mms-tts-spa", "multilingual", "q8", 16000, None, "es", 50, None, ""),
+    ("mms-tts-fra", "MMS-TTS (French)", "Xenova/mms-tts-fra", "multilingual", "q8", 16000, None, "fr", 50, None, ""),
+    ("mms-tts-deu", "MMS-TTS (German)", "Xenova/mms-tts-deu", "multilingual", "q8", 16000, None, "de", 50, None, ""),
+    ("mms-tts-por", "MMS-TTS (Portuguese)", "Xenova/mms-tts-por", "multilingual", "q8", 16000, None, "pt", 50, None, ""),
+    ("mms-tts-rus", "MMS-TTS (Russian)", "Xenova/mms-tts-rus", "multilingual", "q8", 16000, None, "ru", 50, None, ""),
+    ("mms-tts-kor", "MMS-TTS (Korean)", "Xenova/mms-tts-kor", "multilingual", "q8", 16000, None, "ko", 50, None, ""),
+    ("mms-tts-hin", "MMS-TTS (Hindi)", "Xenova/mms-tts-hin", "multilingual", "q8", 16000, None, "hi", 50, None, ""),
+    ("mms-tts-ara", "MMS-TTS (Arabic)", "Xenova/mms-tts-ara", "multilingual", "q8", 16000, None, "ar", 50, None, ""),
 ]
-VOICES = {
-    "kokoro-82m": [(i, n, None, None) for i, n in SPEAKERS],
-    "kokoro-82m-fp16": [(i, n, None, None) for i, n in SPEAKERS],
-    "speecht5": [("cmarctic", "CMU Arctic (default)", "Neutral US English, male. Public xvector from transformers.js docs.", XVECTORS), ("custom", "Custom (paste URL)", "Provide your own 512-dim xvector .bin file URL.", "")],
-    "kitten-mini": [(i, n, d, None) for i, n, d in EXPRESSIVE],
-    "kitten-nano": [(i, n, d, None) for i, n, d in EXPRESSIVE],
-}
+VOICES = {"kokoro-82m": LARGE_VOICES, "kokoro-82m-fp16": LARGE_VOICES, "speecht5": VECTOR_VOICES, "kitten-mini": SMALL_VOICES, "kitten-nano": SMALL_VOICES}
 MODEL_DDL = "id string, name string, model_id string, category string, dtype string, sample_rate int, custom boolean, language string, size_mb int, model_file string, default_voice_id string, voices array<struct<id:string,name:string,description:string,speaker_embeddings:string>>"
 
 
