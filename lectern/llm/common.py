@@ -60,6 +60,20 @@ def unwrapped(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
     return df.select(*[changed.get(n, F.col("row")[n]).alias(n) for n in names])
 
 
+def without(docs: DataFrame, id_col: str, digest: Column, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs without the rows of gone, and with one row of each of twice; both are written tables of (gone_id, gone_digest).
+
+    A row is told by its id and the digest of its text together, so that a repeated id loses no other text.
+    """
+    rows = docs.select(wrapped(), F.col(id_col).alias("id"), digest.alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & F.col("digest").eqNullSafe(F.col("gone_digest"))
+    stays = rows.join(small(gone), same, "left_anti")
+    if not twice.isEmpty():
+        once = stays.join(small(twice), same, "left_semi").dropDuplicates(["id", "digest"])
+        stays = stays.join(small(twice), same, "left_anti").unionByName(once)
+    return unwrapped(stays, docs.columns)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it has few of them; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df

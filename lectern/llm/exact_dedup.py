@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import folded, saved, small, unwrapped, wrapped
+from lectern.llm.common import folded, saved, small, without
 
 SALTS = 16
 
@@ -63,13 +63,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = [F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest")]
     gone = saved(found.filter("not kept").select(*key).distinct())
     twice = saved(found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").select(*key))
-    rows = docs.select(wrapped(), F.col(id_col).alias("id"), F.sha2(folded(F.col(text_col)), 256).alias("digest"))
-    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
-    stays = rows.join(small(gone), same, "left_anti")
-    if not twice.isEmpty():
-        once = stays.join(small(twice), same, "left_semi").dropDuplicates(["id", "digest"])
-        stays = stays.join(small(twice), same, "left_anti").unionByName(once)
-    return unwrapped(stays, docs.columns)
+    return without(docs, id_col, F.sha2(folded(F.col(text_col)), 256), gone, twice)
 
 
 ORACLE = """

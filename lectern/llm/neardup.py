@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import chunks, saved
+from lectern.llm.common import chunks, saved, small, without
 from lectern.llm.graph import components
 
 WORDS = 5
@@ -121,13 +121,17 @@ def _by_size(texts: list[str]):
         at = end
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("roots", pa.list_(pa.int64())), ("sig", pa.binary())])
+def set_key(s: np.ndarray) -> int:
+    return int(s.sum(dtype=np.uint64).view(np.int64))
+
+
+SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.string()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("roots", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def _sign(trees: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            heads, texts = batch.columns[:3], [t or "" for t in batch.column(3).to_pylist()]
             for a, b in _by_size(texts):
                 sets = shingle_sets(texts[a:b])
                 full = [s for s in sets if len(s)]
@@ -137,18 +141,18 @@ def _sign(trees: int):
                 for s in sets:
                     if len(s):
                         sig, roots = next(tokens)
-                        rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s + _MIX).sum(dtype=np.uint64).view(np.int64)), roots.view(np.int64).tolist(), sig.tobytes()))
+                        rows.append((len(s), set_key(s), int(_mixed(s + _MIX).sum(dtype=np.uint64).view(np.int64)), roots.view(np.int64).tolist(), sig.tobytes()))
                     else:
                         rows.append((0, None, None, None, None))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(SIGNED)[1:]))], schema=SIGNED)
+                yield pa.RecordBatch.from_arrays([*(h.slice(a, b - a) for h in heads), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(SIGNED)[3:]))], schema=SIGNED)
 
     return run
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, roots, sig) as a written table; the keys are a 128-bit digest of the set, null for the empty one."""
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return saved(rows.mapInArrow(_sign(trees), "doc_id long, n_shingles long, key1 long, key2 long, roots array<long>, sig binary"))
+    """(uid, doc_id, digest, n_shingles, key1, key2, roots, sig) of each row as a written table; digest is the text's, and the keys are 128 bits of the set's, null for the empty one."""
+    rows = docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.sha2(F.col(text_col), 256), F.col(text_col))
+    return saved(rows.mapInArrow(_sign(trees), "uid long, doc_id long, digest string, n_shingles long, key1 long, key2 long, roots array<long>, sig binary"))
 
 
 def leaves(reps: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -235,9 +239,13 @@ def _groups(batches):
         yield held
 
 
+def _lists(group: list) -> list[list]:
+    return [[x for part in group for x in part[k].to_pylist()] for k in range(len(group[0]))]
+
+
 def _columns(group: list) -> list[list]:
     """The columns of a group, each document once."""
-    columns = [[x for part in group for x in part[k].to_pylist()] for k in range(len(group[0]))]
+    columns = _lists(group)
     first = {doc_id: i for i, doc_id in reversed(list(enumerate(columns[0])))}
     keep = [first[d] for d in sorted(first)]
     return [[c[i] for i in keep] for c in columns]
@@ -288,8 +296,11 @@ def _confirmed(batches):
 
     def rows():
         for group in _groups(batches):
-            ids, sigs, texts, side = _columns(group)
+            ids, sigs, texts, side, keys = _lists(group)
             sets = [s for a, b in _by_size(texts) for s in shingle_sets(texts[a:b])]
+            # Texts were found by id; where an id has several, the others are not the class's own.
+            own = {ids[i]: i for i in reversed(range(len(ids))) if set_key(sets[i]) == keys[i]}
+            ids, sigs, side, sets = ([c[own[d]] for d in sorted(own)] for c in (ids, sigs, side, sets))
             linked = _Sets(len(ids))
             for _, i, j in _alike(_matrix(sigs), np.array(side)):
                 if linked.root(i) != linked.root(j) and similar(sets[i], sets[j]):
@@ -314,17 +325,14 @@ def _in_blocks(units: DataFrame, block: int) -> DataFrame:
     return each.select(F.xxhash64("unit", F.least("side", "_k"), F.greatest("side", "_k")).alias("pair"), "doc_id", "side")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): each document with the smallest id that it reaches by links.
-
-    Null and empty texts have no shingles and are linked with nothing. Ids are unique; rows that repeat an id and its text are one
-    document and get the same answer. A row without an id is linked with nothing and has a null component. Other
-    columns are not read, and an empty table gives an empty result.
-    """
+def _rows(docs: DataFrame, id_col: str, text_col: str, trees: int, leaf: int, block: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, linked, component_id) of each row; linked is a number that the rows of a component share, null where a row is linked with nothing by rule."""
     signed = signatures(docs, id_col, text_col, trees)
     usable = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
-    reps = saved(classes)
+    # From here to the end, a class of equal sets is known by the uid of its first row, and doc_id means that number.
+    first = F.min(F.struct("doc_id", "uid")).alias("first")
+    classes = usable.groupBy("key1", "key2", "n_shingles").agg(first, F.count("*").alias("copies"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
+    reps = saved(classes.select(F.col("first.uid").alias("doc_id"), F.col("first.doc_id").alias("first_id"), "key1", "key2", "n_shingles", "copies", "roots", "sig"))
     leaf_rows = saved(distinct_leaves(leaves(reps.select("doc_id", "roots", "sig"), leaf)))
     sigs = reps.select("doc_id", "sig")
     maybe = _grouped(leaf_rows.join(sigs, "doc_id").select("node", "doc_id", "sig"), "node", _candidates)
@@ -338,20 +346,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         whole = saved(each.groupBy("unit", "all").agg(moved.alias("whole")).filter("whole").select("unit"))
         units = units.unionByName(beyond.join(whole, "unit", "left_semi").select("unit", "doc_id", "size"))
         units = units.unionByName(each.join(whole, "unit", "left_anti").select(F.col("node").alias("unit"), "doc_id", "size"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    full = _in_blocks(units, block).join(sigs, "doc_id").join(texts, "doc_id").select("pair", "doc_id", "sig", "text", "side")
-    linked = components(_grouped(full, "pair", _confirmed)).select(F.col("node").alias("rep"), F.col("component").alias("reached"))
-    copied = reps.filter("copies > 1").select("key1", "key2", "n_shingles", F.col("doc_id").alias("first_copy"))
-    found = signed.select("doc_id", "n_shingles", "key1", "key2").join(copied, ["key1", "key2", "n_shingles"], "left")
-    found = found.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("first_copy", "doc_id"))).join(linked, "rep", "left")
-    component = F.coalesce("reached", "rep")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one with the smallest id; all columns stay."""
-    gone = near_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    full = _in_blocks(units, block).join(reps.select("doc_id", "first_id", "sig", "key1"), "doc_id").join(texts, "first_id").select("pair", "doc_id", "sig", "text", "side", "key1")
+    linked = components(_grouped(full, "pair", _confirmed)).select(F.col("node").alias("doc_id"), F.col("component").alias("linked"))
+    named = saved(linked.join(reps.select("doc_id", "first_id"), "doc_id"))
+    least = saved(named.groupBy("linked").agg(F.min("first_id").alias("component_id")))
+    reached = named.join(small(least), "linked").select(F.col("doc_id").alias("rep"), "linked", "component_id")
+    copied = reps.filter("copies > 1").select("key1", "key2", "n_shingles", F.col("doc_id").alias("class"), "first_id")
+    found = signed.select("uid", "doc_id", "digest", "n_shingles", "key1", "key2").join(copied, ["key1", "key2", "n_shingles"], "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    found = found.withColumn("rep", F.when(~alone, F.coalesce("class", "uid"))).join(reached, "rep", "left")
+    own = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("first_id", "doc_id"))
+    return found.select("doc_id", "digest", "n_shingles", F.coalesce("linked", "rep").alias("linked"), F.coalesce("component_id", own).alias("component_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): each row with the smallest id that it reaches by links.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are each judged by their own text.
+    A row without an id is linked with nothing and has a null component. Other
+    columns are not read, and an empty table gives an empty result.
+    """
+    found = _rows(docs, id_col, text_col, trees, leaf, block)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the smallest id; all columns stay.
+
+    Rows are told apart by id and text together, so a repeated id loses no other text. Of rows of a group that repeat its smallest id one stays.
+    Rows without an id or without words stay.
+    """
+    found = saved(_rows(docs, id_col, text_col, trees, leaf, block).filter("linked is not null"))
+    best = saved(found.groupBy("linked").agg(F.min(F.struct("doc_id", "digest")).alias("best"), F.count("*").alias("n")).filter("n > 1").select("linked", F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest")))
+    key = [F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")]
+    held = found.join(small(best), "linked")
+    wins = (F.col("doc_id") == F.col("best_id")) & (F.col("digest") == F.col("best_digest"))
+    gone = saved(held.filter(~wins).select(*key).distinct())
+    twice = saved(held.filter(wins).groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select(*key))
+    return without(docs, id_col, F.sha2(F.col(text_col), 256), gone, twice)
 
 
 ORACLE = r"""
