@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import saved
+from lectern.llm.common import saved, small, unwrapped, wrapped
+from lectern.llm.secrets import masked, renewed
 
 #: Kinds in the order in which they are listed, and patterns. The look-behinds only skip starts at which
 #: no match could begin, so that a long run is scanned once and not once from each of its characters.
@@ -65,15 +66,15 @@ def _words(text: str) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans of each row and its distinct entities; a written table with the texts of those rows only that have an entity."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col), 256).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     base = [k for k in KINDS if k != "term"]
     for kind in base:
         rows = _split(rows, kind, "body")
-    rows = rows.select("uid", "doc_id", "body", *[_spans(k).alias(k) for k in base])
+    rows = rows.select("uid", "doc_id", "digest", "body", *[_spans(k).alias(k) for k in base])
     spans = ", ".join(f"transform({k}, s -> struct(s.start as start, {i} as rank, s.end as end, '{k}' as kind))" for i, k in enumerate(base))
     entities = ", ".join(f"transform({k}, s -> xxhash64('{k}', lower(s.value)))" for k in base)
     body = F.when(F.expr(" + ".join(f"size({k})" for k in base) + " > 0"), F.col("body"))
-    return saved(rows.select("uid", "doc_id", body.alias("body"), *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.expr(f"array_sort(concat({spans}))").alias("spans"), F.expr(f"array_distinct(concat({entities}))").alias("entities")))
+    return saved(rows.select("uid", "doc_id", "digest", body.alias("body"), *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.expr(f"array_sort(concat({spans}))").alias("spans"), F.expr(f"array_distinct(concat({entities}))").alias("entities")))
 
 
 def _beside(scanned: DataFrame, entity: DataFrame) -> DataFrame:
@@ -143,14 +144,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str, alpha: float, support: i
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """docs with base spans replaced by their kind in capitals, rare disclosing terms removed and common ones replaced by [TERM].
 
-    Ids must be unique: spans are joined by id. Overlapping spans are replaced once, by the kind that begins first.
+    Spans are found by the text, so rows that share an id and not a text are each sanitised in their own places. Overlapping spans are replaced
+    once, by the kind that begins first. n_chars follows the new text where there is such a column.
     """
-    spans = _found(docs, id_col, text_col, alpha, support).select(F.col("doc_id").alias("_id"), F.expr("array_sort(concat(spans, terms))").alias("_spans"), F.col("common").alias("_common"))
-    mask = "case when s.kind <> 'term' then concat('[', upper(s.kind), ']') when array_contains(_common, s.start) then '[TERM]' else '' end"
-    new = F.expr(
-        f"""aggregate(_spans, struct('' as done, 0L as at), (a, s) -> struct(
-            case when s.start < a.at then a.done else concat(a.done, substring({text_col}, cast(a.at + 1 as int), cast(s.start - a.at as int)), {mask}) end as done,
-            greatest(a.at, s.end) as at), a -> concat(a.done, substring({text_col}, cast(a.at + 1 as int))))"""
-    )
-    joined = docs.join(spans.filter("size(_spans) > 0").dropDuplicates(["_id"]), docs[id_col] == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(new)).select(*docs.columns)
+    found = _found(docs, id_col, text_col, alpha, support).select("digest", F.expr("array_sort(concat(spans, terms))").alias("spans"), "common")
+    spans = saved(found.filter("size(spans) > 0").dropDuplicates(["digest"]))
+    sign = "case when s.kind <> 'term' then concat('[', upper(s.kind), ']') when array_contains(common, s.start) then '[TERM]' else '' end"
+    rows = docs.select(wrapped(), F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("digest")).join(small(spans), "digest", "left")
+    return unwrapped(rows.withColumn("new", masked("text", "spans", sign)), docs.columns, **renewed(docs, text_col, "spans"))

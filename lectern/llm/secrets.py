@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import chunks, saved
+from lectern.llm.common import chunks, saved, small, unwrapped, wrapped
 
-#: Owners from which a value counts as a widely copied example.
-COPIED_OWNERS = 3
+#: A value counts as a widely copied example from so many owners; or, with more than one owner, from so many repositories.
+COPIED_OWNERS, COPIED_REPOS = 3, 6
 #: Bits a character that a live-looking value has at least; for a value of the assign kind, whose key word is evidence, scaled by
 #: the most that its length allows against that of FULL characters.
 MIN_ENTROPY, FULL = 3.0, 16
@@ -35,9 +36,9 @@ PLACEHOLDER = re.compile(r"example|sample|changeme|placeholder|your|xxxx|dummy",
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64()), ("live", pa.bool_())])
 SCANNED = pa.schema(
-    [("uid", pa.int64()), ("doc_id", pa.int64()), ("owner", pa.string()), ("repo", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.list_(SPAN))]
+    [("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.string()), ("owner", pa.string()), ("repo", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.list_(SPAN))]
 )
-SCANNED_DDL = "uid long, doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long,hash:long,live:boolean>>"
+SCANNED_DDL = "uid long, doc_id long, digest string, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long,hash:long,live:boolean>>"
 
 
 def entropy(value: str) -> float:
@@ -62,9 +63,12 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
         base += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     base += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    taken = [(s, e) for _, s, e, _ in base]
-    loose = [("owned", m.start(), m.end(), m[0]) for m in LOOSE.finditer(text) if looks_live(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken)]
-    return base + loose
+    starts, reach, far = [s for _, s, _, _ in base], [], 0
+    for _, _, end, _ in base:
+        far = max(far, end)
+        reach.append(far)
+    clear = lambda m: not (k := bisect_left(starts, m.end())) or reach[k - 1] <= m.start()  # noqa: E731  no base span begins before its end and ends after its start
+    return base + [("owned", m.start(), m.end(), m[0]) for m in LOOSE.finditer(text) if clear(m) and looks_live(m[0])]
 
 
 def joined(spans) -> str:
@@ -74,12 +78,12 @@ def joined(spans) -> str:
 def _scan(batches):
     def rows():
         for batch in batches:
-            for uid, doc_id, owner, repo, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for uid, doc_id, digest, owner, repo, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = find(text or "")
                 base = [s for s in found if s[0] != "owned"]
                 count = Counter(s[0] for s in base)
                 spans = [{"kind": k, "start": s, "end": e, "hash": value_hash(v), "live": looks_live(v, k)} for k, s, e, v in found]
-                yield uid, doc_id, owner, repo, count["assign"], count["access"], count["hex"], sha256(joined(base).encode()).hexdigest(), spans
+                yield uid, doc_id, digest, owner, repo, count["assign"], count["access"], count["hex"], sha256(joined(base).encode()).hexdigest(), spans
 
     yield from chunks(rows(), SCANNED)
 
@@ -89,6 +93,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col(id_col).cast("long"),
+        F.sha2(F.col(text_col), 256),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")),
         F.coalesce(F.col(repo_col).cast("string"), F.lit("")),
         F.col(text_col),
@@ -106,10 +111,14 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def judged(scanned: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """(uid, verdicts): each row's spans in order, with verdict copied, specific or dull."""
+def judged(scanned: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """(uid, verdicts): each row's spans in order, with verdict copied, specific or dull.
+
+    What one owner has in any number of its repositories is its own; what owners share is copied if they or their repositories are many.
+    """
     spans = scanned.select("uid", F.inline("spans"))
-    verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when(F.col("live"), "specific").otherwise("dull")
+    many = (F.col("n_owners") >= copied_owners) | (F.col("n_owners") > 1) & (F.col("n_repos") >= copied_repos)
+    verdict = F.when(many, "copied").when(F.col("live"), "specific").otherwise("dull")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     return (
         spans.join(ownership(scanned), "hash")
@@ -129,7 +138,7 @@ def find_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS, **columns)
     scanned = scan(docs, **columns)
     verdicts = F.coalesce("verdicts", F.expr("cast(array() as array<struct<start:long,rank:long,end:long,kind:string,verdict:string>>)"))
     return (
-        scanned.drop("spans")
+        scanned.drop("spans", "digest")
         .join(judged(scanned, copied_owners), "uid", "left")
         .withColumn("verdicts", verdicts)
         .select(
@@ -149,22 +158,29 @@ def mask_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS, id_col: st
     """docs with owner-specific, live-looking spans replaced by <secret>; other rows and columns are unchanged.
 
     Overlapping spans are masked once, as their union. n_chars follows the new text where there is such a column.
-    Documents with one id must have one text: spans are found by id.
+    Spans are found by the text, so rows that share an id and not a text are each masked in their own places.
     """
     scanned = scan(docs, id_col=id_col, text_col=text_col, **columns)
-    spans = (
-        scanned.select("uid", "doc_id")
-        .join(judged(scanned, copied_owners), "uid")
-        .select(F.col("doc_id").alias("_masked_id"), F.expr("transform(filter(verdicts, v -> v.verdict = 'specific'), v -> struct(v.start, v.end))").alias("_spans"))
-        .filter("size(_spans) > 0")
-        .dropDuplicates(["_masked_id"])
-    )
-    text = F.col(text_col)
-    pieces = F.expr(
-        f"""aggregate(_spans, struct(cast('' as string) as done, 0L as at), (a, s) -> struct(
-            case when s.start < a.at then a.done else concat(a.done, substring({text_col}, cast(a.at + 1 as int), cast(s.start - a.at as int)), '<secret>') end as done,
-            greatest(a.at, s.end) as at), a -> concat(a.done, substring({text_col}, cast(a.at + 1 as int))))"""
+    live = F.expr("transform(filter(verdicts, v -> v.verdict = 'specific'), v -> struct(v.start, v.end))")
+    held = judged(scanned, copied_owners).select("uid", live.alias("spans")).filter("size(spans) > 0")
+    spans = saved(scanned.select("uid", "digest").join(held, "uid").select("digest", "spans").dropDuplicates(["digest"]))
+    rows = docs.select(wrapped(), F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("digest")).join(small(spans), "digest", "left")
+    return unwrapped(rows.withColumn("new", masked("text", "spans", "'<secret>'")), docs.columns, **renewed(docs, text_col, "spans"))
+
+
+def masked(text: str, spans: str, sign: str) -> Column:
+    """SQL columns: a text with its spans, in order, replaced by sign (of the span s); spans that overlap count once."""
+    return F.expr(
+        f"""aggregate({spans}, struct(cast('' as string) as done, 0L as at), (a, s) -> struct(
+            case when s.start < a.at then a.done else concat(a.done, substring({text}, cast(a.at + 1 as int), cast(s.start - a.at as int)), {sign}) end as done,
+            greatest(a.at, s.end) as at), a -> concat(a.done, substring({text}, cast(a.at + 1 as int))))"""
     )
-    out = docs.join(spans, docs[id_col] == F.col("_masked_id"), "left").withColumn("_new", F.when(F.col("_spans").isNull(), text).otherwise(pieces))
-    changed = {text_col: F.col("_new")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast("long"))} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+
+
+def renewed(docs: DataFrame, text_col: str, spans: str) -> dict[str, Column]:
+    """The columns of wrapped rows that change where there are spans: the text, and n_chars if docs has it."""
+    same = F.col(spans).isNull()
+    changed = {text_col: F.when(same, F.col("row")[text_col]).otherwise(F.col("new"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("row")["n_chars"]).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return changed
