@@ -26,8 +26,6 @@ from lectern.llm.common import chunks
 
 #: Labelled documents that a fit uses at most (in expectation: they are taken by a hash of the id).
 MAX_LABELLED = 30_000
-#: Units that a model holds at most; the bound of what is sent to every task.
-MAX_UNITS = 60_000
 #: Lengths of the beginnings in a word's chain of priors, the weight of each prior, documents that a unit needs, drift of a token.
 BEGINNINGS, PRIOR, MIN_DOCS, DRIFT = range(2, 10), 4.0, 3, 2.0
 #: Least likelihood ratio against the overall share with which a unit enters the model.
@@ -70,7 +68,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """What every task needs: log-odds by unit (at most MAX_UNITS), and the calibration's five numbers."""
+    """What every task needs: log-odds by unit (as many as a bounded sample gives), and the calibration's five numbers."""
 
     odds: dict[str, float]
     decay: float = 1.0
@@ -134,10 +132,10 @@ def _counts(batches):
 def labelled_sample(labels: DataFrame, bound: int, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """(doc_id, toxic, role): labels that may be learnt from, a bounded part of them; role is count or calibrate.
 
-    Of rows that repeat an id the larger label counts; rows without an id or label are left out.
+    Of rows that repeat an id the larger label counts; rows without an id, or with a label other than 0 and 1, are left out.
     """
     usable = (
-        labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
+        labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
         .groupBy(F.col(id_col).alias("doc_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     )
@@ -171,8 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col: s
         .filter(n >= MIN_DOCS)
         .withColumn("ratio", 2 * (side(a, share) + side(n - a, 1 - share)))
         .filter(F.col("ratio") >= MIN_RATIO)
-        .orderBy(F.desc("ratio"), "unit")
-        .limit(MAX_UNITS)
+        .select("unit", "a", "n")
     )
     held = {r.unit: (r.a, r.n) for r in counted.collect()}
     root = math.log(share / (1 - share))
@@ -190,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col: s
     return calibrated(model, texts.filter("role = 'calibrate'").select("text", "toxic"))
 
 
-SEEN = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("all", pa.list_(pa.float64())), ("bins", pa.list_(pa.int64()))])
+SEEN = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("bins", pa.list_(pa.int64()))])
+WEIGHED = pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("all", pa.float64())])
 _BIN, _LOW, _BINS = 0.1, -12.0, 240
 
 
@@ -203,17 +201,17 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
             for batch in batches:
                 for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                     x = model.tokens(text or "")
-                    found = sorted((s for _, _, s in segments(x)), reverse=True)
+                    best = max((s for _, _, s in segments(x)), default=0.0)
                     if not toxic:
                         bins += np.bincount(np.clip((x - _LOW) / _BIN, 0, _BINS - 1).astype(int), minlength=_BINS)
-                    yield toxic, len(x), found[0] if found else 0.0, found[:20], None
-            yield None, 0, 0.0, None, bins.tolist()  # the task's scores of clean documents, as counts
+                    yield toxic, len(x), best, None
+            yield None, 0, 0.0, bins.tolist()  # the task's scores of clean documents, as counts
 
         yield from chunks(rows(), SEEN, 512)
 
-    seen = texts.mapInArrow(look, "toxic int, n long, best double, all array<double>, bins array<long>")
-    rows = [(r.toxic, r.n, r.best, r.all, r.bins) for r in seen.collect()]
-    counts = sum((np.array(r[4], float) for r in rows if r[0] is None), np.zeros(_BINS))
+    seen = texts.mapInArrow(look, "toxic int, n long, best double, bins array<long>")
+    rows = [(r.toxic, r.n, r.best, r.bins) for r in seen.collect()]
+    counts = sum((np.array(r[3], float) for r in rows if r[0] is None), np.zeros(_BINS))
     rows = [r for r in rows if r[0] is not None]
     clean = [r for r in rows if not r[0]]
     if not clean or len(clean) == len(rows):
@@ -225,10 +223,20 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
         mid = (low + high) / 2
         low, high = (mid, high) if (share * np.exp(mid * value)).sum() < 1 else (low, mid)
     model.decay = max(low, 0.05)
-    model.scale = max(len(clean) / max(sum(max(n, 1) * math.exp(-model.decay * best) for _, n, best, _, _ in clean), 1e-9), 1e-9)
-    evidence = [model.evidence([(0, 0, s) for s in found], n) for _, n, _, found, _ in rows]
-    x = np.array([[1.0, e[0], math.log1p(e[1])] for e in evidence])
-    y = np.array([r[0] for r in rows], float)
+    model.scale = max(len(clean) / max(sum(max(n, 1) * math.exp(-model.decay * best) for _, n, best, _ in clean), 1e-9), 1e-9)
+
+    def weigh(batches):  # under the law that is known now, of all segments
+        def rows():
+            for batch in batches:
+                for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                    tokens = model.tokens(text or "")
+                    yield toxic, *model.evidence(segments(tokens), len(tokens))[:2]
+
+        yield from chunks(rows(), WEIGHED, 2048)
+
+    weighed = texts.mapInArrow(weigh, "toxic int, best double, all double").collect()
+    x = np.array([[1.0, r.best, math.log1p(r["all"])] for r in weighed])
+    y = np.array([r.toxic for r in weighed], float)
     w = np.zeros(3)
     for _ in range(50):  # Newton steps of a logistic regression with a weak prior
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
