@@ -1,28 +1,34 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its words. Its words are ordered by rarity, and two sets of similarity 0.75 share a word among
-the first n - ceil(0.75 n) + 1 of each. Lines meet by such a word; length, position and a 64-bit summary of the words
+A line is the set of its words. Lines of equal sets are one class, of which the first line stands for all; so a line that
+many documents share is one member of whatever follows. The words of a class are ordered by rarity, and two sets of similarity 0.75 share a word among
+the first n - ceil(0.75 n) + 1 of each. Classes meet by such a word; length, position and a 64-bit summary of the words
 rule out pairs that cannot reach the threshold, and the rest are verified on the whole lines. A line goes if it is
 similar to an earlier one, by document id and then by place.
 
-The lines that share a word are a list. Each of them first meets the list's earliest line and its ``NEIGHBOURS`` predecessors, all
-from one sorted shuffle; that is every earlier line of most lists, and settles groups of copies with few pairs a
-member. What is not removed then meets the rest of its longer lists. So no list of copies is paired with itself.
+The classes that share a word are a list, and a list beyond ``LIST`` members is dealt into parts. Each member first meets its part's earliest one and its
+``NEIGHBOURS`` predecessors there, all from one sorted shuffle; that is every earlier member of most lists. What is not removed then meets the
+rest of its longer lists, by bands of size. So no list of near copies is paired with itself.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import folded, saved
+from lectern.llm.common import folded, saved, small
 
-#: Similarity in hundredths, and the number of distinct words below which a line is left alone.
-PERCENT, MIN_WORDS = 75, 5
+#: Similarity in hundredths.
+PERCENT = 75
 #: Counters by which words are ranked; the table of their ranks has a byte each, whatever the corpus.
 COUNTERS = 65536
-#: Predecessors in a list that a line meets at once.
-NEIGHBOURS = 24
+#: Predecessors in a part of a list that a member meets at once, and members from which a list is parted.
+NEIGHBOURS, LIST = 24, 4096
+#: What a line is known by, in the order of lines: the document, a number of its text, the place.
+LINE = ["doc_id", "text_key", "line_no"]
+_WORDS = r"array_distinct(filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
 
 
 def _bounds(x: str, y: str) -> str:
@@ -33,27 +39,17 @@ def _bounds(x: str, y: str) -> str:
         and {x}n - bit_count({x}bits & ~{y}bits) >= {need} and {y}n - bit_count({y}bits & ~{x}bits) >= {need}"""
 
 
-_WORDS = 75, 5
-#: Counters by which words are ranked; the table of their ranks has a byte each, whatever the corpus.
-COUNTERS = 65536
-#: Predecessors in a list that a line meets at once.
-NEIGHBOURS = 24
-_NEED = f"ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT})"
-_BOUNDS = f"""y.n * 100 >= {PERCENT} * x.n and x.n * 100 >= {PERCENT} * y.n
-    and least(x.p, y.p) + 1 + least(x.n - x.p - 1, y.n - y.p - 1) >= {_NEED}
-    and x.n - bit_count(x.bits & ~y.bits) >= {_NEED} and y.n - bit_count(y.bits & ~x.bits) >= {_NEED}"""
-_WORDS = r"array_distinct(filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) with A-Z in lower case."""
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(folded(F.col(text_col)), "\n", -1)).alias("line_no", "line"))
+    """(doc_id, text_key, line_no, line) with A-Z in lower case."""
+    return _documents(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.split(folded(F.col("text")), "\n", -1)).alias("line_no", "line"))
 
 
 def _rarity(lines: DataFrame) -> bytes:
     """A byte for each counter: eight times the logarithm of how many words fell to it."""
-    import math
-
     counts = lines.select(F.explode(F.expr(_WORDS)).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("n")).collect()
     table = bytearray(COUNTERS)
     for k, n in counts:
@@ -61,70 +57,110 @@ def _rarity(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _prefixes(lines: DataFrame, min_words: int) -> DataFrame:
-    """(token, doc_id, line_no, n, p, bits): a row for each word of each line's prefix, with its place p and the line's size n."""
-    words = lines.select("doc_id", "line_no", F.expr(_WORDS).alias("words")).filter(F.size("words") >= max(min_words, 1))
+def _sets(lines: DataFrame) -> DataFrame:
+    """A written row for each line with words: its place, 128 bits of its set's digest, the set's size and summary, and its prefix."""
+    words = lines.select(*LINE, F.expr(_WORDS).alias("words")).filter("size(words) > 0")
     table = F.lit(_rarity(lines))
     ranked = F.transform("words", lambda w: F.struct(F.substring(table, (F.pmod(F.xxhash64(w), F.lit(COUNTERS)) + 1).cast("int"), F.lit(1)).alias("f"), w.alias("w")))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
-    sized = words.select("doc_id", "line_no", F.size("words").alias("n"), bits.alias("bits"), F.array_sort(ranked).alias("ranked"))
+    sized = words.select(*LINE, F.size("words").alias("n"), bits.alias("bits"), F.array_sort(ranked).alias("ranked"))
     prefix = F.expr(f"transform(slice(ranked, 1, cast(n - ceil({PERCENT} * n / 100) + 1 as int)), r -> xxhash64(r.w))")
-    return sized.select("doc_id", "line_no", "n", "bits", F.posexplode(prefix).alias("p", "token"))
+    return saved(sized.select(*LINE, F.xxhash64("ranked").alias("k1"), F.xxhash64("ranked", F.lit("again")).alias("k2"), "n", "bits", prefix.alias("prefix")))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the later lines of pairs that are similar as whole lines."""
-    first = lines.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("earlier"))
-    full = pairs.join(lines, ["doc_id", "line_no"]).join(first, ["y_doc", "y_line"])
-    sets = full.select("doc_id", "line_no", F.expr(_WORDS).alias("a"), F.expr(_WORDS.replace("line", "earlier")).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
-    return sets.filter(F.expr(f"100 * both >= {PERCENT} * (size(a) + size(b) - both)")).select("doc_id", "line_no").distinct()
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no) of each line that is similar to an earlier one; line_no counts from 0.
-
-    Lines are parted by U+000A alone. Lines of fewer than min_words distinct words are never removed; the SQL has five, and with 1
-    all lines but blank ones are compared. Null text is empty; rows
-    without an id have no place in the order and keep their lines; ids are unique. Only the two columns are read.
-    """
-    lines = lines_of(docs, id_col, text_col)
-    row = F.struct("doc_id", "line_no", "n", "p", "bits")
-    by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("doc_id", "line_no")
-    lists = _prefixes(lines, min_words).select(
+    """The later lines of pairs (of a line, and an earlier one y) that are similar as whole lines, as a written table."""
+    held = saved(pairs)
+    names = [F.col(f"y.{c}").alias(c) for c in LINE]
+    need = saved(held.select(*LINE).unionByName(held.select(*names)).distinct())
+    whole = saved(lines.join(small(need), LINE, "left_semi").select(*LINE, "line").dropDuplicates(LINE))
+    first = whole.select(F.struct(*LINE).alias("y"), F.col("line").alias("earlier"))
+    full = held.join(whole, LINE).join(first, "y")
+    sets = full.select(*LINE, F.expr(_WORDS).alias("a"), F.expr(_WORDS.replace("line", "earlier")).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
+    return saved(sets.filter(F.expr(f"100 * both >= {PERCENT} * (size(a) + size(b) - both)")).select(*LINE).distinct())
+
+
+def _later(classes: DataFrame, lines: DataFrame, part: int) -> DataFrame:
+    """The first lines of classes that are similar to an earlier one."""
+    listed = classes.select(*LINE, "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    hot = saved(listed.groupBy("token").agg(F.count("*").alias("all")).filter(F.col("all") > part))
+    parted = listed.join(small(hot), "token", "left").withColumn("part", F.when(F.col("all").isNotNull(), F.pmod(F.xxhash64(*LINE), F.ceil(F.col("all") / part))).otherwise(0))
+    row = F.struct(*LINE, "n", "p", "bits")
+    of_part = Window.partitionBy("token", "part")
+    ordered = of_part.orderBy(*LINE)
+    lists = parted.select(
         "*",
-        F.count("*").over(by_token).alias("size"),
+        F.count("*").over(of_part).alias("size"),
         F.row_number().over(ordered).alias("at"),
         F.first(row).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
         F.collect_list(row).over(ordered.rowsBetween(-NEIGHBOURS, -1)).alias("before"),
     )
-    # The head is among the predecessors of the first ones of a list.
+    # The head is among the predecessors of the first ones of a part.
     seen = F.expr(f"if(at > {NEIGHBOURS + 1}, concat(array(head), before), before)")
-    lists = lists.filter("size > 1").withColumn("seen", seen).withColumn("near", F.expr(f"transform(filter(seen, y -> {_bounds('', 'y.')}), y -> struct(y.doc_id as y_doc, y.line_no as y_line))"))
-    held = saved(lists.filter(f"size(near) > 0 or size > {NEIGHBOURS + 2}").select("token", "doc_id", "line_no", "n", "p", "bits", "at", "size", "near"))
-    settled = saved(_verified(held.select("doc_id", "line_no", F.inline("near")).distinct(), lines))
-    long = held.filter(f"size > {NEIGHBOURS + 2}").drop("near", "size")
-    rest = long.filter(f"at > {NEIGHBOURS + 2}").join(settled, ["doc_id", "line_no"], "left_anti")
+    long = (F.col("size") > NEIGHBOURS + 2) | F.col("all").isNotNull()
+    lists = lists.filter((F.col("size") > 1) | long).withColumn("seen", seen).withColumn("long", long)
+    near = F.expr(f"transform(filter(seen, y -> {_bounds('', 'y.')}), y -> struct(y.doc_id, y.text_key, y.line_no))")
+    held = saved(lists.withColumn("near", near).filter("size(near) > 0 or long").select("token", *LINE, "n", "p", "bits", "near", "long"))
+    settled = _verified(held.select(*LINE, F.explode("near").alias("y")).distinct(), lines)
+    rest = held.filter("long").drop("near", "long").join(settled, LINE, "left_anti")
     if rest.isEmpty():
         return settled
-    far = rest.alias("x").join(long.alias("y"), F.expr(f"x.token = y.token and y.at < x.at - {NEIGHBOURS} and y.at > 1 and {_bounds('x.', 'y.')}"))
-    far = far.select("x.doc_id", "x.line_no", F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
+    # Sets that may be similar differ by a factor of 4/3 at most, so they are in one band or in neighbours.
+    band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
+    x = rest.withColumn("band", band).alias("x")
+    y = held.filter("long").drop("near", "long").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
+    earlier = "struct(y.doc_id, y.text_key, y.line_no) < struct(x.doc_id, x.text_key, x.line_no)"
+    far = x.join(y, F.expr(f"x.token = y.token and x.band = y.band and {earlier} and {_bounds('x.', 'y.')}"))
+    far = far.select(*[F.col(f"x.{c}").alias(c) for c in LINE], F.struct(*[F.col(f"y.{c}").alias(c) for c in LINE]).alias("y")).distinct()
     return settled.unionByName(_verified(far, lines)).distinct()
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, text): each document without its repeated lines; null text gives the empty text."""
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone")).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("all"))
-    kept = rows.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("gone", F.expr("coalesce(gone, cast(array() as array<int>))"))
-    return kept.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.expr("array_join(filter(all, (x, i) -> not array_contains(gone, i)), '\n')").alias("text"))
+def _repeated(docs: DataFrame, id_col: str, text_col: str, part: int) -> tuple[DataFrame, DataFrame]:
+    """The repeated lines as (doc_id, text_key, line_no); and (doc_id, text_key) of documents that several rows repeat."""
+    lines = lines_of(docs, id_col, text_col)
+    sets = _sets(lines)
+    first = F.min(F.struct(*LINE)).alias("first")
+    classes = saved(sets.groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    many = saved(classes.filter("copies > 1").select("k1", "k2", "first"))
+    copies = sets.join(small(many), ["k1", "k2"]).filter(F.struct(*LINE) != F.col("first")).select(*LINE).distinct()
+    later = _later(classes.select("first.*", "n", "bits", "prefix"), lines, part)
+    rows = _documents(docs, id_col, text_col).filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    return copies.unionByName(later), saved(rows.filter("n > 1").select("doc_id", "text_key"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = LIST) -> DataFrame:
+    """(doc_id, line_no) of each line that is similar to an earlier one; line_no counts from 0.
+
+    Lines are parted by U+000A alone. Lines without words are never removed. Null text is empty; rows without an id have no place in
+    the order and keep their lines. Of rows that share an id and not a text, a number of the text decides which comes first; rows that repeat both are
+    one document here. Only the two columns are read.
+    """
+    return _repeated(docs, id_col, text_col, part)[0].select("doc_id", "line_no")
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = LIST) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text): each row without its repeated lines; null text gives the empty text.
+
+    Of rows that repeat an id and its text, one keeps what the document keeps, and the others lose every line with words.
+    """
+    lines, twice = _repeated(docs, id_col, text_col, part)
+    gone = lines.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    rows = _documents(docs, id_col, text_col).join(gone, ["doc_id", "text_key"], "left")
+    if not twice.isEmpty():
+        held = saved(rows.join(small(twice), ["doc_id", "text_key"], "left_semi").withColumn("uid", F.monotonically_increasing_id()))
+        firsts = saved(held.groupBy("doc_id", "text_key").agg(F.min("uid").alias("uid")).withColumn("one", F.lit(True)))
+        worded = F.expr(r"filter(transform(split(text, '\n', -1), (x, i) -> if(x rlike '[^\\x20\\x09-\\x0D]', i, -1)), i -> i >= 0)")
+        again = held.join(small(firsts), ["doc_id", "text_key", "uid"], "left").withColumn("gone", F.when(F.col("one"), F.col("gone")).otherwise(worded))
+        rows = rows.join(small(twice), ["doc_id", "text_key"], "left_anti").unionByName(again.drop("uid", "one"))
+    all_lines = rows.select("doc_id", F.split("text", "\n", -1).alias("all"), F.expr("coalesce(gone, cast(array() as array<int>))").alias("gone"))
+    return all_lines.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.expr("array_join(filter(all, (x, i) -> not array_contains(gone, i)), '\n')").alias("text"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 u AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS raw FROM d),
 w AS (SELECT doc_id, k, list_distinct(list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '')) AS s FROM u),
-x AS (SELECT row_number() OVER (ORDER BY doc_id, k) AS id, doc_id, k, s, len(s) AS n FROM w WHERE len(s) >= 5),
+x AS (SELECT row_number() OVER (ORDER BY doc_id, k) AS id, doc_id, k, s, len(s) AS n FROM w WHERE len(s) >= 1),
 t AS (SELECT id, n, unnest(s) AS t FROM x),
 f AS (SELECT t, count(*) AS df FROM t GROUP BY t),
 o AS (SELECT id, t.t, n, row_number() OVER (PARTITION BY id ORDER BY df, t.t) AS p FROM t JOIN f USING (t)),

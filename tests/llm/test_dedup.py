@@ -155,7 +155,7 @@ def line_oracle(texts):
     for i in sorted(k for k in texts):
         for n, line in enumerate((texts[i] or "").translate(UP).split("\n")):
             w = set(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(w) >= 5:
+            if w:
                 lines.append(((i, n), w))
     return {k for j, (k, w) in enumerate(lines) if any(100 * len(w & v) >= 75 * len(w | v) for _, v in lines[:j])}
 
@@ -168,15 +168,32 @@ def test_lines(spark, words):
     df = frame(spark, texts)
     assert {(r.doc_id, r.line_no) for r in line_dedup.repeated_lines(df).collect()} == line_oracle(texts)
     out = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
-    assert out[103].text == "v w x y z" and out[103].n_removed == 2 and out[100].text == "" and out[102].text == texts[102]
+    assert out[103].text == "v w x y z" and out[103].n_removed == 2 and out[100].text == "" and out[102].text == "a b c d"
     assert line_dedup.drop_lines(frame(spark, [])).count() == 0
 
 
-def test_short_lines(spark):
-    """With min_words of 1, lines of one to four distinct words are compared as well."""
+@pytest.mark.parametrize("part", [5, 4096])
+def test_short_lines(spark, part):
+    """Lines of few words from a small vocabulary, whose lists are long and parted."""
     r = random.Random(6)
-    texts = {k: "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(5)) for k in range(40)}
-    lines = [((i, n), set(line.split())) for i in sorted(texts) for n, line in enumerate(texts[i].split("\n"))]
-    expected = {k for j, (k, w) in enumerate(lines) if w and any(100 * len(w & v) >= 75 * len(w | v) for _, v in lines[:j])}
-    got = line_dedup.repeated_lines(frame(spark, texts), min_words=1).collect()
-    assert {(g.doc_id, g.line_no) for g in got} == expected
+    texts = {k: "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9))) for _ in range(5)) for k in range(60)}
+    got = line_dedup.repeated_lines(frame(spark, texts), part=part).collect()
+    assert {(g.doc_id, g.line_no) for g in got} == line_oracle(texts)
+
+
+def test_lines_of_repeated_rows(spark):
+    """Of rows that repeat id and text one keeps the line; rows that share an id alone are documents of their own; a null id keeps all."""
+    rows = [(1, "one two\n\nthree", 1), (1, "one two\n\nthree", 2), (1, "other words", 3), (2, "One two", 4), (None, "one two", 5), (None, "one two", 6)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, text_key long")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.text) for r in out) == [(0, 1, 0, "one two"), (0, 1, 0, "one two"), (1, 1, 0, "other words"), (1, 3, 0, "one two\n\nthree"), (1, 3, 2, ""), (2, 1, 1, "")]
+
+
+def test_near_repeats(spark, words):
+    """A repeated id loses no other text; of rows of a group that repeat the smallest id one stays."""
+    base = prose(words, 1, 60)
+    near, other = edited(base, words, 3, 0.02), prose(words, 2, 60)
+    rows = [(3, base, 1), (5, near, 2), (5, other, 3), (7, other + " x", 4), (3, near, 5), (8, None, 6), (8, "", 7), (None, base, 8), (9, prose(words, 4, 30), 9), (9, prose(words, 4, 30), 10)]
+    kept = neardup.drop_near(spark.createDataFrame(rows, "doc_id long, text string, row long"))
+    assert kept.columns == ["doc_id", "text", "row"]
+    got = {r.row for r in kept.collect()}
+    assert len(got & {1, 5}) == 1 and len(got & {9, 10}) == 1 and got - {1, 5, 9, 10} == {3, 6, 7, 8}

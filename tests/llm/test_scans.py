@@ -58,6 +58,54 @@ def test_short_secrets(spark):
     assert masked == {0: "<secret> x", 1: "<secret>", 2: texts[2], 3: texts[3]}
 
 
+def test_masks_follow_the_text(spark):
+    """Rows that share an id are masked each in their own places, and names inside do not clash with columns."""
+    rows = [(1, "hello world this is a long text", "a"), (1, "token=q8Zr4kL0pX7vB2nM x", "b"), (1, None, "c"), (None, "é token=q8Zr4kL0pX7vB2nM", "d")]
+    ddl = "doc_id long, text string, spans string, source string, lang string, row string, new string, digest string"
+    df = spark.createDataFrame([(i, t, t, k, "en", k, k, k) for i, t, k in rows], ddl)
+    for run, sign in ((secrets.mask_secrets, "<secret>"), (pii.sanitise, None)):
+        out = run(df)
+        assert out.columns == df.columns
+        got = {r.row: r for r in out.collect()}
+        assert got["a"].text == rows[0][1] and got["c"].text is None and all(r.row == r.new == r.digest == r.source and r.spans == dict((k, t) for _, t, k in rows)[r.row] for r in got.values())
+        if sign:
+            assert got["b"].text == "<secret> x" and got["d"].text == "é <secret>"
+    mail = spark.createDataFrame([(1, "hello world this", "a"), (1, "x jo@x.org", "b")], "doc_id long, text string, common string")
+    assert {r.common: r.text for r in pii.sanitise(mail).collect()} == {"a": "hello world this", "b": "x [EMAIL]"}
+
+
+def brute_verdicts(texts, owners):
+    """(copied, specific) of each text by plain counting."""
+    held = {}
+    for t, (owner, repo) in zip(texts, owners):
+        for _, _, _, value in secrets.find(t or ""):
+            held.setdefault(value, set()).add((owner, repo))
+    out = []
+    for t in texts:
+        copied = specific = 0
+        for kind, _, _, value in secrets.find(t or ""):
+            n_owners = len({o for o, _ in held[value]})
+            many = n_owners >= 3 or n_owners > 1 and len(held[value]) >= 6
+            copied += many and kind != "owned"
+            specific += not many and secrets.looks_live(value, kind)
+        out.append((copied, specific))
+    return out
+
+
+def test_verdicts(spark):
+    """Verdicts by owners and repositories against plain counting; many repositories of one owner are still one owner."""
+    r = random.Random(9)
+    values = [f"token={''.join(r.choice('abcdefghijkXYZ0123456789') for _ in range(r.choice([6, 9, 20])))}" for _ in range(12)] + ["q8Zr4kL0pX7vB2nMabcd1", "password=example1234"]
+    owners = [(r.choice("abcd"), r.choice("xyzuvw")) for _ in range(120)]
+    pick = {o: r.sample(values, 8) for o in "abcd"}
+    texts = [" ".join(r.choice(pick[o]) for _ in range(r.randint(0, 3))) for o, _ in owners] + ["token=zz9yy8xx7ww6", None]
+    owners += [("a", "x"), ("b", "y")]
+    df = spark.createDataFrame([(i, t, o, q) for i, (t, (o, q)) in enumerate(zip(texts, owners))], "doc_id long, text string, source string, lang string")
+    got = {x.doc_id: (x.n_copied, x.n_specific) for x in secrets.find_secrets(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_verdicts(texts, owners)
+    assert any(c for c, _ in got.values()) and any(s for _, s in got.values())
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if c > "4" else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -148,7 +196,7 @@ def test_toxicity_held_out(spark, words):
         labels.append((k, int(toxic)))
     texts += [None, ""]
     df = frame(spark, texts)
-    model = toxicity.fit(df, spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(df, spark.createDataFrame(labels + [(None, 1), (5, None), (6, 2), (7, -1)], "doc_id long, toxic int"))
     rows = {x.doc_id: x for x in toxicity.score_texts(df, model).collect()}
     held = [k for k, _ in labels if rows[k].held_out]
     assert 200 < len(held) < 400 and all(0 <= x.score <= 1 for x in rows.values())
