@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Words score positive where their surroun
 heading, say) and negative in link lists; tags score negative. The weights are learnt from pages that label their own
 article by an article or main element: for each kind of surroundings, how often its words lie inside. One linear
 scan finds the contiguous region of the highest sum, and its blocks are the text. What is never text, such as scripts, menus,
-adverts, forms and reader comments, scores nothing and is left out inside the region too.
+adverts, forms and reader comments, scores nothing, its tags included, and is left out inside the region too. Classes whose words the labelled pages never
+have inside an article are left out as well.
 """
 
 from __future__ import annotations
@@ -29,22 +30,31 @@ LEFT_OUT = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "head"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 NAMES = INLINE | LEFT_OUT | VOID | set("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold text themselves: one goes only if all of its classes are marked, not if one of several is.
+TEXTUAL = INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "tr", "dt", "dd", "figure", "figcaption"}
 #: Words in a class, id or role that mark an element as no part of an article.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|popup|promo|promoted|related|replies|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that a class must have had on the labelled pages, all of them outside the articles, to be left out.
+SUPPORT = 200
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|([^<]+|<)", re.I | re.S)
 
 
-def runs(page: str):
-    """(kind, text, surroundings, in article) of the page in order.
+def classes(attributes: str) -> list[str]:
+    """The names in class, id and role, in lower case."""
+    return " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)).lower().split()
 
-    kind is "tag" for a tag that may stand between blocks (text is its name), "text" for words, and "out" for words
-    that are left out. surroundings names the nearest block element, and whether the words are a link.
+
+def runs(page: str, dropped: frozenset = frozenset()):
+    """(kind, text, surroundings, in article, classes) of the page in order.
+
+    kind is "tag" for a tag that may stand between blocks (text is its name), "text" for words, and "out" for words and tags
+    that are left out. surroundings names the nearest block element, and whether the words are a link; classes are those of all elements around. dropped are classes that are left out besides the marked ones.
     """
-    stack: list[tuple] = []  # name, block, link, left out, in article
+    stack: list[tuple] = []  # name, state before it
     open_names: dict[str, int] = {}
-    state = ("body", False, False, False)
+    state = ("body", False, False, False, ())  # block, link, left out, in article, classes
 
     def close(name: str) -> None:
         nonlocal state
@@ -57,9 +67,9 @@ def runs(page: str):
     for m in TOKEN.finditer(page):
         raw, slash, name, attributes, text = m.group(1, 2, 3, 4, 5)
         if text is not None:
-            yield "out" if state[2] else "text", text, state[0] + ("+a" if state[1] else ""), state[3]
+            yield "out" if state[2] else "text", text, state[0] + "+a" * state[1], state[3], state[4]
         elif name is not None:
-            name = name.lower()
+            name, was = name.lower(), state[2]
             if name not in NAMES:
                 name = "div" if "-" in name else "span"
             if slash:
@@ -68,32 +78,25 @@ def runs(page: str):
             elif name not in VOID:
                 if name not in INLINE and open_names.get("p") and stack:
                     close("p")
+                    was = state[2]
                 if name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                     close(name)
-                block, link, out, article = state
+                block, link, out, article, around = state
                 stack.append((name, state))
                 open_names[name] = open_names.get(name, 0) + 1
                 out = out or name in LEFT_OUT or (name == "header" and not article)
-                if not out and attributes and name not in ("html", "body", "article", "main"):
-                    marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes))
-                    out = bool(marks and MARKS.search(marks)) or bool(HIDDEN.search(attributes))
+                if attributes and name not in ("html", "body", "main") and not (name == "article" and not article):
+                    own = classes(attributes)
+                    around += tuple(own)
+                    marked = [not MARKS.isdisjoint(re.split("[_-]", c)) or c in dropped for c in own]
+                    out = out or bool(own) and (all(marked) if name in TEXTUAL else any(marked)) or bool(HIDDEN.search(attributes))
                 article = article or name in ("article", "main")
-                state = (block if name in INLINE else name, link or name == "a", out, article)
-            yield "tag", name, "", state[3]
+                state = (block if name in INLINE else name, link or name == "a", out, article, around)
+            yield "out" if was and state[2] else "tag", name, "", state[3], ()
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the best region, joined by newlines; empty if no words score."""
-    kinds, scores = [], []
-    for kind, text, around, _ in runs(page):
-        if kind == "tag":
-            scores.append(min(weights.get("<" + text, -TAG_COST), -TAG_COST))
-        elif kind == "out":
-            continue
-        else:
-            n = len(text.split())
-            scores.append(n * weights.get(around, UNSEEN))
-        kinds.append((kind, text))
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(from, to) of the contiguous scores of the highest sum, the first of equals; empty if none is above 0. One linear scan."""
     best = total = 0.0
     start = first = last = 0
     for i, s in enumerate(scores):
@@ -102,6 +105,28 @@ def extract(page: str, weights: dict[str, float]) -> str:
         total += s
         if total > best:
             best, first, last = total, start, i + 1
+    return first, last
+
+
+def labelled(page: str) -> bool:
+    """Whether the page says itself where its article is, by one article or main element."""
+    low = page.lower()
+    return low.count("<article") + low.count("<main") == 1
+
+
+def extract(page: str, weights: dict[str, float]) -> str:
+    """The blocks of the best region, joined by newlines; empty if no words score."""
+    kinds, scores, told = [], [], labelled(page)
+    for kind, text, around, inside, _ in runs(page, frozenset(k[1:] for k in weights if k[0] == ".")):
+        side = ("+in" if inside else "+out") if told else ""
+        if kind == "tag":
+            scores.append(min(weights.get("<" + text + side, -TAG_COST), -TAG_COST))
+        elif kind == "text":
+            scores.append(len(text.split()) * weights.get(around + side, UNSEEN))
+        else:
+            continue
+        kinds.append((kind, text))
+    first, last = best_region(scores)
     blocks, held = [], []
     for kind, text in kinds[first:last]:
         if kind == "text":
@@ -120,31 +145,42 @@ COUNTED = pa.schema([("feature", pa.string()), ("inside", pa.int64()), ("outside
 
 
 def _count(batches):
-    """Words by surroundings, and tags, inside and outside the article of each page that has exactly one."""
+    """Words by surroundings, and tags, inside and outside the article of each page that has exactly one, with and without the side itself; words by class, left out or not."""
     seen: dict[str, list[int]] = {}
+
+    def note(feature: str, side: int, n: int) -> None:
+        seen.setdefault(feature, [0, 0])[side] += n
+
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            low = (page or "").lower()
-            if low.count("<article") + low.count("<main") != 1:
+            if not page or not labelled(page):
                 continue
-            for kind, text, around, inside in runs(page):
+            for kind, text, around, inside, names in runs(page):
+                n, side = len(text.split()), 0 if inside else 1
+                if kind != "tag":
+                    for name in set(names):
+                        note("." + name, side, n)
                 if kind != "out":
-                    feature, n = ("<" + text, 1) if kind == "tag" else (around, len(text.split()))
-                    seen.setdefault(feature, [0, 0])[0 if inside else 1] += n
+                    feature, n = ("<" + text, 1) if kind == "tag" else (around, n)
+                    note(feature, side, n)
+                    note(feature + ("+in", "+out")[side], side, n)
     yield from chunks(((f, a, b) for f, (a, b) in seen.items()), COUNTED)
 
 
 def fit(pages: DataFrame, bound: int = MAX_LABELLED, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
-    """Weights by feature from about ``bound`` pages. Features are element names, so the result is small for any corpus."""
+    """Weights by feature from about ``bound`` pages: element names, and the classes that are never inside an article.
+
+    Null pages teach nothing and repeated rows count each. A page is read whole, whatever its length. Pages without one article or main element
+    are not labelled; without any that is, all words score alike.
+    """
     n = pages.count()
     draw = F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1_000_000))
     sample = pages.filter(draw < F.lit(round(1e6 * min(1.0, bound / max(n, 1))))).select(html_col)
-    rows = sample.mapInArrow(_count, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).collect()
+    counted = sample.mapInArrow(_count, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
     weights = {}
-    for r in rows:
-        prior = 0.5 + UNSEEN
-        share = (r.a + PRIOR * prior) / (r.a + r.b + PRIOR)
-        weights[r.feature] = share - 0.5 if r.feature[0] != "<" else -TAG_COST - (1 - share) * 0.2
+    for r in counted.filter(f"feature not like '.%' or a = 0 and b >= {SUPPORT}").collect():
+        share = (r.a + PRIOR * (0.5 + UNSEEN)) / (r.a + r.b + PRIOR)
+        weights[r.feature] = -TAG_COST - (1 - share) * 0.2 if r.feature[0] == "<" else share - 0.5
     return weights
 
 

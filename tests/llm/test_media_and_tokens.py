@@ -35,7 +35,39 @@ def test_tiff_round_trip(spark, words):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         assert r.media_bytes == len(raw[i]) and r.media_sha256 == hashlib.sha256(raw[i]).hexdigest()
         kinds.add((r.compression, r.predictor))
-    assert {c for c, _ in kinds} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE}
+    assert kinds == {(tiff.LZW, 1), (tiff.LZW, 2), (tiff.PACKBITS, 1), (tiff.DEFLATE, 1), (tiff.DEFLATE, 2)}
+
+
+def slow_lzw(data):
+    """The codec by its definition, a code and a bit string at a time."""
+    table, bits, width, held = {bytes([i]): i for i in range(256)}, format(256, "09b"), 9, b""
+    for i in range(len(data)):
+        byte = data[i : i + 1]
+        if held + byte in table:
+            held += byte
+            continue
+        bits += format(table[held], f"0{width}b")
+        table[held + byte] = len(table) + 2
+        if len(table) + 2 == 4095:
+            bits += format(256, "012b")
+            table, width = {bytes([j]): j for j in range(256)}, 9
+        else:
+            width = (len(table) + 2).bit_length()
+        held = byte
+    if held:
+        bits += format(table[held], f"0{width}b")
+        width = min(12, (len(table) + 3).bit_length())
+    bits += format(257, f"0{width}b")
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("n,alphabet", [(0, 1), (1, 1), (300, 256), (511, 256), (6000, 256), (40_000, 3), (9000, 90), (3838, 256), (3839, 256)])
+def test_lzw(n, alphabet):
+    r = random.Random(n)
+    data = bytes(r.randrange(alphabet) for _ in range(n))
+    assert tiff.lzw(data) == slow_lzw(data) and tiff.unlzw(tiff.lzw(data)) == data
+    assert data.startswith(tiff.unlzw(tiff.lzw(data)[:-2]))
 
 
 @pytest.mark.parametrize("how", [{"compression": c, "predictor": p, **part} for c in (1, 5, 8, 32773) for p in (1, 2) for part in ({"rows": 7}, {"rows": 500}, {"tile": (192, 16)}, {"tile": (640, 32)})])
@@ -181,3 +213,36 @@ def test_pages(spark):
     assert all(got[k].text == want and got[k].n_chars == len(want) for k in range(20))
     assert got[50].text == got[51].text == "" and got[52].text == "plain text" and got[54].text == "deep"
     assert pages.main_text(df.limit(0), pages.fit(df.limit(0))).count() == 0
+
+
+def test_best_region():
+    r = random.Random(2)
+    for _ in range(60):
+        x = [r.choice([-2, -1, -0.5, 0, 1, 1.5]) for _ in range(r.randint(0, 14))]
+        spans = [(sum(x[a:b]), -a, -b, a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1)]
+        a, b = pages.best_region(x)
+        assert sum(x[a:b]) == max([s[0] for s in spans if s[0] > 0], default=0)
+
+
+LONG = " ".join(f"word{k}" for k in range(60))
+#: Pages unlike the ones that are learnt from, and their text by hand.
+VARIANTS = [
+    (f"<article><h1>Title</h1><p>First {LONG}.</p><aside><p>{LONG}</p><ul>" + "<li><a href=x>buy</a></li>" * 80 + f"</ul></aside><p>Last {LONG}.</p></article>", f"Title\nFirst {LONG}.\nLast {LONG}."),
+    ("<article><h1>Title</h1><p>Before the list.</p><ul>" + "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(60)) + "</ul><p>After it.</p></article><footer>f</footer>", "Title\nBefore the list.\n" + "\n".join(f"Link {k}" for k in range(60)) + "\nAfter it."),
+    (f'<nav>menu</nav><article><p>{LONG}</p><p class="market share">The share grew.</p><p class="share-buttons">Tell a friend</p><p>{LONG}</p></article>', f"{LONG}\nThe share grew.\n{LONG}"),
+    (f'<div class="cookie-notice">We use cookies</div><div id="content"><h2>Head</h2><p>{LONG}</p><p>More.</p></div><div class="comments"><p>first! {LONG}</p></div><footer>x</footer>', f"Head\n{LONG}\nMore."),
+    (f'<header><h1>Site</h1></header><main><header><h1>Head</h1></header><p>{LONG}</p><table><tr><td>a</td><td>b</td></tr></table><form>q</form></main>', f"Head\n{LONG}\na\nb"),
+    (f'<article><p>{LONG}</p><article class="comment"><p>nonsense {LONG}</p></article><p>end</p></article>', f"{LONG}\nend"),
+]
+
+
+def test_page_variants(spark):
+    around = '<html><body><nav><a href="/">menu</a></nav><div class="ad">{0} advert</div><div class="teaserbox">{0} one more thing</div><article><h1>T</h1><p>{0}</p><div class="body"><p>{0}</p></div></article><footer>x</footer>'
+    known = [(k, "u", around.replace("{0}", " ".join(f"w{k}x{i}" for i in range(12)))) for k in range(40)]
+    weights = pages.fit(spark.createDataFrame(known, "page_id long, url string, html string"))
+    assert ".teaserbox" in weights and ".body" not in weights
+    rows = [(k, "u", f"<html><body>{h}</body></html>") for k, (h, _) in enumerate(VARIANTS)] + [(99, "u", f'<div><p>{LONG}</p><div class="teaserbox">x y z</div><p>end</p></div>')]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), weights).collect()}
+    for k, (_, want) in enumerate(VARIANTS):
+        assert got[k] == want, k
+    assert got[99] == f"{LONG}\nend"
