@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,28 +70,55 @@ def escape_html(text: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
-#: Named references that are decoded besides the numeric ones; the ampersand's own comes last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00A0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "euro": "€", "pound": "£", "sect": "§", "deg": "°", "amp": "&"}
-
-
-def code_unit(n: Column) -> Column:
-    """The UTF-16 unit n as a character; half of a surrogate pair alone gives U+FFFD."""
-    unit = F.pmod(n.cast("long"), F.lit(65536))
-    lone = unit.between(0xD800, 0xDFFF)
-    safe = F.when(lone, 0xFFFD).otherwise(unit)
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 4, "0")), "UTF-16BE")
+#: Characters by named reference as browsers know them: Python's own table. Some names need no semicolon.
+REFERENCES = {**{f"{n};": html5[f"{n};"] for n in ("amp", "lt", "gt", "quot", "nbsp", "apos")}, **html5}
+BARE = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+#: What browsers make of the numbers 128 to 159: the signs of Windows-1252, where it has one.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[A-Za-z][A-Za-z0-9]*+;?)"
+#: Attributes of a tag; a > in quotes does not end it.
+_ATTRIBUTES = r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+"""
+#: Comments, elements whose content is no text, tags, and what browsers take for comments.
+_MARKUP = (
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"|<(script|style|noscript|template|title)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+    rf"|</?[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z)|</?[a-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)|</[^a-z][^>]*(?:>|\z)"
+)
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric reference: U+FFFD for 0, surrogates and numbers beyond Unicode."""
+    windows = F.create_map(*[F.lit(x) for pair in WINDOWS.items() for x in pair])
+    wrong = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(windows, number.cast("int")), plain)
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as browsers read them in text: numbers, names, and the old names without a semicolon before whatever follows."""
+    known = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")
+    # More digits than Unicode needs are too large a number whatever they are.
+    digits = lambda d, most: F.when(F.length(d) > most, F.lit(0x110000)).otherwise
+
+    def one(r: Column) -> Column:
+        ten, hexa = F.regexp_extract(r, "^&#0*([0-9]*);?$", 1), F.regexp_extract(r, "^&#[xX]0*([0-9A-Fa-f]*);?$", 1)
+        number = F.when(r.rlike("^&#[xX]"), digits(hexa, 6)(F.coalesce(F.conv(hexa, 16, 10).cast("long"), F.lit(0)))).otherwise(digits(ten, 7)(F.coalesce(ten.try_cast("long"), F.lit(0))))
+        bare = F.regexp_extract(r, f"^&({'|'.join(BARE)})", 1)
+        named = F.coalesce(F.try_element_at(known, F.substring(r, 2, 99)), F.when(bare != "", F.concat(F.try_element_at(known, bare), F.substr(r, F.length(bare) + F.lit(2)))), r)
+        return F.when(r.startswith("&#"), _character(number)).otherwise(named)
+
+    pieces = F.split(text, _REFERENCE, -1)
+    signs = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), one)
+    decoded = F.array_join(F.zip_with(pieces, signs, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    return F.when(F.instr(text, "&") > 0, decoded).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
-    """Text of a page's body: no scripts, styles, noscript parts, comments or tags; references decoded; white space collapsed.
+    """Text of a page as a browser's parser has it: no scripts, styles, noscript parts, templates, title, comments or tags; references decoded; white space collapsed.
 
-    Nothing is put between block elements. Pages without an end of body keep all that follows its start.
+    Nothing is put between block elements, and a > in a quoted attribute ends no tag.
     """
-    drop = [r"(?is)<!--.*?(?:-->|$)", r"(?is)<script\b.*?(?:</script\s*>|$)", r"(?is)<style\b.*?(?:</style\s*>|$)", r"(?is)<noscript\b.*?(?:</noscript\s*>|$)", r"(?is)^.*?<body[^>]*>", r"(?is)</body\s*>.*$", r"(?is)<title\b.*?(?:</title\s*>|$)", r"(?s)<[^>]*>"]
-    text = reduce(lambda c, p: F.regexp_replace(c, p, ""), drop, html)
-    for name, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    return collapse_ws(text)
+    return collapse_ws(decode_references(F.regexp_replace(html, _MARKUP, "")))
 
 
 def rtf_text(rtf: Column) -> Column:
@@ -180,9 +209,10 @@ def chunk_ranges(lengths: Column, max_chars: int = 300) -> Column:
 
 
 def symbol_ids(text: Column, vocabulary: dict[str, int]) -> Column:
-    """Ids of the characters between two boundary signs; unknown ones are 0."""
+    """Ids of the UTF-16 units between two boundary signs; unknown ones are 0, so a character beyond the first plane gives two."""
     known = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
-    return F.transform(F.split(F.concat(F.lit("$"), text, F.lit("$")), ""), lambda c: F.coalesce(F.try_element_at(known, c), F.lit(0)))
+    units = F.flatten(F.transform(F.split(F.concat(F.lit("$"), text, F.lit("$")), ""), lambda c: F.when(F.octet_length(c) > 3, F.array(F.lit(""), F.lit(""))).otherwise(F.array(c))))
+    return F.transform(units, lambda c: F.coalesce(F.try_element_at(known, c), F.lit(0)))
 
 
 def quad_to_bbox(quad: Column) -> Column:

@@ -15,7 +15,7 @@ from lectern.sources import files as S
 def extracted_corpus(spark, sf_dir):
     """Pages as HTML files, documents as text and Markdown files, and conversations as CSV files, through the router of formats."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".TXT").otherwise(".bin")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), "doc_id", F.when(F.col("doc_id") % 10 == 0, ".bin").when(F.col("doc_id") % 2 == 1, ".TXT").otherwise(".md")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", "role", quoted)
     sheets = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))["line"], "\r\n").alias("csv"))
@@ -34,7 +34,76 @@ def rtf_documents(spark, sf_dir):
 def wav_files(spark, sf_dir):
     """Embeddings as mono audio files."""
     jobs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("job_id"), F.col("embedding").alias("audio"), F.lit(24000).alias("sample_rate"))
-    return S.wav_bytes(jobs).select("job_id", F.length("wav").cast("long").alias("n_bytes"), F.sha2("wav", 256).alias("sha"))
+    sample = lambda at: F.expr(f"substring(wav, {at}, 2)")
+    number = lambda b: F.conv(F.concat(F.hex(F.substring(b, 2, 1)), F.hex(F.substring(b, 1, 1))), 16, 10).cast("int")
+    signed = lambda n: F.when(n >= 32768, n - 65536).otherwise(n)
+    rows = S.wav_bytes(jobs)
+    return rows.select("job_id", F.length("wav").cast("long").alias("n_bytes"), F.hex(F.substring("wav", 1, 44)).alias("head"), signed(number(sample(45))).alias("first"), signed(number(sample("length(wav) - 1"))).alias("last"))
+
+
+_PACKAGE = '<p><manifest>{0}</manifest><spine>{1}</spine></p>'
+_OFFICE = ("docx", "odt", "pptx", "xlsx", "epub")
+
+
+def _containers(batches):
+    """Zipped XML files of lines, in the format that ext names."""
+    import io
+    import zipfile
+
+    for rows in batches:
+        out = []
+        for ext, lines in zip(rows["ext"], rows["lines"]):
+            n = range(len(lines))
+            if ext == "docx":
+                parts = {"word/document.xml": '<w:d xmlns:w="w">' + "".join(f"<w:p><w:r><w:t>{x[:3]}</w:t></w:r><w:r><w:t>{x[3:]}</w:t></w:r></w:p>" for x in lines) + "</w:d>"}
+            elif ext == "odt":
+                parts = {"content.xml": '<d xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><text:h>no</text:h>' + "".join(f"<text:p>{x[:2]}<text:span>{x[2:]}</text:span></text:p>" for x in lines) + "</d>"}
+            elif ext == "pptx":
+                parts = {f"ppt/slides/slide{k + 1}.xml": f'<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:t>{lines[k]}</a:t></p>' for k in reversed(n)}
+            elif ext == "xlsx":
+                cells = "".join(f'<row><c t="s"><v>{k}</v></c><c t="inlineStr"><is><t>{lines[k]}</t></is></c><c><v>{k}</v></c><c t="s"><v>{k + len(lines)}</v></c></row>' for k in n)
+                parts = {"xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{x}</t></si>" for x in lines) + "</sst>", "xl/worksheets/sheet1.xml": f"<s>{cells}</s>"}
+            else:
+                parts = {"META-INF/container.xml": '<c><rootfile full-path="O/p.opf"/></c>', "O/p.opf": _PACKAGE.format("".join(f'<item id="i{k}" href="c{k}.xhtml"/>' for k in n), "".join(f'<itemref idref="i{k}"/>' for k in n))}
+                parts |= {f"O/c{k}.xhtml": f"<html><head><title>no</title></head><body><p>{lines[k]}</p></body></html>" for k in n}
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                for name, body in parts.items():
+                    z.writestr(name, body)
+            out.append(raw.getvalue())
+        yield pd.DataFrame({"path": rows["path"], "content": out})
+
+
+def _clean_lines():
+    """Lines of letters, digits, dots and spaces, which need no escapes in XML."""
+    return F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9. \n]", ""), "\n", -1)
+
+
+def office_texts(spark, sf_dir):
+    """Documents as files of the five zipped formats, a fifth each."""
+    ext = F.element_at(F.array(*map(F.lit, _OFFICE)), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/o/"), "doc_id", F.lit("."), ext).alias("path"), ext.alias("ext"), _clean_lines().alias("lines"))
+    made = rows.mapInPandas(_containers, "path string, content binary")
+    out = S.extract_corpus(S.routed(made))
+    return out.select("path", F.sha2("text", 256).alias("sha"), "error")
+
+
+def legacy_texts(spark, sf_dir):
+    """Documents as UTF-16 bytes between control bytes, as legacy files hold them."""
+    lines = F.array_join(_clean_lines(), "\n")
+    content = F.concat(F.unhex(F.lit("D0CF11E001010000")), F.encode(F.concat(lines, F.lit("\n")), "UTF-16LE"), F.unhex(F.lit("01000200")))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/l/"), "doc_id", F.lit(".doc")).alias("path"), content.alias("content"))
+    return S.extract_corpus(S.routed(rows)).select("path", F.sha2("text", 256).alias("sha"), F.col("error").isNotNull().alias("failed"))
+
+
+def corpus_scan(spark, sf_dir):
+    """Documents written as text files in a folder for each language, and read back as a corpus to any depth."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    path = S.scratch(spark)
+    docs.write.partitionBy("lang").text(path)
+    texts, _ = S.split_outcome(S.extract_corpus(S.scan_corpus(spark, path)))
+    lang = F.regexp_extract("path", r"lang=([^/]*)/", 1)
+    return texts.groupBy(lang.alias("lang"), "mime").agg(F.sum("n_chars").alias("chars"))
 
 
 def _tone(batches):
@@ -56,12 +125,25 @@ def synthesised(spark, sf_dir):
     return out.groupBy("model_id", "error").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("audio").isNotNull(), F.size("audio"))), F.lit(0)).cast("long").alias("samples"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_corpus, rtf_documents, wav_files, synthesised)}
+QUERIES = {f.__name__: f for f in (extracted_corpus, office_texts, legacy_texts, corpus_scan, rtf_documents, wav_files, synthesised)}
 ORACLES = {
     "extracted_corpus": f"""WITH {_HTML}
 SELECT '/p/' || page_id || '.html' AS path, 'text/html' AS mime, CASE WHEN text <> '' THEN sha256(text) END AS sha, text = '' AS failed FROM ht
-UNION ALL SELECT '/d/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' ELSE '.bin' END, CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/plain' ELSE '' END, CASE WHEN doc_id % 3 < 2 THEN sha256(coalesce(text, '')) END, doc_id % 3 = 2 FROM documents
+UNION ALL SELECT '/d/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.bin' WHEN doc_id % 2 = 1 THEN '.TXT' ELSE '.md' END, CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 2 = 1 THEN 'text/plain' ELSE 'text/markdown' END, CASE WHEN doc_id % 10 <> 0 THEN sha256(coalesce(text, '')) END, doc_id % 10 = 0 FROM documents
 UNION ALL SELECT '/c/' || conv_id || '.csv', 'text/csv', sha256(string_agg(role || ', ' || coalesce(text, ''), chr(10) ORDER BY turn)), false FROM conversations GROUP BY conv_id""",
+    "office_texts": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9. \n]', '', 'g'), chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, list_filter(ls, lambda x: trim(x) <> '') AS full_lines, list_transform(list_zip(ls, range(len(ls))), lambda z: z[1] || ', ' || z[1] || ', ' || z[2] || ', ') AS sheet FROM l),
+t AS (SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN trim(array_to_string(list_transform(full_lines, lambda x: trim(x)), chr(10) || chr(10)))
+  WHEN 3 THEN rtrim(ltrim(array_to_string(sheet, chr(10)), ' ' || chr(10)), ' ' || chr(10)) WHEN 4 THEN array_to_string(list_transform(full_lines, lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), chr(10) || chr(10))
+  ELSE array_to_string(full_lines, chr(10) || chr(10)) END AS x FROM n)
+SELECT '/o/' || doc_id || '.' || ['docx', 'odt', 'pptx', 'xlsx', 'epub'][doc_id % 5 + 1] AS path, CASE WHEN doc_id % 5 <> 2 OR x <> '' THEN sha256(x) END AS sha, CASE WHEN doc_id % 5 = 2 AND x = '' THEN 'PPTX file contains no text data.' END AS error FROM t""",
+    "legacy_texts": r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9. \n]', '', 'g'), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9. \n]', '', 'g'), chr(10)), 1) AS k FROM documents),
+t AS (SELECT doc_id, string_agg(trim(x), chr(10) ORDER BY k) FILTER (trim(x) <> '') AS x FROM l GROUP BY doc_id)
+SELECT '/l/' || doc_id || '.doc' AS path, sha256(x) AS sha, x IS NULL AS failed FROM t""",
+    "corpus_scan": "SELECT coalesce(lang, 'none') AS lang, 'text/plain' AS mime, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars FROM documents GROUP BY ALL",
+    "wav_files": """WITH q AS (SELECT vec_id, len(embedding) AS n, list_transform([embedding[1], embedding[len(embedding)]], lambda x: CAST(floor(least(1, greatest(-1, CAST(x AS DOUBLE))) * CASE WHEN x < 0 THEN 32768 ELSE 32767 END + 0.5) AS INTEGER)) AS s FROM embeddings),
+h AS (SELECT *, printf('%08X', 36 + 2 * n) AS r, printf('%08X', 2 * n) AS d FROM q)
+SELECT CAST(vec_id AS VARCHAR) AS job_id, CAST(44 + 2 * n AS BIGINT) AS n_bytes, '52494646' || r[7:8] || r[5:6] || r[3:4] || r[1:2] || '57415645666D74201000000001000100C05D000080BB00000200100064617461' || d[7:8] || d[5:6] || d[3:4] || d[1:2] AS head, s[1] AS first, s[2] AS last FROM h""",
     "rtf_documents": rf"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '\{{}}', '') AS x FROM documents),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, ' {{2,}}', ' ', 'g'), '\t +', chr(9), 'g'), ' +\t', chr(9), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM t)
 SELECT doc_id, sha256(regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')) AS sha FROM c""",

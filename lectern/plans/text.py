@@ -41,8 +41,7 @@ ch AS (SELECT doc_id, lang, chunk_index, string_agg(text, ' ' ORDER BY global_in
 
 def prepare_by_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    rows = docs.select("lang", T.sentence_array(F.col("text")).alias("sentences")).withColumn("lengths", F.transform("sentences", lambda s: F.length(s["text"])))
-    rows = rows.select("lang", F.size("sentences").alias("s"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n).alias("c"), F.size(T.chunk_ranges("lengths")).alias("k"))
+    rows = O.prepare_reader_data(docs, id_col="lang").select("lang", F.size("sentences").alias("s"), F.size("chunks").alias("k"), F.aggregate("sentences", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"])).alias("c"))
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("s").alias("sentences"), F.sum("k").alias("chunks"), F.sum("c").alias("characters"))
 
 
@@ -71,6 +70,14 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
+def html_references(spark, sf_dir):
+    """Pages put into markup with quoted attributes, and with references by number and by name whose characters their ids choose."""
+    n = (F.col("page_id") * 37 % 20000 + 161).cast("int")
+    high = (F.col("page_id") % 60 + 128512).cast("int")
+    head = F.concat(F.lit("<p title='a > b' data-x=\"it's > c\">"), F.lit("&#"), n, F.lit(";&#x"), F.hex(high), F.lit("; &amp;lt;&lt;&copy 5 &eacute;&notit;&#150;&bogus; a < b<!-- > --></p>"))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.concat(head, F.coalesce("html", F.lit("")))).alias("text"))
+
+
 def html_quarantine(spark, sf_dir):
     """Pages as extracted, by whether they gave text."""
     rows = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
@@ -146,19 +153,15 @@ def quads(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", box.alias("b")).select("vec_id", "b.*")
 
 
-QUERIES = {f.__name__: f for f in (prepare_by_language, sentences, paragraphs, chunks, reading_view, text_gates, html_text, html_quarantine, escaped, collapsed, file_types, admitted, progress, loads, ocr_requests, symbols, unknown_symbols, paired_words, quads)}
+QUERIES = {f.__name__: f for f in (prepare_by_language, sentences, paragraphs, chunks, reading_view, text_gates, html_text, html_references, html_quarantine, escaped, collapsed, file_types, admitted, progress, loads, ocr_requests, symbols, unknown_symbols, paired_words, quads)}
 
 _TYPES = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in T.MIME.items())
 _NAMES = rf"""nm AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') || ['', '.pdf', '.DOCX', '.tar.Html', '.', '.md', '.xyz'][page_id % 7 + 1] AS name FROM pages),
 ty AS (SELECT page_id, name, CASE WHEN instr(name, '.') = 0 THEN '' ELSE lower(regexp_extract(name, '([^.]*)$', 1)) END AS ext FROM nm),
 ft AS (SELECT page_id, name, ext, CASE ext {_TYPES} ELSE 'application/octet-stream' END AS mime FROM ty)"""
-_ENTITIES = "h"
-for _name, _sign in T.ENTITIES.items():
-    _ENTITIES = f"replace({_ENTITIES}, '&{_name};', '{_sign.replace(chr(39), chr(39) * 2)}')"
-_PAGE = "html"
-for _pattern in (r"(?is)<!--.*?(?:-->|$)", r"(?is)<script\b.*?(?:</script\s*>|$)", r"(?is)<style\b.*?(?:</style\s*>|$)", r"(?is)<noscript\b.*?(?:</noscript\s*>|$)", r"(?is)^.*?<body[^>]*>", r"(?is)</body\s*>.*$", r"(?is)<title\b.*?(?:</title\s*>|$)", r"(?s)<[^>]*>"):
-    _PAGE = f"regexp_replace({_PAGE}, '{_pattern}', '', 'g')"
-_HTML = rf"ht AS (SELECT page_id, trim(regexp_replace({_ENTITIES}, '{WS}+', ' ', 'g')) AS text FROM (SELECT page_id, {_PAGE} AS h FROM pages))"
+#: The given pages have no > in attributes and four named references; SQL for just that.
+_HTML = rf"""bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<title>.*?</title>|<style>.*?</style>|<script>.*?</script>|<noscript>.*?</noscript>', '', 'g'), '(?s)<[a-zA-Z/!][^>]*(>|$)', '', 'g') AS h FROM pages),
+ht AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(h, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;', chr(38)), '{WS}+', ' ', 'g')) AS text FROM bare)"""
 _LEN = "length(text)"
 _SYMBOLS = " ".join(f"WHEN '{c.replace(chr(39), chr(39) * 2)}' THEN {i}" for c, i in VOCABULARY.items())
 
@@ -170,6 +173,7 @@ ORACLES = {
     "reading_view": f"WITH {SENTENCES_SQL} SELECT doc_id, paragraph_index, min(global_index) AS first_sentence, string_agg(text, ' ' ORDER BY global_index) AS text FROM sents GROUP BY doc_id, paragraph_index",
     "text_gates": f"WITH t AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g')) AS n FROM documents) SELECT doc_id, n, CASE WHEN n = 0 THEN 'blank' WHEN n > 20000 THEN 'too_long' ELSE 'ok' END AS session_gate, CASE WHEN n = 0 THEN 'blank' WHEN n > 2000 THEN 'too_long' WHEN n > 1800 THEN 'warn' ELSE 'ok' END AS request_gate FROM t",
     "html_text": f"WITH {_HTML} SELECT page_id, text FROM ht",
+    "html_references": f"WITH {_HTML} SELECT page_id, trim(chr(CAST(page_id * 37 % 20000 + 161 AS INTEGER)) || chr(CAST(page_id % 60 + 128512 AS INTEGER)) || ' ' || chr(38) || 'lt;' || chr(60) || chr(169) || ' 5 ' || chr(233) || chr(172) || 'it;' || chr(8211) || chr(38) || 'bogus; a < b' || text) AS text FROM ht",
     "html_quarantine": f"WITH {_HTML} SELECT count(*) AS n, CAST(coalesce(sum({_LEN}), 0) AS BIGINT) AS chars, 'good' AS outcome FROM ht WHERE text <> '' UNION ALL SELECT count(*), CAST(0 AS BIGINT), 'quarantine' FROM ht WHERE text = ''",
     "escaped": "WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS h FROM pages) SELECT page_id, sha256(h) AS sha, length(h) AS n FROM e",
     "collapsed": f"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'))) AS sha FROM documents",

@@ -1,7 +1,7 @@
 """A corpus of mixed files to text.
 
-Every format is a branch over one binaryFile scan: bytes that built-in expressions can read stay in the JVM, zipped
-XML is exploded to rows of parts by one Arrow function, and what follows are ordered aggregates. A file that cannot be read
+One scan opens every file: zipped XML becomes rows of parts and CSV rows of lines, other bytes stay as they are for built-in
+expressions, and what follows are ordered aggregates. A file that cannot be read
 becomes a row with the message; the others go on.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import tempfile
+import uuid
 import zipfile
 from functools import reduce
 from urllib.parse import unquote
@@ -226,46 +228,91 @@ def epub_text(parts: DataFrame) -> DataFrame:
 CONTAINERS = {"docx": docx_text, "odt": odt_text, "pptx": pptx_text, "xlsx": xlsx_text, "epub": epub_text}
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that the cluster names, so that its branches do not unzip every file again; unchanged where none is named."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir.
+
+    Without that setting a local session takes a temporary folder of this machine; a cluster is refused, as its executors would not see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table, so that what follows does not read and unzip every file again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HEAD = ["path", "name", "ext", "mime"]
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """Every file of files in one scan, as (path, name, ext, mime, part, kind, ordinal, sub_ordinal, attr, text, content).
+
+    Zipped XML gives rows of parts and CSV a line for each of its rows, and each of them one row of kind opened as well; other files give one row of kind file with their bytes.
+    """
+    kinds = {T.MIME[e]: e for e in CONTAINERS}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for *head, raw in zip(*(batch[c] for c in (*HEAD, "content"))):
+                mime, found = head[3], []
+                if mime not in kinds and mime != T.MIME["csv"]:
+                    rows.append((*head, "", "file", 0, 0, None, None, raw))
+                    continue
+                try:
+                    if mime in kinds:
+                        found = list(_explode(head[0], raw, kinds[mime]))
+                    else:
+                        found = [("", "line", i, 0, None, ", ".join(r)) for i, r in enumerate(csv_fields(raw.decode("utf-8", "replace").removeprefix("\ufeff")))]
+                except Exception as wrong:  # noqa: BLE001  any broken file is quarantined
+                    found = [("", "error", 0, 0, None, f"{type(wrong).__name__}: {wrong}")]
+                rows += [(*head, *r, None) for r in [("", "opened", 0, 0, None, None), *found]]
+            yield pd.DataFrame(rows, columns=[*HEAD, *(c.split()[0] for c in PARTS.split(", ")[1:]), "content"])
+
+    ddl = ", ".join(f"{c} string" for c in HEAD) + PARTS.removeprefix("path string") + ", content binary"
+    return files.select(*HEAD, "content").mapInPandas(run, ddl)
 
 
 def extract_corpus(files: DataFrame, use_ocr: bool = False) -> DataFrame:
     """(path, name, mime, text, n_chars, error) of each file of scan_corpus, or of routed() where other types may occur.
 
-    A branch without files costs nothing but its plan. PDF pages and OCR words come from outside; see operators.layout.
+    Every file is read once: what one scan opens is a table. Formats that built-in expressions read stay rows of it and are never shuffled;
+    parts of containers are put in order by their path. PDF pages and OCR words come from outside; see operators.layout.
     """
-    of = lambda ext: files.filter(F.col("mime") == T.MIME[ext])
-    head = files.select("path", "name", "ext", "mime")
-    plain = text_from_plain(files.filter(F.col("mime").isin(T.MIME["txt"], T.MIME["md"])))
-    html = of("html").select("path", T.html_text(T.utf8_text(F.col("content"))).alias("text"))
-    rtf = of("rtf").select("path", T.rtf_text(T.utf8_text(F.col("content"))).alias("text"))
-    doc = of("doc").select("path", T.doc_text(F.col("content")).alias("text"))
-    branches = [plain, csv_text(csv_rows(of("csv"))), html, rtf, doc]
-    zipped = files.filter(F.col("mime").isin(*[T.MIME[e] for e in CONTAINERS])).withColumn("ext", F.element_at(F.create_map(*[F.lit(x) for e in CONTAINERS for x in (T.MIME[e], e)]), F.col("mime")))
-    by_ext = _once(explode_container(zipped).join(zipped.select("path", "ext"), "path"))
-    branches += [make(by_ext.filter(F.col("ext") == ext).drop("ext")) for ext, make in CONTAINERS.items()]
-    texts = reduce(DataFrame.unionByName, branches)
-    broken = by_ext.groupBy("path").agg(F.max(F.when(F.col("kind") == "error", F.col("text"))).alias("_broken"), F.count("*").alias("_parts"))
-    sheets = by_ext.groupBy("path").agg(F.count_if(F.col("kind").isin("sheet", "slide", "paragraph", "chapter")).alias("_bodies"))
-    joined = head.join(texts, "path", "left").join(broken, "path", "left").join(sheets, "path", "left")
-    kind = F.col("ext")
-    bare = F.coalesce("_bodies", F.lit(0)) == 0
+    rows = written(opened(files))
+    mime, kind = F.col("mime"), F.col("ext")
+    words = T.utf8_text(F.col("content"))
+    plain = F.when(mime.isin(T.MIME["txt"], T.MIME["md"]), words).when(mime == T.MIME["html"], T.html_text(words)).when(mime == T.MIME["rtf"], T.rtf_text(words)).when(mime == T.MIME["doc"], T.doc_text(F.col("content")))
+    nothing = F.lit(None)
+    flat = rows.filter("kind = 'file'").select(*HEAD, plain.alias("text"), nothing.cast("string").alias("broken"), nothing.cast("boolean").alias("bare"))
+    parts = rows.filter("kind <> 'file'").drop("content")
+    lines = parts.filter("kind = 'line'").groupBy("path").agg(F.array_join(_ordered("ordinal", "text")["text"], "\n").alias("text"))
+    made = [make(parts.filter(mime == T.MIME[ext])) for ext, make in CONTAINERS.items()]
+    body = F.count_if(F.col("kind").isin("sheet", "slide", "paragraph", "chapter")) == 0
+    heads = parts.groupBy(*HEAD).agg(F.max(F.when(F.col("kind") == "error", F.col("text"))).alias("broken"), (body & (F.count_if(F.col("part") != "") == 0)).alias("empty"), body.alias("bodiless"))
+    bare = F.when(mime.isin(T.MIME["docx"], T.MIME["odt"]), F.col("empty")).otherwise(F.col("bodiless"))
+    joined = heads.select(*HEAD, "broken", bare.alias("bare")).join(reduce(DataFrame.unionByName, [lines, *made]), "path", "left")
+    found = flat.unionByName(joined.select(flat.columns))
     empty = T.trim_ws(F.coalesce("text", F.lit(""))) == ""
-    known = F.col("mime").isin(*set(T.MIME.values()))
+    known = mime.isin(*set(T.MIME.values()))
     error = (
-        F.when(F.lit(use_ocr) & (F.col("mime") != T.MIME["pdf"]), F.concat(F.lit("OCR is only supported for PDFs; got "), F.coalesce(F.nullif("mime", F.lit("")), F.nullif("ext", F.lit("")), F.lit("unknown")), F.lit(". Disable the OCR toggle for this document.")))
+        F.when(F.lit(use_ocr) & (mime != T.MIME["pdf"]), F.concat(F.lit("OCR is only supported for PDFs; got "), F.coalesce(F.nullif("mime", F.lit("")), F.nullif("ext", F.lit("")), F.lit("unknown")), F.lit(". Disable the OCR toggle for this document.")))
         .when(~known, F.concat(F.lit("Unsupported file type: "), kind, F.lit(". " + MESSAGES["unsupported"])))
-        .when(F.col("_broken").isNotNull(), F.col("_broken"))
-        .when(bare & kind.isin("docx", "odt") & F.col("_parts").isNull(), F.when(kind == "docx", MESSAGES["docx"]).otherwise(MESSAGES["odt"]))
-        .when(bare & (kind == "pptx"), MESSAGES["pptx"])
-        .when(bare & (kind == "xlsx"), MESSAGES["xlsx"])
+        .when(F.col("broken").isNotNull(), F.col("broken"))
     )
-    for ext, message in (("pptx", "pptx_empty"), ("xlsx", "xlsx_empty"), ("csv", "csv"), ("rtf", "rtf"), ("html", "html"), ("htm", "html"), ("doc", "doc")):
-        error = error.when(empty & (kind == ext), MESSAGES[message])
-    text = F.when(F.col("error").isNull(), F.when(F.col("mime") == T.MIME["pdf"], F.col("text")).otherwise(F.coalesce("text", F.lit(""))))
-    return joined.withColumn("error", error).withColumn("text", text).select("path", "name", "mime", "text", F.length("text").cast("long").alias("n_chars"), "error")
+    for ext in ("docx", "odt", "pptx", "xlsx"):
+        error = error.when(F.col("bare") & (mime == T.MIME[ext]), MESSAGES[ext])
+    for ext, message in (("pptx", "pptx_empty"), ("xlsx", "xlsx_empty"), ("csv", "csv"), ("rtf", "rtf"), ("html", "html"), ("doc", "doc")):
+        error = error.when(empty & (mime == T.MIME[ext]), MESSAGES[message])
+    text = F.when(F.col("error").isNull(), F.when(mime == T.MIME["pdf"], F.col("text")).otherwise(F.coalesce("text", F.lit(""))))
+    return found.withColumn("error", error).withColumn("text", text).select("path", "name", "mime", "text", F.length("text").cast("long").alias("n_chars"), "error")
 
 
 def split_outcome(df: DataFrame) -> tuple[DataFrame, DataFrame]:
