@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import half_up
+from lectern.sources.files import written
 
 STATUSES = ("pending", "generating", "done", "error", "cancelled")
 ACTIVE, TERMINAL = ("pending", "generating"), ("done", "error", "cancelled")
@@ -49,20 +50,23 @@ def build_jobs(requests: DataFrame, models: DataFrame, voices: DataFrame, sessio
     """New jobs from requests (request_no, text, model_id, voice_id, speed, created_at ...) with ids job-1, job-2, ... in request order.
 
     Requests whose model is unknown are left out; enrich_model has them with the error. Dense numbers need one order over all
-    requests, so they come from ranks within ranges of request_no and the sizes of the ranges before.
+    requests, so they come from a range sort and the sizes of the ranges before.
     """
     good = resolve_voice(enrich_model(requests, models, session_model).filter("error is null"), voices)
     numbered = dense_number(good, "request_no")
     return numbered.select(F.concat(F.lit("job-"), F.col("_n")).alias("job_id"), F.col("_n").alias("job_no"), "text", "voice_id", "voice_name", "model_id", "model_name", F.coalesce("speed", F.lit(1.0)).alias("speed"), F.lit("pending").alias("status"), "created_at")
 
 
-def dense_number(df: DataFrame, order: str, name: str = "_n", width: int = 100_000) -> DataFrame:
-    """df with 1, 2, ... by a whole-number column: ranks in blocks of ``width`` values, after the counts of the blocks before."""
-    rows = df.withColumn("_block", F.floor(F.col(order) / width))
-    sizes = rows.groupBy("_block").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    return rows.withColumn("_rank", inner).join(before.drop("_size"), "_block").withColumn(name, F.col("_rank") + F.col("_before")).drop("_block", "_rank", "_before")
+def dense_number(df: DataFrame, order: str, name: str = "_n") -> DataFrame:
+    """df with 1, 2, ... by a column: rows are range-sorted as a table, and a row's number is its place after the partitions before its own.
+
+    What meets in one task is a count for each partition, however sparse the column is. Rows that are equal in it are numbered in any order.
+    """
+    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    placed = written(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    counted = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_low"))
+    begins = counted.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_low") + 1).alias("_begin"))
+    return placed.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_place")).drop("_part", "_place", "_begin")
 
 
 def latest_job_state(events: DataFrame, key: str = "job_id") -> DataFrame:

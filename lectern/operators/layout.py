@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import cmp_to_key
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,30 +30,56 @@ def cap_pages(items: DataFrame, max_pages: int = MAX_PAGES, key: str = "path") -
     return items.filter(F.col("page") <= max_pages), report
 
 
-def _lines(words: pd.DataFrame) -> pd.DataFrame:
-    """Numbers a page's words by line. Reading order is by top where two words are farther apart than the threshold, else by
-    left edge; that order is not transitive, so it is applied by one fixed sort to words in (y0, x0, seq) order."""
-    limit = float(words["page_height"].iloc[0]) * LINE_SHARE
-    rows = sorted(words.to_dict("records"), key=lambda w: (w["y0"], w["x0"], w["seq"]))
-    rows.sort(key=cmp_to_key(lambda a, b: a["y0"] - b["y0"] if abs(a["y0"] - b["y0"]) > limit else a["x0"] - b["x0"]))
+def page_line_ids(y0: list, x0: list, y1: list, limit: float) -> list[int]:
+    """The line of each of a page's words, which come in (y0, x0, seq) order.
+
+    Reading order is by top where two words are farther apart than the limit, else by left edge; that order is not transitive, so it is applied by
+    one fixed sort. A word joins the first line that is near its centre; a line is where its first word's centre is, and rises to the top of what joins it.
+    """
+    order = sorted(range(len(y0)), key=cmp_to_key(lambda a, b: y0[a] - y0[b] if abs(y0[a] - y0[b]) > limit else x0[a] - x0[b]))
     tops: list[float] = []
-    for w in rows:
-        centre = (w["y0"] + w["y1"]) / 2
-        w["line_id"] = next((i for i, y in enumerate(tops) if abs(y - centre) <= limit), len(tops))
-        if w["line_id"] == len(tops):
-            tops.append(centre)
+    out = [0] * len(y0)
+    for i in order:
+        centre = (y0[i] + y1[i]) / 2
+        for k, top in enumerate(tops):
+            if abs(top - centre) <= limit:
+                tops[k] = min(top, y0[i])
+                break
         else:
-            tops[w["line_id"]] = min(tops[w["line_id"]], w["y0"])
-    return pd.DataFrame(rows)[["doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "line_id"]]
+            k = len(tops)
+            tops.append(centre)
+        out[i] = k
+    return out
+
+
+def _numbered(batches):
+    """Line ids for rows that are sorted by page, many pages a batch; the last page of a batch waits for its rest."""
+    names = ["doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1"]
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        changed = (rows["doc_id"].ne(rows["doc_id"].shift()) | rows["page"].ne(rows["page"].shift())).to_numpy()
+        starts = np.flatnonzero(changed).tolist()
+        end = len(rows) if batch is None else starts[-1]
+        held = rows.iloc[end:].reset_index(drop=True)
+        y0, x0, y1, limit = (rows[c].to_numpy() for c in ("y0", "x0", "y1", "page_height"))
+        ids: list[int] = []
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            if a < end:
+                ids += page_line_ids(y0[a:b].tolist(), x0[a:b].tolist(), y1[a:b].tolist(), float(limit[a]) * LINE_SHARE)
+        yield rows.iloc[:end][names].assign(line_id=np.array(ids, np.int32))
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:
     """words (doc_id, page, page_height, seq, text, bbox) with a line_id: each word joins the first line that is near its centre.
 
-    The fold depends on order, so a page, which is small, is one group.
+    The fold depends on order, so a page, which is small, is one group; pages are sorted by Spark and folded many at a time.
     """
     flat = words.select("doc_id", "page", "page_height", "seq", "text", *[F.col(f"bbox.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return flat.groupBy("doc_id", "page").applyInPandas(_lines, "doc_id string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, line_id int")
+    dealt = flat.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "y0", "x0", "seq")
+    return dealt.mapInPandas(_numbered, "doc_id string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, line_id int")
 
 
 def line_blocks(grouped: DataFrame, scale: float = RENDER) -> DataFrame:

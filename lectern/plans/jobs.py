@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import catalog
@@ -45,9 +48,9 @@ def newest_jobs(spark, sf_dir):
 
 
 def next_jobs(spark, sf_dir):
-    """The next job for each of two loaded models; for one at most there is one."""
+    """The next job for each model that may be loaded; for one at most there is one."""
     jobs = _jobs(spark, sf_dir)
-    return O.next_job(jobs, "kokoro-82m").unionByName(O.next_job(jobs, "speecht5")).select("job_id", "model_id")
+    return reduce(DataFrame.unionByName, [O.next_job(jobs, m) for m in _IDS]).select("job_id", "model_id")
 
 
 def drain(spark, sf_dir):
@@ -133,16 +136,17 @@ def session_lines(spark, sf_dir):
 
 
 def changed_jobs(spark, sf_dir):
-    """Jobs before and after half of the events' time."""
+    """Jobs after half of the events' time against jobs after all of it."""
     log = job_events(spark, sf_dir)
-    old = O.latest_job_state(log.filter("seq % 3 <> 0")).select("job_id", "status")
-    new = O.latest_job_state(log.filter("seq % 7 <> 0")).select("job_id", "status")
+    half = log.agg(F.floor((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).alias("half"))
+    old = O.latest_job_state(log.join(F.broadcast(half), F.unix_micros("ts") <= F.col("half")).drop("half")).select("job_id", "status")
+    new = O.latest_job_state(log).select("job_id", "status")
     return O.snapshot_diff(old, new, "job_id")
 
 
 def correlated(spark, sf_dir):
     log = job_events(spark, sf_dir)
-    requests = log.filter("seq % 2 = 0").select(F.col("seq").alias("id"))
+    requests = log.select(F.col("seq").alias("id"))
     responses = log.select((F.col("seq") - F.col("seq") % 4).alias("id"), "seq", F.when(F.col("status") == "error", "error").when(F.col("status") == "generating", "progress").otherwise("result").alias("type"), F.concat(F.lit("m"), "seq").alias("message"))
     return O.correlate(requests, responses)
 
@@ -155,7 +159,7 @@ ORACLES = {
     "latest_states": f"WITH {_JOBS} SELECT job_id, seq, status, value FROM la",
     "queue_counts": f"WITH {_JOBS}, c AS (SELECT model_id, count(*) FILTER (status IN ('pending', 'generating')) AS active, count(*) FILTER (status = 'generating') AS running, count(*) FILTER (status IN ('done', 'error', 'cancelled')) AS finished FROM jo GROUP BY model_id) SELECT *, CASE WHEN active = 0 THEN '' WHEN running > 0 THEN running || ' running · ' || active || ' in queue' ELSE active || ' in queue' END AS label FROM c",
     "newest_jobs": f"WITH {_JOBS} SELECT job_id, model_id, status FROM jo",
-    "next_jobs": f"WITH {_JOBS}, p AS (SELECT * FROM jo WHERE status = 'pending' ORDER BY created_at DESC, job_id DESC LIMIT 1) SELECT job_id, model_id FROM p WHERE model_id IN ('kokoro-82m', 'speecht5')",
+    "next_jobs": f"WITH {_JOBS}, p AS (SELECT * FROM jo WHERE status = 'pending' ORDER BY created_at DESC, job_id DESC LIMIT 1) SELECT job_id, model_id FROM p",
     "drain": f"WITH {_JOBS} SELECT job_id, model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, job_id DESC) AS INTEGER) AS run_order FROM jo WHERE status = 'pending'",
     "switched": f"WITH {_JOBS}, s AS (SELECT *, status = 'pending' AND model_id <> 'speecht5' AS hit FROM jo) SELECT job_id, CASE WHEN hit THEN 'cancelled' ELSE status END AS status, CASE WHEN hit THEN 'Model changed before generation started' END AS error, CASE WHEN hit THEN {_NOW_MS} ELSE {_MS} END AS completed_ms FROM s",
     "cancelled": f"WITH {_JOBS}, s AS (SELECT *, status IN ('pending', 'generating') AND job_id IN (SELECT job_id FROM ev WHERE value > 50) AS hit FROM jo) SELECT job_id, CASE WHEN hit THEN 'cancelled' ELSE status END AS status, CASE WHEN hit THEN {_NOW_MS} ELSE {_MS} END AS completed_ms FROM s",
@@ -172,6 +176,6 @@ ORACLES = {
     "jobs_of_sessions": f"WITH {TURNS_SQL} SELECT session_id, chunk_index FROM tu WHERE session_id IN (SELECT session_id FROM tu WHERE chunk_index = 0 AND ready)",
     "stopped": f"WITH {TURNS_SQL} SELECT session_id, chunk_index, CASE WHEN ready THEN 'done' WHEN session_id = 7 THEN 'cancelled' ELSE 'pending' END AS status, CASE WHEN NOT ready AND session_id = 7 THEN {_NOW_MS} END AS completed_ms FROM tu",
     "session_lines": f"WITH {TURNS_SQL}, s AS (SELECT session_id, count(*) AS total, least(count(*) FILTER (ready), count(*) - 1) AS cur, coalesce(min(chunk_index) FILTER (NOT ready), max(chunk_index) + 1) - 1 AS b FROM tu GROUP BY session_id) SELECT session_id, (cur + 1) || '/' || total || CASE WHEN total > 1 AND b >= 0 THEN ' · buffered ' || (b + 1) || '/' || total ELSE '' END AS progress FROM s",
-    "changed_jobs": f"WITH {EVENTS_SQL}, a AS (SELECT job_id, status FROM ev WHERE seq % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1), b AS (SELECT job_id, status FROM ev WHERE seq % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1) SELECT coalesce(a.job_id, b.job_id) AS job_id, CASE WHEN a.job_id IS NULL THEN 'added' WHEN b.job_id IS NULL THEN 'removed' WHEN a.status = b.status THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.job_id = b.job_id",
-    "correlated": f"WITH {EVENTS_SQL}, rs AS (SELECT seq - seq % 4 AS id, seq, CASE status WHEN 'error' THEN 'error' WHEN 'generating' THEN 'progress' ELSE 'result' END AS type FROM ev), f AS (SELECT id, arg_min(type, seq) AS type, min(seq) AS seq FROM rs WHERE type <> 'progress' GROUP BY id) SELECT e.seq AS id, CASE WHEN f.type = 'result' THEN 'resolved' ELSE 'rejected' END AS outcome, CASE WHEN f.type IS NULL THEN 'Inference worker error' WHEN f.type = 'error' THEN 'm' || f.seq END AS message FROM ev e LEFT JOIN f ON f.id = e.seq WHERE e.seq % 2 = 0",
+    "changed_jobs": f"WITH {EVENTS_SQL}, h AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS half FROM ev), a AS (SELECT job_id, status FROM ev WHERE epoch_us(ts) <= (SELECT half FROM h) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1), b AS (SELECT job_id, status FROM ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1) SELECT coalesce(a.job_id, b.job_id) AS job_id, CASE WHEN a.job_id IS NULL THEN 'added' WHEN b.job_id IS NULL THEN 'removed' WHEN a.status = b.status THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.job_id = b.job_id",
+    "correlated": f"WITH {EVENTS_SQL}, rs AS (SELECT seq - seq % 4 AS id, seq, CASE status WHEN 'error' THEN 'error' WHEN 'generating' THEN 'progress' ELSE 'result' END AS type FROM ev), f AS (SELECT id, arg_min(type, seq) AS type, min(seq) AS seq FROM rs WHERE type <> 'progress' GROUP BY id) SELECT e.seq AS id, CASE WHEN f.type = 'result' THEN 'resolved' ELSE 'rejected' END AS outcome, CASE WHEN f.type IS NULL THEN 'Inference worker error' WHEN f.type = 'error' THEN 'm' || f.seq END AS message FROM ev e LEFT JOIN f ON f.id = e.seq",
 }

@@ -27,14 +27,15 @@ def stream_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 def stream_corpus(spark: SparkSession, path: str, good: str, quarantine: str, checkpoint: str, max_files: int = 1000):
-    """Extracts every new file once and appends texts and failures to two tables, per batch. Returns the query; it stops when nothing is left."""
+    """Extracts every new file once; texts and failures go to two tables with a partition for each batch. Returns the query; it stops when nothing is left.
 
-    def write(batch: DataFrame, _: int) -> None:
-        held = batch.persist()
-        texts, failed = sources.split_outcome(sources.extract_corpus(held))
-        texts.write.mode("append").parquet(good)
-        failed.write.mode("append").parquet(quarantine)
-        held.unpersist()
+    A batch that is tried again after a failure overwrites its own partitions, so no row is doubled.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        texts, failed = sources.split_outcome(sources.written(sources.extract_corpus(batch)))
+        texts.write.mode("overwrite").parquet(f"{good.rstrip('/')}/batch={number}")
+        failed.write.mode("overwrite").parquet(f"{quarantine.rstrip('/')}/batch={number}")
 
     return stream_files(spark, path, max_files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

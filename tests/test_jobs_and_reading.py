@@ -111,7 +111,7 @@ def test_word_lines_of_all_pages(spark, tmp_path):
                 tops[near[0]] = min(tops[near[0]], top)
             else:
                 tops.append(top + 3)
-        expected[str(page % 97), page] = (len(tops), len(words))
+        expected[str(page // 1000), page] = (len(tops), len(words))
     got = layout_plans.word_lines(spark, str(tmp_path)).collect()
     assert {(g.doc_id, g.page): (g.lines, g.words) for g in got} == expected and len(got) == 40
 
@@ -122,3 +122,41 @@ def test_lines_of_items(spark):
     assert layout.assemble_document(lines).first().text == "a b\n\nc\n\nd"
     kept, report = layout.cap_pages(df, 1)
     assert kept.count() == 4 and report.first().truncated
+
+
+def plain_lines(words):
+    """The fold in its plain form: each word in reading order joins the first line near its centre, or begins one."""
+    import functools
+
+    limit = words[0]["h"] * 0.025
+    rows = sorted(words, key=lambda w: (w["y0"], w["x0"], w["seq"]))
+    rows = sorted(rows, key=functools.cmp_to_key(lambda a, b: a["y0"] - b["y0"] if abs(a["y0"] - b["y0"]) > limit else a["x0"] - b["x0"]))
+    tops, out = [], {}
+    for w in rows:
+        centre = (w["y0"] + w["y1"]) / 2
+        near = [k for k in range(len(tops)) if abs(tops[k] - centre) <= limit]
+        if near:
+            tops[near[0]] = min(tops[near[0]], w["y0"])
+        else:
+            tops.append(centre)
+        out[w["seq"]] = near[0] if near else len(tops) - 1
+    return out
+
+
+def test_words_to_lines_is_the_plain_fold(spark):
+    r = random.Random(4)
+    pages = {(f"d{d}", p): [{"seq": k, "h": 600.0, "y0": (y := r.uniform(0, 200)), "y1": y + r.uniform(2, 12), "x0": r.choice([1.0, r.uniform(0, 400)])} for k in range(r.randint(1, 60))] for d in range(6) for p in range(5)}
+    rows = [(d, p, w["h"], w["seq"], "t", (w["x0"], w["y0"], w["x0"] + 5, w["y1"])) for (d, p), ws in pages.items() for w in ws]
+    df = spark.createDataFrame(rows, "doc_id string, page int, page_height double, seq int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)  # so that pages span batches
+    try:
+        got = {(x.doc_id, x.page, x.seq): x.line_id for x in layout.words_to_lines(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(d, p, seq): line for (d, p), ws in pages.items() for seq, line in plain_lines(ws).items()}
+
+
+def test_dense_number(spark):
+    values = [5, 10**12, -3, 0, 7 * 10**9] + list(range(100, 160))
+    rows = jobs.dense_number(spark.createDataFrame([(v,) for v in values], "v long").repartition(4), "v").collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r._n)] == sorted(values) and sorted(r._n for r in rows) == list(range(1, len(values) + 1))
