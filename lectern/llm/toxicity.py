@@ -90,7 +90,7 @@ class Model:
 
     def tokens(self, text: str) -> np.ndarray:
         known, out = self.known, []
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for word in WORD.findall(text.lower()):
             score = known.get(word)
