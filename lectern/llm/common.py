@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 
@@ -79,6 +82,39 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+_kept: dict = {"key": None, "value": None}
+
+
+def kept(key, make=None):
+    """What a Python worker keeps from task to task for one operator; that of another operator is let go first."""
+    if _kept["key"] != key:
+        _kept.update(key=key, value=None)
+        trim()
+        _kept["value"] = make() if make else None
+    return _kept["value"]
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the machine: workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run, key: str):
+    """run for mapInArrow, in a worker that keeps nothing of other operators and gives free memory back when the task ends."""
+
+    def task(batches):
+        kept(key)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def chunks(rows, schema: pa.Schema, size: int = 2048):
     """Record batches of at most size rows from an iterator of tuples."""
     held: list = []

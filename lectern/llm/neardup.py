@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import chunks, saved, small, without
+from lectern.llm.common import chunks, lean, saved, small, without
 from lectern.llm.graph import components
 
 WORDS = 5
@@ -152,7 +152,7 @@ def _sign(trees: int):
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
     """(uid, doc_id, digest, n_shingles, key1, key2, roots, sig) of each row as a written table; digest is the text's, and the keys are 128 bits of the set's, null for the empty one."""
     rows = docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.sha2(F.col(text_col), 256), F.col(text_col))
-    return saved(rows.mapInArrow(_sign(trees), "uid long, doc_id long, digest string, n_shingles long, key1 long, key2 long, roots array<long>, sig binary"))
+    return saved(rows.mapInArrow(lean(_sign(trees), "near"), "uid long, doc_id long, digest string, n_shingles long, key1 long, key2 long, roots array<long>, sig binary"))
 
 
 def leaves(reps: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -314,7 +314,7 @@ def _confirmed(batches):
 
 def _grouped(df: DataFrame, key: str, run) -> DataFrame:
     """run over df with the rows of a key together; groups are of bounded size, and a task has many."""
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long")
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(lean(run, "near"), "a long, b long")
 
 
 def _in_blocks(units: DataFrame, block: int) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lectern.llm.common import chunks, saved
+from lectern.llm.common import chunks, kept, saved, trim
 
 LENGTH = 2048
 #: Pieces and gaps that a slot sweeps at most.
@@ -85,11 +84,6 @@ class Words:
         return ids, total[bounds - bounds[0]]
 
 
-@lru_cache(maxsize=2)
-def words_at(path: str) -> Words:
-    return Words(path)
-
-
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -110,7 +104,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id"
     """
 
     def run(batches):
-        words = words_at(path)
+        words = kept(("words", path), lambda: Words(path))
 
         def rows():
             for batch in batches:
@@ -127,6 +121,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id"
                             yield doc_id, piece, at - first, until - at, zlib.crc32(raw[4 * at : 4 * until])
 
         yield from chunks(rows(), PIECES, 8192)
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import chunks, saved, small, unwrapped, wrapped
+from lectern.llm.common import chunks, lean, saved, small, unwrapped, wrapped
 
 #: A value counts as a widely copied example from so many owners; or, with more than one owner, from so many repositories.
 COPIED_OWNERS, COPIED_REPOS = 3, 6
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.coalesce(F.col(repo_col).cast("string"), F.lit("")),
         F.col(text_col),
     )
-    return saved(rows.mapInArrow(_scan, SCANNED_DDL))
+    return saved(rows.mapInArrow(lean(_scan, "secrets"), SCANNED_DDL))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

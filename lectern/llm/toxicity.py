@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import chunks
+from lectern.llm.common import chunks, lean
 
 #: Labelled documents that a fit uses at most (in expectation: they are taken by a hash of the id).
 MAX_LABELLED = 30_000
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col: s
     side = lambda k, p: F.when(k > 0, k * F.log(k / (n * F.lit(p)))).otherwise(0.0)
     counted = (
         part.select("text", "toxic")
-        .mapInArrow(_counts, "unit string, toxic int, n long")
+        .mapInArrow(lean(_counts, "toxicity"), "unit string, toxic int, n long")
         .groupBy("unit")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
         .filter(n >= MIN_DOCS)
@@ -209,7 +209,7 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
 
         yield from chunks(rows(), SEEN, 512)
 
-    seen = texts.mapInArrow(look, "toxic int, n long, best double, bins array<long>")
+    seen = texts.mapInArrow(lean(look, "toxicity"), "toxic int, n long, best double, bins array<long>")
     rows = [(r.toxic, r.n, r.best, r.bins) for r in seen.collect()]
     counts = sum((np.array(r[3], float) for r in rows if r[0] is None), np.zeros(_BINS))
     rows = [r for r in rows if r[0] is not None]
@@ -234,7 +234,7 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
 
         yield from chunks(rows(), WEIGHED, 2048)
 
-    weighed = texts.mapInArrow(weigh, "toxic int, best double, all double").collect()
+    weighed = texts.mapInArrow(lean(weigh, "toxicity"), "toxic int, best double, all double").collect()
     x = np.array([[1.0, r.best, math.log1p(r["all"])] for r in weighed])
     y = np.array([r.toxic for r in weighed], float)
     w = np.zeros(3)
@@ -278,7 +278,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         yield from chunks(rows(), SCORED)
 
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return docs.select(F.col(id_col).cast("long"), held_out, F.col(text_col)).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_segments long, segments string")
+    return docs.select(F.col(id_col).cast("long"), held_out, F.col(text_col)).mapInArrow(lean(run, "toxicity"), "doc_id long, held_out boolean, score double, predicted int, n_segments long, segments string")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -293,4 +293,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: fl
                 keep.append(model.score(model.evidence(segments(x), len(x))) < reject)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run, "toxicity"), docs.schema)
