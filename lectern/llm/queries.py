@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, line_dedup, neardup, packing, pages, pii, secrets, tiff, toxicity
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, codes, exact_dedup, line_dedup, mixing, neardup, negatives, packing, pages, pii, secrets, tiff, toxicity
 from lectern.llm.common import table
 
 
@@ -54,6 +56,20 @@ def op10_best_region(spark, sf_dir):
     return pages.main_text(rows, pages.fit(rows))
 
 
+def op11_cube_mixing(spark, sf_dir):
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents", "doc_id"))
+
+
+def op12_tree_negatives(spark, sf_dir):
+    """Labels of ids divisible by 7 are one further, which makes some of them wrong."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.integer_points(table(spark, sf_dir, "embeddings", "vec_id").withColumn("label", shifted)))
+
+
+def op13_cover_tree_codes(spark, sf_dir):
+    return codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id"))
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_secret_ownership": op2_secret_ownership,
@@ -65,10 +81,15 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_best_region": op10_best_region,
+    "op11_cube_mixing": op11_cube_mixing,
+    "op12_tree_negatives": op12_tree_negatives,
+    "op13_cover_tree_codes": op13_cover_tree_codes,
 }
 
 ORACLES = {
     "op4_chosen_path": neardup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_similar_lines": line_dedup.ORACLE,
+    "op12_tree_negatives": negatives.ORACLE,
+    "op13_cover_tree_codes": codes.ORACLE,
 }
