@@ -43,6 +43,23 @@ def locate_word(targets: DataFrame, sentences: DataFrame, keys: tuple = ("doc_id
     return targets.join(ranged, list(keys)).filter("word >= _start and word < _end").withColumn("word_index", F.col("word") - F.col("_start")).drop("_start", "_end")
 
 
+def chunk_words(sentences: DataFrame, keys: tuple = ("doc_id", "chunk_index")) -> DataFrame:
+    """(keys, n_words, ranges): every chunk's sentences (keys, global_index, n_words) in one row, each with the words of the chunk before it.
+
+    Ranges are array<struct<global_index, first_word, n_words>> in order. A chunk is of bounded size, so its row is, too; tables of them join with streams.
+    """
+    rows = sentences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("global_index", "n_words"))).alias("s"))
+    before = lambda i: F.aggregate(F.slice("s", 1, i), F.lit(0), lambda n, x: (n + x["n_words"]).cast("int"))
+    ranges = F.transform("s", lambda x, i: F.struct(x["global_index"].alias("global_index"), before(i).alias("first_word"), x["n_words"].cast("int").alias("n_words")))
+    return rows.select(*keys, before(F.size("s")).alias("n_words"), ranges.alias("ranges"))
+
+
+def word_range(ranges: Column, word: Column) -> Column:
+    """The range of chunk_words that holds a word of the chunk; null if none does."""
+    holds = F.filter(ranges, lambda r: (r["first_word"] <= word) & (word < r["first_word"] + r["n_words"]))
+    return F.get(holds, F.lit(0))
+
+
 def highlights(positions: DataFrame, chunks: DataFrame, sentences: DataFrame, keys: tuple = ("doc_id", "chunk_index")) -> DataFrame:
     """(position's columns, sentence_index, word_index) for positions (keys, ts, time, duration); none where there is no duration, chunk or word.
 

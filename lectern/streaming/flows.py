@@ -5,19 +5,17 @@ Stateful flows need the RocksDB state store (``STATE_STORE``), whose state spill
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators import reading
 from lectern.sources import files as sources
+from lectern.streaming import state
+from lectern.streaming.delivery import DeliveryLog, Sink
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
-ACTIVE, TERMINAL = ("pending", "generating"), ("done", "error", "cancelled")
 
 
 def stream_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -40,103 +38,66 @@ def stream_corpus(spark: SparkSession, path: str, good: str, quarantine: str, ch
     return stream_files(spark, path, max_files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class JobStates(StatefulProcessor):
-    """The last state of a job. Events are applied by time and sequence; a finished job stays as it is, and only a pending or generating one can be cancelled."""
+def _micros(interval: str) -> int:
+    """An interval such as 10 minutes in microseconds."""
+    return int(pd.Timedelta(interval).value // 1000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, error string, started_at timestamp, completed_at timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        status, error, started, completed = self.state.get() if self.state.exists() else (None, None, None, None)
-        changed = False
-        for e in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples():
-            if status in TERMINAL or (status is None and e.event != "pending"):
-                continue  # late, or for a job that is not known
-            if e.event == "pending" and status is not None:
-                continue
-            changed, status = True, e.event
-            started = e.ts if e.event == "generating" else started
-            if e.event in TERMINAL:
-                completed, error = e.ts, e.message if e.event == "error" else None
-        if changed:
-            clean = tuple(None if x is None or x is pd.NaT else x for x in (status, error, started, completed))
-            self.state.update(clean)
-            yield pd.DataFrame([(key[0], *clean)], columns=["job_id", "status", "error", "started_at", "completed_at"])
+def _timed(events: DataFrame, at: str, delay: str) -> DataFrame:
+    """events with their time in microseconds as us, and a watermark on it."""
+    return events.withColumn("us", F.unix_micros(at)).withWatermark(at, delay)
 
-    def close(self) -> None:
-        pass
 
+def job_state_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Updates (job_id, status, error, started_at, completed_at) from events (job_id, ts, seq, event, message).
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """Updates (job_id, status, error, started_at, completed_at) from events (job_id, ts, seq, event, message)."""
-    from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+    Events may be late by ``delay``. A finished job stays finished for ``keep`` after it ended; then its state goes.
+    """
+    schema = "job_id string, status string, error string, started_us long, completed_us long"
+    rows = _timed(events, "ts", delay).groupBy("job_id")
+    found = rows.transformWithStateInPandas(state.JobStates(_micros(keep)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    at = lambda c: F.timestamp_micros(c).alias(c.replace("_us", "_at"))
+    return found.select("job_id", "status", "error", at("started_us"), at("completed_us"))
 
-    schema = StructType([StructField("job_id", StringType()), StructField("status", StringType()), StructField("error", StringType()), StructField("started_at", TimestampType()), StructField("completed_at", TimestampType())])
-    return events.groupBy("job_id").transformWithStateInPandas(JobStates(), outputStructType=schema, outputMode="Update", timeMode="None")
 
+def session_state_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Updates of each session (state.SessionStates.NAMES) from events (session_id, ts, seq, event, n, message); states go ``keep`` after the last event."""
+    schema = "session_id string, status string, current_index int, buffered_index int, total_chunks int, needs_gesture boolean, error string"
+    rows = _timed(events, "ts", delay).groupBy("session_id")
+    return rows.transformWithStateInPandas(state.SessionStates(_micros(keep)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
-class SessionStates(StatefulProcessor):
-    """A reading session: idle, playing, paused, finished or error, its current chunk and how far it is buffered.
 
-    Events are start, pause, resume, stop, chunk_ready (n the chunk), chunk_ended, blocked (no gesture yet), failed. Chunks may become ready
-    in any order; the buffered index is the end of the unbroken run from 0, and is reset by start and stop.
-    """
+#: A worker's requests are dealt by id to so many keys; its failures go to all of them.
+SHARDS = 16
+
+
+def correlate_stream(
+    requests: DataFrame, responses: DataFrame, failures: DataFrame | None = None, timeout: str = "10 minutes", delay: str = "1 minute", shards: int = SHARDS
+) -> DataFrame:
+    """(worker, id, requested_at, outcome, message) of each request, once: resolved, or rejected by an error answer, by a failure of its worker, or timed out.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, current int, buffered int, total int, needs_gesture boolean, error string")
-        self.ready = handle.getMapState("ready", "n int", "is boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        status, current, buffered, total, gesture, error = self.state.get() if self.state.exists() else ("idle", 0, -1, 0, False, None)
-        for e in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples():
-            n = -1 if pd.isna(e.n) else int(e.n)
-            if e.event == "start":
-                total = n
-                status, current, buffered, gesture, error = ("finished" if n <= 0 else "playing"), 0, -1, False, None
-            elif e.event == "chunk_ready":
-                self.ready.updateValue((n,), (True,))
-            elif e.event == "pause" and status == "playing":
-                status = "paused"
-            elif e.event == "resume" and status in ("paused", "idle"):
-                status, gesture = "playing", False
-            elif e.event == "blocked":
-                status, gesture = "paused", True
-            elif e.event == "failed":
-                status, error = "error", e.message
-            elif e.event == "chunk_ended" and status == "playing":
-                current += 1
-                status = "finished" if current >= total else status
-            elif e.event == "stop":
-                status, current, buffered = "idle", 0, -1
-            if e.event in ("start", "chunk_ready"):
-                while buffered + 1 < total and self.ready.containsKey((buffered + 1,)):
-                    buffered += 1
-        now = (status, current, buffered, total, gesture, error)
-        self.state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["session_id", "status", "current_index", "buffered_index", "total_chunks", "needs_gesture", "error"])
-
-    def close(self) -> None:
-        pass
-
-
-def session_state_stream(events: DataFrame) -> DataFrame:
-    """Updates of each session from events (session_id, ts, seq, event, n, message)."""
-    from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
-
-    schema = StructType([StructField("session_id", StringType()), StructField("status", StringType()), *[StructField(c, IntegerType()) for c in ("current_index", "buffered_index", "total_chunks")], StructField("needs_gesture", BooleanType()), StructField("error", StringType())])
-    return events.groupBy("session_id").transformWithStateInPandas(SessionStates(), outputStructType=schema, outputMode="Update", timeMode="None")
-
-
-def correlate_stream(requests: DataFrame, responses: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """(id, requested_at, outcome, message): final responses within the timeout, and a rejection for each request that has none by then.
-
-    requests (id, requested_at), responses (id, responded_at, type, message). Both watermarks bound the state of the outer join.
+    requests (id, requested_at), responses (id, responded_at, type, message) and failures (failed_at, message) have a column worker where there are
+    several. Ids are whole numbers or strings; rows without one are left out. Progress messages end no request. A request is timed out when the watermark has passed its deadline, which later rows of any of
+    the streams bring about; until then it waits. Answers and requests may be late by ``delay``, and an answer may come in before its request.
     """
-    a = requests.withWatermark("requested_at", timeout)
-    b = responses.filter("type <> 'progress'").select(F.col("id").alias("_id"), "responded_at", "type", "message").withWatermark("responded_at", timeout)
-    near = F.expr(f"id = _id and responded_at >= requested_at and responded_at <= requested_at + interval {timeout}")
-    outcome = F.when(F.col("type") == "error", "rejected").when(F.col("type").isNull(), "rejected").otherwise("resolved")
-    return a.join(b, near, "leftOuter").select("id", "requested_at", outcome.alias("outcome"), F.when(F.col("type").isNull(), "timed out").otherwise(F.col("message")).alias("message"))
+    kind = requests.schema["id"].dataType.simpleString()
+    worker = lambda df: F.col("worker").cast("string") if "worker" in df.columns else F.lit("")
+    none = F.lit(None).cast("string")
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    # An id that is null would turn long ids into doubles on their way to Python; a failure's id is not read.
+    requests, responses = (df.filter("id is not null") for df in (requests, responses))
+    asked = requests.select(worker(requests).alias("worker"), shard.alias("shard"), F.col("requested_at").alias("at"), "id", F.lit(state.REQUEST).alias("kind"), none.alias("type"), none.alias("message"))
+    final = responses.filter("type <> 'progress'")
+    answered = final.select(worker(final).alias("worker"), shard.alias("shard"), F.col("responded_at").alias("at"), "id", F.lit(state.RESPONSE).alias("kind"), "type", "message")
+    all_rows = asked.unionByName(answered)
+    if failures is not None:
+        each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        failed = failures.select(worker(failures).alias("worker"), each, F.col("failed_at").alias("at"), F.lit("0").cast(kind).alias("id"), F.lit(state.FAILURE).alias("kind"), none.alias("type"), "message")
+        all_rows = all_rows.unionByName(failed)
+    schema = f"worker string, id {kind}, requested_us long, outcome string, message string"
+    rows = _timed(all_rows, "at", delay).groupBy("worker", "shard")
+    found = rows.transformWithStateInPandas(state.PendingRequests(_micros(timeout), kind), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return found.select("worker", "id", F.timestamp_micros("requested_us").alias("requested_at"), "outcome", "message")
 
 
 def progress_stream(responses: DataFrame) -> DataFrame:
@@ -144,32 +105,40 @@ def progress_stream(responses: DataFrame) -> DataFrame:
     return responses.filter("type = 'progress'")
 
 
-def highlight_stream(positions: DataFrame, chunks: DataFrame, words: DataFrame, keys: tuple = ("doc_id", "chunk_index")) -> DataFrame:
-    """Highlights of a stream of positions against static chunks and words (keys, global_index, first_word, n_words).
+def highlight_stream(positions: DataFrame, chunks: DataFrame, sentences: DataFrame, keys: tuple = ("doc_id", "chunk_index")) -> DataFrame:
+    """Highlights (position's columns, sentence_index, word_index) of a stream of positions (keys, time, duration) in static chunks.
 
-    A stream cannot be windowed by row, so the sentences' first words are given; operators.reading computes them for tables.
+    chunks (keys, word_timings) may lack timings, sentences are (keys, global_index, n_words). Each chunk's sentences are one row with the
+    words before each of them, so a position finds its word and sentence in one join, by higher-order functions and without a window.
     """
-    c = chunks.select(*keys, F.col("n_words").alias("_n"), F.col("word_timings").alias("_timings"))
-    target = positions.filter("duration > 0").join(c, list(keys)).filter("_n > 0")
-    target = target.withColumn("word", reading.word_at_time(F.col("_n"), F.col("time"), F.col("duration"), F.col("_timings"))).drop("_n", "_timings")
-    hit = target.join(words, list(keys)).filter("word >= first_word and word < first_word + n_words")
-    return hit.select(*[c for c in positions.columns], F.col("global_index").alias("sentence_index"), (F.col("word") - F.col("first_word")).alias("word_index"))
-
-
-def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, failures: list | None = None):
-    """One stream to several consumers. A batch is kept while all of them have it; one that fails is noted in failures, and the others go on.
-
-    ``sinks`` may change while the query runs: adding a consumer subscribes it from the next batch, removing one ends that. Returns the query.
+    timings = F.col("word_timings") if "word_timings" in chunks.columns else F.lit(None).cast("array<double>")
+    timed = chunks.select(*keys, timings.alias("_timings"))
+    static = reading.chunk_words(sentences, keys).withColumnsRenamed({"n_words": "_n", "ranges": "_ranges"}).join(timed, list(keys), "left")
+    usable = positions.filter("duration > 0 and not isnan(duration) and duration < double('infinity')")
+    target = usable.join(static, list(keys)).filter("_n > 0")
+    word = reading.word_at_time(F.col("_n"), F.col("time"), F.col("duration"), F.col("_timings"))
+    hit = target.withColumn("_word", word).withColumn("_hit", reading.word_range(F.col("_ranges"), F.col("_word"))).filter("_hit is not null")
+    return hit.select(*positions.columns, F.col("_hit.global_index").alias("sentence_index"), (F.col("_word") - F.col("_hit.first_word")).alias("word_index"))
+
+
+def fan_out(stream: DataFrame, sinks: dict[str, Sink], checkpoint: str, log: str, failures: list | None = None):
+    """One stream to several consumers, by a durable log (delivery.DeliveryLog): a batch is written once and then given to each of them.
+
+    A consumer that fails is noted in failures and keeps its place: the next batch, a restart or redeliver() serves it again, while the others
+    go on. ``sinks`` may change while the query runs: a new consumer gets the batches from then on, one that is removed gets none.
+    Returns the query, which stops when nothing is left.
     """
+    kept = DeliveryLog(stream.sparkSession, log)
 
     def deliver(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        for name, sink in list(sinks.items()):
-            try:
-                sink(held, number)
-            except Exception as wrong:  # noqa: BLE001  a consumer's failure is its own
-                if failures is not None:
-                    failures.append((name, number, str(wrong)))
-        held.unpersist()
+        for name in list(sinks):
+            kept.subscribe(name, number - 1)
+        kept.write(batch, number)
+        kept.serve(sinks, failures)
 
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def redeliver(spark: SparkSession, sinks: dict[str, Sink], log: str, failures: list | None = None) -> dict[str, int]:
+    """Serves consumers of a log what they have not had yet, without a new batch; returns how many batches each still waits for."""
+    return DeliveryLog(spark, log).serve(sinks, failures)
