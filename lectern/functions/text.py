@@ -118,7 +118,8 @@ def html_text(html: Column) -> Column:
 
     Nothing is put between block elements, and a > in a quoted attribute ends no tag.
     """
-    return collapse_ws(decode_references(F.regexp_replace(html, _MARKUP, "")))
+    # The array of one text names it, so that the markup is taken out once.
+    return F.get(F.transform(F.array(F.regexp_replace(html, _MARKUP, "")), lambda t: collapse_ws(decode_references(t))), F.lit(0))
 
 
 def rtf_text(rtf: Column) -> Column:

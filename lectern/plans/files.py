@@ -88,6 +88,60 @@ def office_texts(spark, sf_dir):
     return out.select("path", F.sha2("text", 256).alias("sha"), "error")
 
 
+def _workbooks(batches):
+    """Workbooks of lines over the sheets 1, 10 and 2 in turn, with shared strings, strings in their cells, a number and a string that is missing."""
+    import io
+    import zipfile
+
+    for rows in batches:
+        out = []
+        for lines in rows["lines"]:
+            sheets: dict[int, str] = {2: "", 10: "", 1: ""}
+            for k, x in enumerate(lines):
+                cells = f'<c t="s"><v>{k}</v></c><c t="inlineStr"><is><t>{x}</t></is></c><c><v>{k}</v></c><c t="s"><v>{len(lines)}</v></c>'
+                sheets[(1, 10, 2)[k % 3]] += f"<row>{cells}</row><row><c t='s'><v>-1</v></c></row>"
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                for number, body in sheets.items():
+                    z.writestr(f"xl/worksheets/sheet{number}.xml", f"<s>{body}</s>")
+                z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><r><t>{x[:4]}</t></r><r><t>{x[4:]}</t></r></si>" for x in lines) + "</sst>")
+            out.append(raw.getvalue())
+        yield pd.DataFrame({"path": rows["path"], "content": out})
+
+
+def workbook_texts(spark, sf_dir):
+    """Documents as workbooks of three sheets, which are read in order of their names: 1, 10, 2."""
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/w/"), "doc_id", F.lit(".xlsx")).alias("path"), _clean_lines().alias("lines"))
+    out = S.extract_corpus(S.routed(rows.mapInPandas(_workbooks, "path string, content binary")))
+    return out.select("path", F.sha2("text", 256).alias("sha"), "error")
+
+
+def csv_documents(spark, sf_dir):
+    """Lines of documents as CSV rows with commas and quotes in quotes, quotes amid a field, all three line ends, and a blank line after the first row."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    first = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit(', ""q"""'))
+    end = lambda i: F.when(i == 0, "\n\n").when(i % 3 == 0, "\n").when(i % 3 == 1, "\r").otherwise("\r\n")
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(first(x), F.lit(',a"b,c"d,'), i.cast("string"), end(i))), "")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/c/"), "doc_id", F.lit(".csv")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    return S.extract_corpus(S.routed(rows)).select("path", F.sha2("text", 256).alias("sha"), "error")
+
+
+def rtf_escapes(spark, sf_dir):
+    """Documents as RTF files whose characters beyond ASCII are escapes: those of Latin-1 as bytes, all others as UTF-16 units."""
+    unit = lambda c, at: F.concat(F.lit("\\u"), F.conv(F.substring(F.hex(F.encode(c, "UTF-16BE")), at, 4), 16, 10), F.lit("?"))
+
+    def escaped(c):
+        two = F.length(F.hex(F.encode(c, "UTF-16BE"))) == 8
+        wide = F.when(two, F.concat(unit(c, 1), unit(c, 5))).otherwise(unit(c, 1))
+        latin = F.concat(F.lit("\\'"), F.hex(F.encode(c, "ISO-8859-1")))
+        plain = F.when(c == "\n", F.lit("\\par ")).when(c == "\t", F.lit("\\tab ")).otherwise(c)
+        return F.when(F.octet_length(c) == 1, plain).when(F.ascii(c).between(160, 255), latin).otherwise(wide)
+
+    body = F.translate(F.coalesce("text", F.lit("")), "\\{}", "")
+    rtf = F.concat(F.lit("{\\rtf1\\ansi{\\b "), F.array_join(F.transform(F.split(body, ""), escaped), ""), F.lit("}}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.rtf_text(rtf), 256).alias("sha"))
+
+
 def legacy_texts(spark, sf_dir):
     """Documents as UTF-16 bytes between control bytes, as legacy files hold them."""
     lines = F.array_join(_clean_lines(), "\n")
@@ -125,7 +179,10 @@ def synthesised(spark, sf_dir):
     return out.groupBy("model_id", "error").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("audio").isNotNull(), F.size("audio"))), F.lit(0)).cast("long").alias("samples"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_corpus, office_texts, legacy_texts, corpus_scan, rtf_documents, wav_files, synthesised)}
+QUERIES = {
+    f.__name__: f
+    for f in (extracted_corpus, office_texts, workbook_texts, csv_documents, legacy_texts, corpus_scan, rtf_documents, rtf_escapes, wav_files, synthesised)
+}
 ORACLES = {
     "extracted_corpus": f"""WITH {_HTML}
 SELECT '/p/' || page_id || '.html' AS path, 'text/html' AS mime, CASE WHEN text <> '' THEN sha256(text) END AS sha, text = '' AS failed FROM ht
@@ -147,5 +204,16 @@ SELECT CAST(vec_id AS VARCHAR) AS job_id, CAST(44 + 2 * n AS BIGINT) AS n_bytes,
     "rtf_documents": rf"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '\{{}}', '') AS x FROM documents),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, ' {{2,}}', ' ', 'g'), '\t +', chr(9), 'g'), ' +\t', chr(9), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM t)
 SELECT doc_id, sha256(regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')) AS sha FROM c""",
+    "rtf_escapes": rf"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '\{{}}', '') AS x FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, ' {{2,}}', ' ', 'g'), '\t +', chr(9), 'g'), ' +\t', chr(9), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM t)
+SELECT doc_id, sha256(regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')) AS sha FROM c""",
+    "workbook_texts": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9. \n]', '', 'g'), chr(10)) AS ls FROM documents),
+r AS (SELECT doc_id, k, ls[k + 1] || ', ' || ls[k + 1] || ', ' || k || ', ' AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM l)),
+t AS (SELECT doc_id, k % 3 AS sheet, string_agg(line, chr(10) ORDER BY k) AS x FROM r GROUP BY ALL),
+d AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY sheet) AS x FROM t GROUP BY doc_id)
+SELECT '/w/' || doc_id || '.xlsx' AS path, sha256(rtrim(ltrim(x, ' ' || chr(10)), ' ' || chr(10))) AS sha, CAST(NULL AS VARCHAR) AS error FROM d""",
+    "csv_documents": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+r AS (SELECT doc_id, list_transform(ls, lambda x, i: x || ', "q", ab,cd, ' || (i - 1) || CASE WHEN i = 1 THEN chr(10) ELSE '' END) AS rows FROM l)
+SELECT '/c/' || doc_id || '.csv' AS path, sha256(array_to_string(rows, chr(10))) AS sha, CAST(NULL AS VARCHAR) AS error FROM r""",
     "synthesised": f"WITH {TURNS_SQL}, j AS (SELECT CASE WHEN session_id % 5 = 0 THEN 'none' WHEN session_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model_id, text FROM tu), r AS (SELECT model_id, CASE WHEN model_id = 'none' THEN 'Custom engine for none not registered' WHEN text = '' THEN 'nothing to speak' END AS error, text FROM j) SELECT model_id, error, count(*) AS n, CAST(coalesce(sum(CASE WHEN error IS NULL THEN 24 * length(text) END), 0) AS BIGINT) AS samples FROM r GROUP BY model_id, error",
 }

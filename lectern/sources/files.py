@@ -1,8 +1,8 @@
 """A corpus of mixed files to text.
 
-One scan opens every file: zipped XML becomes rows of parts and CSV rows of lines, other bytes stay as they are for built-in
-expressions, and what follows are ordered aggregates. A file that cannot be read
-becomes a row with the message; the others go on.
+One scan opens every file, and its text is made within its row: zipped XML and CSV become nested arrays in Python, all other
+bytes are read by built-in expressions. A file that cannot be read becomes a row with the message; the others go on. The
+functions on parts (explode_container, docx_text and so on) do the same on tables of parts, for users who want the parts.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ import re
 import tempfile
 import uuid
 import zipfile
-from functools import reduce
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,70 +249,141 @@ def written(df: DataFrame) -> DataFrame:
 
 
 HEAD = ["path", "name", "ext", "mime"]
+#: What is found in one file: paragraphs, slides, rows or chapters in order, each with its cells, and the shared strings of a workbook.
+OPENED = (
+    "struct<units:array<struct<part:string,ordinal:int,cells:array<struct<attr:string,text:string>>>>,"
+    "shared:array<string>,found:boolean,body:boolean,broken:string>"
+)
 
 
-def opened(files: DataFrame) -> DataFrame:
-    """Every file of files in one scan, as (path, name, ext, mime, part, kind, ordinal, sub_ordinal, attr, text, content).
+def _opened(raw: bytes, ext: str) -> dict:
+    """One container or CSV file as OPENED has it."""
+    out = {"units": [], "shared": [], "found": False, "body": False, "broken": None}
+    try:
+        if ext == "csv":
+            lines = csv_fields(raw.decode("utf-8", "replace").removeprefix("\ufeff"))
+            return out | {"units": [{"part": "", "ordinal": i, "cells": [{"attr": None, "text": t} for t in row]} for i, row in enumerate(lines)]}
+        units: dict = {}
+        for part, kind, ordinal, _, attr, text in _explode("", raw, ext):
+            out["found"] = True
+            if kind == "string":
+                out["shared"].append(text)
+                continue
+            out["body"] |= kind in ("sheet", "slide", "paragraph", "chapter")
+            if kind == "sheet":
+                continue
+            if ext == "pptx":  # slides are in order of their number
+                ordinal = int(re.search(r"(\d+)\.xml$", part)[1])
+            unit = units.setdefault((part, ordinal), {"part": part, "ordinal": ordinal, "cells": []})
+            if text is not None:
+                unit["cells"].append({"attr": attr, "text": text})
+        return out | {"units": list(units.values())}
+    except Exception as wrong:  # noqa: BLE001  any broken file is quarantined
+        return {"units": [], "shared": [], "found": False, "body": False, "broken": f"{type(wrong).__name__}: {wrong}"}
+
+
+def _open(content: Column, ext: Column) -> Column:
+    """OPENED of each container or CSV file; null where the content is null, which then is all that goes to Python."""
+    kind = pa.struct(
+        [
+            ("units", pa.list_(pa.struct([("part", pa.string()), ("ordinal", pa.int32()), ("cells", pa.list_(pa.struct([("attr", pa.string()), ("text", pa.string())])))]))),
+            ("shared", pa.list_(pa.string())),
+            ("found", pa.bool_()),
+            ("body", pa.bool_()),
+            ("broken", pa.string()),
+        ]
+    )
 
-    Zipped XML gives rows of parts and CSV a line for each of its rows, and each of them one row of kind opened as well; other files give one row of kind file with their bytes.
-    """
-    kinds = {T.MIME[e]: e for e in CONTAINERS}
+    @F.arrow_udf(OPENED)
+    def run(content: pa.Array, ext: pa.Array) -> pa.Array:
+        return pa.array([None if raw.as_py() is None else _opened(raw.as_py(), e) for raw, e in zip(content, ext.to_pylist())], kind)
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for *head, raw in zip(*(batch[c] for c in (*HEAD, "content"))):
-                mime, found = head[3], []
-                if mime not in kinds and mime != T.MIME["csv"]:
-                    rows.append((*head, "", "file", 0, 0, None, None, raw))
-                    continue
-                try:
-                    if mime in kinds:
-                        found = list(_explode(head[0], raw, kinds[mime]))
-                    else:
-                        found = [("", "line", i, 0, None, ", ".join(r)) for i, r in enumerate(csv_fields(raw.decode("utf-8", "replace").removeprefix("\ufeff")))]
-                except Exception as wrong:  # noqa: BLE001  any broken file is quarantined
-                    found = [("", "error", 0, 0, None, f"{type(wrong).__name__}: {wrong}")]
-                rows += [(*head, *r, None) for r in [("", "opened", 0, 0, None, None), *found]]
-            yield pd.DataFrame(rows, columns=[*HEAD, *(c.split()[0] for c in PARTS.split(", ")[1:]), "content"])
+    return run(content, ext)
+
+
+def _join(lines: Column, between: str) -> Column:
+    """Lines that are not blank, with a string between them."""
+    return F.array_join(F.filter(lines, lambda x: T.trim_ws(x) != ""), between)
+
+
+def _cells(unit: Column) -> Column:
+    return unit["cells"]["text"]
 
-    ddl = ", ".join(f"{c} string" for c in HEAD) + PARTS.removeprefix("path string") + ", content binary"
-    return files.select(*HEAD, "content").mapInPandas(run, ddl)
+
+def _sheets(opened: Column) -> Column:
+    """A workbook's text: shared strings by number, rows that are not blank, sheets in order of their names."""
+    shared = opened["shared"]
+
+    def value(cell: Column) -> Column:
+        number = F.regexp_extract(cell["text"], r"^\s*([+-]?\d+)", 1).try_cast("int")
+        held = F.when(number >= 0, F.get(shared, number))
+        return F.when(cell["attr"] == "s", F.coalesce(held, F.lit(""))).otherwise(cell["text"])
+
+    rows = F.transform(opened["units"], lambda u: F.struct(u["part"].alias("part"), F.transform(u["cells"], value).alias("values")))
+    full = F.filter(rows, lambda r: F.exists(r["values"], lambda v: T.trim_ws(v) != ""))
+    lines = F.transform(full, lambda r: F.struct(r["part"].alias("part"), F.array_join(r["values"], ", ").alias("line")))
+
+    def by_sheet(all_lines: Column) -> Column:
+        names = F.array_sort(F.array_distinct(all_lines["part"]))
+        return F.array_join(F.transform(names, lambda n: F.array_join(F.filter(all_lines, lambda x: x["part"] == n)["line"], "\n")), "\n\n")
+
+    return T.trim_ws(_once(lines, by_sheet))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _container_text(opened: Column, mime: Column) -> Column:
+    """The text of an opened file by its format, from its own row."""
+    units = opened["units"]
+    by_number = F.array_sort(F.transform(units, lambda u: F.struct(u["ordinal"].alias("ordinal"), T.trim_ws(F.array_join(_cells(u), " ")).alias("line"))))
+    return (
+        F.when(mime == T.MIME["csv"], F.array_join(F.transform(units, lambda u: F.array_join(_cells(u), ", ")), "\n"))
+        .when(mime.isin(T.MIME["docx"], T.MIME["odt"]), _join(F.transform(units, lambda u: F.array_join(_cells(u), "")), "\n\n"))
+        .when(mime == T.MIME["pptx"], T.trim_ws(_join(by_number["line"], "\n\n")))
+        .when(mime == T.MIME["xlsx"], _sheets(opened))
+        .when(mime == T.MIME["epub"], _join(F.transform(units, lambda u: T.collapse_ws(F.array_join(_cells(u), ""))), "\n\n"))
+    )
 
 
 def extract_corpus(files: DataFrame, use_ocr: bool = False) -> DataFrame:
     """(path, name, mime, text, n_chars, error) of each file of scan_corpus, or of routed() where other types may occur.
 
-    Every file is read once: what one scan opens is a table. Formats that built-in expressions read stay rows of it and are never shuffled;
-    parts of containers are put in order by their path. PDF pages and OCR words come from outside; see operators.layout.
+    One scan and no shuffle: a file's text is made in its own row. Text, Markdown, HTML, RTF and legacy documents are read by built-in expressions,
+    and Python gets the bytes of zipped XML and of CSV only. A file that cannot be read has the message as its error. PDF pages
+    and OCR words come from outside; see operators.layout.
     """
-    rows = written(opened(files))
-    mime, kind = F.col("mime"), F.col("ext")
+    mime = F.col("mime")
+    by_python = mime.isin(*[T.MIME[e] for e in (*CONTAINERS, "csv")])
+    ext = F.try_element_at(F.create_map(*[F.lit(x) for e in (*CONTAINERS, "csv") for x in (T.MIME[e], e)]), mime)
+    rows = files.select(*HEAD, F.when(~by_python, F.col("content")).alias("content"), _open(F.when(by_python, F.col("content")), ext).alias("opened"))
     words = T.utf8_text(F.col("content"))
-    plain = F.when(mime.isin(T.MIME["txt"], T.MIME["md"]), words).when(mime == T.MIME["html"], T.html_text(words)).when(mime == T.MIME["rtf"], T.rtf_text(words)).when(mime == T.MIME["doc"], T.doc_text(F.col("content")))
-    nothing = F.lit(None)
-    flat = rows.filter("kind = 'file'").select(*HEAD, plain.alias("text"), nothing.cast("string").alias("broken"), nothing.cast("boolean").alias("bare"))
-    parts = rows.filter("kind <> 'file'").drop("content")
-    lines = parts.filter("kind = 'line'").groupBy("path").agg(F.array_join(_ordered("ordinal", "text")["text"], "\n").alias("text"))
-    made = [make(parts.filter(mime == T.MIME[ext])) for ext, make in CONTAINERS.items()]
-    body = F.count_if(F.col("kind").isin("sheet", "slide", "paragraph", "chapter")) == 0
-    heads = parts.groupBy(*HEAD).agg(F.max(F.when(F.col("kind") == "error", F.col("text"))).alias("broken"), (body & (F.count_if(F.col("part") != "") == 0)).alias("empty"), body.alias("bodiless"))
-    bare = F.when(mime.isin(T.MIME["docx"], T.MIME["odt"]), F.col("empty")).otherwise(F.col("bodiless"))
-    joined = heads.select(*HEAD, "broken", bare.alias("bare")).join(reduce(DataFrame.unionByName, [lines, *made]), "path", "left")
-    found = flat.unionByName(joined.select(flat.columns))
+    text = (
+        F.when(by_python, _container_text(F.col("opened"), mime))
+        .when(mime.isin(T.MIME["txt"], T.MIME["md"]), words)
+        .when(mime == T.MIME["html"], T.html_text(words))
+        .when(mime == T.MIME["rtf"], T.rtf_text(words))
+        .when(mime == T.MIME["doc"], T.doc_text(F.col("content")))
+    )
+    # A generator of one row stands between: the text is computed once, however often it is named below.
+    found = rows.select(*HEAD, F.col("opened.found"), F.col("opened.body"), F.col("opened.broken"), F.explode(F.array(text)).alias("text"))
     empty = T.trim_ws(F.coalesce("text", F.lit(""))) == ""
-    known = mime.isin(*set(T.MIME.values()))
+    named = F.coalesce(F.nullif("mime", F.lit("")), F.nullif("ext", F.lit("")), F.lit("unknown"))
     error = (
-        F.when(F.lit(use_ocr) & (mime != T.MIME["pdf"]), F.concat(F.lit("OCR is only supported for PDFs; got "), F.coalesce(F.nullif("mime", F.lit("")), F.nullif("ext", F.lit("")), F.lit("unknown")), F.lit(". Disable the OCR toggle for this document.")))
-        .when(~known, F.concat(F.lit("Unsupported file type: "), kind, F.lit(". " + MESSAGES["unsupported"])))
+        F.when(F.lit(use_ocr) & (mime != T.MIME["pdf"]), F.concat(F.lit("OCR is only supported for PDFs; got "), named, F.lit(". Disable the OCR toggle for this document.")))
+        .when(~mime.isin(*set(T.MIME.values())), F.concat(F.lit("Unsupported file type: "), F.col("ext"), F.lit(". " + MESSAGES["unsupported"])))
         .when(F.col("broken").isNotNull(), F.col("broken"))
     )
-    for ext in ("docx", "odt", "pptx", "xlsx"):
-        error = error.when(F.col("bare") & (mime == T.MIME[ext]), MESSAGES[ext])
-    for ext, message in (("pptx", "pptx_empty"), ("xlsx", "xlsx_empty"), ("csv", "csv"), ("rtf", "rtf"), ("html", "html"), ("doc", "doc")):
-        error = error.when(empty & (mime == T.MIME[ext]), MESSAGES[message])
+    for kind in ("docx", "odt", "pptx", "xlsx"):
+        there = F.col("found" if kind in ("docx", "odt") else "body")
+        error = error.when(~F.coalesce(there, F.lit(False)) & (mime == T.MIME[kind]), MESSAGES[kind])
+    for kind, message in (("pptx", "pptx_empty"), ("xlsx", "xlsx_empty"), ("csv", "csv"), ("rtf", "rtf"), ("html", "html"), ("doc", "doc")):
+        error = error.when(empty & (mime == T.MIME[kind]), MESSAGES[message])
     text = F.when(F.col("error").isNull(), F.when(mime == T.MIME["pdf"], F.col("text")).otherwise(F.coalesce("text", F.lit(""))))
-    return found.withColumn("error", error).withColumn("text", text).select("path", "name", "mime", "text", F.length("text").cast("long").alias("n_chars"), "error")
+    done = found.withColumn("error", error).withColumn("text", text)
+    return done.select("path", "name", "mime", "text", F.length("text").cast("long").alias("n_chars"), "error")
 
 
 def split_outcome(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,3 +87,44 @@ def test_stream(spark, corpus, tmp_path_factory):
         flows.stream_corpus(spark, corpus, out + "/good", out + "/bad", out + "/check").awaitTermination()
     assert spark.read.parquet(out + "/good").count() == len(EXPECTED)
     assert spark.read.parquet(out + "/bad").count() == 6
+
+
+def test_extraction_is_one_scan_without_a_shuffle(spark, corpus):
+    """Bytes of plain formats do not go to Python, no part is joined or shuffled, and nothing is written on the way."""
+    plan = S.extract_corpus(S.scan_corpus(spark, corpus))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and plan.count("ArrowEvalPython") == 1
+    assert not any(node in plan for node in ("Exchange", "Join", "Aggregate", "MapInPandas"))
+
+
+@pytest.mark.parametrize("ext", ["docx", "odt", "pptx", "xlsx", "epub"])
+def test_rows_of_parts_give_the_same_text(spark, ext):
+    """The functions on tables of parts and the text made within a row agree."""
+    from lectern.plans.files import _containers
+
+    lines = [["one two", "", " ", "three. four"], ["x"], [f"line {k}" for k in range(12)], ["", "a  b"]]
+    made = spark.createDataFrame([(f"/o/{k}.{ext}", ext, x) for k, x in enumerate(lines)], "path string, ext string, lines array<string>")
+    files = S.routed(made.mapInPandas(_containers, "path string, content binary"))
+    whole = {r.path: r.text for r in S.extract_corpus(files).collect() if r.error is None}
+    parts = {r.path: r.text for r in S.CONTAINERS[ext](S.explode_container(files)).collect()}
+    assert whole == parts and len(parts) == len(lines)
+
+
+def test_odd_containers(spark):
+    """Cells without a value, shared strings by odd numbers, chapters that are missing, nulls and empty files."""
+    sheet = f'<s {X}><row><c t="s"><v>-1</v></c><c t="s"><v> 1x</v></c><c t="s"><v>9</v></c><c/></row></s>'
+    files = {
+        "a.xlsx": container(**{"xl/sharedStrings.xml": f"<sst {X}><si><t>zero</t></si><si><t>one</t></si></sst>", "xl/worksheets/sheet1.xml": sheet}),
+        "b.xlsx": container(**{"xl/worksheets/sheet1.xml": f"<s {X}/>"}),
+        "c.pptx": container(**{"ppt/slides/slide1.xml": f"<p {A}/>"}),
+        "d.epub": container(**{"META-INF/container.xml": '<c><rootfile full-path="p.opf"/></c>', "p.opf": '<p><manifest><item id="a" href="no.xhtml"/></manifest><spine><itemref idref="a"/></spine></p>'}),
+        "e.docx": b"",
+        "f.csv": b"",
+        "g.txt": b"",
+        "h.docx": None,
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content binary")
+    got = {r.path: (r.text, r.error) for r in S.extract_corpus(S.routed(df)).collect()}
+    assert got["a.xlsx"] == (", one, ,", None)
+    assert got["b.xlsx"] == (None, S.MESSAGES["xlsx_empty"]) and got["c.pptx"] == (None, S.MESSAGES["pptx_empty"])
+    assert got["d.epub"] == ("", None) and got["g.txt"] == ("", None)
+    assert "BadZipFile" in got["e.docx"][1] and got["f.csv"] == (None, S.MESSAGES["csv"]) and got["h.docx"] == (None, S.MESSAGES["docx"])
