@@ -209,11 +209,23 @@ def chunk_ranges(lengths: Column, max_chars: int = 300) -> Column:
     )
 
 
+#: Where symbols are put while they are looked up: a plane for private use, in which no text has a meaning.
+_PLANE = 0x100000
+
+
 def symbol_ids(text: Column, vocabulary: dict[str, int]) -> Column:
-    """Ids of the UTF-16 units between two boundary signs; unknown ones are 0, so a character beyond the first plane gives two."""
-    known = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
-    units = F.flatten(F.transform(F.split(F.concat(F.lit("$"), text, F.lit("$")), ""), lambda c: F.when(F.octet_length(c) > 3, F.array(F.lit(""), F.lit(""))).otherwise(F.array(c))))
-    return F.transform(units, lambda c: F.coalesce(F.try_element_at(known, c), F.lit(0)))
+    """Ids of the UTF-16 units between two boundary signs; unknown ones are 0, so a character beyond the first plane gives two.
+
+    Symbols are translated, by one hashed table for the whole text, to characters whose code point tells the id; ids are below 60,000.
+    """
+    if any(not 0 <= i < 60_000 for i in vocabulary.values()):
+        raise ValueError("ids are from 0 to 59,999")
+    single = {s: i for s, i in vocabulary.items() if len(s) == 1 and ord(s) < 0x10000}
+    # Characters of the plane itself count as two unknown units, as all others beyond the first plane do.
+    wide = F.regexp_replace(F.concat(F.lit("$"), text, F.lit("$")), r"[\x{10000}-\x{10FFFF}]", "\uFFFF\uFFFF")
+    known = {k: i for k, i in single.items() if k != "\uFFFF"}
+    moved = F.translate(wide, "".join(known), "".join(chr(_PLANE + i) for i in known.values()))
+    return F.transform(F.split(moved, ""), lambda c: F.when(F.octet_length(c) == 4, F.ascii(c) - F.lit(_PLANE)).otherwise(F.lit(0)))
 
 
 def quad_to_bbox(quad: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import half_up
-from lectern.sources.files import written
+from lectern.operators.order import dense_number, ranked
 
 STATUSES = ("pending", "generating", "done", "error", "cancelled")
 ACTIVE, TERMINAL = ("pending", "generating"), ("done", "error", "cancelled")
@@ -50,25 +50,13 @@ def build_jobs(requests: DataFrame, models: DataFrame, voices: DataFrame, sessio
     """New jobs from requests (request_no, text, model_id, voice_id, speed, created_at ...) with ids job-1, job-2, ... in request order.
 
     Requests whose model is unknown are left out; enrich_model has them with the error. Dense numbers need one order over all
-    requests, so they come from a range sort and the sizes of the ranges before.
+    requests, so they come from a range sort and the sizes of the ranges before. The sorted requests are written as a table when this is called.
     """
     good = resolve_voice(enrich_model(requests, models, session_model).filter("error is null"), voices)
     numbered = dense_number(good, "request_no")
     return numbered.select(F.concat(F.lit("job-"), F.col("_n")).alias("job_id"), F.col("_n").alias("job_no"), "text", "voice_id", "voice_name", "model_id", "model_name", F.coalesce("speed", F.lit(1.0)).alias("speed"), F.lit("pending").alias("status"), "created_at")
 
 
-def dense_number(df: DataFrame, order: str, name: str = "_n") -> DataFrame:
-    """df with 1, 2, ... by a column: rows are range-sorted as a table, and a row's number is its place after the partitions before its own.
-
-    What meets in one task is a count for each partition, however sparse the column is. Rows that are equal in it are numbered in any order.
-    """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    placed = written(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
-    counted = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_low"))
-    begins = counted.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_low") + 1).alias("_begin"))
-    return placed.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_place")).drop("_part", "_place", "_begin")
-
-
 def latest_job_state(events: DataFrame, key: str = "job_id") -> DataFrame:
     """The last event of each job, by time and then sequence; a maximum, so it is combined in the tasks before it shuffles."""
     others = [c for c in events.columns if c not in (key, "ts", "seq")]
@@ -93,10 +81,19 @@ def next_job(jobs: DataFrame, loaded_model: str) -> DataFrame:
     return pending.filter(F.col("model_id") == loaded_model)
 
 
+def next_jobs(jobs: DataFrame, models: DataFrame) -> DataFrame:
+    """For each loaded model of models (model_id) what next_job gives: the newest pending job is found once and then matched."""
+    newest = jobs.filter("status = 'pending'").orderBy(F.desc("created_at"), F.desc("job_no")).limit(1)
+    return newest.join(models.select("model_id").distinct(), "model_id")
+
+
 def drain_order(jobs: DataFrame) -> DataFrame:
-    """Pending jobs with run_order within their model: the newest first."""
-    w = Window.partitionBy("model_id").orderBy(F.desc("created_at"), F.desc("job_no"))
-    return jobs.filter("status = 'pending'").withColumn("run_order", F.row_number().over(w))
+    """Pending jobs with run_order within their model: the newest first. No task holds a model: jobs are numbered range by range.
+
+    The sorted jobs are written as a table when this is called.
+    """
+    pending = jobs.filter("status = 'pending'")
+    return ranked(pending, ["model_id"], [F.desc("created_at"), F.desc("job_no")], "run_order").withColumn("run_order", F.col("run_order").cast("int"))
 
 
 def cancel_on_switch(jobs: DataFrame, model_id: str, now) -> DataFrame:

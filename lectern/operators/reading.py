@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.order import last_seen
+
 
 def _safe(time: Column) -> Column:
     ok = time.isNotNull() & ~F.isnan(time) & (time > 0) & (time != float("inf"))
@@ -27,12 +29,15 @@ def word_at_time(total: Column, time: Column, duration: Column, timings: Column)
 def asof_word(positions: DataFrame, timings: DataFrame, key: str = "session_id") -> DataFrame:
     """positions (session_id, time) with word, the last whose start (session_id, word, start) is not after the time; 0 before the first.
 
-    An as-of join by one sort of both tables together: a session's words and positions share a window, in which the last word seen is carried on.
+    An as-of join by one range sort of both tables together: the last word seen is carried on within a range, and from one to the next of the same
+    session, so a session of any size is spread over tasks. The sorted rows are written as a table when this is called.
     """
     p = positions.select(key, F.col("time").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_w"), F.struct(*positions.columns).alias("_p"))
     t = timings.select(key, F.col("start").alias("_t"), F.lit(0).alias("_kind"), F.col("word").cast("int").alias("_w"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    w = Window.partitionBy(key).orderBy("_t", "_kind", "_w").rowsBetween(Window.unboundedPreceding, 0)
-    return p.unionByName(t).withColumn("word", F.coalesce(F.last("_w", ignorenulls=True).over(w), F.lit(0))).filter("_kind = 1").select("_p.*", "word")
+    both = p.unionByName(t)
+    order = [F.col(c) for c in ("_t", "_kind", "_w")]
+    seen = last_seen(both, [key], [*order, F.xxhash64("_p")], "_w", "_seen")
+    return seen.filter("_kind = 1").select("_p.*", F.coalesce("_seen", F.lit(0)).alias("word"))
 
 
 def locate_word(targets: DataFrame, sentences: DataFrame, keys: tuple = ("doc_id", "chunk_index")) -> DataFrame:

@@ -49,8 +49,8 @@ def newest_jobs(spark, sf_dir):
 
 def next_jobs(spark, sf_dir):
     """The next job for each model that may be loaded; for one at most there is one."""
-    jobs = _jobs(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [O.next_job(jobs, m) for m in _IDS]).select("job_id", "model_id")
+    models = spark.createDataFrame([(m,) for m in _IDS], "model_id string")
+    return O.next_jobs(_jobs(spark, sf_dir), models).select("job_id", "model_id")
 
 
 def drain(spark, sf_dir):
