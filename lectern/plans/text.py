@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import text as O
+from lectern.operators.catalog import vocab_df
 from lectern.plans.common import documents, table
 from lectern.sources import files as S
 
@@ -140,6 +141,18 @@ def unknown_symbols(spark, sf_dir):
     return O.oov_report(rows, vocabulary)
 
 
+def vocabulary_symbols(spark, sf_dir):
+    """Characters of English documents as a tokenizer's JSON file, with ids by code point; how often each occurs in all documents, with its id where the file has one."""
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("symbol")).filter("symbol <> ''")
+    counted = S.written(rows.groupBy("lang", "symbol").agg(F.count("*").alias("n")))
+    symbols = counted.filter("lang = 'en'").agg(F.array_sort(F.collect_set("symbol")).alias("s"))  # as many as there are characters at most
+    entries = F.map_from_arrays("s", F.transform("s", lambda _, i: i))
+    path = S.scratch(spark)
+    symbols.select(F.to_json(F.struct(F.struct(entries.alias("vocab")).alias("model")))).coalesce(1).write.text(path)
+    known = vocab_df(spark, path)
+    return counted.groupBy("symbol").agg(F.sum("n").alias("n")).join(known, "symbol", "left").select(F.hex("symbol").alias("symbol"), "n", F.col("id").cast("long").alias("id"))
+
+
 def paired_words(spark, sf_dir):
     """Words of turns as labels, and a box for each of the first ones."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), F.split(F.coalesce("text", F.lit("")), " ").alias("labels"))
@@ -153,7 +166,7 @@ def quads(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", box.alias("b")).select("vec_id", "b.*")
 
 
-QUERIES = {f.__name__: f for f in (prepare_by_language, sentences, paragraphs, chunks, reading_view, text_gates, html_text, html_references, html_quarantine, escaped, collapsed, file_types, admitted, progress, loads, ocr_requests, symbols, unknown_symbols, paired_words, quads)}
+QUERIES = {f.__name__: f for f in (prepare_by_language, sentences, paragraphs, chunks, reading_view, text_gates, html_text, html_references, html_quarantine, escaped, collapsed, file_types, admitted, progress, loads, ocr_requests, symbols, unknown_symbols, vocabulary_symbols, paired_words, quads)}
 
 _TYPES = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in T.MIME.items())
 _NAMES = rf"""nm AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') || ['', '.pdf', '.DOCX', '.tar.Html', '.', '.md', '.xyz'][page_id % 7 + 1] AS name FROM pages),
@@ -183,6 +196,9 @@ ORACLES = {
     "loads": "WITH l AS (SELECT doc_id, coalesce(n_chars, 0) AS loaded, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE coalesce(n_chars, 0) * 3 + 1000 END AS total FROM documents) SELECT doc_id, CAST(CASE WHEN total > 0 THEN floor(loaded / total * 100 + 0.5) ELSE 0 END AS INTEGER) AS percent, CASE WHEN total > 0 THEN printf('%.1f', total / 1024 / 1024) ELSE '?' END AS size_mb FROM l",
     "ocr_requests": f"WITH {_NAMES} SELECT page_id, page_id % 2 = 0 AND mime <> 'application/pdf' AS rejected, page_id % 2 = 0 AND lower(name) LIKE '%.pdf' AS ui_ocr FROM ft",
     "symbols": f"WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, string_split('$' || coalesce(text, '') || '$', '') AS cs FROM conversations), m AS (SELECT doc_id, list_transform(cs, lambda c: CAST(CASE c {_SYMBOLS} ELSE 0 END AS BIGINT)) AS ids FROM c) SELECT doc_id, len(ids) AS n, list_reduce(ids, lambda a, x: (a * 31 + x) % 1000003, CAST(0 AS BIGINT)) AS digest FROM m",
+    "vocabulary_symbols": """WITH c AS (SELECT lang, unnest(string_split(coalesce(text, ''), '')) AS symbol FROM documents), n AS (SELECT symbol, count(*) AS n FROM c WHERE symbol <> '' GROUP BY symbol),
+k AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS id FROM (SELECT DISTINCT symbol FROM c WHERE lang = 'en' AND symbol <> ''))
+SELECT hex(symbol) AS symbol, n, id FROM n LEFT JOIN k USING (symbol)""",
     "unknown_symbols": f"WITH c AS (SELECT unnest(string_split(coalesce(text, ''), '')) AS symbol FROM conversations) SELECT symbol, count(*) AS n FROM c WHERE symbol <> '' AND CASE symbol {_SYMBOLS} ELSE -1 END = -1 GROUP BY symbol",
     "paired_words": "WITH w AS (SELECT conv_id * 1000 + turn AS page, string_split(coalesce(text, ''), ' ') AS labels FROM conversations) SELECT page, length(array_to_string(labels, ' ')) AS n_text, CAST(greatest(1, len(labels) - 2) AS BIGINT) AS n_pairs, labels[CAST(greatest(1, len(labels) - 2) AS INTEGER)] AS last_label FROM w",
     "quads": "WITH q AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, least(e[1], e[3], e[5], e[7]) AS x0, least(e[2], e[4], e[6], e[8]) AS y0, greatest(e[1], e[3], e[5], e[7]) AS x1, greatest(e[2], e[4], e[6], e[8]) AS y1 FROM q",
