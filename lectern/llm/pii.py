@@ -1,9 +1,13 @@
 """Personal data and information-theoretic sanitisation, in DataFrame operations only.
 
 Base kinds are found by pattern. The corpus then says which words beside an entity give it away: for an entity e
-and a term t in one document with it, PMI(t, e) = log2(n(t, e) N / (n(t) n(e))) over documents, and t discloses e when
-PMI(t, e) >= IC(e) / alpha with IC(e) = log2(N / n(e)). Disclosing terms are added as spans of kind ``term``, and
-``sanitise`` removes them, or generalises those that are common enough.
+and a term t, PMI(t, e) = log2(n(t, e) N / (n(t) n(e))) over texts, and t discloses e when PMI(t, e) >= IC(e) / alpha with
+IC(e) = log2(N / n(e)). That is the same as n(t, e) / n(t) >= (n(e) / N) ** (1 - 1 / alpha), and it is the lower confidence bound of
+that share which has to reach it. Disclosing terms are added as spans of kind ``term``, and ``sanitise`` removes them, or
+generalises those that are common enough.
+
+Evidence is counted in different texts: copies of one text are one text, and a pair counts only if its texts are not all near copies of each
+other, which minima of their hashed pairs of words tell: near copies share most of their minima.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ VALID = {
 }
 #: A term is a whole run of so many letters, in lower case.
 TERM = r"\p{L}{3,}"
-#: Share of an entity's information that a term may give away is 1 / ALPHA; pairs seen in fewer documents are chance.
-ALPHA, SUPPORT = 1.5, 2
+#: Share of an entity's information that a term may give away is 1 / ALPHA; pairs seen in fewer different texts are chance. Z is the
+#: width of the confidence interval in standard deviations. Texts are near copies if they share NEAR of their SKETCHES minima.
+ALPHA, SUPPORT, Z, SKETCHES, NEAR = 1.5, 2, 1.64, 32, 20
 #: A disclosing term in at least so many documents is generalised; a rarer one is removed.
 GENERALISE_FROM = 50
 
@@ -60,46 +65,92 @@ def _spans(kind: str) -> Column:
 
 
 def _words(text: str) -> Column:
-    """The distinct terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+    """The terms of a text in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
+
+
+def _minima(words: Column) -> Column:
+    """The least hashes of pairs of neighbouring words, by so many hash functions."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))
+    held = F.when(F.size(pairs) > 0, pairs).otherwise(F.array(F.lit(0).cast("long")))
+    least = lambda k: F.array_min(F.transform(held, lambda x: F.xxhash64(F.lit(k), x)))
+    return F.array(*[least(k) for k in range(SKETCHES)])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of each row and its distinct entities; a written table with the texts of those rows only that have an entity."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.sha2(F.col(text_col), 256).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    """Base spans of each row, its distinct entities and terms as hashes, and the minima of its terms; a written table with the texts of those rows only that have an entity."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     base = [k for k in KINDS if k != "term"]
     for kind in base:
         rows = _split(rows, kind, "body")
-    rows = rows.select("uid", "doc_id", "digest", "body", *[_spans(k).alias(k) for k in base])
+    rows = rows.select("uid", "doc_id", "body", *[_spans(k).alias(k) for k in base])
     spans = ", ".join(f"transform({k}, s -> struct(s.start as start, {i} as rank, s.end as end, '{k}' as kind))" for i, k in enumerate(base))
     entities = ", ".join(f"transform({k}, s -> xxhash64('{k}', lower(s.value)))" for k in base)
     body = F.when(F.expr(" + ".join(f"size({k})" for k in base) + " > 0"), F.col("body"))
-    return saved(rows.select("uid", "doc_id", "digest", body.alias("body"), *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.expr(f"array_sort(concat({spans}))").alias("spans"), F.expr(f"array_distinct(concat({entities}))").alias("entities")))
+    held = rows.select(
+        "uid",
+        "doc_id",
+        F.sha2("body", 256).alias("digest"),
+        body.alias("body"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.expr(f"array_sort(concat({spans}))").alias("spans"),
+        F.expr(f"array_distinct(concat({entities}))").alias("entities"),
+        F.explode(F.array(_words("body"))).alias("words"),  # computed once
+    )
+    minima = F.when(F.col("body").isNotNull(), _minima(F.col("words")))
+    terms = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    return saved(held.select("*", terms.alias("terms"), minima.alias("minima")).drop("words"))
+
+
+def _once(scanned: DataFrame) -> DataFrame:
+    """One row of scanned for each different text."""
+    again = scanned.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    copies = saved(scanned.select("uid", "digest").join(again, "digest").filter("uid <> first").select("uid"))
+    return scanned.join(small(copies), "uid", "left_anti")
+
+
+def _groups(once: DataFrame, total: int, support: int) -> DataFrame:
+    """(entity, gid, n_entity): entities in ``support`` texts or more, but not in all. Those that occur in the same texts share a group; a written table.
+
+    Two sums of hashes of the texts tell a group, so that however many entities a text lists, its terms are counted with each group once.
+    """
+    mark = lambda k: F.sum(F.xxhash64(F.lit(k), "uid").cast("decimal(38,0)"))
+    each = once.select("uid", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), mark(1).alias("a"), mark(2).alias("b"))
+    held = each.filter((F.col("n_entity") >= support) & (F.col("n_entity") < total))
+    return saved(held.select("entity", "n_entity", F.md5(F.concat_ws(":", "n_entity", "a", "b")).alias("gid")))
+
+
+def _beside(rows: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
+    """(uid, gid, term, more): each row's distinct terms against the groups of its entities."""
+    held = rows.select("uid", F.explode("entities").alias("entity")).join(groups.select("entity", "gid"), "entity").groupBy("uid").agg(F.collect_set("gid").alias("held"))
+    words = rows.filter("body is not null").join(held, "uid").select("uid", "held", *more, F.explode("terms").alias("term"))
+    return words.select("uid", F.explode("held").alias("gid"), "term", *more)
 
 
-def _beside(scanned: DataFrame, entity: DataFrame) -> DataFrame:
-    """(uid, entity, term): each document's distinct terms against those of its entities that are in entity."""
-    held = scanned.select("uid", F.explode("entities").alias("entity")).join(entity.select("entity"), "entity").groupBy("uid").agg(F.collect_set("entity").alias("held"))
-    words = scanned.filter("body is not null").join(held, "uid").select("uid", "held", F.explode(_words("body")).alias("word"))
-    return words.select("uid", F.explode("held").alias("entity"), F.xxhash64("word").alias("term"))
+def lower_share(both: Column, of: Column, z: float = Z) -> Column:
+    """The lower end of Wilson's confidence interval of a share both / of."""
+    p = both / of
+    around = F.lit(z) * F.sqrt(p * (1 - p) / of + F.lit(z * z) / (4 * of * of))
+    return (p + F.lit(z * z) / (2 * of) - around) / (1 + F.lit(z * z) / of)
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, docs_with_term): pairs whose term gives its entity away; and (uid, entity, term) of all documents with an
-    entity that may have one. All counts are of documents, over the whole corpus.
+def disclosing(scanned: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(gid, term, docs_with_term): pairs whose term gives the entities of a group away; and the groups. All counts are of different texts, over the whole corpus.
 
-    An entity in fewer documents than ``support`` has no pair, so its words are not exploded. Counting documents with a term explodes
-    each document's distinct words once; what is shuffled is one partial count a term, or a pair, and task.
+    Counting texts with a term explodes each text's distinct words once; what is shuffled is one partial count a term, or a pair, and task.
     """
-    total = max(scanned.count(), 1)
-    entity = saved(scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter((F.col("n_entity") >= support) & (F.col("n_entity") < total)))
-    beside = _beside(scanned, entity)
-    pair = beside.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    term = docs.select(F.explode(_words(text_col)).alias("word")).select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    terms = saved(pair.join(entity, "entity"))
-    return saved(terms.join(term, "term").filter(pmi >= information / alpha).select("entity", "term", F.col("n_term").alias("docs_with_term"))), beside
+    once = _once(scanned)
+    total = max(once.count(), 1)
+    groups = _groups(once, total, support)
+    one = lambda k: (F.min(F.col("minima")[k]) == F.max(F.col("minima")[k])).cast("int")
+    copied = sum((one(k) for k in range(1, SKETCHES)), one(0)) >= NEAR
+    pair = _beside(once, groups, "minima").groupBy("gid", "term").agg(F.count("*").alias("n_both"), copied.alias("copied"))
+    pair = pair.filter((F.col("n_both") >= support) & ~F.col("copied")).select("gid", "term", "n_both")
+    term = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    sized = saved(pair.join(groups.select("gid", "n_entity").distinct(), "gid"))
+    bound = F.pow(F.col("n_entity") / F.lit(float(total)), F.lit(1 - 1 / alpha))
+    told = sized.join(term, "term").filter(lower_share(F.col("n_both"), F.col("n_term")) >= bound)
+    return saved(told.select("gid", "term", F.col("n_term").alias("docs_with_term"))), groups
 
 
 def _places(scanned: DataFrame, hits: DataFrame) -> DataFrame:
@@ -129,8 +180,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
 
 def _found(docs: DataFrame, id_col: str, text_col: str, alpha: float, support: int) -> DataFrame:
     scanned = scan(docs, id_col, text_col)
-    found, beside = disclosing(docs, scanned, text_col, alpha, support)
-    told = saved(beside.join(found, ["entity", "term"]).select("uid", "term", "docs_with_term").distinct())
+    found, groups = disclosing(scanned, alpha, support)
+    told = saved(_beside(scanned, groups).join(found, ["gid", "term"]).select("uid", "term", "docs_with_term").distinct())
     hits = (
         _places(scanned, told)
         .groupBy("uid")
@@ -138,7 +189,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, alpha: float, support: i
     )
     empty = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)"
     clear = f"filter(coalesce(terms, {empty}), t -> not exists(spans, s -> s.start < t.end and t.start < s.end))"
-    return scanned.drop("body", "entities").join(hits, "uid", "left").withColumn("terms", F.expr(clear)).withColumn("common", F.expr("coalesce(common, cast(array() as array<bigint>))"))
+    return scanned.drop("body", "entities", "terms", "minima").join(hits, "uid", "left").withColumn("terms", F.expr(clear)).withColumn("common", F.expr("coalesce(common, cast(array() as array<bigint>))"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

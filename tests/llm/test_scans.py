@@ -1,11 +1,13 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
 from lectern.llm import pii, secrets, toxicity
-from tests.llm.conftest import frame, prose
+from tests.llm.conftest import edited, frame, prose
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -214,3 +216,85 @@ def test_toxicity_edges(spark):
     model = toxicity.fit(df, none)
     assert {x.predicted for x in toxicity.score_texts(df, model).collect()} == {0}
     assert toxicity.score_texts(frame(spark, []), model).count() == 0
+
+
+def plain_terms(texts, alpha=1.5, support=2, z=1.64):
+    """The method's definition, text by text: places of disclosing words for each text, and the words themselves."""
+    once = list(dict.fromkeys(t or "" for t in texts))
+    words = {t: [w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)] for t in once}
+    entities = {t: {m[0].lower() for m in re.finditer(PII_EMAIL, t)} for t in once}
+    n_e, n_t = Counter(e for t in once for e in entities[t]), Counter(w for t in once for w in set(words[t]))
+
+    def near(ts):
+        sets = [set(zip(words[t], [*words[t][1:], ""])) for t in ts]
+        return len(set.intersection(*sets)) >= 0.5 * len(set.union(*sets))
+
+    told = {}
+    for e, n in n_e.items():
+        if not support <= n < len(once):
+            continue
+        texts_e = [t for t in once if e in entities[t]]
+        for w, both in Counter(w for t in texts_e for w in set(words[t])).items():
+            p, m = both / n_t[w], n_t[w]
+            low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if both >= support and low >= (n / len(once)) ** (1 - 1 / alpha) and not near([t for t in texts_e if w in words[t]]):
+                told.setdefault(e, set()).add(w)
+    out = []
+    for t in texts:
+        t = t or ""
+        hits = set().union(*[told.get(e, set()) for e in entities[t]]) if t else set()
+        base = [m.span() for m in re.finditer(PII_EMAIL, t)]
+        clear = lambda m: not any(a < m.end() and m.start() < b for a, b in base)
+        out.append(sorted(m.span() for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in hits and clear(m)))
+    return out
+
+
+PII_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
+
+def term_spans(row):
+    return sorted((int(a), int(b)) for kind, a, b in (s.split(":") for s in row.spans.split(",") if s) if kind == "term")
+
+
+def test_pii_terms_like_the_definition(spark, words):
+    """Every term span of a corpus with people, their words, copies and near copies against a plain version."""
+    for seed in range(3):
+        r = random.Random(seed)
+        people = [(f"p{k}@mail{k % 3}.org", [r.choice(words) for _ in range(3)]) for k in range(12)]
+        texts = []
+        for _ in range(120):
+            text = prose(words[:200], r.random(), r.randint(20, 60)).split(" ")
+            for mail, own in r.sample(people, r.choice([0, 1, 1, 2])):
+                text[r.randrange(len(text))] = mail
+                text[r.randrange(len(text))] = r.choice(own).capitalize()
+            texts.append(" ".join(text))
+        texts += r.sample(texts, 10) + [edited(t, words, k, 0.02) for k, t in enumerate(r.sample(texts, 6))] + [None, "", "p1@mail1.org", "p1@mail1.org p2@mail2.org"]
+        want = plain_terms(texts)
+        got = {x.doc_id: term_spans(x) for x in pii.find_pii(frame(spark, texts)).collect()}
+        assert sum(map(len, want)) > 20
+        assert [got[k] for k in range(len(texts))] == want
+
+
+def test_pii_copies_are_no_evidence(spark, words):
+    """Copies and near copies of a letter say nothing about its address; two different letters do."""
+    letter = lambda k: f"{prose(words, k, 60)} quetzal {prose(words, k + 50, 60)} jo@x.org {prose(words, k + 99, 40)}"
+    rest = [prose(words, 500 + k, 40) for k in range(80)]
+    count = lambda texts: {x.doc_id: x.n_term for x in pii.find_pii(frame(spark, texts)).collect()}
+    copies = [letter(1)] * 4 + [edited(letter(1), words, k, 0.03) for k in range(4)]
+    assert not any(count(copies + rest).values())
+    two = count([letter(1), letter(2), letter(1), *rest])
+    assert two[0] == two[1] == two[2] == 1
+
+
+def test_pii_of_long_lists(spark, words):
+    """Thousands of addresses that recur together are one group: the words of their texts are counted once, and not once for each."""
+    mails = " ".join(f"a{k}@b{k % 7}.com" for k in range(5000))
+    texts = [f"{prose(words, k, 3000)} quetzal {mails}" for k in range(3)] + [prose(words, 100 + k, 50) for k in range(60)]
+    df = frame(spark, texts)
+    scanned = pii.scan(df)
+    once = pii._once(scanned)
+    groups = pii._groups(once, once.count(), 2)
+    assert groups.count() == 5000 and groups.select("gid").distinct().count() == 1
+    assert pii._beside(once, groups).count() == sum(len(set(w for w in re.findall(r"[a-z]{3,}", t))) for t in texts[:3])
+    got = {x.doc_id: x for x in pii.find_pii(df).collect()}
+    assert got[0].n_email == 5000 and got[0].n_term >= 1 and got[30].n_term == 0
