@@ -225,9 +225,14 @@ def plain_terms(texts, alpha=1.5, support=2, z=1.64):
     entities = {t: {m[0].lower() for m in re.finditer(PII_EMAIL, t)} for t in once}
     n_e, n_t = Counter(e for t in once for e in entities[t]), Counter(w for t in once for w in set(words[t]))
 
-    def near(ts):
-        sets = [set(zip(words[t], [*words[t][1:], ""])) for t in ts]
-        return len(set.intersection(*sets)) >= 0.5 * len(set.union(*sets))
+    pairs = {t: set(zip(words[t], [*words[t][1:], ""])) for t in once}
+    family = {t: k for k, t in enumerate(once)}
+    held = [t for t in once if entities[t]]
+    for _ in range(4):  # a family is what near copies connect
+        for a in held:
+            for b in held:
+                if family[b] < family[a] and 2 * len(pairs[a] & pairs[b]) >= len(pairs[a] | pairs[b]):
+                    family[a] = family[b]
 
     told = {}
     for e, n in n_e.items():
@@ -237,7 +242,7 @@ def plain_terms(texts, alpha=1.5, support=2, z=1.64):
         for w, both in Counter(w for t in texts_e for w in set(words[t])).items():
             p, m = both / n_t[w], n_t[w]
             low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
-            if both >= support and low >= (n / len(once)) ** (1 - 1 / alpha) and not near([t for t in texts_e if w in words[t]]):
+            if both >= support and low >= (n / len(once)) ** (1 - 1 / alpha) and len({family[t] for t in texts_e if w in words[t]}) > 1:
                 told.setdefault(e, set()).add(w)
     out = []
     for t in texts:
