@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.text import spread
+from lectern.sources.files import written
+
+#: df as a written table: lineage ends here, and any executor can read it again.
+saved = written
 
 #: The only letters that the contracts fold.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,27 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
     return spread(df, key) if key else df
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
-
-    Without that setting a local session, as in tests, takes a temporary folder of this machine; a cluster is refused, as its
-    executors would not see such a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a written table: lineage ends here, and any executor can read it again."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def folded(text: Column) -> Column:
     """Null as empty, A-Z in lower case and nothing else changed. Texts of ASCII alone take the faster way."""
     body = F.coalesce(text, F.lit(""))
@@ -77,9 +57,15 @@ def without(docs: DataFrame, id_col: str, digest: Column, gone: DataFrame, twice
     return unwrapped(stays, docs.columns)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has few of them; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = 200_000, most: int = 16 << 20) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows and these have few bytes, however wide one is; else joins shuffle it.
+
+    Bytes are measured as JSON, which numbers and strings exceed by little in memory; a table of too many rows is only counted.
+    """
+    if df.count() > rows:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 _kept: dict = {"key": None, "value": None}
