@@ -9,16 +9,18 @@ similarity J stay together at a token with probability J, so a pair survives a n
 binomial about J, and the mean of (1 - p u(p)) ** 12 over it is 6e-7 at 0.75 for any number of levels.
 
 Comparing in leaves is by minwise tokens and keeps what might be linked; its connected groups then come together
-with whole texts, and links are confirmed on the full sets. A group beyond ``BLOCK`` members is dealt into blocks, of which
-each two come to one task; one beyond ``LEAF`` members is confirmed leaf by leaf in the same way where that moves fewer texts. No comparison gives more rows
-than its members: members that are linked through others need no link of their own.
+with whole texts, and links are confirmed on the full sets. In a group beyond ``BLOCK`` members all are first compared with one, its hub; those that are
+linked with it are one part, and only pairs with one of the rest are still open. Open pairs are compared in blocks: the rest in blocks against each
+other and against blocks of the part, so a group whose members are linked with its hub moves its texts once, whatever its size. A group beyond ``LEAF``
+members is confirmed leaf by leaf in the same way where that moves fewer texts. No comparison gives more rows than its members: members that are
+linked through others need no link of their own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import chunks, lean, saved, small, without
@@ -292,22 +294,38 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirmed(batches):
-    """A spanning forest of the links between two blocks (or within one), confirmed on full sets."""
+    """A spanning forest of the open links of a group, confirmed on full sets: within a block, or between two; members of one part are linked already."""
 
     def rows():
         for group in _groups(batches):
-            ids, sigs, texts, side, keys = _lists(group)
+            ids, sigs, texts, side, keys, parts = _lists(group)
             sets = [s for a, b in _by_size(texts) for s in shingle_sets(texts[a:b])]
             # Texts were found by id; where an id has several, the others are not the class's own.
             own = {ids[i]: i for i in reversed(range(len(ids))) if set_key(sets[i]) == keys[i]}
-            ids, sigs, side, sets = ([c[own[d]] for d in sorted(own)] for c in (ids, sigs, side, sets))
-            linked = _Sets(len(ids))
+            ids, sigs, side, sets, parts = ([c[own[d]] for d in sorted(own)] for c in (ids, sigs, side, sets, parts))
+            linked, first = _Sets(len(ids)), {}
+            for i, part in enumerate(parts):
+                linked.join(first.setdefault(part, i), i)
             for _, i, j in _alike(_matrix(sigs), np.array(side)):
                 if linked.root(i) != linked.root(j) and similar(sets[i], sets[j]):
                     linked.join(i, j)
-            for i, doc_id in enumerate(ids):
-                if (r := linked.root(i)) != i:
-                    yield ids[r], doc_id
+                    yield ids[i], ids[j]
+
+    yield from chunks(rows(), LINKS, 16384)
+
+
+def _with_hub(batches):
+    """(hub, member) of each member of a chunk that is linked with the chunk's hub, whose side is -1."""
+
+    def rows():
+        for group in _groups(batches):
+            ids, _, texts, side, keys, _ = _lists(group)
+            sets = [s for a, b in _by_size(texts) for s in shingle_sets(texts[a:b])]
+            own = {(side[i] < 0, ids[i]): i for i in reversed(range(len(ids))) if set_key(sets[i]) == keys[i]}
+            hub = next(i for (is_hub, _), i in own.items() if is_hub)
+            for (is_hub, doc_id), i in own.items():
+                if not is_hub and doc_id != ids[hub] and similar(sets[hub], sets[i]):
+                    yield ids[hub], doc_id
 
     yield from chunks(rows(), LINKS, 16384)
 
@@ -317,14 +335,50 @@ def _grouped(df: DataFrame, key: str, run) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(lean(run, "near"), "a long, b long")
 
 
+def _dealt(number: str, size: str, block: int) -> Column:
+    """A member's block, one of as many as its size needs."""
+    return F.pmod(F.xxhash64(number, F.lit("block")), F.ceil(F.col(size) / block)).cast("int")
+
+
 def _in_blocks(units: DataFrame, block: int) -> DataFrame:
     """(pair, doc_id, side) of units (unit, doc_id, size): a unit's members in blocks of about ``block``, and a pair key for each two blocks, a block with itself among them."""
-    many = F.ceil(F.col("size") / block).cast("int")
-    dealt = units.withColumn("_n", many).withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("_n")).cast("int"))
+    dealt = units.withColumn("_n", F.ceil(F.col("size") / block).cast("int")).withColumn("side", _dealt("doc_id", "size", block))
     each = dealt.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return each.select(F.xxhash64("unit", F.least("side", "_k"), F.greatest("side", "_k")).alias("pair"), "doc_id", "side")
 
 
+def _open_blocks(units: DataFrame, block: int) -> DataFrame:
+    """(pair, doc_id, side, part) of units (unit, doc_id, size, part, rest): blocks of the rest (those of no part) in pairs with each other and with the blocks of the part.
+
+    rest is how many members of the unit are of no part; without any, the unit has no open pair.
+    """
+    n_rest, n_part = F.ceil(F.col("rest") / block).cast("int"), F.ceil((F.col("size") - F.col("rest")) / block).cast("int")
+    rows = units.filter("rest > 0").withColumns({"_r": n_rest, "_p": n_part})
+    loose = F.col("part").isNull()
+    place = lambda n: F.pmod(F.xxhash64("doc_id", F.lit("block")), n).cast("int")
+    rows = rows.withColumn("side", F.when(loose, place(F.col("_r"))).otherwise(F.col("_r") + place(F.greatest("_p", F.lit(1)))))
+    last = F.when(loose, F.col("_r") + F.col("_p") - 1).otherwise(F.col("_r") - 1)
+    each = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), last)))
+    return each.select(F.xxhash64("unit", F.least("side", "_k"), F.greatest("side", "_k")).alias("pair"), "doc_id", "side", F.coalesce("part", "doc_id").alias("part"))
+
+
+def _hubs(members: DataFrame, maybe: DataFrame, whole, block: int) -> DataFrame:
+    """(unit, doc_id, size, part) of members (unit, doc_id, size) of large units: part is the unit's hub where that is linked with the member, else null; a written table.
+
+    The hub is the member of the most candidate pairs. Members come to it in chunks of ``block``, each with a copy of the hub.
+    """
+    degree = maybe.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "doc_id", "left")
+    hub = saved(ranked.groupBy("unit", "size").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "doc_id"))["doc_id"].alias("hub")))
+    chunk = lambda k: F.xxhash64("unit", k).alias("pair")
+    each = members.select(chunk(_dealt("doc_id", "size", block)), "doc_id", F.lit(0).alias("side"))
+    copies = hub.withColumn("_k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)))
+    asked = each.unionByName(copies.select(chunk(F.col("_k")), F.col("hub").alias("doc_id"), F.lit(-1).alias("side"))).withColumn("part", F.col("doc_id"))
+    near = saved(_grouped(whole(asked), "pair", _with_hub))
+    linked = near.select(F.col("b").alias("doc_id"), F.col("a").alias("part")).unionByName(hub.select(F.col("hub").alias("doc_id"), F.col("hub").alias("part")))
+    return saved(members.join(linked, "doc_id", "left"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, trees: int, leaf: int, block: int) -> DataFrame:
     """(doc_id, digest, n_shingles, linked, component_id) of each row; linked is a number that the rows of a component share, null where a row is linked with nothing by rule."""
     signed = signatures(docs, id_col, text_col, trees)
@@ -335,20 +389,39 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, trees: int, leaf: int, bl
     reps = saved(classes.select(F.col("first.uid").alias("doc_id"), F.col("first.doc_id").alias("first_id"), "key1", "key2", "n_shingles", "copies", "roots", "sig"))
     leaf_rows = saved(distinct_leaves(leaves(reps.select("doc_id", "roots", "sig"), leaf)))
     sigs = reps.select("doc_id", "sig")
-    maybe = _grouped(leaf_rows.join(sigs, "doc_id").select("node", "doc_id", "sig"), "node", _candidates)
+    maybe = saved(_grouped(leaf_rows.join(sigs, "doc_id").select("node", "doc_id", "sig"), "node", _candidates))
     groups = components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
     members = saved(groups.join(groups.groupBy("unit").agg(F.count("*").alias("size")), "unit"))
-    beyond = members.filter(F.col("size") > leaf)
-    units = members.filter(F.col("size") <= leaf).select("unit", "doc_id", "size")
-    if not beyond.isEmpty():
-        each = leaf_rows.join(beyond.select("doc_id", "unit", F.col("size").alias("all")), "doc_id")
-        moved = F.sum(F.ceil(F.col("size") / block)) >= F.col("all") * F.ceil(F.col("all") / block)
-        whole = saved(each.groupBy("unit", "all").agg(moved.alias("whole")).filter("whole").select("unit"))
-        units = units.unionByName(beyond.join(whole, "unit", "left_semi").select("unit", "doc_id", "size"))
-        units = units.unionByName(each.join(whole, "unit", "left_anti").select(F.col("node").alias("unit"), "doc_id", "size"))
     texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    full = _in_blocks(units, block).join(reps.select("doc_id", "first_id", "sig", "key1"), "doc_id").join(texts, "first_id").select("pair", "doc_id", "sig", "text", "side", "key1")
-    linked = components(_grouped(full, "pair", _confirmed)).select(F.col("node").alias("doc_id"), F.col("component").alias("linked"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        """rows (pair, doc_id, side, part) with the members' tokens, texts and keys."""
+        known = rows.join(reps.select("doc_id", "first_id", "sig", "key1"), "doc_id")
+        return known.join(texts, "first_id").select("pair", "doc_id", "sig", "text", "side", "key1", "part")
+
+    no_part = F.lit(None).cast("long").alias("part")
+    few = members.filter(F.col("size") <= block).select("unit", "doc_id", "size", no_part, F.col("size").alias("rest"))
+    parts, open_units = None, few
+    if not (many := members.filter(F.col("size") > block)).isEmpty():
+        parts = _hubs(many, maybe, whole, block)
+        rest = saved(parts.groupBy("unit").agg(F.count_if(F.col("part").isNull()).alias("rest")))
+        held = parts.join(rest, "unit").filter("rest > 0")
+        open_units = few.unionByName(held.filter(F.col("size") <= leaf).select(few.columns))
+        beyond = held.filter(F.col("size") > leaf)
+        if not beyond.isEmpty():
+            each = leaf_rows.join(beyond.select("doc_id", "unit", "part", "rest", F.col("size").alias("all")), "doc_id")
+            r, n = F.col("rest"), F.col("all")
+            in_blocks = r * F.ceil(n / block) + (n - r) * F.ceil(r / block)
+            moved = F.sum(F.ceil(F.col("size") / block)) >= in_blocks
+            at_once = saved(each.groupBy("unit", "all", "rest").agg(moved.alias("at_once")).filter("at_once").select("unit"))
+            open_units = open_units.unionByName(beyond.join(at_once, "unit", "left_semi").select(few.columns))
+            loose = F.sum(F.col("part").isNull().cast("long")).over(Window.partitionBy("node"))
+            by_leaf = each.join(at_once, "unit", "left_anti").withColumn("rest", loose)
+            open_units = open_units.unionByName(by_leaf.select(F.col("node").alias("unit"), "doc_id", "size", "part", "rest"))
+    confirmed = _grouped(whole(_open_blocks(open_units, block)), "pair", _confirmed)
+    if parts is not None:
+        confirmed = confirmed.unionByName(parts.filter("part is not null").select(F.col("part").alias("a"), F.col("doc_id").alias("b")))
+    linked = components(confirmed).select(F.col("node").alias("doc_id"), F.col("component").alias("linked"))
     named = saved(linked.join(reps.select("doc_id", "first_id"), "doc_id"))
     least = saved(named.groupBy("linked").agg(F.min("first_id").alias("component_id")))
     reached = named.join(small(least), "linked").select(F.col("doc_id").alias("rep"), "linked", "component_id")

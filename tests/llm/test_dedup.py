@@ -197,3 +197,40 @@ def test_near_repeats(spark, words):
     assert kept.columns == ["doc_id", "text", "row"]
     got = {r.row for r in kept.collect()}
     assert len(got & {1, 5}) == 1 and len(got & {9, 10}) == 1 and got - {1, 5, 9, 10} == {3, 6, 7, 8}
+
+
+@pytest.mark.parametrize("n,loose,block", [(40, 40, 7), (40, 3, 7), (41, 11, 5), (9, 0, 4), (3, 1, 256)])
+def test_open_blocks_meet_every_open_pair(spark, n, loose, block):
+    """Each pair with a member of the rest comes to one block pair, within a block or between two; pairs within the part do not."""
+    rows = [(7, i, n, None if i < loose else 99, loose) for i in range(n)]
+    units = spark.createDataFrame(rows, "unit long, doc_id long, size long, part long, rest long")
+    groups = {}
+    for r in neardup._open_blocks(units, block).collect():
+        groups.setdefault(r.pair, []).append((r.doc_id, r.side))
+    met = []
+    for members in groups.values():
+        sides = {s for _, s in members}
+        assert len(sides) <= 2 and len(members) <= 4 * block
+        met += [tuple(sorted((a, b))) for k, (a, s) in enumerate(members) for b, t in members[:k] if len(sides) == 1 or s != t]
+    pairs = {(a, b) for b in range(n) for a in range(b) if a < loose}
+    assert pairs <= set(met) and len(met) == len(set(met))
+    if loose and n > loose:
+        assert not {(a, b) for a, b in met if a >= loose} - pairs
+
+
+def test_a_large_group_of_near_copies_moves_few_texts(spark, words, monkeypatch):
+    """Six hundred near copies of one text in one group: chunks with the hub, and blocks for what is not linked with it."""
+    text = prose(words, 3, 120)
+    texts = {k: edited(text, words, k, 0.007) for k in range(600)}
+    moved, grouped = [], neardup._grouped
+
+    def counting(df, key, run):
+        if "text" in df.columns:
+            moved.append(df.count())
+        return grouped(df, key, run)
+
+    monkeypatch.setattr(neardup, "_grouped", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_groups(frame(spark, texts), block=16).collect()}
+    assert got == near_oracle(texts)
+    n = got and sum(1 for _ in set(texts.values()))
+    assert sum(moved) < 0.3 * n * n / 16  # which all blocks against all would be
