@@ -44,4 +44,10 @@ def normalize_quiet(audio: Column) -> Column:
 def wav_header(audio: Column, rate: Column) -> Column:
     """The numbers of a mono 16-bit header: rate, block_align, byte_rate, data_length, total_length."""
     data = F.size(audio).cast("long") * 2
-    return F.struct(rate.cast("int").alias("rate"), F.lit(2).alias("block_align"), (rate * 2).cast("int").alias("byte_rate"), data.alias("data_length"), (data + 44).alias("total_length"))
+    return F.struct(
+        rate.cast("int").alias("rate"),
+        F.lit(2).alias("block_align"),
+        (rate * 2).cast("int").alias("byte_rate"),
+        data.alias("data_length"),
+        (data + 44).alias("total_length")
+    )

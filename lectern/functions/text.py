@@ -102,7 +102,10 @@ def decode_references(text: Column) -> Column:
 
     def one(r: Column) -> Column:
         ten, hexa = F.regexp_extract(r, "^&#0*([0-9]*);?$", 1), F.regexp_extract(r, "^&#[xX]0*([0-9A-Fa-f]*);?$", 1)
-        number = F.when(r.rlike("^&#[xX]"), digits(hexa, 6)(F.coalesce(F.conv(hexa, 16, 10).cast("long"), F.lit(0)))).otherwise(digits(ten, 7)(F.coalesce(ten.try_cast("long"), F.lit(0))))
+        number = F.when(
+            r.rlike("^&#[xX]"),
+            digits(hexa, 6)(F.coalesce(F.conv(hexa, 16, 10).cast("long"), F.lit(0)))
+        ).otherwise(digits(ten, 7)(F.coalesce(ten.try_cast("long"), F.lit(0))))
         bare = F.regexp_extract(r, f"^&({'|'.join(BARE)})", 1)
         named = F.coalesce(F.try_element_at(known, F.substring(r, 2, 99)), F.when(bare != "", F.concat(F.try_element_at(known, bare), F.substr(r, F.length(bare) + F.lit(2)))), r)
         return F.when(r.startswith("&#"), _character(number)).otherwise(named)
@@ -131,7 +134,10 @@ def rtf_text(rtf: Column) -> Column:
     tokens = F.regexp_extract_all(rtf, F.lit(r"(?:\\u-?[0-9]+\??)+|\\u-(?![0-9])\??|\\'[0-9A-Fa-f]{2}|\\[A-Za-z]*(?:-[0-9]*|[0-9]+)? ?|[{}]|[^\\{}]+"), F.lit(0))
 
     def units(run: Column) -> Column:
-        hexes = F.transform(F.regexp_extract_all(run, F.lit(r"u-?([0-9]+)"), F.lit(1)), lambda n: F.lpad(F.hex(F.pmod(F.substring(n, -9, 9).cast("long") + F.when(F.length(n) > 9, 0).otherwise(0), F.lit(65536))), 4, "0"))
+        hexes = F.transform(
+            F.regexp_extract_all(run, F.lit(r"u-?([0-9]+)"), F.lit(1)),
+            lambda n: F.lpad(F.hex(F.pmod(F.substring(n, -9, 9).cast("long") + F.when(F.length(n) > 9, 0).otherwise(0), F.lit(65536))), 4, "0")
+        )
         paired = F.regexp_replace(F.array_join(hexes, " "), r"\b(D[89AB][0-9A-F]{2}) (D[C-F][0-9A-F]{2})\b", "$1$2")
         whole = F.regexp_replace(paired, r"(?<![0-9A-F])D[89A-F][0-9A-F]{2}(?![0-9A-F])", "FFFD")
         return F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
@@ -191,7 +197,15 @@ def sentence_array(text: Column) -> Column:
     alone = F.array(F.struct(whole.alias("text"), F.lit(0).alias("paragraph_index")))
     # The array of one array names the sentences, so that they are computed once.
     flat = F.transform(F.array(flat), lambda f: F.when((F.size(f) == 0) & (whole != ""), alone).otherwise(f))
-    return F.transform(F.get(flat, F.lit(0)), lambda s, i: F.struct(s["text"].alias("text"), words(s["text"]).alias("words"), i.cast("int").alias("global_index"), s["paragraph_index"].alias("paragraph_index")))
+    return F.transform(
+        F.get(flat, F.lit(0)),
+        lambda s, i: F.struct(
+            s["text"].alias("text"),
+            words(s["text"]).alias("words"),
+            i.cast("int").alias("global_index"),
+            s["paragraph_index"].alias("paragraph_index")
+        )
+    )
 
 
 def chunk_ranges(lengths: Column, max_chars: int = 300) -> Column:

@@ -45,7 +45,13 @@ def style_vector(jobs: DataFrame, voice_bank: DataFrame) -> DataFrame:
 def apply_speed(jobs: DataFrame, models: DataFrame) -> DataFrame:
     """jobs with their audio resampled where the model does not change speed itself."""
     own = models.select(F.col("id").alias("model_id"), F.coalesce("custom", F.lit(False)).alias("_custom"))
-    return jobs.join(own, "model_id", "left").withColumn("audio", F.when(~F.coalesce("_custom", F.lit(False)) & (F.col("speed") != 1.0), A.change_speed(F.col("audio"), F.col("speed"))).otherwise(F.col("audio"))).drop("_custom")
+    return jobs.join(own, "model_id", "left").withColumn(
+        "audio",
+        F.when(
+            ~F.coalesce("_custom", F.lit(False)) & (F.col("speed") != 1.0),
+            A.change_speed(F.col("audio"), F.col("speed"))
+        ).otherwise(F.col("audio"))
+    ).drop("_custom")
 
 
 Backend = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]

@@ -135,7 +135,15 @@ def catalogue_checks(models: DataFrame) -> DataFrame:
         named("model id repeats", models.groupBy("id").count().filter("count > 1"), "id"),
         named("name or repository missing", models.filter("coalesce(name, '') = '' or coalesce(model_id, '') = ''"), "id"),
         named("voice id repeats", voices.groupBy("model_id", "voice_id").count().filter("count > 1").select(F.concat_ws("/", "model_id", "voice_id").alias("key")), "key"),
-        named("default voice missing", models.filter("coalesce(default_voice_id, '') <> ''").join(voices.select(F.col("model_id").alias("id"), F.col("voice_id").alias("default_voice_id")), ["id", "default_voice_id"], "left_anti"), "id"),
+        named(
+            "default voice missing",
+            models.filter("coalesce(default_voice_id, '') <> ''").join(
+                voices.select(F.col("model_id").alias("id"), F.col("voice_id").alias("default_voice_id")),
+                ["id", "default_voice_id"],
+                "left_anti"
+            ),
+            "id"
+        ),
         named("language without a name", models.filter("language is not null and language not in ('', 'multi')").filter(F.try_element_at(known, "language").isNull()), "id"),
     ]
     return reduce(DataFrame.unionByName, wrong)
@@ -146,12 +154,19 @@ def asset_manifest(models: DataFrame, host: str = "https://huggingface.co/") ->
     base = F.concat(F.lit(host), F.col("model_id"))
     small = F.coalesce("custom", F.lit(False)) & ~F.lower("model_id").contains("kokoro")
     file = F.when(small, F.coalesce("model_file", F.lit("kitten_tts_nano_v0_8.onnx"))).otherwise(F.col("model_file"))
-    entries = F.array(F.struct(F.lit("repository").alias("kind"), base.alias("url")), F.struct(F.lit("model").alias("kind"), F.concat(base, F.lit("/resolve/main/"), file).alias("url")), F.struct(F.lit("voices").alias("kind"), F.when(small, F.concat(base, F.lit("/resolve/main/voices.npz"))).alias("url")))
+    entries = F.array(
+        F.struct(F.lit("repository").alias("kind"), base.alias("url")),
+        F.struct(F.lit("model").alias("kind"), F.concat(base, F.lit("/resolve/main/"), file).alias("url")),
+        F.struct(F.lit("voices").alias("kind"), F.when(small, F.concat(base, F.lit("/resolve/main/voices.npz"))).alias("url"))
+    )
     return models.select("id", F.inline(entries)).filter("url is not null")
 
 
 def catalogue_status(models: DataFrame, session: DataFrame) -> DataFrame:
     """(id, status) against a session's one row (loaded_id, selected_id, ready)."""
     one = session.limit(1)
-    status = F.when(F.coalesce(F.col("ready") & (F.col("id") == F.col("loaded_id")), F.lit(False)), "Loaded").when(F.col("id").eqNullSafe(F.col("selected_id")), "Selected").otherwise("Click to select")
+    status = F.when(
+        F.coalesce(F.col("ready") & (F.col("id") == F.col("loaded_id")), F.lit(False)),
+        "Loaded"
+    ).when(F.col("id").eqNullSafe(F.col("selected_id")), "Selected").otherwise("Click to select")
     return models.join(F.broadcast(one)).select("id", status.alias("status"))

@@ -17,9 +17,16 @@ def enrich_model(requests: DataFrame, models: DataFrame, session_model: str | No
     dim = models.select("id", F.col("name").alias("model_name"), "default_voice_id")
     found = requests.withColumnRenamed("model_id", "asked").join(dim, F.col("asked") == F.col("id"), "left")
     current = dim.filter(F.col("id") == F.lit(session_model)).select(*[F.col(c).alias(f"_{c}") for c in dim.columns])
-    both = found.join(current, F.col("id").isNull() & F.col("_id").isNotNull(), "left") if session_model else found.withColumns({f"_{c}": F.lit(None).cast("string") for c in dim.columns})
+    both = found.join(
+        current,
+        F.col("id").isNull() & F.col("_id").isNotNull(),
+        "left"
+    ) if session_model else found.withColumns({f"_{c}": F.lit(None).cast("string") for c in dim.columns})
     chosen = both.withColumns({c: F.coalesce(c, f"_{c}") for c in dim.columns}).drop(*[f"_{c}" for c in dim.columns])
-    return chosen.withColumnRenamed("id", "model_id").withColumn("error", F.when(F.col("model_id").isNull(), F.concat(F.lit("Unknown model: "), F.coalesce("asked", F.lit(""))))).drop("asked")
+    return chosen.withColumnRenamed("id", "model_id").withColumn(
+        "error",
+        F.when(F.col("model_id").isNull(), F.concat(F.lit("Unknown model: "), F.coalesce("asked", F.lit(""))))
+    ).drop("asked")
 
 
 def resolve_voice(requests: DataFrame, voices: DataFrame) -> DataFrame:
@@ -43,7 +50,10 @@ def validate_voice(requests: DataFrame) -> DataFrame:
     """requests with error for a custom voice without an address, and the address only where it is used."""
     custom = F.coalesce((F.col("model_id") == "speecht5") & (F.col("voice_id") == "custom"), F.lit(False))
     missing = custom & (F.coalesce("custom_embedding", F.lit("")) == "")
-    return requests.withColumn("error", F.when(missing, "Custom voice: paste a speaker embedding URL first.")).withColumn("custom_embedding", F.when(custom, F.col("custom_embedding")))
+    return requests.withColumn(
+        "error",
+        F.when(missing, "Custom voice: paste a speaker embedding URL first.")
+    ).withColumn("custom_embedding", F.when(custom, F.col("custom_embedding")))
 
 
 def build_jobs(requests: DataFrame, models: DataFrame, voices: DataFrame, session_model: str | None = None) -> DataFrame:
@@ -54,7 +64,18 @@ def build_jobs(requests: DataFrame, models: DataFrame, voices: DataFrame, sessio
     """
     good = resolve_voice(enrich_model(requests, models, session_model).filter("error is null"), voices)
     numbered = dense_number(good, "request_no")
-    return numbered.select(F.concat(F.lit("job-"), F.col("_n")).alias("job_id"), F.col("_n").alias("job_no"), "text", "voice_id", "voice_name", "model_id", "model_name", F.coalesce("speed", F.lit(1.0)).alias("speed"), F.lit("pending").alias("status"), "created_at")
+    return numbered.select(
+        F.concat(F.lit("job-"), F.col("_n")).alias("job_id"),
+        F.col("_n").alias("job_no"),
+        "text",
+        "voice_id",
+        "voice_name",
+        "model_id",
+        "model_name",
+        F.coalesce("speed", F.lit(1.0)).alias("speed"),
+        F.lit("pending").alias("status"),
+        "created_at"
+    )
 
 
 def latest_job_state(events: DataFrame, key: str = "job_id") -> DataFrame:
@@ -66,8 +87,15 @@ def latest_job_state(events: DataFrame, key: str = "job_id") -> DataFrame:
 def queue_counts(jobs: DataFrame, *by: str) -> DataFrame:
     """active, running and finished jobs, and the label of a queue."""
     status = F.col("status")
-    counts = jobs.groupBy(*by).agg(F.count_if(status.isin(*ACTIVE)).alias("active"), F.count_if(status == "generating").alias("running"), F.count_if(status.isin(*TERMINAL)).alias("finished"))
-    label = F.when(F.col("active") == 0, "").when(F.col("running") > 0, F.concat(F.col("running"), F.lit(" running · "), F.col("active"), F.lit(" in queue"))).otherwise(F.concat(F.col("active"), F.lit(" in queue")))
+    counts = jobs.groupBy(*by).agg(
+        F.count_if(status.isin(*ACTIVE)).alias("active"),
+        F.count_if(status == "generating").alias("running"),
+        F.count_if(status.isin(*TERMINAL)).alias("finished")
+    )
+    label = F.when(F.col("active") == 0, "").when(
+        F.col("running") > 0,
+        F.concat(F.col("running"), F.lit(" running · "), F.col("active"), F.lit(" in queue"))
+    ).otherwise(F.concat(F.col("active"), F.lit(" in queue")))
     return counts.withColumn("label", label)
 
 
@@ -99,7 +127,13 @@ def drain_order(jobs: DataFrame) -> DataFrame:
 def cancel_on_switch(jobs: DataFrame, model_id: str, now) -> DataFrame:
     """jobs after a change to model_id: pending jobs of other models are cancelled with the reason and the time."""
     hit = (F.col("status") == "pending") & (F.col("model_id") != model_id)
-    return jobs.withColumns({"status": F.when(hit, "cancelled").otherwise(F.col("status")), "error": F.when(hit, "Model changed before generation started").otherwise(F.col("error")), "completed_at": F.when(hit, now).otherwise(F.col("completed_at"))})
+    return jobs.withColumns(
+        {
+            "status": F.when(hit, "cancelled").otherwise(F.col("status")),
+            "error": F.when(hit, "Model changed before generation started").otherwise(F.col("error")),
+            "completed_at": F.when(hit, now).otherwise(F.col("completed_at"))
+        }
+    )
 
 
 def cancel_jobs(jobs: DataFrame, ids: DataFrame, now) -> DataFrame:
@@ -120,7 +154,13 @@ def apply_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return (
         jobs.join(r, "job_id", "left")
         .withColumn("_live", live)
-        .withColumns({"status": F.when(F.col("_live"), F.when(F.col("_ok"), "done").otherwise("error")).otherwise(F.col("status")), "error": F.when(F.col("_live") & ~F.col("_ok"), F.col("_message")).otherwise(F.col("error")), "completed_at": F.when(F.col("_live"), F.col("_at")).otherwise(F.col("completed_at"))})
+        .withColumns(
+            {
+                "status": F.when(F.col("_live"), F.when(F.col("_ok"), "done").otherwise("error")).otherwise(F.col("status")),
+                "error": F.when(F.col("_live") & ~F.col("_ok"), F.col("_message")).otherwise(F.col("error")),
+                "completed_at": F.when(F.col("_live"), F.col("_at")).otherwise(F.col("completed_at"))
+            }
+        )
         .drop("_ok", "_message", "_at", "_live")
     )
 
@@ -129,7 +169,11 @@ def completion_stats(jobs: DataFrame, *by: str) -> DataFrame:
     """Jobs, and mean and greatest duration in ms, of the completed ones."""
     ms = lambda c: F.unix_millis(c.cast("timestamp"))
     duration = ms(F.col("completed_at")) - ms(F.coalesce("started_at", "completed_at"))
-    return jobs.filter("completed_at is not null").withColumn("duration_ms", duration).groupBy(*by).agg(F.count("*").alias("jobs"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
+    return jobs.filter("completed_at is not null").withColumn("duration_ms", duration).groupBy(*by).agg(
+        F.count("*").alias("jobs"),
+        F.avg("duration_ms").alias("mean_ms"),
+        F.max("duration_ms").alias("max_ms")
+    )
 
 
 def buffered_index(chunks: DataFrame, key: str = "session_id") -> DataFrame:
@@ -184,4 +228,11 @@ def job_report(jobs: DataFrame, now=None) -> DataFrame:
     preview = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 100), F.lit("…"))).otherwise(text)
     elapsed = F.coalesce(half_up((F.unix_millis(now) - F.unix_millis("started_at")) / 100) / 10, F.lit(0.0)) if now is not None else F.lit(None).cast("double")
     audio = F.coalesce(F.floor(F.col("n_samples") / F.nullif("sample_rate", F.lit(0))), F.lit(0))
-    return jobs.select("job_id", preview.alias("preview"), F.when(F.col("speed") != 1.0, F.concat(F.format_string("%.2f", "speed"), F.lit("x"))).otherwise("").alias("speed_label"), elapsed.alias("elapsed_s"), F.format_string("%.1f", F.coalesce("duration_ms", F.lit(0)) / 1000.0).alias("wall_s"), audio.alias("audio_s"))
+    return jobs.select(
+        "job_id",
+        preview.alias("preview"),
+        F.when(F.col("speed") != 1.0, F.concat(F.format_string("%.2f", "speed"), F.lit("x"))).otherwise("").alias("speed_label"),
+        elapsed.alias("elapsed_s"),
+        F.format_string("%.1f", F.coalesce("duration_ms", F.lit(0)) / 1000.0).alias("wall_s"),
+        audio.alias("audio_s")
+    )

@@ -84,15 +84,37 @@ def words_to_lines(words: DataFrame) -> DataFrame:
 
 def line_blocks(grouped: DataFrame, scale: float = RENDER) -> DataFrame:
     """(doc_id, page, line_no, text, x, y, width, height): a box around each line's words, from left to right; lines from the top; blank ones dropped."""
-    boxes = grouped.groupBy("doc_id", "page", "line_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.array_join(F.array_sort(F.collect_list(F.struct("x0", "seq", "text")))["text"], " ").alias("text"))
+    boxes = grouped.groupBy("doc_id", "page", "line_id").agg(
+        *[F.min(c).alias(c) for c in ("x0", "y0")],
+        *[F.max(c).alias(c) for c in ("x1", "y1")],
+        F.array_join(F.array_sort(F.collect_list(F.struct("x0", "seq", "text")))["text"], " ").alias("text")
+    )
     order = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "line_id")) - 1
-    return boxes.filter(F.trim("text") != "").select("doc_id", "page", order.alias("line_no"), "text", (F.col("x0") / scale).alias("x"), (F.col("y0") / scale).alias("y"), ((F.col("x1") - F.col("x0")) / scale).alias("width"), ((F.col("y1") - F.col("y0")) / scale).alias("height"))
+    return boxes.filter(F.trim("text") != "").select(
+        "doc_id",
+        "page",
+        order.alias("line_no"),
+        "text",
+        (F.col("x0") / scale).alias("x"),
+        (F.col("y0") / scale).alias("y"),
+        ((F.col("x1") - F.col("x0")) / scale).alias("width"),
+        ((F.col("y1") - F.col("y0")) / scale).alias("height")
+    )
 
 
 def page_fallback(pages: DataFrame, blocks: DataFrame, scale: float = RENDER) -> DataFrame:
     """blocks, and one block over the whole page for each page (doc_id, page, text, width, height) that has text but no block."""
     bare = pages.filter(F.trim("text") != "").join(blocks, ["doc_id", "page"], "left_anti")
-    whole = bare.select("doc_id", "page", F.lit(0).alias("line_no"), F.trim("text").alias("text"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (F.col("width") / scale).alias("width"), (F.col("height") / scale).alias("height"))
+    whole = bare.select(
+        "doc_id",
+        "page",
+        F.lit(0).alias("line_no"),
+        F.trim("text").alias("text"),
+        F.lit(0.0).alias("x"),
+        F.lit(0.0).alias("y"),
+        (F.col("width") / scale).alias("width"),
+        (F.col("height") / scale).alias("height")
+    )
     return blocks.unionByName(whole)
 
 

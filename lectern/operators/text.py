@@ -42,7 +42,13 @@ def prepare_reader_data(df: DataFrame, max_chars: int = 300, id_col: str = "doc_
 
     def chunk(r, i):
         held = F.slice("sentences", r["first"] + 1, r["last"] - r["first"] + 1)
-        return F.struct(i.cast("int").alias("chunk_index"), F.array_join(held["text"], " ").alias("text"), r["first"].alias("first_sentence"), r["last"].alias("last_sentence"), F.aggregate(held, F.lit(0), lambda a, s: a + F.size(s["words"])).alias("n_words"))
+        return F.struct(
+            i.cast("int").alias("chunk_index"),
+            F.array_join(held["text"], " ").alias("text"),
+            r["first"].alias("first_sentence"),
+            r["last"].alias("last_sentence"),
+            F.aggregate(held, F.lit(0), lambda a, s: a + F.size(s["words"])).alias("n_words")
+        )
 
     return rows.select(id_col, "sentences", F.transform("ranges", chunk).alias("chunks"))
 
@@ -91,12 +97,22 @@ def parse_progress(df: DataFrame, message_col: str = "message") -> DataFrame:
 def load_progress(df: DataFrame) -> DataFrame:
     """df (loaded, total) with percent (0 without a total) and size_mb ('?' without)."""
     known = F.col("total") > 0
-    return df.withColumn("percent", F.when(known, T.half_up(F.col("loaded") / F.col("total") * 100)).otherwise(0).cast("int")).withColumn("size_mb", F.when(known, F.format_string("%.1f", F.col("total") / 1024 / 1024)).otherwise("?"))
+    return df.withColumn(
+        "percent",
+        F.when(known, T.half_up(F.col("loaded") / F.col("total") * 100)).otherwise(0).cast("int")
+    ).withColumn("size_mb", F.when(known, F.format_string("%.1f", F.col("total") / 1024 / 1024)).otherwise("?"))
 
 
 def ocr_request(df: DataFrame) -> DataFrame:
     """df (name, mime, use_ocr) with error, for a wish that the type cannot meet, and ui_ocr, the wish as an interface narrows it."""
-    error = F.when(F.col("use_ocr") & (F.col("mime") != T.MIME["pdf"]), F.concat(F.lit("OCR is only supported for PDFs; got "), F.coalesce(F.nullif("mime", F.lit("")), F.nullif(T.file_extension(F.col("name")), F.lit("")), F.lit("unknown")), F.lit(". Disable the OCR toggle for this document.")))
+    error = F.when(
+        F.col("use_ocr") & (F.col("mime") != T.MIME["pdf"]),
+        F.concat(
+            F.lit("OCR is only supported for PDFs; got "),
+            F.coalesce(F.nullif("mime", F.lit("")), F.nullif(T.file_extension(F.col("name")), F.lit("")), F.lit("unknown")),
+            F.lit(". Disable the OCR toggle for this document.")
+        )
+    )
     return df.withColumn("error", error).withColumn("ui_ocr", F.col("use_ocr") & F.lower("name").endswith(".pdf"))
 
 

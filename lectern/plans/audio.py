@@ -30,7 +30,12 @@ def speeds(spark, sf_dir):
 
 def pcm(spark, sf_dir):
     rows = _waves(spark, sf_dir).withColumn("pcm", A.pcm16(F.transform("audio", lambda x: (x * 3).cast("float"))))
-    return rows.select("vec_id", F.aggregate("pcm", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("pcm").cast("int").alias("high"), F.array_min("pcm").cast("int").alias("low"))
+    return rows.select(
+        "vec_id",
+        F.aggregate("pcm", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+        F.array_max("pcm").cast("int").alias("high"),
+        F.array_min("pcm").cast("int").alias("low")
+    )
 
 
 def wav_headers(spark, sf_dir):
@@ -45,7 +50,10 @@ def cleaned(spark, sf_dir):
 
 def quiet(spark, sf_dir):
     soft = F.transform("audio", lambda x: (x.cast("double") * F.when(F.col("vec_id") % 2 == 0, 0.125).otherwise(1.0)).cast("float"))
-    return _waves(spark, sf_dir).select("vec_id", A.normalize_quiet(soft).alias("out")).select("vec_id", F.floor(F.array_max(F.transform("out", lambda x: F.abs(x.cast("double")))) * 100000 + 0.5).cast("long").alias("peak"))
+    return _waves(spark, sf_dir).select("vec_id", A.normalize_quiet(soft).alias("out")).select(
+        "vec_id",
+        F.floor(F.array_max(F.transform("out", lambda x: F.abs(x.cast("double")))) * 100000 + 0.5).cast("long").alias("peak")
+    )
 
 
 def stitched(spark, sf_dir):
@@ -69,7 +77,10 @@ def styles(spark, sf_dir):
     bank = _waves(spark, sf_dir).select(F.concat(F.lit("voice-"), "vec_id").alias("voice_id"), F.col("audio").alias("values"))
     jobs = turns(spark, sf_dir).select("session_id", "chunk_index", F.concat(F.lit("voice-"), F.length("text") % 600).alias("voice_id"))
     out = O.style_vector(jobs, bank)
-    return out.groupBy(F.col("error").isNull().alias("found")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("style").isNotNull(), F.size("style"))), F.lit(0)).cast("long").alias("values"))
+    return out.groupBy(F.col("error").isNull().alias("found")).agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("style").isNotNull(), F.size("style"))), F.lit(0)).cast("long").alias("values")
+    )
 
 
 def speed_rule(spark, sf_dir):

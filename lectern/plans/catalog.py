@@ -47,21 +47,40 @@ def kinds_for_documents(spark, sf_dir):
 def statuses(spark, sf_dir):
     """The catalogue's status for the language that most documents have."""
     top = table(spark, sf_dir, "documents").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1)
-    session = top.select(F.concat(F.lit("mms-tts-"), F.when(F.col("lang") == "en", "eng").otherwise("deu")).alias("loaded_id"), F.lit("speecht5").alias("selected_id"), (F.col("count") > 0).alias("ready"))
+    session = top.select(
+        F.concat(F.lit("mms-tts-"), F.when(F.col("lang") == "en", "eng").otherwise("deu")).alias("loaded_id"),
+        F.lit("speecht5").alias("selected_id"),
+        (F.col("count") > 0).alias("ready")
+    )
     return O.catalogue_status(O.models_df(spark), session)
 
 
 def violations(spark, sf_dir):
     """Checks of a catalogue that has an entry for each language of the documents, some of them wrong."""
     langs = table(spark, sf_dir, "documents").select("lang").distinct()
-    extra = langs.select(F.concat(F.lit("speecht5"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))).alias("id"), F.lit("").alias("name"), F.lit("x/y").alias("model_id"), F.lit("fast").alias("category"), F.lit(None).cast("string").alias("dtype"), F.lit(1).alias("sample_rate"), F.lit(None).cast("boolean").alias("custom"), F.concat("lang", F.lit("-q")).alias("language"), F.lit(1).alias("size_mb"), F.lit(None).cast("string").alias("model_file"), F.lit("nobody").alias("default_voice_id"), F.lit(None).cast(O.models_df(spark).schema["voices"].dataType).alias("voices"))
+    extra = langs.select(
+        F.concat(F.lit("speecht5"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))).alias("id"),
+        F.lit("").alias("name"),
+        F.lit("x/y").alias("model_id"),
+        F.lit("fast").alias("category"),
+        F.lit(None).cast("string").alias("dtype"),
+        F.lit(1).alias("sample_rate"),
+        F.lit(None).cast("boolean").alias("custom"),
+        F.concat("lang", F.lit("-q")).alias("language"),
+        F.lit(1).alias("size_mb"),
+        F.lit(None).cast("string").alias("model_file"),
+        F.lit("nobody").alias("default_voice_id"),
+        F.lit(None).cast(O.models_df(spark).schema["voices"].dataType).alias("voices")
+    )
     return O.catalogue_checks(O.models_df(spark).unionByName(extra))
 
 
 QUERIES = {f.__name__: f for f in (document_languages, named_languages, english_documents, language_coverage, assets_for_documents, kinds_for_documents, statuses, violations)}
 
 _q = lambda x: "NULL" if x is None else ("true" if x is True else str(x) if isinstance(x, int) else "'" + x + "'")
-_MODELS = "(VALUES " + ", ".join(f"({', '.join(map(_q, m))}, {_q(O.VOICES[m[0]][0][0]) if m[0] in O.VOICES else 'NULL'})" for m in O.MODELS) + ") AS m(id, name, model_id, category, dtype, sample_rate, custom, language, size_mb, model_file, default_voice_id, first_voice)"
+_MODELS = "(VALUES " + ", ".join(
+    f"({', '.join(map(_q, m))}, {_q(O.VOICES[m[0]][0][0]) if m[0] in O.VOICES else 'NULL'})" for m in O.MODELS
+) + ") AS m(id, name, model_id, category, dtype, sample_rate, custom, language, size_mb, model_file, default_voice_id, first_voice)"
 _NAMES = " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in O.LANGUAGES.items())
 _REPO = "'https://huggingface.co/' || model_id"
 _SMALL = "(coalesce(custom, false) AND NOT contains(lower(model_id), 'kokoro'))"

@@ -21,7 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of jobs: (job_id, ts, seq, status, value)."""
     status = F.create_map(*[F.lit(x) for pair in JOB_STATUS.items() for x in pair])
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.coalesce(F.try_element_at(status, "event_type"), F.lit("pending")).alias("status"), "value")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+        F.coalesce(F.try_element_at(status, "event_type"), F.lit("pending")).alias("status"),
+        "value"
+    )
 
 
 JOB_STATUS = {"signup": "pending", "view": "generating", "purchase": "done", "error": "error", "click": "cancelled"}

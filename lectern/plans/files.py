@@ -15,10 +15,19 @@ from lectern.sources import files as S
 def extracted_corpus(spark, sf_dir):
     """Pages as HTML files, documents as text and Markdown files, and conversations as CSV files, through the router of formats."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), "doc_id", F.when(F.col("doc_id") % 10 == 0, ".bin").when(F.col("doc_id") % 2 == 1, ".TXT").otherwise(".md")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    texts = table(spark, sf_dir, "documents").select(
+        F.concat(
+            F.lit("/d/"),
+            "doc_id",
+            F.when(F.col("doc_id") % 10 == 0, ".bin").when(F.col("doc_id") % 2 == 1, ".TXT").otherwise(".md")
+        ).alias("path"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    )
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", "role", quoted)
-    sheets = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))["line"], "\r\n").alias("csv"))
+    sheets = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))["line"], "\r\n").alias("csv")
+    )
     sheets = sheets.select(F.concat(F.lit("/c/"), "conv_id", F.lit(".csv")).alias("path"), F.col("csv").cast("binary").alias("content"))
     out = S.extract_corpus(S.routed(pages.unionByName(texts).unionByName(sheets)))
     return out.select("path", "mime", F.sha2("text", 256).alias("sha"), F.col("error").isNotNull().alias("failed"))
@@ -38,7 +47,13 @@ def wav_files(spark, sf_dir):
     number = lambda b: F.conv(F.concat(F.hex(F.substring(b, 2, 1)), F.hex(F.substring(b, 1, 1))), 16, 10).cast("int")
     signed = lambda n: F.when(n >= 32768, n - 65536).otherwise(n)
     rows = S.wav_bytes(jobs)
-    return rows.select("job_id", F.length("wav").cast("long").alias("n_bytes"), F.hex(F.substring("wav", 1, 44)).alias("head"), signed(number(sample(45))).alias("first"), signed(number(sample("length(wav) - 1"))).alias("last"))
+    return rows.select(
+        "job_id",
+        F.length("wav").cast("long").alias("n_bytes"),
+        F.hex(F.substring("wav", 1, 44)).alias("head"),
+        signed(number(sample(45))).alias("first"),
+        signed(number(sample("length(wav) - 1"))).alias("last")
+    )
 
 
 _PACKAGE = '<p><manifest>{0}</manifest><spine>{1}</spine></p>'
@@ -57,14 +72,26 @@ def _containers(batches):
             if ext == "docx":
                 parts = {"word/document.xml": '<w:d xmlns:w="w">' + "".join(f"<w:p><w:r><w:t>{x[:3]}</w:t></w:r><w:r><w:t>{x[3:]}</w:t></w:r></w:p>" for x in lines) + "</w:d>"}
             elif ext == "odt":
-                parts = {"content.xml": '<d xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><text:h>no</text:h>' + "".join(f"<text:p>{x[:2]}<text:span>{x[2:]}</text:span></text:p>" for x in lines) + "</d>"}
+                parts = {
+                    "content.xml": '<d xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><text:h>no</text:h>' + "".join(
+                        f"<text:p>{x[:2]}<text:span>{x[2:]}</text:span></text:p>" for x in lines
+                    ) + "</d>"
+                }
             elif ext == "pptx":
                 parts = {f"ppt/slides/slide{k + 1}.xml": f'<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:t>{lines[k]}</a:t></p>' for k in reversed(n)}
             elif ext == "xlsx":
-                cells = "".join(f'<row><c t="s"><v>{k}</v></c><c t="inlineStr"><is><t>{lines[k]}</t></is></c><c><v>{k}</v></c><c t="s"><v>{k + len(lines)}</v></c></row>' for k in n)
+                cells = "".join(
+                    f'<row><c t="s"><v>{k}</v></c><c t="inlineStr"><is><t>{lines[k]}</t></is></c><c><v>{k}</v></c><c t="s"><v>{k + len(lines)}</v></c></row>' for k in n
+                )
                 parts = {"xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{x}</t></si>" for x in lines) + "</sst>", "xl/worksheets/sheet1.xml": f"<s>{cells}</s>"}
             else:
-                parts = {"META-INF/container.xml": '<c><rootfile full-path="O/p.opf"/></c>', "O/p.opf": _PACKAGE.format("".join(f'<item id="i{k}" href="c{k}.xhtml"/>' for k in n), "".join(f'<itemref idref="i{k}"/>' for k in n))}
+                parts = {
+                    "META-INF/container.xml": '<c><rootfile full-path="O/p.opf"/></c>',
+                    "O/p.opf": _PACKAGE.format(
+                        "".join(f'<item id="i{k}" href="c{k}.xhtml"/>' for k in n),
+                        "".join(f'<itemref idref="i{k}"/>' for k in n)
+                    )
+                }
                 parts |= {f"O/c{k}.xhtml": f"<html><head><title>no</title></head><body><p>{lines[k]}</p></body></html>" for k in n}
             raw = io.BytesIO()
             with zipfile.ZipFile(raw, "w") as z:
@@ -176,7 +203,10 @@ def synthesised(spark, sf_dir):
     model = F.when(F.col("session_id") % 5 == 0, "none").when(F.col("session_id") % 2 == 0, "even").otherwise("odd")
     jobs = turns(spark, sf_dir).select(F.concat_ws("-", "session_id", "chunk_index").alias("job_id"), model.alias("model_id"), "text")
     out = O.synthesize(jobs, backends)
-    return out.groupBy("model_id", "error").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("audio").isNotNull(), F.size("audio"))), F.lit(0)).cast("long").alias("samples"))
+    return out.groupBy("model_id", "error").agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("audio").isNotNull(), F.size("audio"))), F.lit(0)).cast("long").alias("samples")
+    )
 
 
 QUERIES = {

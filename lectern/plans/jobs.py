@@ -18,7 +18,9 @@ def _now():
     return F.timestamp_micros(F.lit(1_700_000_000_000_000))
 
 _MODELS = "(VALUES " + ", ".join(f"({i}, '{m[0]}', '{m[1]}', '{m[10]}')" for i, m in enumerate(catalog.MODELS)) + ") AS m(k, id, name, dv)"
-_VOICES = "(VALUES " + ", ".join(f"('{m}', {i}, '{v[0]}', '{v[1]}', {'NULL' if v[3] is None else repr(v[3])})" for m, vs in catalog.VOICES.items() for i, v in enumerate(vs)) + ") AS v(model_id, position, voice_id, name, emb)"
+_VOICES = "(VALUES " + ", ".join(
+    f"('{m}', {i}, '{v[0]}', '{v[1]}', {'NULL' if v[3] is None else repr(v[3])})" for m, vs in catalog.VOICES.items() for i, v in enumerate(vs)
+) + ") AS v(model_id, position, voice_id, name, emb)"
 
 
 def latest_states(spark, sf_dir):
@@ -31,7 +33,16 @@ def _jobs(spark, sf_dir):
     first = job_events(spark, sf_dir).groupBy("job_id").agg(F.min("ts").alias("created_at"), F.min(F.when(F.col("status") == "generating", F.col("ts"))).alias("started_at"))
     rows = last.join(first, "job_id").withColumn("model_id", F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("job_id") % 14).cast("int")))
     done = F.when(F.col("status").isin(*O.TERMINAL), F.col("ts"))
-    return rows.select("job_id", F.col("job_id").alias("job_no"), "model_id", "status", "created_at", "started_at", done.alias("completed_at"), F.lit(None).cast("string").alias("error"))
+    return rows.select(
+        "job_id",
+        F.col("job_id").alias("job_no"),
+        "model_id",
+        "status",
+        "created_at",
+        "started_at",
+        done.alias("completed_at"),
+        F.lit(None).cast("string").alias("error")
+    )
 
 
 _JOBS = f"""{EVENTS_SQL}, la AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1),
@@ -81,31 +92,63 @@ def completion(spark, sf_dir):
 
 
 def built_jobs(spark, sf_dir):
-    requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_no"), F.coalesce("props", F.lit("")).alias("text"), F.when(F.col("event_id") % 5 == 0, "gone").otherwise(F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("event_id") % 14).cast("int"))).alias("model_id"), F.when(F.col("event_id") % 3 == 0, "custom").when(F.col("event_id") % 3 == 1, "").alias("voice_id"), F.when(F.col("event_id") % 2 == 0, 1.5).alias("speed"), F.col("ts").cast("timestamp").alias("created_at"))
+    requests = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_no"),
+        F.coalesce("props", F.lit("")).alias("text"),
+        F.when(F.col("event_id") % 5 == 0, "gone").otherwise(
+            F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("event_id") % 14).cast("int"))
+        ).alias("model_id"),
+        F.when(F.col("event_id") % 3 == 0, "custom").when(F.col("event_id") % 3 == 1, "").alias("voice_id"),
+        F.when(F.col("event_id") % 2 == 0, 1.5).alias("speed"),
+        F.col("ts").cast("timestamp").alias("created_at")
+    )
     models = catalog.models_df(spark)
     return O.build_jobs(requests, models, catalog.voices_df(models), "kitten-nano").select("job_id", "model_id", "voice_id", "voice_name", "speed", "status")
 
 
 def enriched(spark, sf_dir):
-    requests = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("gone-"), F.col("event_id") % 2)).otherwise(F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("event_id") % 14).cast("int"))).alias("model_id"))
+    requests = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("gone-"), F.col("event_id") % 2)).otherwise(
+            F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("event_id") % 14).cast("int"))
+        ).alias("model_id")
+    )
     out = O.enrich_model(requests, catalog.models_df(spark))
     return out.groupBy("model_id", "model_name", "error").agg(F.count("*").alias("n"))
 
 
 def embeddings_chosen(spark, sf_dir):
     models = catalog.models_df(spark)
-    rows = table(spark, sf_dir, "events").select("event_id", F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("event_id") % 14).cast("int")).alias("model_id"), F.when(F.col("event_id") % 3 == 0, "custom").when(F.col("event_id") % 3 == 1, "none").alias("voice_id"), F.when(F.col("event_id") % 7 == 0, "https://x.example/e.bin").when(F.col("event_id") % 7 == 1, "").alias("custom_embedding"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.get(F.array(*[F.lit(i) for i in _IDS]), (F.col("event_id") % 14).cast("int")).alias("model_id"),
+        F.when(F.col("event_id") % 3 == 0, "custom").when(F.col("event_id") % 3 == 1, "none").alias("voice_id"),
+        F.when(F.col("event_id") % 7 == 0, "https://x.example/e.bin").when(F.col("event_id") % 7 == 1, "").alias("custom_embedding")
+    )
     rows = rows.join(models.select(F.col("id").alias("model_id"), "default_voice_id"), "model_id")
     return O.resolve_embedding(rows, catalog.voices_df(models)).groupBy("model_id", "embedding").agg(F.count("*").alias("n"))
 
 
 def voices_checked(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "speecht5").otherwise("kitten-nano").alias("model_id"), F.when(F.col("event_id") % 3 == 0, "custom").otherwise("cmarctic").alias("voice_id"), F.when(F.col("event_id") % 5 == 0, "https://x.example/e.bin").alias("custom_embedding"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 2 == 0, "speecht5").otherwise("kitten-nano").alias("model_id"),
+        F.when(F.col("event_id") % 3 == 0, "custom").otherwise("cmarctic").alias("voice_id"),
+        F.when(F.col("event_id") % 5 == 0, "https://x.example/e.bin").alias("custom_embedding")
+    )
     return O.validate_voice(rows).select("event_id", F.col("error").isNotNull().alias("rejected"), "custom_embedding")
 
 
 def reports(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(0.5) + (F.col("doc_id") % 4) * 0.5).alias("speed"), F.timestamp_micros(F.lit(1_699_999_000_000_000) + F.col("doc_id") * 12345).alias("started_at"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") * 400).alias("duration_ms"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") * 1000).alias("n_samples"), F.when(F.col("doc_id") % 7 > 0, 24000).alias("sample_rate"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("job_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        (F.lit(0.5) + (F.col("doc_id") % 4) * 0.5).alias("speed"),
+        F.timestamp_micros(F.lit(1_699_999_000_000_000) + F.col("doc_id") * 12345).alias("started_at"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") * 400).alias("duration_ms"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") * 1000).alias("n_samples"),
+        F.when(F.col("doc_id") % 7 > 0, 24000).alias("sample_rate")
+    )
     return O.job_report(rows, _now())
 
 
@@ -125,7 +168,12 @@ def jobs_of_sessions(spark, sf_dir):
 
 
 def stopped(spark, sf_dir):
-    jobs = turns(spark, sf_dir).select("session_id", "chunk_index", F.when(F.col("ready"), "done").otherwise("pending").alias("status"), F.lit(None).cast("timestamp").alias("completed_at"))
+    jobs = turns(spark, sf_dir).select(
+        "session_id",
+        "chunk_index",
+        F.when(F.col("ready"), "done").otherwise("pending").alias("status"),
+        F.lit(None).cast("timestamp").alias("completed_at")
+    )
     return O.stop_session(jobs, 7, _now()).select("session_id", "chunk_index", "status", F.unix_millis("completed_at").alias("completed_ms"))
 
 
@@ -147,11 +195,41 @@ def changed_jobs(spark, sf_dir):
 def correlated(spark, sf_dir):
     log = job_events(spark, sf_dir)
     requests = log.select(F.col("seq").alias("id"))
-    responses = log.select((F.col("seq") - F.col("seq") % 4).alias("id"), "seq", F.when(F.col("status") == "error", "error").when(F.col("status") == "generating", "progress").otherwise("result").alias("type"), F.concat(F.lit("m"), "seq").alias("message"))
+    responses = log.select(
+        (F.col("seq") - F.col("seq") % 4).alias("id"),
+        "seq",
+        F.when(F.col("status") == "error", "error").when(F.col("status") == "generating", "progress").otherwise("result").alias("type"),
+        F.concat(F.lit("m"), "seq").alias("message")
+    )
     return O.correlate(requests, responses)
 
 
-QUERIES = {f.__name__: f for f in (latest_states, queue_counts, newest_jobs, next_jobs, drain, switched, cancelled, unfinished, results_applied, completion, built_jobs, enriched, embeddings_chosen, voices_checked, reports, buffered, to_enqueue, jobs_of_sessions, stopped, session_lines, changed_jobs, correlated)}
+QUERIES = {
+    f.__name__: f for f in (
+        latest_states,
+        queue_counts,
+        newest_jobs,
+        next_jobs,
+        drain,
+        switched,
+        cancelled,
+        unfinished,
+        results_applied,
+        completion,
+        built_jobs,
+        enriched,
+        embeddings_chosen,
+        voices_checked,
+        reports,
+        buffered,
+        to_enqueue,
+        jobs_of_sessions,
+        stopped,
+        session_lines,
+        changed_jobs,
+        correlated
+    )
+}
 
 _MS = "(epoch_us(completed_at) // 1000)"
 _NOW_MS = "1700000000000"

@@ -11,7 +11,13 @@ _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def _items(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("path"), F.col("l_orderkey").alias("page"), *_ORDER, F.col("l_quantity").alias("y"), F.when(F.col("l_partkey") % 11 == 0, "").otherwise(F.col("l_partkey").cast("string")).alias("str"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 1000).alias("path"),
+        F.col("l_orderkey").alias("page"),
+        *_ORDER,
+        F.col("l_quantity").alias("y"),
+        F.when(F.col("l_partkey") % 11 == 0, "").otherwise(F.col("l_partkey").cast("string")).alias("str")
+    )
 
 
 def _lines(spark, sf_dir):
@@ -33,7 +39,17 @@ def assembled(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     """Items with boxes, in lines by their ship mode's place in a page."""
-    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).cast("string").alias("doc_id"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 3).alias("line_id"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").cast("string").alias("text"), F.col("l_extendedprice").alias("x0"), (F.col("l_quantity") * 10).alias("y0"), (F.col("l_extendedprice") + 8).alias("x1"), (F.col("l_quantity") * 10 + 6).alias("y1"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 1000).cast("string").alias("doc_id"),
+        F.col("l_orderkey").alias("page"),
+        (F.col("l_linenumber") % 3).alias("line_id"),
+        (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("seq"),
+        F.col("l_partkey").cast("string").alias("text"),
+        F.col("l_extendedprice").alias("x0"),
+        (F.col("l_quantity") * 10).alias("y0"),
+        (F.col("l_extendedprice") + 8).alias("x1"),
+        (F.col("l_quantity") * 10 + 6).alias("y1")
+    )
 
 
 def boxed_lines(spark, sf_dir):
@@ -43,7 +59,14 @@ def boxed_lines(spark, sf_dir):
 
 def word_lines(spark, sf_dir):
     """Boxes grouped to lines by their places, and how many lines a page has."""
-    words = _boxes(spark, sf_dir).select("doc_id", F.col("page").cast("int").alias("page"), F.lit(600.0).alias("page_height"), F.col("seq").cast("int").alias("seq"), "text", F.struct("x0", "y0", "x1", "y1").alias("bbox"))
+    words = _boxes(spark, sf_dir).select(
+        "doc_id",
+        F.col("page").cast("int").alias("page"),
+        F.lit(600.0).alias("page_height"),
+        F.col("seq").cast("int").alias("seq"),
+        "text",
+        F.struct("x0", "y0", "x1", "y1").alias("bbox")
+    )
     return O.words_to_lines(words).groupBy("doc_id", "page").agg(F.countDistinct("line_id").alias("lines"), F.count("*").alias("words"))
 
 
@@ -66,14 +89,25 @@ def ruled_lines(spark, sf_dir):
 def bare_pages(spark, sf_dir):
     """Orders as pages, of which those without lines get one block."""
     orders = table(spark, sf_dir, "orders")
-    pages = orders.select(F.floor(F.col("o_orderkey") / 1000).cast("string").alias("doc_id"), F.col("o_orderkey").alias("page"), F.concat(F.lit(" order "), "o_orderkey").alias("text"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    pages = orders.select(
+        F.floor(F.col("o_orderkey") / 1000).cast("string").alias("doc_id"),
+        F.col("o_orderkey").alias("page"),
+        F.concat(F.lit(" order "), "o_orderkey").alias("text"),
+        F.lit(612.0).alias("width"),
+        F.lit(792.0).alias("height")
+    )
     blocks = O.line_blocks(_boxes(spark, sf_dir))
     return O.page_fallback(pages, blocks).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("width") == 306).alias("whole"))
 
 
 def previews(spark, sf_dir):
     blocks = _lines(spark, sf_dir)
-    return O.layout_preview(blocks, 50).select("path", "truncated", F.size(F.from_json("blocks", "array<struct<text:string>>")).cast("long").alias("n"), F.sha2(F.array_join(F.from_json("blocks", "array<struct<text:string>>")["text"], "|"), 256).alias("sha"))
+    return O.layout_preview(blocks, 50).select(
+        "path",
+        "truncated",
+        F.size(F.from_json("blocks", "array<struct<text:string>>")).cast("long").alias("n"),
+        F.sha2(F.array_join(F.from_json("blocks", "array<struct<text:string>>")["text"], "|"), 256).alias("sha")
+    )
 
 
 QUERIES = {f.__name__: f for f in (item_lines, capped_pages, assembled, boxed_lines, word_lines, ruled_lines, bare_pages, previews)}

@@ -16,13 +16,30 @@ def _timings(spark, sf_dir):
 def _positions(spark, sf_dir):
     """Three playback positions in each turn."""
     at = F.explode(F.array(F.lit(0.0), F.lit(1.7), F.lit(1000.0))).alias("time")
-    return turns(spark, sf_dir).select(F.col("session_id").alias("doc_id"), "chunk_index", F.lit(0.5) * F.length("text") + 1.0, at).toDF("doc_id", "chunk_index", "duration", "time").withColumn("ts", F.col("chunk_index") * 2000 + F.col("time"))
+    return turns(spark, sf_dir).select(
+        F.col("session_id").alias("doc_id"),
+        "chunk_index",
+        F.lit(0.5) * F.length("text") + 1.0,
+        at
+    ).toDF("doc_id", "chunk_index", "duration", "time").withColumn("ts", F.col("chunk_index") * 2000 + F.col("time"))
 
 
 def words_at_times(spark, sf_dir):
-    rows = _timings(spark, sf_dir).select("session_id", "chunk_index", "n_words", "word_timings", F.explode(F.array(F.lit(-1.0), F.lit(0.4), F.lit(1.7), F.lit(float("nan")), F.lit(500.0))).alias("time"))
+    rows = _timings(spark, sf_dir).select(
+        "session_id",
+        "chunk_index",
+        "n_words",
+        "word_timings",
+        F.explode(F.array(F.lit(-1.0), F.lit(0.4), F.lit(1.7), F.lit(float("nan")), F.lit(500.0))).alias("time")
+    )
     rows = rows.withColumn("t", F.when(F.isnan("time"), -2).otherwise(F.floor(F.col("time") * 10 + 0.5)).cast("long"))
-    return rows.select("session_id", "chunk_index", "t", O.word_at_time(F.col("n_words"), F.col("time"), F.lit(10.0), F.col("word_timings")).alias("by_time"), O.word_at_ratio(F.col("n_words"), F.col("time"), F.lit(10.0)).alias("by_ratio"))
+    return rows.select(
+        "session_id",
+        "chunk_index",
+        "t",
+        O.word_at_time(F.col("n_words"), F.col("time"), F.lit(10.0), F.col("word_timings")).alias("by_time"),
+        O.word_at_ratio(F.col("n_words"), F.col("time"), F.lit(10.0)).alias("by_ratio")
+    )
 
 
 def asof_words(spark, sf_dir):
@@ -43,14 +60,25 @@ def _sentences(spark, sf_dir):
 def highlighted(spark, sf_dir):
     chunks = _timings(spark, sf_dir).withColumnRenamed("session_id", "doc_id")
     rows = O.highlights(_positions(spark, sf_dir), chunks, _sentences(spark, sf_dir))
-    return rows.select("doc_id", "chunk_index", F.floor(F.col("time") * 10 + 0.5).alias("t"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("word_index").cast("long").alias("word_index"))
+    return rows.select(
+        "doc_id",
+        "chunk_index",
+        F.floor(F.col("time") * 10 + 0.5).alias("t"),
+        F.col("sentence_index").cast("long").alias("sentence_index"),
+        F.col("word_index").cast("long").alias("word_index")
+    )
 
 
 def highlight_changes(spark, sf_dir):
     chunks = _timings(spark, sf_dir).withColumnRenamed("session_id", "doc_id")
     rows = O.highlights(_positions(spark, sf_dir), chunks, _sentences(spark, sf_dir))
     out = O.highlight_changes(rows, "doc_id", "ts")
-    return out.select("doc_id", F.floor(F.col("ts") * 10 + 0.5).alias("t"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("past_sentence").cast("long").alias("past_sentence"))
+    return out.select(
+        "doc_id",
+        F.floor(F.col("ts") * 10 + 0.5).alias("t"),
+        F.col("sentence_index").cast("long").alias("sentence_index"),
+        F.col("past_sentence").cast("long").alias("past_sentence")
+    )
 
 
 def timeline(spark, sf_dir):

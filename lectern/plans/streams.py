@@ -64,7 +64,14 @@ def streamed_sessions(spark, sf_dir):
 
     def event(df, name, n, seconds, message=none):
         at = F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
-        return df.select(F.col("session_id").cast("string").alias("session_id"), at.alias("ts"), F.lit(0).alias("seq"), F.lit(name).alias("event"), n.cast("int").alias("n"), message.alias("message"))
+        return df.select(
+            F.col("session_id").cast("string").alias("session_id"),
+            at.alias("ts"),
+            F.lit(0).alias("seq"),
+            F.lit(name).alias("event"),
+            n.cast("int").alias("n"),
+            message.alias("message")
+        )
 
     zero, of = F.lit(0), lambda k, n: sizes.filter(F.col("total") % k == n)
     log = event(sizes, "start", F.col("total"), zero)
@@ -98,7 +105,14 @@ def _messages(spark, sf_dir):
     text = F.concat(F.lit("m"), "seq")
     after = lambda minutes: F.col("ts") + F.expr(f"interval {minutes} minutes")
     answer = F.when(F.col("status") == "error", "error").otherwise("result")
-    row = lambda df, kind, at, type_, message: df.select("worker", F.col("seq").alias("id"), at.alias("at"), F.lit(kind).alias("kind"), type_.alias("type"), message.alias("message"))
+    row = lambda df, kind, at, type_, message: df.select(
+        "worker",
+        F.col("seq").alias("id"),
+        at.alias("at"),
+        F.lit(kind).alias("kind"),
+        type_.alias("type"),
+        message.alias("message")
+    )
     requests = row(log, "request", F.col("ts"), none, none)
     soon = row(log.filter(F.col("value") > ANSWERS), "response", after(1), answer, text)
     late = row(log.filter((F.col("value") > LATE) & (F.col("value") <= ANSWERS)), "response", after(20), answer, text)
@@ -133,7 +147,13 @@ def streamed_highlights(spark, sf_dir):
     at = F.explode(F.array(F.lit(0.0), F.lit(1.7), F.lit(6.0))).alias("time")
     positions = rows.select("doc_id", "chunk_index", at, F.when(F.col("chunk_index") % 4 == 3, 0.0).otherwise(10.0).alias("duration"))
     out = _drained(flows.highlight_stream(_arriving(positions), chunks, sentences), "append")
-    return out.select("doc_id", "chunk_index", F.floor(F.col("time") * 10 + 0.5).alias("t"), F.col("sentence_index").cast("long").alias("sentence_index"), F.col("word_index").cast("long").alias("word_index"))
+    return out.select(
+        "doc_id",
+        "chunk_index",
+        F.floor(F.col("time") * 10 + 0.5).alias("t"),
+        F.col("sentence_index").cast("long").alias("sentence_index"),
+        F.col("word_index").cast("long").alias("word_index")
+    )
 
 
 def fanned_out(spark, sf_dir):

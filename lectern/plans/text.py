@@ -42,7 +42,12 @@ ch AS (SELECT doc_id, lang, chunk_index, string_agg(text, ' ' ORDER BY global_in
 
 def prepare_by_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    rows = O.prepare_reader_data(docs, id_col="lang").select("lang", F.size("sentences").alias("s"), F.size("chunks").alias("k"), F.aggregate("sentences", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"])).alias("c"))
+    rows = O.prepare_reader_data(docs, id_col="lang").select(
+        "lang",
+        F.size("sentences").alias("s"),
+        F.size("chunks").alias("k"),
+        F.aggregate("sentences", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"])).alias("c")
+    )
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("s").alias("sentences"), F.sum("k").alias("chunks"), F.sum("c").alias("characters"))
 
 
@@ -75,7 +80,14 @@ def html_references(spark, sf_dir):
     """Pages put into markup with quoted attributes, and with references by number and by name whose characters their ids choose."""
     n = (F.col("page_id") * 37 % 20000 + 161).cast("int")
     high = (F.col("page_id") % 60 + 128512).cast("int")
-    head = F.concat(F.lit("<p title='a > b' data-x=\"it's > c\">"), F.lit("&#"), n, F.lit(";&#x"), F.hex(high), F.lit("; &amp;lt;&lt;&copy 5 &eacute;&notit;&#150;&bogus; a < b<!-- > --></p>"))
+    head = F.concat(
+        F.lit("<p title='a > b' data-x=\"it's > c\">"),
+        F.lit("&#"),
+        n,
+        F.lit(";&#x"),
+        F.hex(high),
+        F.lit("; &amp;lt;&lt;&copy 5 &eacute;&notit;&#150;&bogus; a < b<!-- > --></p>")
+    )
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.concat(head, F.coalesce("html", F.lit("")))).alias("text"))
 
 
@@ -84,7 +96,9 @@ def html_quarantine(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
     marked = rows.withColumn("error", F.when(F.col("text") == "", S.MESSAGES["html"]))
     good, bad = S.split_outcome(marked)
-    return good.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).withColumn("outcome", F.lit("good")).unionByName(bad.groupBy().agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("chars")).withColumn("outcome", F.lit("quarantine")))
+    return good.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).withColumn("outcome", F.lit("good")).unionByName(
+        bad.groupBy().agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("chars")).withColumn("outcome", F.lit("quarantine"))
+    )
 
 
 def escaped(spark, sf_dir):
@@ -111,12 +125,19 @@ def admitted(spark, sf_dir):
 
 def progress(spark, sf_dir):
     i = F.col("doc_id")
-    message = F.when(i % 4 == 0, F.concat(F.lit("Processing PDF PAGE "), i % 90, F.lit(" / "), i % 70 + 1)).when(i % 4 == 1, F.concat(F.lit("ocr page "), i, F.lit(": "), i % 101, F.lit("%"))).when(i % 4 == 2, "Extracting text").otherwise("")
+    message = F.when(
+        i % 4 == 0,
+        F.concat(F.lit("Processing PDF PAGE "), i % 90, F.lit(" / "), i % 70 + 1)
+    ).when(i % 4 == 1, F.concat(F.lit("ocr page "), i, F.lit(": "), i % 101, F.lit("%"))).when(i % 4 == 2, "Extracting text").otherwise("")
     return O.parse_progress(table(spark, sf_dir, "documents").select("doc_id", message.alias("message"))).select("doc_id", "kind", "percent")
 
 
 def loads(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("n_chars"), F.lit(0)).alias("loaded"), F.when(F.col("doc_id") % 9 == 0, 0).otherwise(F.coalesce(F.col("n_chars"), F.lit(0)) * 3 + 1000).cast("long").alias("total"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.coalesce(F.col("n_chars"), F.lit(0)).alias("loaded"),
+        F.when(F.col("doc_id") % 9 == 0, 0).otherwise(F.coalesce(F.col("n_chars"), F.lit(0)) * 3 + 1000).cast("long").alias("total")
+    )
     return O.load_progress(rows).select("doc_id", "percent", "size_mb")
 
 
@@ -143,7 +164,10 @@ def unknown_symbols(spark, sf_dir):
 
 def vocabulary_symbols(spark, sf_dir):
     """Characters of English documents as a tokenizer's JSON file, with ids by code point; how often each occurs in all documents, with its id where the file has one."""
-    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("symbol")).filter("symbol <> ''")
+    rows = table(spark, sf_dir, "documents").select(
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("symbol")
+    ).filter("symbol <> ''")
     counted = S.written(rows.groupBy("lang", "symbol").agg(F.count("*").alias("n")))
     symbols = counted.filter("lang = 'en'").agg(F.array_sort(F.collect_set("symbol")).alias("s"))  # as many as there are characters at most
     entries = F.map_from_arrays("s", F.transform("s", lambda _, i: i))
@@ -166,7 +190,31 @@ def quads(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", box.alias("b")).select("vec_id", "b.*")
 
 
-QUERIES = {f.__name__: f for f in (prepare_by_language, sentences, paragraphs, chunks, reading_view, text_gates, html_text, html_references, html_quarantine, escaped, collapsed, file_types, admitted, progress, loads, ocr_requests, symbols, unknown_symbols, vocabulary_symbols, paired_words, quads)}
+QUERIES = {
+    f.__name__: f for f in (
+        prepare_by_language,
+        sentences,
+        paragraphs,
+        chunks,
+        reading_view,
+        text_gates,
+        html_text,
+        html_references,
+        html_quarantine,
+        escaped,
+        collapsed,
+        file_types,
+        admitted,
+        progress,
+        loads,
+        ocr_requests,
+        symbols,
+        unknown_symbols,
+        vocabulary_symbols,
+        paired_words,
+        quads
+    )
+}
 
 _TYPES = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in T.MIME.items())
 _NAMES = rf"""nm AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') || ['', '.pdf', '.DOCX', '.tar.Html', '.', '.md', '.xyz'][page_id % 7 + 1] AS name FROM pages),

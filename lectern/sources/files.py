@@ -205,7 +205,9 @@ def odt_text(parts: DataFrame) -> DataFrame:
 def pptx_text(parts: DataFrame) -> DataFrame:
     """Slides by number, their runs joined by spaces."""
     number = F.regexp_extract("part", r"slide(\d+)\.xml", 1).cast("int").alias("ordinal")
-    slides = parts.filter("kind = 'run' and part like 'ppt/slides/%'").groupBy("path", number).agg(T.trim_ws(F.array_join(_ordered("sub_ordinal", "text")["text"], " ")).alias("line"))
+    slides = parts.filter("kind = 'run' and part like 'ppt/slides/%'").groupBy("path", number).agg(
+        T.trim_ws(F.array_join(_ordered("sub_ordinal", "text")["text"], " ")).alias("line")
+    )
     return _paragraphs(slides).withColumn("text", T.trim_ws(F.col("text")))
 
 

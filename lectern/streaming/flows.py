@@ -86,13 +86,29 @@ def correlate_stream(
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     # An id that is null would turn long ids into doubles on their way to Python; a failure's id is not read.
     requests, responses = (df.filter("id is not null") for df in (requests, responses))
-    asked = requests.select(worker(requests).alias("worker"), shard.alias("shard"), F.col("requested_at").alias("at"), "id", F.lit(state.REQUEST).alias("kind"), none.alias("type"), none.alias("message"))
+    asked = requests.select(
+        worker(requests).alias("worker"),
+        shard.alias("shard"),
+        F.col("requested_at").alias("at"),
+        "id",
+        F.lit(state.REQUEST).alias("kind"),
+        none.alias("type"),
+        none.alias("message")
+    )
     final = responses.filter("type <> 'progress'")
     answered = final.select(worker(final).alias("worker"), shard.alias("shard"), F.col("responded_at").alias("at"), "id", F.lit(state.RESPONSE).alias("kind"), "type", "message")
     all_rows = asked.unionByName(answered)
     if failures is not None:
         each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-        failed = failures.select(worker(failures).alias("worker"), each, F.col("failed_at").alias("at"), F.lit("0").cast(kind).alias("id"), F.lit(state.FAILURE).alias("kind"), none.alias("type"), "message")
+        failed = failures.select(
+            worker(failures).alias("worker"),
+            each,
+            F.col("failed_at").alias("at"),
+            F.lit("0").cast(kind).alias("id"),
+            F.lit(state.FAILURE).alias("kind"),
+            none.alias("type"),
+            "message"
+        )
         all_rows = all_rows.unionByName(failed)
     schema = f"worker string, id {kind}, requested_us long, outcome string, message string"
     rows = _timed(all_rows, "at", delay).groupBy("worker", "shard")

@@ -20,11 +20,28 @@ def container(**parts):
 
 
 FILES = {
-    "a.docx": container(**{"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Hel</w:t></w:r><w:r><w:t>lo</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>"}),
+    "a.docx": container(
+        **{
+            "word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Hel</w:t></w:r><w:r><w:t>lo</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>"
+        }
+    ),
     "b.odt": container(**{"content.xml": f"<office:d {O}><text:h>No</text:h><text:p>One <text:span>x</text:span></text:p><text:p> </text:p><text:p>Two</text:p></office:d>"}),
     "c.pptx": container(**{f"ppt/slides/slide{n}.xml": f"<p {A}><a:t>s{n}</a:t><a:t>t</a:t></p>" for n in (10, 2)}),
-    "d.xlsx": container(**{"xl/sharedStrings.xml": f"<sst {X}><si><t>na</t><t>me</t></si></sst>", "xl/worksheets/sheet10.xml": f'<s {X}><row><c t="s"><v>0</v></c><c><v>5</v></c></row><row><c><v> </v></c></row></s>', "xl/worksheets/sheet2.xml": f'<s {X}><row><c t="inlineStr"><is><t>in</t></is></c><c t="s"><v>9</v></c></row></s>'}),
-    "e.epub": container(**{"META-INF/container.xml": '<c><rootfile full-path="O/p.opf"/></c>', "O/p.opf": '<p><manifest><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></p>', "O/a.xhtml": "<html><head><title>t</title></head><body><p>A  a</p></body></html>", "O/b.xhtml": "<html><body>B</body></html>"}),
+    "d.xlsx": container(
+        **{
+            "xl/sharedStrings.xml": f"<sst {X}><si><t>na</t><t>me</t></si></sst>",
+            "xl/worksheets/sheet10.xml": f'<s {X}><row><c t="s"><v>0</v></c><c><v>5</v></c></row><row><c><v> </v></c></row></s>',
+            "xl/worksheets/sheet2.xml": f'<s {X}><row><c t="inlineStr"><is><t>in</t></is></c><c t="s"><v>9</v></c></row></s>'
+        }
+    ),
+    "e.epub": container(
+        **{
+            "META-INF/container.xml": '<c><rootfile full-path="O/p.opf"/></c>',
+            "O/p.opf": '<p><manifest><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></p>',
+            "O/a.xhtml": "<html><head><title>t</title></head><body><p>A  a</p></body></html>",
+            "O/b.xhtml": "<html><body>B</body></html>"
+        }
+    ),
     "f.csv": 'a,"b ""q"", c"\r\n\r\nx,y'.encode(),
     "g.html": b"<html><body><p>Hi &amp; ho</p></body></html>",
     "h.rtf": rb"{\rtf1 Fox\par Two}",
@@ -40,7 +57,20 @@ FILES = {
     "r.doc": b"\x01",
     "z.bin": b"no",
 }
-EXPECTED = {"a.docx": "Hello\n\nTwo", "b.odt": "One x\n\nTwo", "c.pptx": "s2 t\n\ns10 t", "d.xlsx": "name, 5\n\nin,", "e.epub": "B\n\nA a", "f.csv": 'a, b "q", c\n\nx, y', "g.html": "Hi & ho", "h.rtf": "Fox\nTwo", "i.txt": "plain\n text", "j.MD": "# head", "k.doc": "words here", "l.htm": "deep"}
+EXPECTED = {
+    "a.docx": "Hello\n\nTwo",
+    "b.odt": "One x\n\nTwo",
+    "c.pptx": "s2 t\n\ns10 t",
+    "d.xlsx": "name, 5\n\nin,",
+    "e.epub": "B\n\nA a",
+    "f.csv": 'a, b "q", c\n\nx, y',
+    "g.html": "Hi & ho",
+    "h.rtf": "Fox\nTwo",
+    "i.txt": "plain\n text",
+    "j.MD": "# head",
+    "k.doc": "words here",
+    "l.htm": "deep"
+}
 ERRORS = {"n.docx": S.MESSAGES["docx"], "o.pptx": S.MESSAGES["pptx"], "p.csv": S.MESSAGES["csv"], "q.rtf": S.MESSAGES["rtf"], "r.doc": S.MESSAGES["doc"]}
 
 
@@ -65,7 +95,20 @@ def test_extract(spark, corpus):
 
 @pytest.mark.parametrize(
     "text,rows",
-    [("", []), ("a,b\n", [["a", "b"]]), ("a\r\rb", [["a"], [""], ["b"]]), ('x"y,z"w', [["xy,zw"]]), ('"a""b"', [['a"b']]), ('""', []), ('"",', [["", ""]]), ('"a\nb",c', [["a\nb", "c"]]), ("a,", [["a", ""]]), ('""""', [['"']]), ('a""b', [["ab"]]), ('"open', [["open"]])],
+    [
+        ("", []),
+        ("a,b\n", [["a", "b"]]),
+        ("a\r\rb", [["a"], [""], ["b"]]),
+        ('x"y,z"w', [["xy,zw"]]),
+        ('"a""b"', [['a"b']]),
+        ('""', []),
+        ('"",', [["", ""]]),
+        ('"a\nb",c', [["a\nb", "c"]]),
+        ("a,", [["a", ""]]),
+        ('""""', [['"']]),
+        ('a""b', [["ab"]]),
+        ('"open', [["open"]])
+    ],
 )
 def test_csv(text, rows):
     assert S.csv_fields(text) == rows
@@ -116,7 +159,12 @@ def test_odd_containers(spark):
         "a.xlsx": container(**{"xl/sharedStrings.xml": f"<sst {X}><si><t>zero</t></si><si><t>one</t></si></sst>", "xl/worksheets/sheet1.xml": sheet}),
         "b.xlsx": container(**{"xl/worksheets/sheet1.xml": f"<s {X}/>"}),
         "c.pptx": container(**{"ppt/slides/slide1.xml": f"<p {A}/>"}),
-        "d.epub": container(**{"META-INF/container.xml": '<c><rootfile full-path="p.opf"/></c>', "p.opf": '<p><manifest><item id="a" href="no.xhtml"/></manifest><spine><itemref idref="a"/></spine></p>'}),
+        "d.epub": container(
+            **{
+                "META-INF/container.xml": '<c><rootfile full-path="p.opf"/></c>',
+                "p.opf": '<p><manifest><item id="a" href="no.xhtml"/></manifest><spine><itemref idref="a"/></spine></p>'
+            }
+        ),
         "e.docx": b"",
         "f.csv": b"",
         "g.txt": b"",

@@ -60,7 +60,12 @@ def test_catalogue(spark):
 
 @pytest.fixture(scope="module")
 def queue(spark):
-    rows = [(f"job-{i}", i, m, s, T0 + dt.timedelta(seconds=i), None, None, "s") for i, (m, s) in enumerate([("a", "pending"), ("a", "pending"), ("b", "pending"), ("a", "generating"), ("b", "done")], 1)]
+    rows = [
+        (f"job-{i}", i, m, s, T0 + dt.timedelta(seconds=i), None, None, "s") for i, (m, s) in enumerate(
+            [("a", "pending"), ("a", "pending"), ("b", "pending"), ("a", "generating"), ("b", "done")],
+            1
+        )
+    ]
     return spark.createDataFrame(rows, "job_id string, job_no int, model_id string, status string, created_at timestamp, completed_at timestamp, error string, session_id string")
 
 
@@ -79,11 +84,27 @@ def test_queue(spark, queue):
 
 
 def test_buffered(spark):
-    df = spark.createDataFrame([("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 0, False), ("c", 0, True), ("c", 1, True), ("d", 0, None)], "session_id string, chunk_index int, ready boolean")
+    df = spark.createDataFrame(
+        [("a", 0, True), ("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 0, False), ("c", 0, True), ("c", 1, True), ("d", 0, None)],
+        "session_id string, chunk_index int, ready boolean"
+    )
     assert {r.session_id: r.buffered_index for r in jobs.buffered_index(df).collect()} == {"a": 1, "b": -1, "c": 1, "d": -1}
 
 
-@pytest.mark.parametrize("n,time,duration,timings,word", [(6, 1.5, 6.0, [0.0, 1, 2, 3, 4, 5], 1), (6, 3.0, 6.0, [0.0, 1, 2, 3, 4, 5], 3), (10, 5.0, 10.0, None, 5), (10, 100.0, 10.0, None, 9), (10, float("nan"), 10.0, None, 0), (10, 5.0, 10.0, [0.0, 9.0], 5), (0, 1.0, 1.0, None, 0), (3, -1.0, 2.0, [0.0, 1, 2], 0), (3, float("inf"), 2.0, [0.0, 1, 2], 0)])
+@pytest.mark.parametrize(
+    "n,time,duration,timings,word",
+    [
+        (6, 1.5, 6.0, [0.0, 1, 2, 3, 4, 5], 1),
+        (6, 3.0, 6.0, [0.0, 1, 2, 3, 4, 5], 3),
+        (10, 5.0, 10.0, None, 5),
+        (10, 100.0, 10.0, None, 9),
+        (10, float("nan"), 10.0, None, 0),
+        (10, 5.0, 10.0, [0.0, 9.0], 5),
+        (0, 1.0, 1.0, None, 0),
+        (3, -1.0, 2.0, [0.0, 1, 2], 0),
+        (3, float("inf"), 2.0, [0.0, 1, 2], 0)
+    ]
+)
 def test_word_at_time(spark, n, time, duration, timings, word):
     df = spark.createDataFrame([(n, time, duration, timings and [float(x) for x in timings])], "n int, t double, d double, w array<double>")
     assert df.select(reading.word_at_time(F.col("n"), F.col("t"), F.col("d"), F.col("w"))).first()[0] == word
@@ -117,7 +138,10 @@ def test_word_lines_of_all_pages(spark, tmp_path):
 
 
 def test_lines_of_items(spark):
-    df = spark.createDataFrame([("p", 1, 0, "a", 100.0), ("p", 1, 1, "", 50.0), ("p", 1, 2, "b", 98.0), ("p", 1, 3, "c", 80.0), ("p", 2, 0, "d", 80.0)], "path string, page int, seq int, str string, y double")
+    df = spark.createDataFrame(
+        [("p", 1, 0, "a", 100.0), ("p", 1, 1, "", 50.0), ("p", 1, 2, "b", 98.0), ("p", 1, 3, "c", 80.0), ("p", 2, 0, "d", 80.0)],
+        "path string, page int, seq int, str string, y double"
+    )
     lines = layout.items_to_lines(df)
     assert layout.assemble_document(lines).first().text == "a b\n\nc\n\nd"
     kept, report = layout.cap_pages(df, 1)
@@ -145,7 +169,17 @@ def plain_lines(words):
 
 def test_words_to_lines_is_the_plain_fold(spark):
     r = random.Random(4)
-    pages = {(f"d{d}", p): [{"seq": k, "h": 600.0, "y0": (y := r.uniform(0, 200)), "y1": y + r.uniform(2, 12), "x0": r.choice([1.0, r.uniform(0, 400)])} for k in range(r.randint(1, 60))] for d in range(6) for p in range(5)}
+    pages = {
+        (f"d{d}", p): [
+            {
+                "seq": k,
+                "h": 600.0,
+                "y0": (y := r.uniform(0, 200)),
+                "y1": y + r.uniform(2, 12),
+                "x0": r.choice([1.0, r.uniform(0, 400)])
+            } for k in range(r.randint(1, 60))
+        ] for d in range(6) for p in range(5)
+    }
     rows = [(d, p, w["h"], w["seq"], "t", (w["x0"], w["y0"], w["x0"] + 5, w["y1"])) for (d, p), ws in pages.items() for w in ws]
     df = spark.createDataFrame(rows, "doc_id string, page int, page_height double, seq int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)  # so that pages span batches

@@ -25,7 +25,10 @@ def arriving(spark, path, batches, ddl):
 def drained(tmp_path, stream, mode="update"):
     """All rows that came out, in order, and the query's progress."""
     out = []
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: out.extend(b.collect())).option(
+        "checkpointLocation",
+        str(tmp_path / "c")
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     return out, query.recentProgress
 
@@ -283,7 +286,13 @@ def test_highlight_stream(spark, tmp_path):
     nan = math.nan
     rows = [[(1, 0, 0.5, 3.0), (1, 0, 2.5, 3.0), (1, 0, 1.0, 0.0), (1, 5, 1.0, 3.0)], [(2, 0, 2.9, 4.0), (2, 0, 3.0, 4.0), (2, 0, nan, 4.0), (2, 0, 1.0, nan)]]
     got = run(spark, tmp_path, rows, "doc_id int, chunk_index int, time double, duration double", lambda s: flows.highlight_stream(s, chunks, sentences), "append")
-    assert sorted((r.doc_id, str(r.time), r.sentence_index, r.word_index) for r in got) == [(1, "0.5", 0, 0), (1, "2.5", 1, 0), (2, "2.9", 4, 2), (2, "3.0", 6, 0), (2, "nan", 4, 0)]
+    assert sorted((r.doc_id, str(r.time), r.sentence_index, r.word_index) for r in got) == [
+        (1, "0.5", 0, 0),
+        (1, "2.5", 1, 0),
+        (2, "2.9", 4, 2),
+        (2, "3.0", 6, 0),
+        (2, "nan", 4, 0)
+    ]
 
 
 @pytest.mark.parametrize("text,micros", [("10 minutes", 600_000_000), ("1 day", 86_400_000_000), ("90 seconds", 90_000_000)])

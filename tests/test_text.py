@@ -41,11 +41,27 @@ def test_paragraph_index_counts_blank_pieces(spark):
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "a" * 500 + ". short."), (2, "One. Two. Three."), (3, None), (4, "x" * 90 + ". " + "y" * 90 + ".")], "doc_id int, text string")
     rows = O.chunks(df, 100).orderBy("doc_id", "chunk_index").collect()
-    assert [(r.doc_id, r.chunk_index, r.text[:3], r.first_sentence, r.last_sentence, r.n_words) for r in rows] == [(1, 0, "aaa", 0, 0, 1), (1, 1, "sho", 1, 1, 1), (2, 0, "One", 0, 2, 3), (4, 0, "xxx", 0, 0, 1), (4, 1, "yyy", 1, 1, 1)]
+    assert [(r.doc_id, r.chunk_index, r.text[:3], r.first_sentence, r.last_sentence, r.n_words) for r in rows] == [
+        (1, 0, "aaa", 0, 0, 1),
+        (1, 1, "sho", 1, 1, 1),
+        (2, 0, "One", 0, 2, 3),
+        (4, 0, "xxx", 0, 0, 1),
+        (4, 1, "yyy", 1, 1, 1)
+    ]
     assert rows[2].text == "One. Two. Three."
 
 
-@pytest.mark.parametrize("name,ext,mime", [("a.PDF", "pdf", "application/pdf"), ("x", "", "f"), (".hidden", "hidden", "f"), ("a.", "", "f"), ("a.tar.htm", "htm", "text/html"), ("n.Markdown", "markdown", "text/markdown")])
+@pytest.mark.parametrize(
+    "name,ext,mime",
+    [
+        ("a.PDF", "pdf", "application/pdf"),
+        ("x", "", "f"),
+        (".hidden", "hidden", "f"),
+        ("a.", "", "f"),
+        ("a.tar.htm", "htm", "text/html"),
+        ("n.Markdown", "markdown", "text/markdown")
+    ]
+)
 def test_types(spark, name, ext, mime):
     assert one(spark, T.file_extension(F.col("n")), n=name) == ext
     assert one(spark, T.mime_type(T.file_extension(F.col("n")), F.lit("f")), n=name) == mime
