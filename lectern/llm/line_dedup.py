@@ -45,7 +45,11 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, line_no, line) with A-Z in lower case."""
-    return _documents(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.split(folded(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    return _documents(docs, id_col, text_col).filter("doc_id is not null").select(
+        "doc_id",
+        "text_key",
+        F.posexplode(F.split(folded(F.col("text")), "\n", -1)).alias("line_no", "line")
+    )
 
 
 def _rarity(lines: DataFrame) -> bytes:
@@ -153,7 +157,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again = held.join(small(firsts), ["doc_id", "text_key", "uid"], "left").withColumn("gone", F.when(F.col("one"), F.col("gone")).otherwise(worded))
         rows = rows.join(small(twice), ["doc_id", "text_key"], "left_anti").unionByName(again.drop("uid", "one"))
     all_lines = rows.select("doc_id", F.split("text", "\n", -1).alias("all"), F.expr("coalesce(gone, cast(array() as array<int>))").alias("gone"))
-    return all_lines.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.expr("array_join(filter(all, (x, i) -> not array_contains(gone, i)), '\n')").alias("text"))
+    return all_lines.select(
+        "doc_id",
+        F.size("all").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
+        F.expr("array_join(filter(all, (x, i) -> not array_contains(gone, i)), '\n')").alias("text")
+    )
 
 
 ORACLE = r"""

@@ -127,7 +127,18 @@ def set_key(s: np.ndarray) -> int:
     return int(s.sum(dtype=np.uint64).view(np.int64))
 
 
-SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.string()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("roots", pa.list_(pa.int64())), ("sig", pa.binary())])
+SIGNED = pa.schema(
+    [
+        ("uid", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("digest", pa.string()),
+        ("n_shingles", pa.int64()),
+        ("key1", pa.int64()),
+        ("key2", pa.int64()),
+        ("roots", pa.list_(pa.int64())),
+        ("sig", pa.binary())
+    ]
+)
 
 
 def _sign(trees: int):
@@ -170,7 +181,13 @@ def leaves(reps: DataFrame, leaf: int = LEAF) -> DataFrame:
     out = held.filter(F.col("size") <= leaf).select("node", "doc_id", "size")
     chosen = F.expr(f"slice(array_sort(transform(array_except(sequence(0, {MINWISE - 1}), used), c -> struct(xxhash64(node, c) as h, c as c))), 1, {BRANCHES}).c")
     while not (large := held.filter(F.col("size") > leaf)).isEmpty():
-        branch = large.select(F.col("node").alias("parent"), F.col("size").alias("above"), "used", "doc_id", F.explode(chosen).alias("c")).join(reps.select("doc_id", "sig"), "doc_id")
+        branch = large.select(
+            F.col("node").alias("parent"),
+            F.col("size").alias("above"),
+            "used",
+            "doc_id",
+            F.explode(chosen).alias("c")
+        ).join(reps.select("doc_id", "sig"), "doc_id")
         child = F.xxhash64("parent", "c", F.expr("substring(sig, cast(2 * c + 1 as int), 2)"))
         rows = saved(branch.select("parent", "above", child.alias("node"), F.concat("used", F.array("c")).alias("used"), "doc_id"))
         sizes = saved(rows.groupBy("parent", "above", "node").agg(F.count("*").alias("size")))
@@ -451,7 +468,13 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     Rows without an id or without words stay.
     """
     found = saved(_rows(docs, id_col, text_col, trees, leaf, block).filter("linked is not null"))
-    best = saved(found.groupBy("linked").agg(F.min(F.struct("doc_id", "digest")).alias("best"), F.count("*").alias("n")).filter("n > 1").select("linked", F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest")))
+    best = saved(
+        found.groupBy("linked").agg(F.min(F.struct("doc_id", "digest")).alias("best"), F.count("*").alias("n")).filter("n > 1").select(
+            "linked",
+            F.col("best.doc_id").alias("best_id"),
+            F.col("best.digest").alias("best_digest")
+        )
+    )
     key = [F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")]
     held = found.join(small(best), "linked")
     wins = (F.col("doc_id") == F.col("best_id")) & (F.col("digest") == F.col("best_digest"))

@@ -216,7 +216,13 @@ def pack(pieces: DataFrame, length: int = LENGTH, slot: int = SLOT) -> DataFrame
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     fits = F.col("length").between(1, length)
     size = F.when(fits, F.col("length")).otherwise(F.raise_error(F.lit("a piece's length must be between 1 and the sequence length"))).cast("long")
-    state = pieces.select(F.lit(WAITS).alias("kind"), size.alias("size"), F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("offset"), F.struct(*names).alias("row"))
+    state = pieces.select(
+        F.lit(WAITS).alias("kind"),
+        size.alias("size"),
+        F.lit(0).cast("long").alias("sequence"),
+        F.lit(0).cast("long").alias("offset"),
+        F.struct(*names).alias("row")
+    )
     schema = StructType([StructField(f.name, f.dataType) for f in state.schema])  # a gap has no row
     done: list[DataFrame] = []
     whole, number = False, 0
@@ -229,7 +235,11 @@ def pack(pieces: DataFrame, length: int = LENGTH, slot: int = SLOT) -> DataFrame
         swept = dealt.groupBy("slot").applyInArrow(_swept(number, whole or slots == 1, length), schema)
         found = saved(swept)
         done.append(found.filter(F.col("kind") == PLACED))
-        now = found.agg(F.count_if(F.col("kind") == WAITS).alias("waits"), F.count_if(F.col("kind") == PLACED).alias("placed"), F.min(F.when(F.col("kind") == WAITS, F.col("size"))).alias("least")).first()
+        now = found.agg(
+            F.count_if(F.col("kind") == WAITS).alias("waits"),
+            F.count_if(F.col("kind") == PLACED).alias("placed"),
+            F.min(F.when(F.col("kind") == WAITS, F.col("size"))).alias("least")
+        ).first()
         if not now.waits:
             break
         # A gap below the smallest waiting piece is never taken. Where a round placed little, the next one opens what it needs.

@@ -38,7 +38,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Formulas: their elements stand in a line of text.
 INLINE |= set("math mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
-BLOCKS = set("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = set(
+    "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 NAMES = INLINE | LEFT_OUT | VOID | BLOCKS
 #: Elements that hold text themselves: one goes only if all of its classes are marked, not if one of several is.
 TEXTUAL = INLINE | set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dt dd figure figcaption".split())

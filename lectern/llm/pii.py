@@ -54,7 +54,10 @@ def _split(rows: DataFrame, kind: str, text: str) -> DataFrame:
     """rows with the matches of a kind and the gaps between them; both empty where the text can hold none."""
     pattern, needs = PATTERNS[kind], F.expr(NEEDS[kind].format(text))
     none = F.expr("cast(array() as array<string>)")
-    return rows.withColumn(f"{kind}_m", F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)).withColumn(f"{kind}_g", F.when(needs, F.split(text, pattern, -1)).otherwise(none))
+    return rows.withColumn(
+        f"{kind}_m",
+        F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+    ).withColumn(f"{kind}_g", F.when(needs, F.split(text, pattern, -1)).otherwise(none))
 
 
 def _spans(kind: str) -> Column:
@@ -165,7 +168,12 @@ def disclosing(scanned: DataFrame, alpha: float = ALPHA, support: int = SUPPORT)
 def _places(scanned: DataFrame, hits: DataFrame) -> DataFrame:
     """(uid, start, end, docs_with_term): every place of the terms of hits in their documents, in code points."""
     rows = scanned.join(hits.select("uid").distinct(), "uid").select("uid", F.regexp_extract_all("body", F.lit(TERM), F.lit(0)).alias("m"), F.split("body", TERM, -1).alias("g"))
-    each = rows.select("uid", F.posexplode(F.expr("arrays_zip(m, slice(g, 1, size(m)))")).alias("k", "x")).select("uid", "k", F.col("x.m").alias("word"), F.length(F.col("x")["1"]).cast("long").alias("gap"))
+    each = rows.select("uid", F.posexplode(F.expr("arrays_zip(m, slice(g, 1, size(m)))")).alias("k", "x")).select(
+        "uid",
+        "k",
+        F.col("x.m").alias("word"),
+        F.length(F.col("x")["1"]).cast("long").alias("gap")
+    )
     end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("uid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     placed = each.withColumn("end", end).select("uid", F.xxhash64(F.lower("word")).alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
     return placed.join(hits, ["uid", "term"]).drop("term")
@@ -194,11 +202,17 @@ def _found(docs: DataFrame, id_col: str, text_col: str, alpha: float, support: i
     hits = (
         _places(scanned, told)
         .groupBy("uid")
-        .agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"), F.collect_set(F.when(F.col("docs_with_term") >= GENERALISE_FROM, F.col("start"))).alias("common"))
+        .agg(
+            F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"),
+            F.collect_set(F.when(F.col("docs_with_term") >= GENERALISE_FROM, F.col("start"))).alias("common")
+        )
     )
     empty = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)"
     clear = f"filter(coalesce(terms, {empty}), t -> not exists(spans, s -> s.start < t.end and t.start < s.end))"
-    return scanned.drop("body", "entities", "terms", "bands").join(hits, "uid", "left").withColumn("terms", F.expr(clear)).withColumn("common", F.expr("coalesce(common, cast(array() as array<bigint>))"))
+    return scanned.drop("body", "entities", "terms", "bands").join(hits, "uid", "left").withColumn("terms", F.expr(clear)).withColumn(
+        "common",
+        F.expr("coalesce(common, cast(array() as array<bigint>))")
+    )
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

@@ -36,7 +36,18 @@ PLACEHOLDER = re.compile(r"example|sample|changeme|placeholder|your|xxxx|dummy",
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64()), ("live", pa.bool_())])
 SCANNED = pa.schema(
-    [("uid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.string()), ("owner", pa.string()), ("repo", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.list_(SPAN))]
+    [
+        ("uid", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("digest", pa.string()),
+        ("owner", pa.string()),
+        ("repo", pa.string()),
+        ("n_assign", pa.int64()),
+        ("n_access", pa.int64()),
+        ("n_hex", pa.int64()),
+        ("base_sha256", pa.string()),
+        ("spans", pa.list_(SPAN))
+    ]
 )
 SCANNED_DDL = "uid long, doc_id long, digest string, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long,hash:long,live:boolean>>"
 

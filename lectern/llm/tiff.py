@@ -21,7 +21,23 @@ from lectern.llm.common import chunks
 
 WIDTH = 576
 #: TIFF tags, field types and compression schemes.
-TAG = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strips": 273, "samples": 277, "rows": 278, "strip_bytes": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tiles": 324, "tile_bytes": 325}
+TAG = {
+    "width": 256,
+    "height": 257,
+    "bits": 258,
+    "compression": 259,
+    "photometric": 262,
+    "strips": 273,
+    "samples": 277,
+    "rows": 278,
+    "strip_bytes": 279,
+    "planar": 284,
+    "predictor": 317,
+    "tile_width": 322,
+    "tile_height": 323,
+    "tiles": 324,
+    "tile_bytes": 325
+}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 RAW, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
@@ -179,7 +195,16 @@ def encode(payload: bytes, width: int = WIDTH, how: dict | None = None) -> bytes
     end = 8 + sum(map(len, data))
     body = b"".join(data) + b"\0" * (end % 2)
     end += end % 2
-    one = [("width", 4, [width]), ("height", 4, [rows]), ("bits", 3, [8]), ("compression", 3, [how["compression"]]), ("photometric", 3, [1]), ("samples", 3, [1]), ("planar", 3, [1]), ("predictor", 3, [how["predictor"]])]
+    one = [
+        ("width", 4, [width]),
+        ("height", 4, [rows]),
+        ("bits", 3, [8]),
+        ("compression", 3, [how["compression"]]),
+        ("photometric", 3, [1]),
+        ("samples", 3, [1]),
+        ("planar", 3, [1]),
+        ("predictor", 3, [how["predictor"]])
+    ]
     if "tile" in how:
         one += [("tile_width", 4, [how["tile"][0]]), ("tile_height", 4, [how["tile"][1]]), ("tiles", 4, starts), ("tile_bytes", 4, [len(d) for d in data])]
     else:
@@ -254,7 +279,23 @@ def feature(samples: np.ndarray) -> str:
 
 
 PAGES = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("samples", pa.binary()), ("error", pa.string())]
+    [
+        ("doc_id", pa.int64()),
+        ("n_bytes", pa.int64()),
+        ("page", pa.int32()),
+        ("width", pa.int32()),
+        ("height", pa.int32()),
+        ("compression", pa.int32()),
+        ("predictor", pa.int32()),
+        ("payload_bytes", pa.int64()),
+        ("payload_sha256", pa.string()),
+        ("tail_crc32", pa.int64()),
+        ("media_bytes", pa.int64()),
+        ("media_sha256", pa.string()),
+        ("feature", pa.string()),
+        ("samples", pa.binary()),
+        ("error", pa.string())
+    ]
 )
 PAGES_DDL = "doc_id long, n_bytes long, page int, width int, height int, compression int, predictor int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples binary, error string"
 

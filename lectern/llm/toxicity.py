@@ -278,7 +278,10 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         yield from chunks(rows(), SCORED)
 
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return docs.select(F.col(id_col).cast("long"), held_out, F.col(text_col)).mapInArrow(lean(run, "toxicity"), "doc_id long, held_out boolean, score double, predicted int, n_segments long, segments string")
+    return docs.select(F.col(id_col).cast("long"), held_out, F.col(text_col)).mapInArrow(
+        lean(run, "toxicity"),
+        "doc_id long, held_out boolean, score double, predicted int, n_segments long, segments string"
+    )
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:

@@ -19,7 +19,20 @@ def corpus(words):
         texts[k] = edited(texts[0], words, k, (k % 6) * 0.012)
     for k in range(90, 120):  # exact copies, but for case
         texts[k] = texts[1].upper() if k % 2 else texts[1]
-    texts |= {200: None, 201: "", 202: " \n\t", 203: "one two", 204: "One  two", 205: "a b c d e", 206: "É b c d e", 207: "é b c d e", 208: prose(words, 9, 4000), 209: edited(prose(words, 9, 4000), words, 3, 0.01), 210: "x" * 50_000, 211: "x" * 50_000}
+    texts |= {
+        200: None,
+        201: "",
+        202: " \n\t",
+        203: "one two",
+        204: "One  two",
+        205: "a b c d e",
+        206: "É b c d e",
+        207: "é b c d e",
+        208: prose(words, 9, 4000),
+        209: edited(prose(words, 9, 4000), words, 3, 0.01),
+        210: "x" * 50_000,
+        211: "x" * 50_000
+    }
     return texts
 
 
@@ -59,7 +72,15 @@ def test_exact_repeats(spark):
     assert exact_dedup.drop_exact(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(30)], [(9, i) for i in range(20)] + [(None, 3), (4, 4)], [], [(random.Random(i).randint(0, 60), random.Random(-i - 1).randint(0, 60)) for i in range(50)]])
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(i, i + 1) for i in range(30)],
+        [(9, i) for i in range(20)] + [(None, 3), (4, 4)],
+        [],
+        [(random.Random(i).randint(0, 60), random.Random(-i - 1).randint(0, 60)) for i in range(50)]
+    ]
+)
 def test_components(spark, edges):
     up = {}
 
@@ -139,7 +160,13 @@ def test_near_few_equal_tokens(spark, words):
 def test_near_edges(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0
     rows = neardup.near_groups(spark.createDataFrame([(None, "a b"), (5, "a b"), (5, "a b"), (3, "A B"), (4, None)], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in rows) == [(0, 1, 0, True), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False), (5, 1, 3, False)]
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in rows) == [
+        (0, 1, 0, True),
+        (3, 1, 3, True),
+        (4, 0, 4, True),
+        (5, 1, 3, False),
+        (5, 1, 3, False)
+    ]
     kept = neardup.drop_near(frame(spark, {3: "A B", 5: "a b", 6: None}))
     assert {r.doc_id for r in kept.collect()} == {3, 6}
 
@@ -185,14 +212,32 @@ def test_lines_of_repeated_rows(spark):
     """Of rows that repeat id and text one keeps the line; rows that share an id alone are documents of their own; a null id keeps all."""
     rows = [(1, "one two\n\nthree", 1), (1, "one two\n\nthree", 2), (1, "other words", 3), (2, "One two", 4), (None, "one two", 5), (None, "one two", 6)]
     out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, text_key long")).collect()
-    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.text) for r in out) == [(0, 1, 0, "one two"), (0, 1, 0, "one two"), (1, 1, 0, "other words"), (1, 3, 0, "one two\n\nthree"), (1, 3, 2, ""), (2, 1, 1, "")]
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.text) for r in out) == [
+        (0, 1, 0, "one two"),
+        (0, 1, 0, "one two"),
+        (1, 1, 0, "other words"),
+        (1, 3, 0, "one two\n\nthree"),
+        (1, 3, 2, ""),
+        (2, 1, 1, "")
+    ]
 
 
 def test_near_repeats(spark, words):
     """A repeated id loses no other text; of rows of a group that repeat the smallest id one stays."""
     base = prose(words, 1, 60)
     near, other = edited(base, words, 3, 0.02), prose(words, 2, 60)
-    rows = [(3, base, 1), (5, near, 2), (5, other, 3), (7, other + " x", 4), (3, near, 5), (8, None, 6), (8, "", 7), (None, base, 8), (9, prose(words, 4, 30), 9), (9, prose(words, 4, 30), 10)]
+    rows = [
+        (3, base, 1),
+        (5, near, 2),
+        (5, other, 3),
+        (7, other + " x", 4),
+        (3, near, 5),
+        (8, None, 6),
+        (8, "", 7),
+        (None, base, 8),
+        (9, prose(words, 4, 30), 9),
+        (9, prose(words, 4, 30), 10)
+    ]
     kept = neardup.drop_near(spark.createDataFrame(rows, "doc_id long, text string, row long"))
     assert kept.columns == ["doc_id", "text", "row"]
     got = {r.row for r in kept.collect()}

@@ -70,7 +70,17 @@ def test_lzw(n, alphabet):
     assert data.startswith(tiff.unlzw(tiff.lzw(data)[:-2]))
 
 
-@pytest.mark.parametrize("how", [{"compression": c, "predictor": p, **part} for c in (1, 5, 8, 32773) for p in (1, 2) for part in ({"rows": 7}, {"rows": 500}, {"tile": (192, 16)}, {"tile": (640, 32)})])
+@pytest.mark.parametrize(
+    "how",
+    [
+        {"compression": c, "predictor": p, **part} for c in (1, 5, 8, 32773) for p in (1, 2) for part in (
+            {"rows": 7},
+            {"rows": 500},
+            {"tile": (192, 16)},
+            {"tile": (640, 32)}
+        )
+    ]
+)
 def test_tiff_layouts(how):
     r = random.Random(1)
     payload = bytes(r.choice(b"eta oin\xff\xff\xff") for _ in range(33 * 576))
@@ -87,11 +97,24 @@ def test_tiff_pages_and_faults(spark):
 
     def directory(at, nxt, w, h, bits, per, compression, predictor, start, size):
         tags = [(256, 3, w), (257, 3, h), (258, 3, bits), (259, 3, compression), (273, 4, start), (277, 3, per), (278, 3, h), (279, 4, size), (317, 3, predictor)]
-        return struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, v in tags) + struct.pack(">I", nxt)
+        return struct.pack(">H", len(tags)) + b"".join(
+            struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, v in tags
+        ) + struct.pack(">I", nxt)
 
     size = 2 + 9 * 12 + 4
     first = 8 + len(data[0]) + len(data[1])
-    media = struct.pack(">2sHI", b"MM", 42, first) + data[0] + data[1] + directory(first, first + size, 3, 2, 8, 3, 8, 2, 8, len(data[0])) + directory(first + size, 0, 3, 1, 16, 1, 1, 1, 8 + len(data[0]), len(data[1]))
+    media = struct.pack(">2sHI", b"MM", 42, first) + data[0] + data[1] + directory(first, first + size, 3, 2, 8, 3, 8, 2, 8, len(data[0])) + directory(
+        first + size,
+        0,
+        3,
+        1,
+        16,
+        1,
+        1,
+        1,
+        8 + len(data[0]),
+        len(data[1])
+    )
     loop = media[: first + size - 4] + struct.pack(">I", first) + media[first + size :]
     df = spark.createDataFrame([(1, media), (2, None), (3, b"nope"), (4, loop), (5, media[:-3])], "doc_id long, media binary")
     got = defaultdict(list)
@@ -206,7 +229,13 @@ def test_pages(spark):
     body = "<article><h1>T &amp; U</h1><p><b>One   two three four.<br><p>Five &lt;six&gt;\nseven<aside>buy now</aside> eight</p></article>"
     around = '<html><head><title>no</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">menu</a></li></ul></nav><div class="ad">advert</div>{}<div id="comments"><p>first!</p></div><footer>&copy; x'
     want = "T & U\nOne two three four.\nFive <six> seven\neight"
-    rows = [(k, "u", around.replace("{}", body, 1)) for k in range(20)] + [(50, "v", None), (51, None, ""), (52, "w", "<div><p>plain text</p></div>"), (53, "x", "<" * 3000), (54, "y", "<div>" * 3000 + "deep")]
+    rows = [(k, "u", around.replace("{}", body, 1)) for k in range(20)] + [
+        (50, "v", None),
+        (51, None, ""),
+        (52, "w", "<div><p>plain text</p></div>"),
+        (53, "x", "<" * 3000),
+        (54, "y", "<div>" * 3000 + "deep")
+    ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     weights = pages.fit(df)
     got = {r.page_id: r for r in pages.main_text(df, weights).collect()}
@@ -261,7 +290,10 @@ VARIANTS = [
     (f'<div class="a"><header class="entry-header"><h1>Head</h1></header><div class="b"><p>{LONG}</p></div><footer>tags</footer></div>', f"Head\n{LONG}"),
     (f'<div id="page"><header class="top"><h1>Site</h1></header><nav>menu</nav><div><h2>Head</h2><p>{LONG}</p></div><footer>x</footer></div>', f"Head\n{LONG}"),
     # Formulas stand in their line.
-    (f"<article><p>{LONG}</p><p>Let <math><mi>x</mi></math> be a number, <math><mrow><mi>y</mi><mo>=</mo><mn>2</mn></mrow></math>.</p></article>", f"{LONG}\nLet x be a number, y=2."),
+    (
+        f"<article><p>{LONG}</p><p>Let <math><mi>x</mi></math> be a number, <math><mrow><mi>y</mi><mo>=</mo><mn>2</mn></mrow></math>.</p></article>",
+        f"{LONG}\nLet x be a number, y=2."
+    ),
     # Sidebars that no class marks: prose beside an article, links where nothing is labelled.
     (f"<div><div><h3>About us</h3><p>{MORE}</p></div><article><h1>Head</h1><p>{LONG}</p></article><div><p>{MORE}</p></div></div>", f"Head\n{LONG}"),
     (f"<div><ul>{LINKS}</ul></div><div><h1>Head</h1><p>{LONG}</p><p>end</p></div><div><h3>More</h3><ul>{LINKS}</ul></div>", f"Head\n{LONG}\nend"),
@@ -271,7 +303,10 @@ VARIANTS = [
     (f'<form id="aspnet"><nav>menu</nav><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><form><label>Name</label><input></form></form>', f"Head\n{LONG}\n{LONG}"),
     (f"<main><article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article></main>", f"One\n{LONG}\nTwo\n{LONG}"),
     # Attributes that break simple patterns, upper case, references, comments.
-    (f'<ARTICLE><H1 title="a > b">A &lt; B &amp;amp; C</H1><!-- <p>no</p> --><P data-x=\'">\'>{LONG}<P>caf&eacute;&#33;<script>if (a < b) x("</p>")</script></ARTICLE>', f"A < B &amp; C\n{LONG}\ncafé!"),
+    (
+        f'<ARTICLE><H1 title="a > b">A &lt; B &amp;amp; C</H1><!-- <p>no</p> --><P data-x=\'">\'>{LONG}<P>caf&eacute;&#33;<script>if (a < b) x("</p>")</script></ARTICLE>',
+        f"A < B &amp; C\n{LONG}\ncafé!"
+    ),
     (f'<article><p>{LONG}</p><div hidden><p>no</p></div><div style="display: none">no</div><div aria-hidden="true">no</div><pre>a\n  b</pre></article>', f"{LONG}\na b"),
 ]
 
