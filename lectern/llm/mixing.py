@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import saved, unwrapped, wrapped
-from lectern.operators.jobs import dense_number
+from lectern.operators.order import dense_number
 
 #: Weights of the sources by code point, repeating, and how often a source may be repeated.
 WEIGHTS, LIMIT = (5, 2, 1), 3

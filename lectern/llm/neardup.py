@@ -453,7 +453,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, trees: int, leaf: int, bl
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): each row with the smallest id that it reaches by links.
 
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are each judged by their own text.
+    Null and empty texts have no shingles and are linked with nothing. Texts of any length count whole; a very long one is hashed alone and compared by its
+    full set. Rows that repeat an id are each judged by their own text.
     A row without an id is linked with nothing and has a null component. Other
     columns are not read, and an empty table gives an empty result.
     """

@@ -182,7 +182,8 @@ def _places(scanned: DataFrame, hits: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """One row a document: base counts and digest, and all spans with the disclosing terms.
 
-    Null text is empty; repeated ids are judged row by row; other columns are not read. Spans are in code points,
+    Null text is empty; repeated ids are judged row by row; other columns are not read. Texts of any length are scanned whole, in time that grows with their
+    length, and an empty table gives an empty result. Spans are in code points,
     end exclusive. All places of a disclosing term in a document with its entity are spans, but those inside a base span.
     A document whose words beside an entity are ordinary keeps them.
     """

@@ -148,7 +148,8 @@ def labelled_sample(labels: DataFrame, bound: int, id_col: str = "doc_id", label
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most about ``bound`` labelled documents. The sample's labels (two numbers a row) are broadcast; texts stay where they are.
 
-    Without both labels in the sample, the model knows no unit and scores every document alike.
+    Without both labels in the sample, the model knows no unit and scores every document alike. Texts are read whole, whatever their length; null and
+    empty ones teach no unit. Labels of ids that no document has, null ones and those other than 0 and 1 teach nothing, and columns other than those named are not read.
     """
     spark = docs.sparkSession
     sample = labelled_sample(labels, bound)
