@@ -409,7 +409,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, trees: int, leaf: int, bl
     maybe = saved(_grouped(leaf_rows.join(sigs, "doc_id").select("node", "doc_id", "sig"), "node", _candidates))
     groups = components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
     members = saved(groups.join(groups.groupBy("unit").agg(F.count("*").alias("size")), "unit"))
+    # Only texts of groups are needed: others stay where they are if the groups' ids are few, and are moved once at most.
+    wanted = saved(members.join(reps.select("doc_id", "first_id"), "doc_id").select("first_id").distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.join(small(wanted), "first_id", "left_semi")
+    many = members.filter(F.col("size") > block)
+    hubs = not many.isEmpty()
+    if hubs:
+        texts = saved(texts)  # read by two comparisons
 
     def whole(rows: DataFrame) -> DataFrame:
         """rows (pair, doc_id, side, part) with the members' tokens, texts and keys."""
@@ -419,7 +426,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, trees: int, leaf: int, bl
     no_part = F.lit(None).cast("long").alias("part")
     few = members.filter(F.col("size") <= block).select("unit", "doc_id", "size", no_part, F.col("size").alias("rest"))
     parts, open_units = None, few
-    if not (many := members.filter(F.col("size") > block)).isEmpty():
+    if hubs:
         parts = _hubs(many, maybe, whole, block)
         rest = saved(parts.groupBy("unit").agg(F.count_if(F.col("part").isNull()).alias("rest")))
         held = parts.join(rest, "unit").filter("rest > 0")
