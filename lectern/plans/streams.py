@@ -31,13 +31,21 @@ def _arriving(df: DataFrame, at: str | None = None) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream gives until its source is empty, with the number of their batch."""
+    """All rows that a stream gives until its source is empty, with the number of their batch.
+
+    A stateful stream keeps the number of state partitions that it starts with: twice the cluster's cores at most, as every batch has a task for each.
+    """
     spark, path = stream.sparkSession, S.scratch(stream.sparkSession)
     spark.conf.set(*flows.STATE_STORE)
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
-    started = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", S.scratch(spark))
-    started.trigger(availableNow=True).start().awaitTermination()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), 2 * spark.sparkContext.defaultParallelism)))
+        started = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", S.scratch(spark))
+        started.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     return spark.read.parquet(path)
 
 
