@@ -25,9 +25,9 @@ LENGTH = 2048
 #: Pieces and gaps that a slot sweeps at most.
 SLOT = 8192
 #: Words that a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 #: Bytes of text that a task tokenizes at a time.
-BATCH = 6_000_000
+BATCH = 1_500_000
 
 
 class Words:
