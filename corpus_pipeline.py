@@ -39,7 +39,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents with their places in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Executors hold memory of the stages before, so workers tokenize less at a time.
+    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), batch=1_500_000)
 
 
 STAGES = [

@@ -25,9 +25,9 @@ LENGTH = 2048
 #: Pieces and gaps that a slot sweeps at most.
 SLOT = 8192
 #: Words that a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 250_000
-#: Bytes of text that a task tokenizes at a time.
-BATCH = 1_500_000
+REMEMBERED = 350_000
+#: Bytes of text that a task tokenizes at a time: fewer take less memory and more time.
+BATCH = 6_000_000
 
 
 class Words:
@@ -87,17 +87,17 @@ class Words:
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _slices(texts: pa.Array):
-    """(from, to) of runs of texts with about BATCH bytes, at least one text each."""
+def _slices(texts: pa.Array, batch: int = BATCH):
+    """(from, to) of runs of texts with about batch bytes, at least one text each."""
     total = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))))
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(total, total[at] + BATCH, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(total, total[at] + batch, "right")) - 1)
         yield at, end
         at = end
 
 
-def cut(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and a final id 0, in pieces of ``length`` of which the last may be shorter.
 
     Null text is empty and gives the final id alone. Repeated rows are cut each; other columns are not read.
@@ -107,9 +107,9 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id"
         words = kept(("words", path), lambda: Words(path))
 
         def rows():
-            for batch in batches:
-                doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-                for a, b in _slices(texts):
+            for part in batches:
+                doc_ids, texts = part.column(0).to_pylist(), pc.fill_null(part.column(1), "")
+                for a, b in _slices(texts, batch):
                     ids, bounds = words.encode(texts.slice(a, b - a))
                     ended = np.zeros(len(ids) + b - a, "<u4")
                     ended[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(bounds))] = ids
@@ -251,6 +251,6 @@ def pack(pieces: DataFrame, length: int = LENGTH, slot: int = SLOT) -> DataFrame
     return places.select(*[F.col("row")[c].alias(c) for c in names], F.col("sequence").alias("sequence_id"), "offset")
 
 
-def pack_texts(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_texts(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH) -> DataFrame:
     """Every document's pieces with their places. path is the tokenizer's place, which every executor must have."""
-    return pack(saved(cut(docs, path, length, id_col, text_col)), length)
+    return pack(saved(cut(docs, path, length, id_col, text_col, batch)), length)
