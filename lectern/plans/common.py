@@ -18,6 +18,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
+#: Documents in a file of a corpus that a query writes: files stay small, whatever the table's size, as a file is one row when it is read.
+DOCUMENTS_A_FILE = 100
+
+
+def as_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Documents as text files below path, in a folder for each language."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", DOCUMENTS_A_FILE).text(path)
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of jobs: (job_id, ts, seq, status, value)."""
     status = F.create_map(*[F.lit(x) for pair in JOB_STATUS.items() for x in pair])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import audio as O
-from lectern.plans.common import TURNS_SQL, table, turns
+from lectern.plans.common import TURNS_SQL, as_files, table, turns
 from lectern.plans.text import _HTML, WS
 from lectern.sources import files as S
 
@@ -179,9 +179,8 @@ def legacy_texts(spark, sf_dir):
 
 def corpus_scan(spark, sf_dir):
     """Documents written as text files in a folder for each language, and read back as a corpus to any depth."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     path = S.scratch(spark)
-    docs.write.partitionBy("lang").text(path)
+    as_files(spark, sf_dir, path)
     texts, _ = S.split_outcome(S.extract_corpus(S.scan_corpus(spark, path)))
     lang = F.regexp_extract("path", r"lang=([^/]*)/", 1)
     return texts.groupBy(lang.alias("lang"), "mime").agg(F.sum("n_chars").alias("chars"))

@@ -243,10 +243,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table, so that what follows does not read and unzip every file again."""
+def written(df: DataFrame, **options) -> DataFrame:
+    """df as a table, so that what follows does not read and unzip every file again; options are the writer's."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -382,7 +382,7 @@ def extract_corpus(files: DataFrame, use_ocr: bool = False) -> DataFrame:
         there = F.col("found" if kind in ("docx", "odt") else "body")
         error = error.when(~F.coalesce(there, F.lit(False)) & (mime == T.MIME[kind]), MESSAGES[kind])
     for kind, message in (("pptx", "pptx_empty"), ("xlsx", "xlsx_empty"), ("csv", "csv"), ("rtf", "rtf"), ("html", "html"), ("doc", "doc")):
-        error = error.when(empty & (mime == T.MIME[kind]), MESSAGES[message])
+        error = error.when((mime == T.MIME[kind]) & empty, MESSAGES[message])
     text = F.when(F.col("error").isNull(), F.when(mime == T.MIME["pdf"], F.col("text")).otherwise(F.coalesce("text", F.lit(""))))
     done = found.withColumn("error", error).withColumn("text", text)
     return done.select("path", "name", "mime", "text", F.length("text").cast("long").alias("n_chars"), "error")

@@ -176,3 +176,35 @@ def test_odd_containers(spark):
     assert got["b.xlsx"] == (None, S.MESSAGES["xlsx_empty"]) and got["c.pptx"] == (None, S.MESSAGES["pptx_empty"])
     assert got["d.epub"] == ("", None) and got["g.txt"] == ("", None)
     assert "BadZipFile" in got["e.docx"][1] and got["f.csv"] == (None, S.MESSAGES["csv"]) and got["h.docx"] == (None, S.MESSAGES["docx"])
+
+
+def test_byte_order_marks(spark):
+    """One mark at the start of a text goes, whether or not the rest is valid UTF-8; others stay."""
+    df = spark.createDataFrame([("a.txt", b"\xef\xbb\xbfx\xff"), ("b.md", b"\xef\xbb\xbf\xef\xbb\xbf"), ("c.txt", b"\xef\xbb"), ("d.txt", b"x\xef\xbb\xbf")], "path string, content binary")
+    assert {r.path: r.text for r in S.extract_corpus(S.routed(df)).collect()} == {"a.txt": "x�", "b.md": "﻿", "c.txt": "�", "d.txt": "x﻿"}
+
+
+@pytest.fixture
+def one_file(spark, tmp_path):
+    """A table of 1000 documents in one file, as a task of a larger table has them."""
+    rows = spark.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 9 = 0, null, 'en') as lang")
+    rows.coalesce(1).write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    return str(tmp_path / "t")
+
+
+def written_files(spark, monkeypatch, query, sf_dir, tmp_path):
+    """The documents in each of the files that a query writes, and the query's rows."""
+    numbers = iter(range(99))
+    monkeypatch.setattr(S, "scratch", lambda _: str(tmp_path / f"s{next(numbers)}"))
+    rows = query(spark, sf_dir).collect()
+    return [len(p.read_bytes().splitlines()) for p in (tmp_path / "s0").rglob("*.txt")], {r.lang: r.chars for r in rows}
+
+
+CHARS = {"none": sum(len(f"text {k}\n") for k in range(0, 1000, 9)), "en": sum(len(f"text {k}\n") for k in range(1000) if k % 9)}
+
+
+def test_a_scanned_corpus_has_small_files(spark, monkeypatch, one_file, tmp_path):
+    from lectern.plans import files
+
+    sizes, chars = written_files(spark, monkeypatch, files.corpus_scan, one_file, tmp_path)
+    assert sum(sizes) == 1000 and max(sizes) <= 100 and chars == CHARS
