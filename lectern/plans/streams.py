@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.common import EVENTS_SQL, TURNS_SQL, job_events, table, turns
+from lectern.plans.common import EVENTS_SQL, TURNS_SQL, as_files, job_events, table, turns
 from lectern.sources import files as S
 from lectern.streaming import flows
 
@@ -190,9 +190,8 @@ def fanned_out(spark, sf_dir):
 
 def streamed_corpus(spark, sf_dir):
     """Documents as text files that arrive once; a second run of the stream finds nothing new."""
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     source, good, bad, check = (S.scratch(spark) for _ in range(4))
-    docs.write.partitionBy("lang").text(source)
+    as_files(spark, sf_dir, source)
     for _ in range(2):
         flows.stream_corpus(spark, source, good, bad, check).awaitTermination()
     lang = F.regexp_extract("path", r"lang=([^/]*)/", 1)

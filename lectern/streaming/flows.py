@@ -15,6 +15,9 @@ from lectern.streaming import state
 from lectern.streaming.delivery import DeliveryLog, Sink
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Rows of whole files that are read at once, and how a table of them is written.
+ROWS_AT_ONCE = 16
+BY_ROW = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 16 << 20}
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -31,8 +34,10 @@ def stream_corpus(spark: SparkSession, path: str, good: str, quarantine: str, ch
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        texts, failed = sources.split_outcome(sources.written(sources.extract_corpus(batch)))
-        texts.write.mode("overwrite").parquet(f"{good.rstrip('/')}/batch={number}")
+        # A row is a whole file: by default Parquet reads 4096 of them at once, and counts their size after a hundred. The session is the stream's own.
+        batch.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", ROWS_AT_ONCE)
+        texts, failed = sources.split_outcome(sources.written(sources.extract_corpus(batch), **BY_ROW))
+        texts.write.mode("overwrite").options(**BY_ROW).parquet(f"{good.rstrip('/')}/batch={number}")
         failed.write.mode("overwrite").parquet(f"{quarantine.rstrip('/')}/batch={number}")
 
     return stream_files(spark, path, max_files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -208,3 +208,20 @@ def test_a_scanned_corpus_has_small_files(spark, monkeypatch, one_file, tmp_path
 
     sizes, chars = written_files(spark, monkeypatch, files.corpus_scan, one_file, tmp_path)
     assert sum(sizes) == 1000 and max(sizes) <= 100 and chars == CHARS
+
+
+def test_a_streamed_corpus_has_small_files_and_reads_few_rows_at_once(spark, monkeypatch, one_file, tmp_path):
+    from lectern.plans import streams
+    from lectern.streaming import flows
+
+    seen, extract = [], S.extract_corpus
+
+    def noted(files):
+        seen.append(files.sparkSession)
+        return extract(files)
+
+    monkeypatch.setattr(S, "extract_corpus", noted)
+    sizes, chars = written_files(spark, monkeypatch, streams.streamed_corpus, one_file, tmp_path)
+    assert sum(sizes) == 1000 and max(sizes) <= 100 and chars == CHARS
+    assert seen and all(s.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(flows.ROWS_AT_ONCE) for s in seen)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
