@@ -6,11 +6,14 @@ alive and not all that ever was. Times are microseconds since 1970, timers milli
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_first = itemgetter(0)
 TERMINAL = ("done", "error", "cancelled")
 
 
@@ -185,10 +188,12 @@ REQUEST, RESPONSE, FAILURE = 0, 1, 2
 
 
 class PendingRequests(StatefulProcessor):
-    """Requests of one worker that wait for their answers.
+    """Requests of one worker's shard that wait for their answers.
 
     A final answer within the timeout ends its request, an error answer or a failure of the worker rejects it, and a timer rejects what is
     left at the deadline. An answer that comes in before its request is kept for the timeout; one for no request is dropped then.
+
+    A key's rows of a batch are applied in memory: its state is one row of what waits, read and written once a batch, with one timer at the first deadline.
     """
 
     NAMES = ["worker", "id", "requested_us", "outcome", "message"]
@@ -198,17 +203,30 @@ class PendingRequests(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", f"id {self.id_type}", "requested_us long")
-        self.early = handle.getMapState("early", f"id {self.id_type}", "us long, type string, message string")
-        self.due = handle.getMapState("due", "at long", f"ids array<{self.id_type}>")
-
-    def _wait(self, us: int, id_) -> None:
-        at = timer_at(us + self.timeout)
-        if self.due.containsKey((at,)):
-            self.due.updateValue((at,), ([*self.due.getValue((at,))[0], id_],))
-        else:
-            self.due.updateValue((at,), ([id_],))
-            self.handle.registerTimer(at)
+        ids = f"array<{self.id_type}>"
+        self.state = handle.getValueState(
+            "waiting", f"timer long, ids {ids}, us array<long>, early_ids {ids}, early_us array<long>, types array<string>, messages array<string>"
+        )
+
+    def _read(self) -> tuple[int, dict, dict]:
+        """The timer that is set, pending requests (id: time) and early answers (id: time, type, message)."""
+        if not self.state.exists():
+            return 0, {}, {}
+        timer, ids, us, early_ids, *early = self.state.get()
+        return timer, dict(zip(ids, us)), dict(zip(early_ids, zip(*early)))
+
+    def _write(self, timer: int, pending: dict, early: dict, fired: bool = False) -> None:
+        waits = [*pending.values(), *(e[0] for e in early.values())]
+        first = timer_at(min(waits) + self.timeout) if waits else 0
+        if timer and not fired and timer != first:
+            self.handle.deleteTimer(timer)
+        if first and (fired or timer != first):
+            self.handle.registerTimer(first)
+        if waits:
+            us, types, messages = ([e[k] for e in early.values()] for k in range(3))
+            self.state.update((first, list(pending), list(pending.values()), list(early), us, types, messages))
+        elif timer:
+            self.state.clear()
 
     def _answer(self, id_, requested: int, us: int, kind: str, message) -> tuple | None:
         if not requested <= us <= requested + self.timeout:
@@ -216,46 +234,47 @@ class PendingRequests(StatefulProcessor):
         return id_, requested, "rejected" if kind == "error" else "resolved", _text(message)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        timer, pending, early = self._read()
+        # Times of pending requests in order, so that a failure finds those it rejects; one that has been answered goes when it is met.
+        times = sorted((us, id_) for id_, us in pending.items())
         out = []
         for e in _ordered(rows, ["us", "kind"]):
             id_, us, done = e.id if isinstance(e.id, str) else int(e.id), int(e.us), None
             if e.kind == REQUEST:
-                if self.early.containsKey((id_,)):
-                    done = self._answer(id_, us, *self.early.getValue((id_,)))
-                    self.early.removeKey((id_,))
-                if done is None and not self.pending.containsKey((id_,)):
-                    self.pending.updateValue((id_,), (us,))
-                    self._wait(us, id_)
+                if id_ in early:
+                    done = self._answer(id_, us, *early.pop(id_))
+                if done is None and id_ not in pending:
+                    pending[id_] = us
+                    insort(times, (us, id_))
             elif e.kind == RESPONSE:
-                if self.pending.containsKey((id_,)):
-                    done = self._answer(id_, self.pending.getValue((id_,))[0], us, e.type, e.message)
+                if id_ in pending:
+                    done = self._answer(id_, pending[id_], us, e.type, e.message)
                     if done:
-                        self.pending.removeKey((id_,))
-                elif not self.early.containsKey((id_,)):
-                    self.early.updateValue((id_,), (us, e.type, _text(e.message)))
-                    self._wait(us, id_)
+                        del pending[id_]
+                elif id_ not in early:
+                    early[id_] = us, e.type, _text(e.message)
             else:
-                hit = [(i[0], r[0]) for i, r in self.pending.iterator() if r[0] <= us <= r[0] + self.timeout]
-                for i, requested in hit:
-                    self.pending.removeKey((i,))
-                    out.append((i, requested, "rejected", _text(e.message)))
+                low, high = bisect_left(times, us - self.timeout, key=_first), bisect_right(times, us, key=_first)
+                for requested, i in times[low:high]:
+                    if pending.get(i) == requested:
+                        del pending[i]
+                        out.append((i, requested, "rejected", _text(e.message)))
+                del times[low:high]
             if done:
                 out.append(done)
+        self._write(timer, pending, early)
         if out:
             yield pd.DataFrame([(key[0], *row) for row in out], columns=self.NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        for id_ in self.due.getValue((at,))[0] if self.due.containsKey((at,)) else []:
-            if self.pending.containsKey((id_,)):
-                requested = self.pending.getValue((id_,))[0]
-                if timer_at(requested + self.timeout) <= at:
-                    self.pending.removeKey((id_,))
-                    out.append((key[0], id_, requested, "rejected", "timed out"))
-            if self.early.containsKey((id_,)) and timer_at(self.early.getValue((id_,))[0] + self.timeout) <= at:
-                self.early.removeKey((id_,))
-        self.due.removeKey((at,))
+        at, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        timer, pending, early = self._read()
+        if timer != at:
+            return  # an older one
+        due = lambda us: (t := timer_at(us + self.timeout)) <= at or t < passed
+        out = [(key[0], id_, us, "rejected", "timed out") for id_, us in pending.items() if due(us)]
+        left = {id_: us for id_, us in pending.items() if not due(us)}
+        self._write(timer, left, {id_: e for id_, e in early.items() if not due(e[0])}, fired=True)
         if out:
             yield pd.DataFrame(out, columns=self.NAMES)
 

@@ -299,3 +299,13 @@ def test_highlight_stream(spark, tmp_path):
 def test_intervals(text, micros):
     assert flows._micros(text) == micros
     assert state.timer_at(1) == 1 and state.timer_at(1000) == 1 and state.timer_at(1001) == 2
+
+
+def test_waiting_requests_are_one_row_of_state_for_each_shard(spark, tmp_path):
+    """Many requests, of which every third is answered, a failure amid them, and then all of the others at their deadline; their number does not make the calls of state."""
+    ask = [("w", k, at(k), "request", None, None) for k in range(600)]
+    say = [("w", k, at(k + 1), "response", "result", f"m{k}") for k in range(0, 600, 3)]
+    got, progress = correlated(spark, tmp_path, [[*ask, *say, ("w", None, at(299), "failure", None, "crashed")], [("w", 9999, at(9000), "request", None, None)]])
+    assert got == {("w", k): ("resolved", f"m{k}") if k % 3 == 0 else ("rejected", "crashed" if k < 300 else "timed out") for k in range(600)}
+    rows = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    assert max(rows) <= 16 * 3
