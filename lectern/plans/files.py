@@ -214,7 +214,7 @@ QUERIES = {
 }
 ORACLES = {
     "extracted_corpus": f"""WITH {_HTML}
-SELECT '/p/' || page_id || '.html' AS path, 'text/html' AS mime, CASE WHEN text <> '' THEN sha256(text) END AS sha, text = '' AS failed FROM ht
+SELECT '/p/' || page_id || '.html' AS path, 'text/html' AS mime, CASE WHEN text <> '' THEN sha256(text) END AS sha, coalesce(text, '') = '' AS failed FROM ht
 UNION ALL SELECT '/d/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.bin' WHEN doc_id % 2 = 1 THEN '.TXT' ELSE '.md' END, CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 2 = 1 THEN 'text/plain' ELSE 'text/markdown' END, CASE WHEN doc_id % 10 <> 0 THEN sha256(coalesce(text, '')) END, doc_id % 10 = 0 FROM documents
 UNION ALL SELECT '/c/' || conv_id || '.csv', 'text/csv', sha256(string_agg(role || ', ' || coalesce(text, ''), chr(10) ORDER BY turn)), false FROM conversations GROUP BY conv_id""",
     "office_texts": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9. \n]', '', 'g'), chr(10)) AS ls FROM documents),

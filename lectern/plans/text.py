@@ -94,7 +94,7 @@ def html_references(spark, sf_dir):
 def html_quarantine(spark, sf_dir):
     """Pages as extracted, by whether they gave text."""
     rows = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
-    marked = rows.withColumn("error", F.when(F.col("text") == "", S.MESSAGES["html"]))
+    marked = rows.withColumn("error", F.when(F.coalesce("text", F.lit("")) == "", S.MESSAGES["html"]))
     good, bad = S.split_outcome(marked)
     return good.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).withColumn("outcome", F.lit("good")).unionByName(
         bad.groupBy().agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("chars")).withColumn("outcome", F.lit("quarantine"))
@@ -220,9 +220,27 @@ _TYPES = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in T.MIME.items())
 _NAMES = rf"""nm AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') || ['', '.pdf', '.DOCX', '.tar.Html', '.', '.md', '.xyz'][page_id % 7 + 1] AS name FROM pages),
 ty AS (SELECT page_id, name, CASE WHEN instr(name, '.') = 0 THEN '' ELSE lower(regexp_extract(name, '([^.]*)$', 1)) END AS ext FROM nm),
 ft AS (SELECT page_id, name, ext, CASE ext {_TYPES} ELSE 'application/octet-stream' END AS mime FROM ty)"""
-#: The given pages have no > in attributes and four named references; SQL for just that.
-_HTML = rf"""bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<title>.*?</title>|<style>.*?</style>|<script>.*?</script>|<noscript>.*?</noscript>', '', 'g'), '(?s)<[a-zA-Z/!][^>]*(>|$)', '', 'g') AS h FROM pages),
-ht AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(h, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;', chr(38)), '{WS}+', ' ', 'g')) AS text FROM bare)"""
+#: Attributes of a tag, and what html_text takes out, in the other engine's notation.
+_ATTR = r"""(?:[\s\x0B/]+|=?[^\s\x0B/>=]+(?:[\s\x0B]*=[\s\x0B]*(?:"[^"]*"|''[^'']*''|[^\s\x0B>"''][^\s\x0B>]*)?)?)*"""
+_SILENT = "|".join(rf"<{e}(?:[\s\x0B/]{_ATTR})?>.*?(?:</{e}(?:[\s\x0B/][^>]*)?>|\z)" for e in ("script", "style", "noscript", "template", "title"))
+_TAGS = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|{_SILENT}|</?[a-z][^\s\x0B/>]*{_ATTR}(?:>|\z)|</?[a-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)|</[^a-z][^>]*(?:>|\z)"
+_SQL = lambda x: "'" + x.replace("'", "''") + "'"
+_NAMED = ", ".join(f"{_SQL(k)}: {_SQL(v)}" for k, v in T.REFERENCES.items())
+_WINDOWS = " ".join(f"WHEN {k} THEN {_SQL(v)}" for k, v in T.WINDOWS.items() if v != chr(k))
+#: References by the rule of html_text: all names, those without a semicolon by their longest beginning, and numbers.
+_HTML = rf"""bare AS (SELECT page_id, regexp_replace(html, '{_TAGS}', '', 'g') AS h FROM pages),
+cut AS (SELECT page_id, h, regexp_split_to_array(h, '&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)') AS p,
+  regexp_extract_all(h, '&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)') AS r FROM bare),
+known AS MATERIALIZED (SELECT MAP {{{_NAMED}}} AS named),
+refs AS (SELECT r, regexp_extract(r, '^&({'|'.join(T.BARE)})', 1) AS b, regexp_extract(r, '^&#0*([0-9]*);?$', 1) AS ten, regexp_extract(r, '^&#[xX]0*([0-9A-Fa-f]*);?$', 1) AS hexa
+  FROM (SELECT DISTINCT unnest(r) AS r FROM cut)),
+numbers AS (SELECT *, CASE WHEN r[2] <> '#' THEN NULL WHEN r[3] IN ('x', 'X') THEN CASE WHEN length(hexa) > 6 THEN 1114112 WHEN hexa = '' THEN 0 ELSE CAST('0x' || hexa AS BIGINT) END
+  WHEN length(ten) > 7 THEN 1114112 WHEN ten = '' THEN 0 ELSE CAST(ten AS BIGINT) END AS n FROM refs),
+signs AS (SELECT r, CASE WHEN n IS NOT NULL THEN CASE n {_WINDOWS} ELSE chr(CAST(CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN 65533 ELSE n END AS INTEGER)) END
+  ELSE coalesce(named[r[2:]], CASE WHEN b <> '' THEN named[b] || r[length(b) + 2:] END, r) END AS c FROM numbers, known),
+told AS MATERIALIZED (SELECT map_from_entries(list((r, c))) AS told FROM signs),
+open AS (SELECT page_id, regexp_replace(CASE WHEN len(r) = 0 THEN h ELSE array_to_string(list_transform(range(len(p)), lambda i: p[i + 1] || coalesce(told[r[i + 1]], '')), '') END, '{WS}+', ' ', 'g') AS text FROM cut, told),
+ht AS (SELECT page_id, trim(text) AS text FROM open)"""
 _LEN = "length(text)"
 _SYMBOLS = " ".join(f"WHEN '{c.replace(chr(39), chr(39) * 2)}' THEN {i}" for c, i in VOCABULARY.items())
 
@@ -234,8 +252,8 @@ ORACLES = {
     "reading_view": f"WITH {SENTENCES_SQL} SELECT doc_id, paragraph_index, min(global_index) AS first_sentence, string_agg(text, ' ' ORDER BY global_index) AS text FROM sents GROUP BY doc_id, paragraph_index",
     "text_gates": f"WITH t AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g')) AS n FROM documents) SELECT doc_id, n, CASE WHEN n = 0 THEN 'blank' WHEN n > 20000 THEN 'too_long' ELSE 'ok' END AS session_gate, CASE WHEN n = 0 THEN 'blank' WHEN n > 2000 THEN 'too_long' WHEN n > 1800 THEN 'warn' ELSE 'ok' END AS request_gate FROM t",
     "html_text": f"WITH {_HTML} SELECT page_id, text FROM ht",
-    "html_references": f"WITH {_HTML} SELECT page_id, trim(chr(CAST(page_id * 37 % 20000 + 161 AS INTEGER)) || chr(CAST(page_id % 60 + 128512 AS INTEGER)) || ' ' || chr(38) || 'lt;' || chr(60) || chr(169) || ' 5 ' || chr(233) || chr(172) || 'it;' || chr(8211) || chr(38) || 'bogus; a < b' || text) AS text FROM ht",
-    "html_quarantine": f"WITH {_HTML} SELECT count(*) AS n, CAST(coalesce(sum({_LEN}), 0) AS BIGINT) AS chars, 'good' AS outcome FROM ht WHERE text <> '' UNION ALL SELECT count(*), CAST(0 AS BIGINT), 'quarantine' FROM ht WHERE text = ''",
+    "html_references": f"WITH {_HTML} SELECT page_id, trim(chr(CAST(page_id * 37 % 20000 + 161 AS INTEGER)) || chr(CAST(page_id % 60 + 128512 AS INTEGER)) || ' ' || chr(38) || 'lt;' || chr(60) || chr(169) || ' 5 ' || chr(233) || chr(172) || 'it;' || chr(8211) || chr(38) || 'bogus; a < b' || coalesce(text, '')) AS text FROM open",
+    "html_quarantine": f"WITH {_HTML} SELECT count(*) AS n, CAST(coalesce(sum({_LEN}), 0) AS BIGINT) AS chars, 'good' AS outcome FROM ht WHERE coalesce(text, '') <> '' UNION ALL SELECT count(*), CAST(0 AS BIGINT), 'quarantine' FROM ht WHERE coalesce(text, '') = ''",
     "escaped": "WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS h FROM pages) SELECT page_id, sha256(h) AS sha, length(h) AS n FROM e",
     "collapsed": f"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'))) AS sha FROM documents",
     "file_types": f"WITH {_NAMES} SELECT * FROM ft",
