@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -60,6 +61,17 @@ _PACKAGE = '<p><manifest>{0}</manifest><spine>{1}</spine></p>'
 _OFFICE = ("docx", "odt", "pptx", "xlsx", "epub")
 
 
+def _made(rows, make):
+    """(path, content) that make gives for frames of rows; Arrow's batches have thousands of rows and become Python objects in smaller parts."""
+    kind = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches):
+        small = (b.slice(at, S.FILES_AT_ONCE).to_pandas() for b in batches for at in range(0, b.num_rows, S.FILES_AT_ONCE))
+        yield from (pa.RecordBatch.from_pandas(files, kind, preserve_index=False) for files in make(small))
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
 def _containers(batches):
     """Zipped XML files of lines, in the format that ext names."""
     import io
@@ -94,7 +106,7 @@ def _containers(batches):
                 }
                 parts |= {f"O/c{k}.xhtml": f"<html><head><title>no</title></head><body><p>{lines[k]}</p></body></html>" for k in n}
             raw = io.BytesIO()
-            with zipfile.ZipFile(raw, "w") as z:
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
                 for name, body in parts.items():
                     z.writestr(name, body)
             out.append(raw.getvalue())
@@ -110,8 +122,7 @@ def office_texts(spark, sf_dir):
     """Documents as files of the five zipped formats, a fifth each."""
     ext = F.element_at(F.array(*map(F.lit, _OFFICE)), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/o/"), "doc_id", F.lit("."), ext).alias("path"), ext.alias("ext"), _clean_lines().alias("lines"))
-    made = rows.mapInPandas(_containers, "path string, content binary")
-    out = S.extract_corpus(S.routed(made))
+    out = S.extract_corpus(S.routed(_made(rows, _containers)))
     return out.select("path", F.sha2("text", 256).alias("sha"), "error")
 
 
@@ -128,7 +139,7 @@ def _workbooks(batches):
                 cells = f'<c t="s"><v>{k}</v></c><c t="inlineStr"><is><t>{x}</t></is></c><c><v>{k}</v></c><c t="s"><v>{len(lines)}</v></c>'
                 sheets[(1, 10, 2)[k % 3]] += f"<row>{cells}</row><row><c t='s'><v>-1</v></c></row>"
             raw = io.BytesIO()
-            with zipfile.ZipFile(raw, "w") as z:
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
                 for number, body in sheets.items():
                     z.writestr(f"xl/worksheets/sheet{number}.xml", f"<s>{body}</s>")
                 z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><r><t>{x[:4]}</t></r><r><t>{x[4:]}</t></r></si>" for x in lines) + "</sst>")
@@ -139,7 +150,7 @@ def _workbooks(batches):
 def workbook_texts(spark, sf_dir):
     """Documents as workbooks of three sheets, which are read in order of their names: 1, 10, 2."""
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/w/"), "doc_id", F.lit(".xlsx")).alias("path"), _clean_lines().alias("lines"))
-    out = S.extract_corpus(S.routed(rows.mapInPandas(_workbooks, "path string, content binary")))
+    out = S.extract_corpus(S.routed(_made(rows, _workbooks)))
     return out.select("path", F.sha2("text", 256).alias("sha"), "error")
 
 

@@ -13,6 +13,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -250,6 +251,8 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files that are opened at a time in a worker of Python.
+FILES_AT_ONCE = 64
 HEAD = ["path", "name", "ext", "mime"]
 #: What is found in one file: paragraphs, slides, rows or chapters in order, each with its cells, and the shared strings of a workbook.
 OPENED = (
@@ -297,8 +300,12 @@ def _open(content: Column, ext: Column) -> Column:
     )
 
     @F.arrow_udf(OPENED)
-    def run(content: pa.Array, ext: pa.Array) -> pa.Array:
-        return pa.array([None if raw.as_py() is None else _opened(raw.as_py(), e) for raw, e in zip(content, ext.to_pylist())], kind)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # Arrow's batches have thousands of files, whose cells take far more room than their bytes: what is opened goes back in smaller parts.
+        for content, ext in batches:
+            for at in range(0, len(content), FILES_AT_ONCE):
+                part = zip(content.slice(at, FILES_AT_ONCE).to_pylist(), ext.slice(at, FILES_AT_ONCE).to_pylist())
+                yield pa.array([None if raw is None else _opened(raw, e) for raw, e in part], kind)
 
     return run(content, ext)
 

@@ -225,3 +225,14 @@ def test_a_streamed_corpus_has_small_files_and_reads_few_rows_at_once(spark, mon
     assert sum(sizes) == 1000 and max(sizes) <= 100 and chars == CHARS
     assert seen and all(s.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(flows.ROWS_AT_ONCE) for s in seen)
     assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+
+
+def test_python_holds_few_opened_files(spark, monkeypatch):
+    """What is opened goes back in parts of 64 files, however many rows a batch has."""
+    seen, udf = [], S.F.arrow_udf
+    monkeypatch.setattr(S.F, "arrow_udf", lambda kind: lambda f: seen.append(f) or udf(kind)(f))
+    rows = spark.range(1000).selectExpr("concat(id, '.csv') as path", "cast(concat('a,', id) as binary) as content").coalesce(1)
+    got = {r.path: r.text for r in S.extract_corpus(S.routed(rows)).collect()}
+    assert got == {f"{k}.csv": f"a, {k}" for k in range(1000)}
+    raw, ext = S.pa.array([b"a,b"] * 1000), S.pa.array(["csv"] * 1000)
+    assert [len(x) for x in seen[0](iter([(raw, ext)]))] == [64] * 15 + [40]
