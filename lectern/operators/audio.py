@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lectern.functions import audio as A
 
 RATE = 24_000
+#: Characters that a backend is given in one call.
+AT_ONCE = 16_000
 STYLE = 256
 
 
@@ -81,8 +83,8 @@ SYNTHESISED = "job_id string, model_id string, audio array<float>, sample_rate i
 def synthesize(jobs: DataFrame, backends: Backends) -> DataFrame:
     """(job_id, model_id, audio, sample_rate, word_timings, error) of jobs (job_id, model_id, voice_id, text, speed).
 
-    A batch holds jobs of any models; each model's rows go to its backend, which a task loads once. A job whose backend fails or is
-    missing becomes a row with the error, and the others go on.
+    A batch holds jobs of any models; each model's rows go to its backend, a call for texts of AT_ONCE characters, as audio takes far more room than
+    its text. A job whose backend fails or is missing becomes a row with the error, and the others go on.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,8 +92,13 @@ def synthesize(jobs: DataFrame, backends: Backends) -> DataFrame:
             message = str(wrong.args[0] if isinstance(wrong, KeyError) else wrong)
             return rows[["job_id", "model_id"]].assign(audio=None, sample_rate=None, word_timings=None, error=message)
 
+        def parts(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """Rows in order, as many as have AT_ONCE characters, and one at least."""
+            ends = rows["text"].str.len().fillna(0).cumsum()
+            yield from (part for _, part in rows.groupby(ends // AT_ONCE, sort=False))
+
         for batch in batches:
-            for model_id, rows in batch.groupby("model_id", sort=False):
+            for model_id, rows in ((m, part) for m, whole in batch.groupby("model_id", sort=False) for part in parts(whole)):
                 try:
                     backend = backends.of(model_id)
                     done = pd.concat(list(backend(iter([rows]))))

@@ -194,3 +194,24 @@ def test_dense_number(spark):
     values = [5, 10**12, -3, 0, 7 * 10**9] + list(range(100, 160))
     rows = jobs.dense_number(spark.createDataFrame([(v,) for v in values], "v long").repartition(4), "v").collect()
     assert [r.v for r in sorted(rows, key=lambda r: r._n)] == sorted(values) and sorted(r._n for r in rows) == list(range(1, len(values) + 1))
+
+
+def test_backends_are_given_bounded_texts(spark):
+    """However many jobs a batch has, a call of a backend gets about AT_ONCE characters, and one that fails spoils no other call."""
+    from lectern.operators import audio
+
+    def backend(batches):
+        import pandas as pd
+
+        for rows in batches:
+            if (rows["text"] == "").any():
+                raise ValueError("nothing")
+            size = int(rows["text"].str.len().sum())
+            yield pd.DataFrame({"job_id": rows["job_id"], "audio": [[0.0]] * len(rows), "sample_rate": size, "word_timings": None})
+
+    backends = audio.Backends()
+    backends.register("m", backend)
+    jobs = spark.range(41).selectExpr("cast(id as string) as job_id", "'m' as model_id", "repeat('x', if(id = 40, 0, 4000)) as text").coalesce(1)
+    rows = {r.job_id: r for r in audio.synthesize(jobs, backends).collect()}
+    assert len(rows) == 41 and rows["40"].error == "nothing" and all(r.error is None for k, r in rows.items() if k != "40")
+    assert max(r.sample_rate or 0 for r in rows.values()) <= audio.AT_ONCE
