@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as browsers see it; Java's own class has only the ASCII part.
 _SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-SPACE, INK = f"[{_SPACES}]", f"[^{_SPACES}]"
+#: The second one names ASCII first, which most signs are, so that they need one comparison.
+SPACE, INK = f"[{_SPACES}]", f"[!-~[^{_SPACES}]]"
 #: The same as characters.
 BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
@@ -177,10 +178,11 @@ def words(text: Column) -> Column:
 
 def _pieces(paragraph: Column) -> Column:
     """A paragraph's sentences: a break after every end sign and after one closing sign behind it."""
-    guard = rf"(?<![A-Za-z0-9_])((?i:{'|'.join(ABBREVIATIONS)}))\.(?={SPACE}+[{FOLLOWS}])"
-    text = F.regexp_replace(trim_ws(paragraph), guard, "$1\u0001")
-    text = F.regexp_replace(text, f"([{ENDS}])", "$1\u0002")
-    text = F.regexp_replace(text, f"\u0002([{CLOSES}])", "\u0002$1\u0002")
+    # The dot comes first: abbreviations are looked for before a dot only, and not at every letter.
+    guard = rf"\.(?<=(?<![A-Za-z0-9_])(?i:{'|'.join(ABBREVIATIONS)})\.)(?={SPACE}+[{FOLLOWS}])"
+    text = F.regexp_replace(trim_ws(paragraph), guard, "\u0001")
+    # Two marks without a sign between them make a blank piece, which goes below.
+    text = F.regexp_replace(text, f"([{ENDS}])([{CLOSES}])?", "$1\u0002$2\u0002")
     parts = F.transform(F.split(text, "\u0002"), lambda s: trim_ws(F.replace(s, F.lit("\u0001"), F.lit("."))))
     return F.filter(parts, lambda s: s != "")
 

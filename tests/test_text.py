@@ -125,3 +125,23 @@ def test_progress_and_pairs(spark):
     assert [(r.kind, r.percent) for r in O.parse_progress(df).collect()] == [("pages", 100), ("pages", 100), ("ocr", 45), ("indeterminate", None), ("none", None)]
     pairs = spark.createDataFrame([(1, ["a", "b", "c"], [[1.0] * 8]), (2, [], [])], "page int, labels array<string>, quad_boxes array<array<double>>")
     assert [(r.page, r.text, len(r.words)) for r in O.pair_words(pairs).collect()] == [(1, "a b c", 1), (2, "", 0)]
+
+
+def test_sentence_patterns_split_as_the_plain_ones(spark):
+    """Dots are looked at before abbreviations, and end signs are marked in one pass; ASCII comes first in the class of ink."""
+    from pyspark.sql import functions as F
+    from lectern.functions import text as T
+
+    texts = ["Dr. No. Smith vs. 5 etc. x", 'a."b".\'c\'. no.no. X mr.', "xno. A 1st. B (al. C)...?!\" Ü.’", "。」一！ ﻿é. NO. Z", ".", "'", " . ' .", "e.g. A. eds.  “Q”"]
+    assert T._pieces.__doc__ and T.INK.startswith("[!-~")
+
+    def plain(p):
+        guard = rf"(?<![A-Za-z0-9_])((?i:{'|'.join(T.ABBREVIATIONS)}))\.(?={T.SPACE}+[{T.FOLLOWS}])"
+        text = F.regexp_replace(F.regexp_replace(T.trim_ws(p), guard, "$1\u0001"), f"([{T.ENDS}])", "$1\u0002")
+        parts = F.split(F.regexp_replace(text, f"\u0002([{T.CLOSES}])", "\u0002$1\u0002"), "\u0002")
+        return F.filter(F.transform(parts, lambda s: T.trim_ws(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: s != "")
+
+    p = F.col("p")
+    slow = F.regexp_extract_all(p, F.lit(f"[^{T._SPACES}]+"), F.lit(0))
+    for r in spark.createDataFrame([(t,) for t in texts], "p string").select("p", T._pieces(p).alias("a"), plain(p).alias("b"), T.words(p).alias("c"), slow.alias("d")).collect():
+        assert r.a == r.b and r.c == r.d
