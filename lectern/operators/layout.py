@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MAX_PAGES = 500
 #: Pages are drawn at this scale, and a line may sit so much of a page's height off.
 RENDER, LINE_SHARE = 2.0, 0.025
+#: Partitions of sorted words for each split of the table they are read from.
+SPLIT = 8
 
 
 def items_to_lines(items: DataFrame, gap: float = 3.0, keys: tuple = ("path", "page"), order: tuple = ("seq",)) -> DataFrame:
@@ -78,7 +80,9 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     The fold depends on order, so a page, which is small, is one group; pages are sorted by Spark and folded many at a time.
     """
     flat = words.select("doc_id", "page", "page_height", "seq", "text", *[F.col(f"bbox.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    dealt = flat.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "y0", "x0", "seq")
+    # A task's rows do not grow with the table: each of its splits is dealt to SPLIT partitions, and none less than the session's.
+    parts = max(SPLIT * flat.rdd.getNumPartitions(), int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = flat.repartition(parts, "doc_id", "page").sortWithinPartitions("doc_id", "page", "y0", "x0", "seq")
     return dealt.mapInPandas(_numbered, "doc_id string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, line_id int")
 
 

@@ -58,7 +58,7 @@ def boxed_lines(spark, sf_dir):
 
 
 def word_lines(spark, sf_dir):
-    """Boxes grouped to lines by their places, and how many lines a page has."""
+    """Boxes grouped to lines by their places, and how many lines a page has: lines are numbered from 0 without a gap."""
     words = _boxes(spark, sf_dir).select(
         "doc_id",
         F.col("page").cast("int").alias("page"),
@@ -67,7 +67,7 @@ def word_lines(spark, sf_dir):
         "text",
         F.struct("x0", "y0", "x1", "y1").alias("bbox")
     )
-    return O.words_to_lines(words).groupBy("doc_id", "page").agg(F.countDistinct("line_id").alias("lines"), F.count("*").alias("words"))
+    return O.words_to_lines(words).groupBy("doc_id", "page").agg((F.max("line_id") + 1).cast("long").alias("lines"), F.count("*").alias("words"))
 
 
 def ruled_lines(spark, sf_dir):

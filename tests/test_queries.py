@@ -76,3 +76,14 @@ def test_pages_with_any_markup_and_references(spark, tmp_path, name):
     columns = sorted(df.columns)
     cursor = duck.execute(f"select {', '.join(columns)} from ({registry.ORACLES[name]})")
     assert sorted(tuple(cell(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(map(cell, r)) for r in cursor.fetchall())
+
+
+def test_word_lines_is_bounded_in_a_task(spark, sf_dir):
+    """Lines are counted by their last number, so a page is one row of the aggregate, and the words are dealt to partitions that follow the table's splits."""
+    from lectern.operators import layout
+
+    df = registry.QUERIES["word_lines"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan and "hashpartitioning(doc_id" in plan and plan.count("keys=[doc_id") == 2
+    splits = spark.read.parquet(f"{sf_dir}/lineitem.parquet").rdd.getNumPartitions()
+    assert f", {max(4, layout.SPLIT * splits)}), REPARTITION_BY_NUM" in plan
