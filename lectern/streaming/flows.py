@@ -53,22 +53,32 @@ def _timed(events: DataFrame, at: str, delay: str) -> DataFrame:
     return events.withColumn("us", F.unix_micros(at)).withWatermark(at, delay)
 
 
-def job_state_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+#: Jobs and sessions are dealt by their ids to so many keys of state: enough to keep a key's row small, and few beside the events of a large batch.
+STATE_SHARDS = 1024
+
+
+def _sharded(events: DataFrame, id_col: str, delay: str, shards: int):
+    """events with a watermark, their ids as strings, grouped by a shard of these."""
+    rows = _timed(events, "ts", delay).withColumn(id_col, F.col(id_col).cast("string"))
+    return rows.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).groupBy("shard")
+
+
+def job_state_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes", shards: int = STATE_SHARDS) -> DataFrame:
     """Updates (job_id, status, error, started_at, completed_at) from events (job_id, ts, seq, event, message).
 
     Events may be late by ``delay``. A finished job stays finished for ``keep`` after it ended; then its state goes.
     """
     schema = "job_id string, status string, error string, started_us long, completed_us long"
-    rows = _timed(events, "ts", delay).groupBy("job_id")
+    rows = _sharded(events, "job_id", delay, shards)
     found = rows.transformWithStateInPandas(state.JobStates(_micros(keep)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
     at = lambda c: F.timestamp_micros(c).alias(c.replace("_us", "_at"))
     return found.select("job_id", "status", "error", at("started_us"), at("completed_us"))
 
 
-def session_state_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+def session_state_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes", shards: int = STATE_SHARDS) -> DataFrame:
     """Updates of each session (state.SessionStates.NAMES) from events (session_id, ts, seq, event, n, message); states go ``keep`` after the last event."""
     schema = "session_id string, status string, current_index int, buffered_index int, total_chunks int, needs_gesture boolean, error string"
-    rows = _timed(events, "ts", delay).groupBy("session_id")
+    rows = _sharded(events, "session_id", delay, shards)
     return rows.transformWithStateInPandas(state.SessionStates(_micros(keep)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 

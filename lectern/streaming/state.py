@@ -31,53 +31,109 @@ def _text(x):
     return None if x is None or x != x else x
 
 
-class JobStates(StatefulProcessor):
-    """The last state of a job. Events are applied by time and sequence; a finished job stays as it is, and only a pending or generating one can be cancelled.
+class Sharded(StatefulProcessor):
+    """A state of many keys, dealt by a hash to shards, whose rows of a batch are applied in memory.
 
-    A finished job is kept for ``keep`` microseconds after its last event, so that late events find it finished; then its state goes, and an
-    event that makes the same id pending begins a new job. Jobs that have not finished stay.
+    Calls of state cost more than the events, so a shard's keys are one row of state, an array for each field, read and written once a batch, with one timer at
+    the first deadline. A subclass applies the events to its keys and tells the time at which a key goes; a key without such a time stays.
     """
 
-    NAMES = ["job_id", "status", "error", "started_us", "completed_us"]
-
-    def __init__(self, keep: int):
-        self.keep = keep
+    FIELDS: dict[str, str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, error string, started_us long, completed_us long")
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in {"id": "string", **self.FIELDS}.items())
+        self.state = handle.getValueState("state", f"timer long, {arrays}")
+
+    def apply(self, kept: dict, events: list) -> Iterator[tuple]:
+        """Brings kept (id: list of fields) up to date, and gives the rows to put out."""
+        raise NotImplementedError
+
+    def deadline(self, fields: list) -> int | None:
+        """The time, in milliseconds, at which a key goes."""
+        raise NotImplementedError
+
+    def _read(self) -> tuple[int, dict]:
+        if not self.state.exists():
+            return 0, {}
+        timer, ids, *fields = self.state.get()
+        return timer, dict(zip(ids, map(list, zip(*fields))))
+
+    def _write(self, timer: int, kept: dict, fired: bool = False) -> None:
+        first = min((at for f in kept.values() if (at := self.deadline(f)) is not None), default=0)
+        if timer and not fired and timer != first:
+            self.handle.deleteTimer(timer)
+        if first and (fired or timer != first):
+            self.handle.registerTimer(first)
+        if kept:
+            self.state.update((first, list(kept), *map(list, zip(*kept.values()))))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, error, started, completed = self.state.get() if self.state.exists() else (None, None, None, None)
-        changed = False
-        for e in _ordered(rows, ["us", "seq"]):
-            if status in TERMINAL or (status is None) != (e.event == "pending"):
-                continue  # late, for a job that is not known, or pending already
-            changed, status = True, e.event
-            started = int(e.us) if e.event == "generating" else started
-            if e.event in TERMINAL:
-                completed, error = int(e.us), _text(e.message) if e.event == "error" else None
-                self.handle.registerTimer(timer_at(completed + self.keep))
-        if changed:
-            now = (status, error, started, completed)
-            self.state.update(now)
-            yield pd.DataFrame([(key[0], *now)], columns=self.NAMES).astype({"started_us": "Int64", "completed_us": "Int64"})
+        events = _ordered(rows, ["us", "seq"])
+        timer, kept = self._read()
+        out = list(self.apply(kept, events))
+        if out:
+            self._write(timer, kept)
+            yield pd.DataFrame({name: pd.Series(values, dtype=self.TYPES.get(name, "object")) for name, values in zip(self.NAMES, zip(*out))})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[0] in TERMINAL:
-            self.state.clear()
+        at, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        timer, kept = self._read()
+        if timer == at:  # and not an older one
+            due = lambda f: (t := self.deadline(f)) is not None and (t <= at or t < passed)
+            self._write(timer, {id_: f for id_, f in kept.items() if not due(f)}, fired=True)
         yield from ()
 
     def close(self) -> None:
         pass
 
 
+class JobStates(Sharded):
+    """The last states of a shard's jobs. Events are applied by time and sequence; a finished job stays as it is, and only a pending or generating one can be cancelled.
+
+    A finished job is kept for ``keep`` microseconds after its last event, so that late events find it finished; then its state goes, and an
+    event that makes the same id pending begins a new job. Jobs that have not finished stay.
+    """
+
+    NAMES = ["job_id", "status", "error", "started_us", "completed_us"]
+    TYPES = {"started_us": "Int64", "completed_us": "Int64"}
+    FIELDS = {"status": "string", "error": "string", "started_us": "long", "completed_us": "long"}
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def apply(self, kept: dict, events: list) -> Iterator[tuple]:
+        changed = {}
+        for e in events:
+            job = kept.get(e.job_id)
+            if job is None:
+                if e.event != "pending":
+                    continue  # for a job that is not known
+                job = kept[e.job_id] = ["pending", None, None, None]
+            elif job[0] in TERMINAL or e.event == "pending":
+                continue  # late, or pending already
+            else:
+                job[0] = e.event
+            if e.event == "generating":
+                job[2] = int(e.us)
+            elif e.event in TERMINAL:
+                job[3], job[1] = int(e.us), _text(e.message) if e.event == "error" else None
+            changed[e.job_id] = job
+        return ((id_, *job) for id_, job in changed.items())
+
+    def deadline(self, fields: list) -> int | None:
+        return timer_at(fields[3] + self.keep) if fields[0] in TERMINAL else None
+
+
 class Runs:
-    """A set of whole numbers as runs without a gap, each stored under its first and its last number: adding one touches two runs at most."""
+    """A set of whole numbers as runs without a gap, each kept under its first and its last number: adding one touches two runs at most."""
 
-    def __init__(self, handle: StatefulProcessorHandle):
+    def __init__(self, handle):
         self.ends = handle.getMapState("ends", "first int", "last int")
         self.begins = handle.getMapState("begins", "last int", "first int")
+        self.firsts = sorted(first for (first,), _ in self.ends.iterator())
 
     def add(self, n: int) -> None:
         if self.holds(n):
@@ -86,59 +142,89 @@ class Runs:
         last = self.ends.getValue((n + 1,))[0] if self.ends.containsKey((n + 1,)) else n
         if first < n:
             self.begins.removeKey((n - 1,))
+        else:
+            insort(self.firsts, n)
         if last > n:
             self.ends.removeKey((n + 1,))
+            del self.firsts[bisect_left(self.firsts, n + 1)]
         self.ends.updateValue((first,), (last,))
         self.begins.updateValue((last,), (first,))
 
     def holds(self, n: int) -> bool:
-        if self.ends.containsKey((n,)) or self.begins.containsKey((n,)):
-            return True
-        # Runs are few, so those that may hold n are looked through.
-        return any(first[0] < n < last[0] for first, last in self.ends.iterator())
+        before = bisect_right(self.firsts, n)
+        return before > 0 and self.ends.getValue((self.firsts[before - 1],))[0] >= n
 
     def end(self, n: int) -> int:
         """The last number of the run that begins with n; n - 1 without one."""
         return self.ends.getValue((n,))[0] if self.ends.containsKey((n,)) else n - 1
 
-    def clear(self) -> None:
-        self.ends.clear()
-        self.begins.clear()
+
+class _Map(dict):
+    """A map in memory with the calls of a map of state."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    def iterator(self):
+        return iter(self.items())
+
+
+class _Runs(Runs):
+    """Runs in memory, from their first and last numbers in a row."""
+
+    def __init__(self, flat: list[int]):
+        pairs = list(zip(flat[::2], flat[1::2]))
+        maps = {"ends": _Map(((a,), (b,)) for a, b in pairs), "begins": _Map(((b,), (a,)) for a, b in pairs)}
+        self.getMapState = lambda name, *_: maps[name]
+        super().__init__(self)
+
+    def flat(self) -> list[int]:
+        return [n for first in self.firsts for n in (first, self.ends[(first,)][0])]
 
 
 BLOCKED, PLAYER = "Browser blocked autoplay. Click play to continue.", "Audio player error"
 
 
-class SessionStates(StatefulProcessor):
-    """A reading session: idle, playing, paused or finished, its current chunk, how far it is buffered, and the last error's text.
+class SessionStates(Sharded):
+    """A shard's reading sessions, each of them idle, playing, paused or finished, its current chunk, how far it is buffered, and the last error's text.
 
     Events: start (n chunks), pause, resume, gesture (a click, which resumes a blocked session only), stop, chunk_ready (n), chunk_ended,
     blocked (no gesture yet), failed (playing failed, with a message), player_error. A session pauses from every state, resumes from all but
     finished, and is paused by a failure, whose text stays. Chunks may become ready in any order, before the start or after a stop too; the
     buffered index is the end of the unbroken run from 0. It is set back by start and stop, and followed while the session is
-    subscribed, which is from start to stop. Ready chunks are kept as runs, so the state has a row for each gap and not for each chunk.
+    subscribed, which is from start to stop. Ready chunks are kept as runs, so the state grows with the gaps and not with the chunks.
 
     A session's state goes ``keep`` microseconds after its last event.
     """
 
     NAMES = ["session_id", "status", "current_index", "buffered_index", "total_chunks", "needs_gesture", "error"]
 
+    TYPES = {}
+    FIELDS = {
+        "status": "string",
+        "current": "int",
+        "buffered": "int",
+        "total": "int",
+        "needs_gesture": "boolean",
+        "error": "string",
+        "subscribed": "boolean",
+        "last_us": "long",
+        "ready": "array<int>",
+    }
+
     def __init__(self, keep: int):
         self.keep = keep
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "state", "status string, current int, buffered int, total int, needs_gesture boolean, error string, subscribed boolean, timer long"
-        )
-        self.ready = Runs(handle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else ("idle", 0, -1, 0, False, None, False, 0)
-        status, current, buffered, total, gesture, error, subscribed, timer = known
-        events = _ordered(rows, ["us", "seq"])
-        if not events:
-            return
+    def apply(self, kept: dict, events: list) -> Iterator[tuple]:
+        each: dict = {}
+        for e in events:
+            each.setdefault(e.session_id, []).append(e)
+        for id_, its in each.items():
+            kept[id_] = self._session(kept.get(id_) or ["idle", 0, -1, 0, False, None, False, 0, []], its)
+            yield id_, *kept[id_][:6]
+
+    def _session(self, known: list, events: list) -> list:
+        status, current, buffered, total, gesture, error, subscribed, last, flat = known
+        ready = _Runs(flat)
         for e in events:
             n = 0 if e.n is None or e.n != e.n else int(e.n)
             kind = e.event
@@ -155,9 +241,9 @@ class SessionStates(StatefulProcessor):
             elif kind == "stop":
                 status, current, buffered, subscribed = "idle", 0, -1, False
             elif kind == "chunk_ready":
-                self.ready.add(n)
+                ready.add(n)
                 if subscribed:
-                    buffered = min(self.ready.end(0), total - 1)
+                    buffered = min(ready.end(0), total - 1)
             elif kind == "chunk_ended":
                 current += 1
             elif kind in ("blocked", "failed", "player_error"):
@@ -166,22 +252,11 @@ class SessionStates(StatefulProcessor):
                 error = BLOCKED if kind == "blocked" else PLAYER if kind == "player_error" else f"Playback failed: {_text(e.message) or ''}"
             if status == "playing" and total > 0 and current >= total:
                 status = "finished"
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = timer_at(max(int(e.us) for e in events) + self.keep)
-        self.handle.registerTimer(timer)
-        now = (status, current, buffered, total, gesture, error)
-        self.state.update((*now, subscribed, timer))
-        yield pd.DataFrame([(key[0], *now)], columns=self.NAMES)
+        last = max(last, *(int(e.us) for e in events)) if last else max(int(e.us) for e in events)
+        return [status, current, buffered, total, gesture, error, subscribed, last, ready.flat()]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[7] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-            self.ready.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
+    def deadline(self, fields: list) -> int | None:
+        return timer_at(fields[7] + self.keep)
 
 
 REQUEST, RESPONSE, FAILURE = 0, 1, 2

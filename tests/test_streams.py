@@ -309,3 +309,39 @@ def test_waiting_requests_are_one_row_of_state_for_each_shard(spark, tmp_path):
     assert got == {("w", k): ("resolved", f"m{k}") if k % 3 == 0 else ("rejected", "crashed" if k < 300 else "timed out") for k in range(600)}
     rows = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
     assert max(rows) <= 16 * 3
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_jobs_and_sessions_share_rows_of_state(spark, tmp_path, shards):
+    """Many jobs, and many sessions, are a few rows of state; each of them ends, stays and goes on its own."""
+    hour = 3600
+    jobs = [
+        [("j%03d" % k, at(k), k, "pending", None) for k in range(200)],
+        [("j%03d" % k, at(200 + k), 200 + k, "done" if k % 2 else "generating", None) for k in range(200)],
+        [("clock", at(5 * hour), 900, "pending", None)],
+        [("clock", at(6 * hour), 901, "generating", None)],
+        [("j%03d" % k, at(6 * hour), 1000 + k, "pending", None) for k in range(200)],
+    ]
+    make = lambda s: flows.job_state_stream(s, keep="1 hour", shards=shards)
+    out, progress = drained(tmp_path, make(arriving(spark, str(tmp_path / "src"), jobs, JOB)))
+    rows = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    assert max(rows) <= 3 * shards
+    seen = {}
+    for r in out:
+        seen.setdefault(r.job_id, []).append(r.status)
+    assert seen == {"clock": ["pending", "generating"], **{"j%03d" % k: ["pending", "done", "pending"] if k % 2 else ["pending", "generating"] for k in range(200)}}
+
+    names = ["s%02d" % k for k in range(60)]
+    batches = [
+        [*[(s, at(0), 0, "start", 9, None) for s in names], *[(s, at(1 + c), 1 + c, "chunk_ready", c, None) for s in names for c in (0, 1, 3, 5)]],
+        [(s, at(9), 9, "chunk_ready", 2 if k % 2 else 4, None) for k, s in enumerate(names)],
+        [("tick", at(3 * hour), 10, "pause", None, None)],
+        [("tick", at(4 * hour), 11, "pause", None, None)],
+        [(s, at(4 * hour), 12, "chunk_ready", 1, None) for s in names],
+    ]
+    (tmp_path / "two").mkdir()
+    stream = flows.session_state_stream(arriving(spark, str(tmp_path / "two" / "src"), batches, SESSION), keep="1 hour", shards=shards)
+    out, progress = drained(tmp_path / "two", stream)
+    assert max(p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators) <= 3 * shards
+    buffered = {s: [(r.status, r.buffered_index) for r in out if r.session_id == s] for s in names}
+    assert buffered == {s: [("playing", 1), ("playing", 3 if k % 2 else 1), ("idle", -1)] for k, s in enumerate(names)}
