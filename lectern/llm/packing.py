@@ -10,6 +10,7 @@ the next round, where fewer slots hold more of both. The last slot opens what it
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,6 +29,8 @@ SLOT = 8192
 REMEMBERED = 350_000
 #: Bytes of text that a task tokenizes at a time: fewer take less memory and more time.
 BATCH = 6_000_000
+#: Words of which the tokenizer's steps before its model change nothing: small letters that do not compose, and then signs of ASCII, which it parts from them.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class Words:
@@ -35,10 +38,13 @@ class Words:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        code = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes = {c: code(chr(c))[0][0] for c in range(0x21, 0x100) if PLAIN.fullmatch("a" + chr(c)) or PLAIN.fullmatch(chr(c))}
         self._forget()
 
     def _forget(self) -> None:
@@ -46,15 +52,48 @@ class Words:
         self.first, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _merged(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.translate(self.bytes))]
+
+    def _ids(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of new words in a row, and how many each has. Plain words go to the tokenizer's model piece by piece, all others through all its steps."""
+        plain = list(map(PLAIN.fullmatch, words))
+        rest = [word for word, match in zip(words, plain) if not match]
+        slow: list[list[int]] = [[] for _ in rest]
+        if rest:
+            found = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            for i, of in zip(found.ids, found.word_ids):
+                slow[of].append(i)
+        others = iter(slow)
+        tails: dict[str, list[int]] = {}
+        out: list[int] = []
+        ends = []
+        for match in plain:
+            if not match:
+                out += next(others)
+            else:
+                core, signs = match.groups()
+                at = self.place.get(core) if signs else None
+                if at is None:
+                    out += self._merged(core)
+                else:
+                    first = self.first[at]
+                    out += self.pool[first : first + self.many[at]].tolist()
+                if signs:
+                    if signs not in tails:
+                        tails[signs] = self._merged(signs)
+                    out += tails[signs]
+            ends.append(len(out))
+        return out, ends
+
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
+        found, ends = self._ids(words)
+        ids, many = np.array(found, np.uint32), np.diff(ends, prepend=0)
         n, until, end = len(self.place), len(self.place) + len(words), self.used + len(ids)
         if until > len(self.first):
             self.first, self.many = np.resize(self.first, 2 * until), np.resize(self.many, 2 * until)
         if end > len(self.pool):
             self.pool = np.resize(self.pool, 2 * end)
-        many = np.bincount(of, minlength=len(words))
         self.many[n:until] = many
         self.first[n:until] = self.used + np.cumsum(many) - many
         self.pool[self.used : end] = ids

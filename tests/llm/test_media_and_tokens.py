@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import bpe, packing, pages, tiff
@@ -142,6 +143,31 @@ def test_bpe(spark, words):
     assert bpe.encode_texts(frame(spark, []), BYTES, public_tokenizers.PATTERN).count() == 0
 
 
+def test_plain_words_skip_the_steps_before_the_model():
+    """Small letters and signs go to the tokenizer's model alone; each word's ids are those of the whole tokenizer, in any order of words."""
+    seen, words = [], packing.Words(WORDS)
+    whole = words.tokenizer
+
+    class Counting:
+        def encode(self, given, **options):
+            seen.extend(given)
+            return whole.encode(given, **options)
+
+    words.tokenizer = Counting()
+    rng = random.Random(5)
+    letters, signs = "abcdefghijklmnopqrstuvwxyzßàéîöøûÿ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    some = ["".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(400)]
+    plain = [*some, *(w + "".join(rng.choices(signs, k=rng.randrange(1, 4))) for w in some), "dogs'", "s'"]
+    other = ["don't", "it's.", "<|endoftext|>", "a1", "12", "\u00c9t\u00e9", "e\u0301", "x<\u0338", "stra\u00dfe\u00d7", "\u0130", "'s", "...", "\u00aa", "a\u00b7b", "\u0141\u00f3d\u017a"]
+    texts = [" ".join(rng.sample(plain + other, 60)) for _ in range(40)] + plain + other + [""]
+    for part in (texts[:20], texts[20:]):
+        ids, bounds = words.encode(pa.array(part))
+        for k, text in enumerate(part):
+            want = [i for w in text.split() for i in whole.encode(w, add_special_tokens=False).ids]
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == want == whole.encode(text, add_special_tokens=False).ids
+    assert seen and not set(seen) & set(plain)
+
+
 def test_packing(spark, words):
     from tokenizers import Tokenizer
 
