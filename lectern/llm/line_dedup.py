@@ -2,134 +2,209 @@
 
 A line is the set of its words. Lines of equal sets are one class, of which the first line stands for all; so a line that
 many documents share is one member of whatever follows. The words of a class are ordered by rarity, and two sets of similarity 0.75 share a word among
-the first n - ceil(0.75 n) + 1 of each. Classes meet by such a word; length, position and a 64-bit summary of the words
-rule out pairs that cannot reach the threshold, and the rest are verified on the whole lines. A line goes if it is
+the first n - ceil(0.75 n) + 1 of each. Classes meet by such a word; length, position and a summary of the words in 128 bits, or 256 for
+long lines, rule out pairs that cannot reach the threshold, and the rest are verified on the whole lines. A line goes if it is
 similar to an earlier one, by document id and then by place.
 
-The classes that share a word are a list, and a list beyond ``LIST`` members is dealt into parts. Each member first meets its part's earliest one and its
-``NEIGHBOURS`` predecessors there, all from one sorted shuffle; that is every earlier member of most lists. What is not removed then meets the
-rest of its longer lists, by bands of size. So no list of near copies is paired with itself.
+The classes that share a word are a list, from one shuffle. All pairs of a list up to ``WHOLE`` members are looked at; in a longer one, each member meets
+the earliest one and its ``NEIGHBOURS`` predecessors. A word that occurs more than ``LIST`` times has its list dealt into parts.
+What is not removed then meets the rest of its longer or dealt lists, by bands of size. So no list of near copies is paired with itself.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import folded, saved, small
+from lectern.llm.common import LOWER, UPPER, saved, small
 
 #: Similarity in hundredths.
 PERCENT = 75
 #: Counters by which words are ranked; the table of their ranks has a byte each, whatever the corpus.
-COUNTERS = 65536
-#: Predecessors in a part of a list that a member meets at once, and members from which a list is parted.
-NEIGHBOURS, LIST = 24, 4096
-#: What a line is known by, in the order of lines: the document, a number of its text, the place.
+COUNTERS = 1 << 18
+#: Steps of a rank for each doubling of a counter.
+STEPS = 4
+#: Members up to which all pairs of a list are looked at, predecessors that a member of a longer one meets, and occurrences of a word from which its list is dealt.
+WHOLE, NEIGHBOURS, LIST = 128, 24, 131072
+#: Words from which a line has 256 bits of summary.
+LONG = 100
+#: What a line is known by, in the order of lines: the document, a number of its text if several rows have its id, the place.
 LINE = ["doc_id", "text_key", "line_no"]
+BITS = ["b1", "b2", "b3", "b4"]
 _WORDS = r"array_distinct(filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
 
 
+def _differ(x: str, y: str) -> str:
+    """SQL for the least number of words that one of x and y has and the other lacks, by their summaries; that of a long line is folded for a short one."""
+    whole = " + ".join(f"bit_count({x}{b} ^ {y}{b})" for b in BITS)
+    half = " + ".join(f"bit_count(({x}{a} | {x}{b}) ^ ({y}{a} | {y}{b}))" for a, b in (("b1", "b3"), ("b2", "b4")))
+    return f"if({x}n >= {LONG} and {y}n >= {LONG}, {whole}, {half})"
+
+
 def _bounds(x: str, y: str) -> str:
-    """SQL for whether two rows of one list may reach the threshold: by size, by place in the order, by the words' summaries."""
-    need = f"ceil({PERCENT} * ({x}n + {y}n) / {100 + PERCENT})"
-    return f"""{y}n * 100 >= {PERCENT} * {x}n and {x}n * 100 >= {PERCENT} * {y}n
-        and least({x}p, {y}p) + 1 + least({x}n - {x}p - 1, {y}n - {y}p - 1) >= {need}
-        and {x}n - bit_count({x}bits & ~{y}bits) >= {need} and {y}n - bit_count({y}bits & ~{x}bits) >= {need}"""
+    """SQL for whether two rows of one list may reach the threshold: by size, by place in the order, by the words' summaries.
+
+    The place is that of the first word that both have, by which each pair is met. Of the words of both, at most 25 of 175 differ, in whole numbers of common words.
+    """
+    both, all_ = f"least({x}n - {x}p, {y}n - {y}p)", f"({x}n + {y}n)"
+    least, most = PERCENT, 100 + PERCENT
+    return f"""{y}n * 100L >= {PERCENT} * {x}n and {x}n * 100L >= {PERCENT} * {y}n and {both} * {most}L >= {least} * {all_}
+        and ({all_} - ({_differ(x, y)})) * {most}L >= {2 * least} * {all_}"""
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _repeated_ids(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """The ids that several rows have, as a written table; none if there are none."""
+    ids = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = saved(ids.filter("rows > 1"))
+    return None if ids.isEmpty() else ids
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, line_no, line) with A-Z in lower case."""
-    return _documents(docs, id_col, text_col).filter("doc_id is not null").select(
-        "doc_id",
-        "text_key",
-        F.posexplode(F.split(folded(F.col("text")), "\n", -1)).alias("line_no", "line")
-    )
+def _documents(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame | None) -> DataFrame:
+    """(doc_id, text_key, text); text_key is 0 but for ids that several rows have."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if ids is None:
+        return texts.select("doc_id", F.lit(0).cast("long").alias("text_key"), "text")
+    key = F.when(F.col("rows").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return texts.join(small(ids), "doc_id", "left").select("doc_id", key.alias("text_key"), "text")
+
+
+def lines_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no, line) of documents with an id."""
+    return documents.filter("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def _lower(line: Column) -> Column:
+    """line with A-Z in lower case and nothing else changed; the slow way is for other letters or signs that may have a lower case."""
+    plain = (F.octet_length(line) == F.length(line)) | ~line.rlike(r"[^\x00-\x7F\p{Ll}\p{Lo}\p{P}\p{Nd}\p{Zs}]")
+    return F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+
+
+def _parts(line: str) -> Column:
+    """The words of a line with A-Z in lower case, and empty ones; one fixed character parts them."""
+    text = F.col(line)
+    spaced = F.when(text.rlike(r"[\t\x0B-\r]"), F.translate(text, "\t\n\x0b\f\r", " " * 5)).otherwise(text)
+    return F.split(_lower(spaced), " ")
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """A byte for each counter: eight times the logarithm of how many words fell to it."""
-    counts = lines.select(F.explode(F.expr(_WORDS)).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("n")).collect()
+def _rarity(documents: DataFrame) -> bytes:
+    """A byte for each counter: STEPS times the logarithm of how many words fell to it, rounded down."""
+    words = lines_of(documents).select(F.explode(_parts("line")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("k")).agg(F.count("*").alias("n")).toArrow()
     table = bytearray(COUNTERS)
-    for k, n in counts:
-        table[k] = min(255, int(8 * math.log2(n + 1)))
+    for k, n in zip(counts["k"].to_pylist(), counts["n"].to_pylist()):
+        table[k] = int(STEPS * math.log2(n + 1))
     return bytes(table)
 
 
-def _sets(lines: DataFrame) -> DataFrame:
-    """A written row for each line with words: its place, 128 bits of its set's digest, the set's size and summary, and its prefix."""
-    words = lines.select(*LINE, F.expr(_WORDS).alias("words")).filter("size(words) > 0")
-    table = F.lit(_rarity(lines))
-    ranked = F.transform("words", lambda w: F.struct(F.substring(table, (F.pmod(F.xxhash64(w), F.lit(COUNTERS)) + 1).cast("int"), F.lit(1)).alias("f"), w.alias("w")))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
-    sized = words.select(*LINE, F.size("words").alias("n"), bits.alias("bits"), F.array_sort(ranked).alias("ranked"))
-    prefix = F.expr(f"transform(slice(ranked, 1, cast(n - ceil({PERCENT} * n / 100) + 1 as int)), r -> xxhash64(r.w))")
-    return saved(sized.select(*LINE, F.xxhash64("ranked").alias("k1"), F.xxhash64("ranked", F.lit("again")).alias("k2"), "n", "bits", prefix.alias("prefix")))
+def _sets(documents: DataFrame) -> DataFrame:
+    """A written row for each line: its place, 128 bits of its set's digest, the set's size and summary, and its prefix.
 
+    Words are 64-bit numbers here. A word of the prefix is its rank and 40 bits of its number: what two words share only adds pairs to verify.
+    """
+    table = F.lit(_rarity(documents))
+    numbers = F.transform(_parts("line"), lambda w: F.xxhash64(w))
+    words = lines_of(documents).select(*LINE, F.array_remove(F.array_distinct(numbers), F.xxhash64(F.lit(""))).alias("words"))
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The later lines of pairs (of a line, and an earlier one y) that are similar as whole lines, as a written table."""
-    held = saved(pairs)
-    names = [F.col(f"y.{c}").alias(c) for c in LINE]
-    need = saved(held.select(*LINE).unionByName(held.select(*names)).distinct())
-    whole = saved(lines.join(small(need), LINE, "left_semi").select(*LINE, "line").dropDuplicates(LINE))
+    def rank(h):
+        at = h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1
+        return F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long")
+
+    def bits(flags: int):
+        """64 bits of the words that have these flags; flag 2 counts in long lines only."""
+        low = f"case when size(words) >= {LONG} then 192 else 64 end"
+        return F.expr(f"aggregate(words, 0L, (a, h) -> if((h & ({low})) = {64 * flags}, a | shiftleft(1L, cast(h & 63 as int)), a))")
+
+    none = F.lit(0).cast("long")
+    ranked = F.sort_array(F.transform("words", lambda h: F.shiftleft(rank(h), 40).bitwiseOR(F.shiftrightunsigned(h, 24))))
+    sized = words.select(
+        *LINE,
+        F.sort_array("words").alias("sorted"),
+        F.size("words").alias("n"),
+        bits(0).alias("b1"),
+        bits(1).alias("b2"),
+        F.when(F.size("words") >= LONG, bits(2)).otherwise(none).alias("b3"),
+        F.when(F.size("words") >= LONG, bits(3)).otherwise(none).alias("b4"),
+        ranked.alias("ranked"),
+    )
+    prefix = F.expr(f"slice(ranked, 1, cast(n - ceil({PERCENT} * n / 100D) + 1 as int))")
+    keys = [F.xxhash64("sorted").alias("k1"), F.xxhash64("sorted", F.lit("again")).alias("k2")]
+    return saved(sized.select(*LINE, *keys, "n", *BITS, prefix.alias("prefix"))).filter("n > 0")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The later lines of written pairs (of a line, and an earlier one y) that are similar as whole lines, as a written table."""
     first = whole.select(F.struct(*LINE).alias("y"), F.col("line").alias("earlier"))
-    full = held.join(whole, LINE).join(first, "y")
+    full = pairs.join(small(whole), LINE).join(small(first), "y")
     sets = full.select(*LINE, F.expr(_WORDS).alias("a"), F.expr(_WORDS.replace("line", "earlier")).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
-    return saved(sets.filter(F.expr(f"100 * both >= {PERCENT} * (size(a) + size(b) - both)")).select(*LINE).distinct())
+    return saved(sets.filter(F.expr(f"100L * both >= {PERCENT}L * (size(a) + size(b) - both)")).select(*LINE).distinct())
+
+
+def _settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The later lines of written pairs (of a line, an earlier one y, and the words that differ at least) that are similar; the likeliest pair of each goes first."""
+    names = [F.col(f"y.{c}").alias(c) for c in LINE]
+    need = saved(pairs.select(*LINE).unionByName(pairs.select(*names)).distinct())
+    whole = saved(lines.join(small(need), LINE, "left_semi").dropDuplicates(LINE).select(*LINE, _lower(F.col("line")).alias("line")))
+    best = saved(pairs.groupBy(*LINE).agg(F.min(F.struct("differ", "y")).alias("best")).select(*LINE, "best.y"))
+    likely = _verified(best, whole)
+    others = saved(pairs.join(small(likely), LINE, "left_anti").select(*LINE, "y").distinct().join(small(best), [*LINE, "y"], "left_anti"))
+    return likely if others.isEmpty() else likely.unionByName(_verified(others, whole))
 
 
 def _later(classes: DataFrame, lines: DataFrame, part: int) -> DataFrame:
     """The first lines of classes that are similar to an earlier one."""
-    listed = classes.select(*LINE, "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    hot = saved(listed.groupBy("token").agg(F.count("*").alias("all")).filter(F.col("all") > part))
-    parted = listed.join(small(hot), "token", "left").withColumn("part", F.when(F.col("all").isNotNull(), F.pmod(F.xxhash64(*LINE), F.ceil(F.col("all") / part))).otherwise(0))
-    row = F.struct(*LINE, "n", "p", "bits")
-    of_part = Window.partitionBy("token", "part")
-    ordered = of_part.orderBy(*LINE)
-    lists = parted.select(
-        "*",
-        F.count("*").over(of_part).alias("size"),
-        F.row_number().over(ordered).alias("at"),
-        F.first(row).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
-        F.collect_list(row).over(ordered.rowsBetween(-NEIGHBOURS, -1)).alias("before"),
+    rank, sure = "shiftright(token, 40)", int(STEPS * math.log2(part)) - 1
+    listed = classes.select(*LINE, "n", *BITS, F.posexplode("prefix").alias("p", "token"))
+    parts = F.expr(f"cast(ceil(pow(2D, ({rank} + 1) / {STEPS}D) / {part}) as bigint)")
+    dealt = listed.withColumn("part", F.when(F.expr(f"{rank} <= {sure}"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*LINE), parts)))
+    # Columns that are never null make short code, which the JVM compiles.
+    row = F.struct(F.struct(*LINE).alias("id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "p", *BITS)])
+    lists = dealt.repartition("token", "part").groupBy("token", "part").agg(F.collect_list(row).alias("list"))
+    most = min(WHOLE, part)
+    lists = lists.withColumn("long", F.expr(f"size(list) > {most} or {rank} > {sure}")).filter("size(list) > 1 or long")
+    lists = lists.withColumn("list", F.expr(f"if(size(list) > {most}, sort_array(list), list)"))
+    each = lists.select("token", "long", "list", F.posexplode("list").alias("i", "x"))
+    # The members up to the one at i, or some of them and the first; itself is the last one.
+    near = f"concat(if(i > {NEIGHBOURS}, slice(list, 1, 1), slice(list, 1, 0)), slice(list, greatest(i - {NEIGHBOURS - 1}, 1), least(i, {NEIGHBOURS}) + 1))"
+    met = each.select(
+        *["token", "long", "x", F.expr(f"if(size(list) > {most}, least(i, {NEIGHBOURS + 1}), i)").alias("last")],
+        F.posexplode(F.expr(f"if(size(list) > {most}, {near}, slice(list, 1, i + 1))")).alias("j", "y"),
     )
-    # The head is among the predecessors of the first ones of a part.
-    seen = F.expr(f"if(at > {NEIGHBOURS + 1}, concat(array(head), before), before)")
-    long = (F.col("size") > NEIGHBOURS + 2) | F.col("all").isNotNull()
-    lists = lists.filter((F.col("size") > 1) | long).withColumn("seen", seen).withColumn("long", long)
-    near = F.expr(f"transform(filter(seen, y -> {_bounds('', 'y.')}), y -> struct(y.doc_id, y.text_key, y.line_no))")
-    held = saved(lists.withColumn("near", near).filter("size(near) > 0 or long").select("token", *LINE, "n", "p", "bits", "near", "long"))
-    settled = _verified(held.select(*LINE, F.explode("near").alias("y")).distinct(), lines)
-    rest = held.filter("long").drop("near", "long").join(settled, LINE, "left_anti")
+    met = met.filter(F.expr(f"if(j < last, {_bounds('x.', 'y.')}, long)"))
+    held = saved(
+        met.filter("j = last or x.id <> y.id").select(
+            F.expr("if(x.id < y.id, y.id, x.id)").alias("later"),
+            F.expr("if(j < last, if(x.id < y.id, x.id, y.id), null)").alias("y"),
+            F.expr(f"if(j < last, {_differ('x.', 'y.')}, null)").alias("differ"),
+            F.expr(f"if(j < last, null, struct(token, x.n, x.p, {', '.join('x.' + b for b in BITS)}))").alias("member"),
+        )
+    ).select("later.*", "y", "differ", "member")
+    settled = _settled(held.filter("member is null").select(*LINE, "y", "differ"), lines)
+    members = held.filter("member is not null").select(*LINE, "member.*")
+    rest = members.join(small(settled), LINE, "left_anti")
     if rest.isEmpty():
         return settled
     # Sets that may be similar differ by a factor of 4/3 at most, so they are in one band or in neighbours.
     band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
     x = rest.withColumn("band", band).alias("x")
-    y = held.filter("long").drop("near", "long").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
-    earlier = "struct(y.doc_id, y.text_key, y.line_no) < struct(x.doc_id, x.text_key, x.line_no)"
-    far = x.join(y, F.expr(f"x.token = y.token and x.band = y.band and {earlier} and {_bounds('x.', 'y.')}"))
-    far = far.select(*[F.col(f"x.{c}").alias(c) for c in LINE], F.struct(*[F.col(f"y.{c}").alias(c) for c in LINE]).alias("y")).distinct()
-    return settled.unionByName(_verified(far, lines)).distinct()
-
-
-def _repeated(docs: DataFrame, id_col: str, text_col: str, part: int) -> tuple[DataFrame, DataFrame]:
-    """The repeated lines as (doc_id, text_key, line_no); and (doc_id, text_key) of documents that several rows repeat."""
-    lines = lines_of(docs, id_col, text_col)
-    sets = _sets(lines)
-    first = F.min(F.struct(*LINE)).alias("first")
-    classes = saved(sets.groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    many = saved(classes.filter("copies > 1").select("k1", "k2", "first"))
-    copies = sets.join(small(many), ["k1", "k2"]).filter(F.struct(*LINE) != F.col("first")).select(*LINE).distinct()
-    later = _later(classes.select("first.*", "n", "bits", "prefix"), lines, part)
-    rows = _documents(docs, id_col, text_col).filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
-    return copies.unionByName(later), saved(rows.filter("n > 1").select("doc_id", "text_key"))
+    y = members.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
+    of_x, of_y = (f"struct({', '.join(f'{r}.{c}' for c in LINE)})" for r in "xy")
+    far = x.join(y, F.expr(f"x.token = y.token and x.band = y.band and {_bounds('x.', 'y.')} and {of_y} < {of_x}"))
+    far = saved(far.select(*[F.col(f"x.{c}").alias(c) for c in LINE], F.expr(of_y).alias("y"), F.expr(_differ("x.", "y.")).alias("differ")).distinct())
+    return settled if far.isEmpty() else settled.unionByName(_settled(far, lines))
+
+
+def _repeated(documents: DataFrame, part: int, twice: bool) -> DataFrame:
+    """The repeated lines as a written (doc_id, text_key, line_no); twice: several rows may have an id, and so the same lines."""
+    sets = _sets(documents)
+    counted = sets.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"))
+    many = saved(counted.filter("copies > 1").select("k1", "k2", "first"))
+    classed = sets.join(small(many), ["k1", "k2"], "left")
+    copies = classed.filter(F.struct(*LINE) != F.col("first")).select(*LINE)
+    firsts = classed.filter(F.col("first").isNull() | (F.struct(*LINE) == F.col("first"))).select(*LINE, "n", *BITS, "prefix")
+    later = _later(firsts.dropDuplicates(LINE) if twice else firsts, lines_of(documents), part)
+    return saved(copies.unionByName(later).distinct())
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = LIST) -> DataFrame:
@@ -139,7 +214,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order and keep their lines. Of rows that share an id and not a text, a number of the text decides which comes first; rows that repeat both are
     one document here. Only the two columns are read.
     """
-    return _repeated(docs, id_col, text_col, part)[0].select("doc_id", "line_no")
+    ids = _repeated_ids(docs, id_col)
+    return _repeated(_documents(docs, id_col, text_col, ids), part, ids is not None).select("doc_id", "line_no")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = LIST) -> DataFrame:
@@ -147,10 +223,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat an id and its text, one keeps what the document keeps, and the others lose every line with words.
     """
-    lines, twice = _repeated(docs, id_col, text_col, part)
-    gone = lines.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    rows = _documents(docs, id_col, text_col).join(gone, ["doc_id", "text_key"], "left")
-    if not twice.isEmpty():
+    ids = _repeated_ids(docs, id_col)
+    documents = _documents(docs, id_col, text_col, ids)
+    gone = _repeated(documents, part, ids is not None).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    rows = documents.join(small(saved(gone)), ["doc_id", "text_key"], "left")
+    twice = None if ids is None else saved(documents.filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_key"))
+    if twice is not None and not twice.isEmpty():
         held = saved(rows.join(small(twice), ["doc_id", "text_key"], "left_semi").withColumn("uid", F.monotonically_increasing_id()))
         firsts = saved(held.groupBy("doc_id", "text_key").agg(F.min("uid").alias("uid")).withColumn("one", F.lit(True)))
         worded = F.expr(r"filter(transform(split(text, '\n', -1), (x, i) -> if(x rlike '[^\\x20\\x09-\\x0D]', i, -1)), i -> i >= 0)")

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -208,6 +209,30 @@ def test_short_lines(spark, part):
     assert {(g.doc_id, g.line_no) for g in got} == line_oracle(texts)
 
 
+@pytest.mark.parametrize("part", [40, 131072])
+def test_lists_of_near_copies(spark, words, part):
+    """Lists beyond WHOLE members, of lines on both sides of LONG words, and letters whose lower case is not that of A-Z alone."""
+    r = random.Random(8)
+    base = prose(words, 5, 110)
+    copies = {k: edited(base, words, k, r.choice([0.02, 0.1, 0.2]))[: r.choice([450, 540, 1000])] for k in range(200)}
+    texts = copies | {300: "\u00c4b \u00e4b Cd\tef\u3000g", 301: "\u00e4b \u00c4b cD ef\u3000G", 302: "\u00e4b \u00e4B cd ef\u3000g", 303: "\u0130 \u03a3 x\rY", 304: "i\u0307 \u03c3 x y", 305: "\u0130 \u03a3 X y"}
+    got = line_dedup.repeated_lines(frame(spark, texts), part=part).collect()
+    assert {(g.doc_id, g.line_no) for g in got} == line_oracle(texts)
+
+
+def test_lines_take_little_disk(spark, words):
+    """Long lines that share rare words and are not similar are told apart by their summaries: neither their pairs nor they themselves are written."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    texts = {k: "\n".join(prose(words, 7 * k + j, 140) for j in range(3)) for k in range(400)}
+
+    def size():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if f.endswith(".parquet"))
+
+    before = size()
+    assert line_dedup.drop_lines(frame(spark, texts)).count() == 400
+    assert size() - before < 0.75 * sum(map(len, texts.values())), (size() - before) / sum(map(len, texts.values()))
+
+
 def test_lines_of_repeated_rows(spark):
     """Of rows that repeat id and text one keeps the line; rows that share an id alone are documents of their own; a null id keeps all."""
     rows = [(1, "one two\n\nthree", 1), (1, "one two\n\nthree", 2), (1, "other words", 3), (2, "One two", 4), (None, "one two", 5), (None, "one two", 6)]
