@@ -2,8 +2,8 @@
 
 A line is the set of its words. Lines of equal sets are one class, of which the first line stands for all; so a line that
 many documents share is one member of whatever follows. The words of a class are ordered by rarity, and two sets of similarity 0.75 share a word among
-the first n - ceil(0.75 n) + 1 of each. Classes meet by such a word; length, position and a summary of the words in 128 bits, or 256 for
-long lines, rule out pairs that cannot reach the threshold, and the rest are verified on the whole lines. A line goes if it is
+the first n - ceil(0.75 n) + 1 of each. Classes meet by such a word; length, position and a summary of the words in 64 bits, or 128 and 256
+for longer lines, rule out pairs that cannot reach the threshold, and the rest are verified on the whole lines. A line goes if it is
 similar to an earlier one, by document id and then by place.
 
 The classes that share a word are a list, from one shuffle. All pairs of a list up to ``WHOLE`` members are looked at; in a longer one, each member meets
@@ -14,8 +14,11 @@ What is not removed then meets the rest of its longer or dealt lists, by bands o
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import LOWER, UPPER, saved, small
@@ -28,8 +31,14 @@ COUNTERS = 1 << 18
 STEPS = 4
 #: Members up to which all pairs of a list are looked at, predecessors that a member of a longer one meets, and occurrences of a word from which its list is dealt.
 WHOLE, NEIGHBOURS, LIST = 128, 24, 131072
-#: Words from which a line has 256 bits of summary.
-LONG = 100
+#: Words from which a line has 128 and 256 bits of summary.
+LONG = (64, 192)
+#: Bits of a word's number, below its rank.
+RANK = 56
+#: Rows up to which copies may be broadcast; their bytes decide before.
+MANY = 1 << 20
+#: The writer's options for words: groups of 16 MB, each with a dictionary of up to 6 MB.
+DICTIONARY = {"parquet.block.size": 16 << 20, "parquet.dictionary.page.size": 6 << 20}
 #: What a line is known by, in the order of lines: the document, a number of its text if several rows have its id, the place.
 LINE = ["doc_id", "text_key", "line_no"]
 BITS = ["b1", "b2", "b3", "b4"]
@@ -37,10 +46,11 @@ _WORDS = r"array_distinct(filter(split(line, '[\\x20\\x09-\\x0D]+'), w -> w <> '
 
 
 def _differ(x: str, y: str) -> str:
-    """SQL for the least number of words that one of x and y has and the other lacks, by their summaries; that of a long line is folded for a short one."""
-    whole = " + ".join(f"bit_count({x}{b} ^ {y}{b})" for b in BITS)
-    half = " + ".join(f"bit_count(({x}{a} | {x}{b}) ^ ({y}{a} | {y}{b}))" for a, b in (("b1", "b3"), ("b2", "b4")))
-    return f"if({x}n >= {LONG} and {y}n >= {LONG}, {whole}, {half})"
+    """SQL for the least number of words that one of x and y has and the other lacks, by their summaries; that of a long line is folded for a shorter one."""
+    all_, half = " + ".join(f"bit_count({x}{b} ^ {y}{b})" for b in BITS), " + ".join(f"bit_count({x}{a} ^ {x}{b} ^ {y}{a} ^ {y}{b})" for a, b in (("b1", "b3"), ("b2", "b4")))
+    one = f"bit_count({' ^ '.join(r + b for r in (x, y) for b in BITS)})"
+    least = f"least({x}np, {y}np)"
+    return f"(case when {least} < {LONG[0] << 32}L then {one} when {least} < {LONG[1] << 32}L then {half} else {all_} end)"
 
 
 def _bounds(x: str, y: str) -> str:
@@ -48,10 +58,17 @@ def _bounds(x: str, y: str) -> str:
 
     The place is that of the first word that both have, by which each pair is met. Of the words of both, at most 25 of 175 differ, in whole numbers of common words.
     """
-    both, all_ = f"least({x}n - {x}p, {y}n - {y}p)", f"({x}n + {y}n)"
+    (xn, xp), (yn, yp) = [(f"shiftright({r}np, 32)", f"({r}np & {(1 << 32) - 1}L)") for r in (x, y)]
+    both, all_ = f"least({xn} - {xp}, {yn} - {yp})", f"({xn} + {yn})"
     least, most = PERCENT, 100 + PERCENT
-    return f"""{y}n * 100L >= {PERCENT} * {x}n and {x}n * 100L >= {PERCENT} * {y}n and {both} * {most}L >= {least} * {all_}
-        and ({all_} - ({_differ(x, y)})) * {most}L >= {2 * least} * {all_}"""
+    return f"""{yn} * 100 >= {PERCENT} * {xn} and {xn} * 100 >= {PERCENT} * {yn} and {both} * {most} >= {least} * {all_}
+        and ({all_} - {_differ(x, y)}) * {most} >= {2 * least} * {all_}"""
+
+
+def _earlier(x: str, y: str) -> str:
+    """SQL for whether x comes before y in the order of lines."""
+    a, b, c = [(x + name, y + name) for name in LINE]
+    return f"({a[0]} < {a[1]} or {a[0]} = {a[1]} and ({b[0]} < {b[1]} or {b[0]} = {b[1]} and {c[0]} < {c[1]}))"
 
 
 def _repeated_ids(docs: DataFrame, id_col: str) -> DataFrame | None:
@@ -72,65 +89,67 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame | Non
 
 def lines_of(documents: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line) of documents with an id."""
-    return documents.filter("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return documents.filter("doc_id is not null").select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _lower(line: Column) -> Column:
     """line with A-Z in lower case and nothing else changed; the slow way is for other letters or signs that may have a lower case."""
-    plain = (F.octet_length(line) == F.length(line)) | ~line.rlike(r"[^\x00-\x7F\p{Ll}\p{Lo}\p{P}\p{Nd}\p{Zs}]")
+    plain = (F.octet_length(line) == F.length(line)) | ~line.rlike(r"[^\x00-\xBF\xDF-\xFF]") | ~line.rlike(r"[^\x00-\x7F\p{Ll}\p{Lo}\p{P}\p{Nd}\p{Zs}]")
     return F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
-def _parts(line: str) -> Column:
-    """The words of a line with A-Z in lower case, and empty ones; one fixed character parts them."""
-    text = F.col(line)
-    spaced = F.when(text.rlike(r"[\t\x0B-\r]"), F.translate(text, "\t\n\x0b\f\r", " " * 5)).otherwise(text)
-    return F.split(_lower(spaced), " ")
+def _parts(lines: DataFrame) -> DataFrame:
+    """lines with parts in place of line: its words with A-Z in lower case, and empty ones; one fixed character parts them."""
+    others = "\t\n\x0b\f\r"
+    spaced = F.when(reduce(or_, [F.contains("line", F.lit(c)) for c in others]), F.translate("line", others, " " * 5)).otherwise(F.col("line"))
+    return lines.withColumn("line", spaced).select(*LINE, F.split(_lower(F.col("line")), " ").alias("parts"))
+
+
+def _sets(documents: DataFrame) -> DataFrame:
+    """A written row for each line that has words: its place, 128 bits of its set's digest, and the set, of words as 64-bit numbers.
+
+    Most words are frequent ones, so a file's dictionary holds them and a word takes half its 8 bytes; that needs one larger than usual.
+    """
+    numbers = F.array_distinct(F.transform("parts", lambda w: F.xxhash64(w)))
+    sets = _parts(lines_of(documents)).select(*LINE, F.sort_array(F.array_remove(numbers, F.xxhash64(F.lit("")))).alias("words"))
+    keys = [F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit("again")).alias("k2")]
+    return saved(sets.select(*LINE, *keys, "words"), **DICTIONARY).filter("size(words) > 0")
 
 
-def _rarity(documents: DataFrame) -> bytes:
+def _rarity(sets: DataFrame) -> bytes:
     """A byte for each counter: STEPS times the logarithm of how many words fell to it, rounded down."""
-    words = lines_of(documents).select(F.explode(_parts("line")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("k")).agg(F.count("*").alias("n")).toArrow()
-    table = bytearray(COUNTERS)
-    for k, n in zip(counts["k"].to_pylist(), counts["n"].to_pylist()):
-        table[k] = int(STEPS * math.log2(n + 1))
-    return bytes(table)
+    words = sets.select(F.explode("words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("k")).agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, "u1")
+    table[counts["k"].to_numpy()] = STEPS * np.log2(counts["n"].to_numpy() + 1)
+    return table.tobytes()
 
 
-def _sets(documents: DataFrame) -> DataFrame:
-    """A written row for each line: its place, 128 bits of its set's digest, the set's size and summary, and its prefix.
+def _ranked(sets: DataFrame, table: bytes) -> DataFrame:
+    """(LINE, np, BITS, prefix): the set's size n and, in one number with it, room for a place in its order; its summary, and its prefix.
 
-    Words are 64-bit numbers here. A word of the prefix is its rank and 40 bits of its number: what two words share only adds pairs to verify.
+    A word is its rank and 56 bits of its number here: what two words share only adds pairs to verify.
     """
-    table = F.lit(_rarity(documents))
-    numbers = F.transform(_parts("line"), lambda w: F.xxhash64(w))
-    words = lines_of(documents).select(*LINE, F.array_remove(F.array_distinct(numbers), F.xxhash64(F.lit(""))).alias("words"))
-
-    def rank(h):
-        at = h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1
-        return F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long")
-
-    def bits(flags: int):
-        """64 bits of the words that have these flags; flag 2 counts in long lines only."""
-        low = f"case when size(words) >= {LONG} then 192 else 64 end"
-        return F.expr(f"aggregate(words, 0L, (a, h) -> if((h & ({low})) = {64 * flags}, a | shiftleft(1L, cast(h & 63 as int)), a))")
-
-    none = F.lit(0).cast("long")
-    ranked = F.sort_array(F.transform("words", lambda h: F.shiftleft(rank(h), 40).bitwiseOR(F.shiftrightunsigned(h, 24))))
-    sized = words.select(
-        *LINE,
-        F.sort_array("words").alias("sorted"),
-        F.size("words").alias("n"),
-        bits(0).alias("b1"),
-        bits(1).alias("b2"),
-        F.when(F.size("words") >= LONG, bits(2)).otherwise(none).alias("b3"),
-        F.when(F.size("words") >= LONG, bits(3)).otherwise(none).alias("b4"),
-        ranked.alias("ranked"),
-    )
-    prefix = F.expr(f"slice(ranked, 1, cast(n - ceil({PERCENT} * n / 100D) + 1 as int))")
-    keys = [F.xxhash64("sorted").alias("k1"), F.xxhash64("sorted", F.lit("again")).alias("k2")]
-    return saved(sized.select(*LINE, *keys, "n", *BITS, prefix.alias("prefix"))).filter("n > 0")
+    ranks = F.lit(table)
+
+    def ranked(h):
+        rank = F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(rank, RANK).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK))
+
+    words = sets.select(*LINE, F.size("words").alias("n"), F.sort_array(F.transform("words", ranked)).alias("words"))
+
+    def bits(i: int):
+        """64 bits, each of which tells whether an odd number of words fell to it; of longer lines, those words alone that have these flags."""
+        flags = f"case when n >= {LONG[1]} then 192 when n >= {LONG[0]} then 64 else 0 end"
+        some = "aggregate(words, 0L, (a, w) -> {})"
+        one = "a ^ shiftleft(1L, cast(w & 63 as int))"
+        part = some.format(f"if((w & ({flags})) = {64 * i}, {one}, a)")
+        if i:
+            return F.expr(f"case when n >= {LONG[i // 2]} then {part} else 0L end")
+        return F.expr(f"case when n >= {LONG[0]} then {part} else {some.format(one)} end")
+
+    prefix = F.expr(f"slice(words, 1, cast(n - ceil({PERCENT} * n / 100D) + 1 as int))")
+    return words.select(*LINE, F.expr("shiftleft(cast(n as bigint), 32)").alias("np"), *[bits(i).alias(b) for i, b in enumerate(BITS)], prefix.alias("prefix"))
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -153,43 +172,42 @@ def _settled(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _later(classes: DataFrame, lines: DataFrame, part: int) -> DataFrame:
-    """The first lines of classes that are similar to an earlier one."""
-    rank, sure = "shiftright(token, 40)", int(STEPS * math.log2(part)) - 1
-    listed = classes.select(*LINE, "n", *BITS, F.posexplode("prefix").alias("p", "token"))
-    parts = F.expr(f"cast(ceil(pow(2D, ({rank} + 1) / {STEPS}D) / {part}) as bigint)")
-    dealt = listed.withColumn("part", F.when(F.expr(f"{rank} <= {sure}"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*LINE), parts)))
+    """The first lines of classes, as _ranked has them, that are similar to an earlier one."""
+    # A word of a list is its rank and 40 bits; the part of its list stands above them.
+    rank, sure, token = "shiftrightunsigned(word, 40)", int(STEPS * math.log2(part)) - 1, f"key & {(1 << 47) - 1}L"
+    listed = classes.select(*LINE, "np", *BITS, F.posexplode_outer("prefix").alias("p", "word")).withColumn("word", F.shiftrightunsigned("word", RANK - 40))
+    parts = F.expr(f"least(65535, cast(ceil(pow(2D, ({rank} + 1) / {STEPS}D) / {part}) as bigint))")
+    key = F.when(F.expr(f"{rank} <= {sure}"), F.col("word")).otherwise(F.col("word").bitwiseOR(F.shiftleft(F.pmod(F.xxhash64(*LINE), parts), 47)))
+    dealt = listed.select(F.coalesce(key, F.lit(0)).alias("key"), *LINE, F.expr("np | p").alias("np"), *BITS)
+    # The rows of a list stand together from here on. Its size, beyond all others for a word that is dealt, alone tells how they are used, so all uses read one shuffle.
+    size = F.count("*").over(Window.partitionBy("key")) + F.when(F.expr(f"{rank.replace('word', f'({token})')} > {sure}"), F.lit(1 << 40)).otherwise(F.lit(0))
+    rows, most = dealt.withColumn("size", size), min(WHOLE, part)
+    of_x, of_y = (f"struct({', '.join(f'{r}.{c}' for c in LINE)})" for r in "xy")
+    x, y = (rows.filter(f"size between 2 and {most}").alias(r) for r in "xy")
+    short = x.join(y, F.expr(f"x.key = y.key and {_earlier('y.', 'x.')} and {_bounds('x.', 'y.')}"))
+    member = f"struct({token} as token, x.np, {', '.join('x.' + b for b in BITS)})"
+    found = [F.expr(of_x).alias("later"), F.expr(of_y).alias("y"), F.expr(_differ("x.", "y.")).alias("differ")]
     # Columns that are never null make short code, which the JVM compiles.
-    row = F.struct(F.struct(*LINE).alias("id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "p", *BITS)])
-    lists = dealt.repartition("token", "part").groupBy("token", "part").agg(F.collect_list(row).alias("list"))
-    most = min(WHOLE, part)
-    lists = lists.withColumn("long", F.expr(f"size(list) > {most} or {rank} > {sure}")).filter("size(list) > 1 or long")
-    lists = lists.withColumn("list", F.expr(f"if(size(list) > {most}, sort_array(list), list)"))
-    each = lists.select("token", "long", "list", F.posexplode("list").alias("i", "x"))
-    # The members up to the one at i, or some of them and the first; itself is the last one.
+    row = F.struct("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in [*LINE[1:], "np", *BITS]])
+    lists = rows.filter(f"size > {most}").groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("list"))
+    each = lists.select("key", "list", F.posexplode("list").alias("i", "x"))
+    # Some of the members up to the one at i, and the first; itself is the last one.
     near = f"concat(if(i > {NEIGHBOURS}, slice(list, 1, 1), slice(list, 1, 0)), slice(list, greatest(i - {NEIGHBOURS - 1}, 1), least(i, {NEIGHBOURS}) + 1))"
-    met = each.select(
-        *["token", "long", "x", F.expr(f"if(size(list) > {most}, least(i, {NEIGHBOURS + 1}), i)").alias("last")],
-        F.posexplode(F.expr(f"if(size(list) > {most}, {near}, slice(list, 1, i + 1))")).alias("j", "y"),
-    )
-    met = met.filter(F.expr(f"if(j < last, {_bounds('x.', 'y.')}, long)"))
-    held = saved(
-        met.filter("j = last or x.id <> y.id").select(
-            F.expr("if(x.id < y.id, y.id, x.id)").alias("later"),
-            F.expr("if(j < last, if(x.id < y.id, x.id, y.id), null)").alias("y"),
-            F.expr(f"if(j < last, {_differ('x.', 'y.')}, null)").alias("differ"),
-            F.expr(f"if(j < last, null, struct(token, x.n, x.p, {', '.join('x.' + b for b in BITS)}))").alias("member"),
-        )
-    ).select("later.*", "y", "differ", "member")
+    met = each.select("key", "x", F.expr(f"least(i, {NEIGHBOURS + 1})").alias("last"), F.posexplode(F.expr(near)).alias("j", "y"))
+    met = met.filter(f"j = last or {_bounds('x.', 'y.')}").filter(f"j = last or {of_x} <> {of_y}")
+    either = [F.when(F.expr("j < last"), c).alias(name) for c, name in zip(found[1:], ["y", "differ"])]
+    met = met.select(found[0], *either, F.expr(f"if(j < last, null, {member})").alias("member"))
+    none = F.lit(None).cast(met.schema["member"].dataType).alias("member")
+    held = saved(short.select(*found, none).unionByName(met)).select("later.*", "y", "differ", "member")
     settled = _settled(held.filter("member is null").select(*LINE, "y", "differ"), lines)
     members = held.filter("member is not null").select(*LINE, "member.*")
     rest = members.join(small(settled), LINE, "left_anti")
     if rest.isEmpty():
         return settled
     # Sets that may be similar differ by a factor of 4/3 at most, so they are in one band or in neighbours.
-    band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
+    band = F.floor(F.log(F.shiftright("np", 32)) / math.log(100 / PERCENT) + 1e-9)
     x = rest.withColumn("band", band).alias("x")
     y = members.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
-    of_x, of_y = (f"struct({', '.join(f'{r}.{c}' for c in LINE)})" for r in "xy")
     far = x.join(y, F.expr(f"x.token = y.token and x.band = y.band and {_bounds('x.', 'y.')} and {of_y} < {of_x}"))
     far = saved(far.select(*[F.col(f"x.{c}").alias(c) for c in LINE], F.expr(of_y).alias("y"), F.expr(_differ("x.", "y.")).alias("differ")).distinct())
     return settled if far.isEmpty() else settled.unionByName(_settled(far, lines))
@@ -198,12 +216,12 @@ def _later(classes: DataFrame, lines: DataFrame, part: int) -> DataFrame:
 def _repeated(documents: DataFrame, part: int, twice: bool) -> DataFrame:
     """The repeated lines as a written (doc_id, text_key, line_no); twice: several rows may have an id, and so the same lines."""
     sets = _sets(documents)
+    table = _rarity(sets)
     counted = sets.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"))
     many = saved(counted.filter("copies > 1").select("k1", "k2", "first"))
-    classed = sets.join(small(many), ["k1", "k2"], "left")
-    copies = classed.filter(F.struct(*LINE) != F.col("first")).select(*LINE)
-    firsts = classed.filter(F.col("first").isNull() | (F.struct(*LINE) == F.col("first"))).select(*LINE, "n", *BITS, "prefix")
-    later = _later(firsts.dropDuplicates(LINE) if twice else firsts, lines_of(documents), part)
+    copies = saved(sets.join(small(many, MANY), ["k1", "k2"]).filter(F.struct(*LINE) != F.col("first")).select(*LINE))
+    firsts = sets.join(small(copies, MANY), LINE, "left_anti")
+    later = _later(_ranked(firsts.dropDuplicates(LINE) if twice else firsts, table), lines_of(documents), part)
     return saved(copies.unionByName(later).distinct())
 
 

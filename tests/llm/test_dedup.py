@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lectern.llm import exact_dedup, graph, line_dedup, neardup
 from tests.llm.conftest import edited, frame, prose
 
@@ -233,6 +235,20 @@ def test_lines_take_little_disk(spark, words):
     assert size() - before < 0.75 * sum(map(len, texts.values())), (size() - before) / sum(map(len, texts.values()))
 
 
+def test_summaries_of_lines(spark, words):
+    """A line's summary tells of 64 bits, 128 or 256 which got an odd number of words: it never differs by more bits than words do, and tells even long lines apart."""
+    base = prose(words, 3, 260)
+    texts = {k: edited(base, words, k, 0.05)[: 90 * (k % 20 + 1)] if k % 2 else prose(words, k, 40 + 8 * k) for k in range(30)}
+    sets = line_dedup._sets(line_dedup._documents(frame(spark, texts), "doc_id", "text", None))
+    rows = line_dedup._ranked(sets, line_dedup._rarity(sets)).alias("x")
+    pairs = rows.join(rows.alias("y"), F.expr("x.doc_id < y.doc_id")).select("x.doc_id", F.col("y.doc_id").alias("other"), F.expr(line_dedup._differ("x.", "y.")).alias("least"))
+    for r in pairs.collect():
+        a, b = (set(texts[k].translate(UP).split()) for k in (r.doc_id, r.other))
+        assert r.least <= len(a ^ b)
+        if r.doc_id % 2 == r.other % 2 == 0 and min(len(a), len(b)) < 150:
+            assert 7 * r.least > len(a) + len(b) or not 3 * len(a) <= 4 * len(b) <= 5.4 * len(a), (r, len(a), len(b))
+
+
 def test_lines_of_repeated_rows(spark):
     """Of rows that repeat id and text one keeps the line; rows that share an id alone are documents of their own; a null id keeps all."""
     rows = [(1, "one two\n\nthree", 1), (1, "one two\n\nthree", 2), (1, "other words", 3), (2, "One two", 4), (None, "one two", 5), (None, "one two", 6)]
