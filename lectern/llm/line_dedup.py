@@ -220,8 +220,10 @@ def _repeated(documents: DataFrame, part: int, twice: bool) -> DataFrame:
     counted = sets.groupBy("k1", "k2").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("copies"))
     many = saved(counted.filter("copies > 1").select("k1", "k2", "first"))
     copies = saved(sets.join(small(many, MANY), ["k1", "k2"]).filter(F.struct(*LINE) != F.col("first")).select(*LINE))
-    firsts = sets.join(small(copies, MANY), LINE, "left_anti")
-    later = _later(_ranked(firsts.dropDuplicates(LINE) if twice else firsts, table), lines_of(documents), part)
+    # By document, copies take half the room, and their join is broadcast for longer; if not, prefixes are shuffled and not whole sets.
+    gone = saved(copies.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")))
+    firsts = _ranked(sets, table).join(small(gone, MANY), ["doc_id", "text_key"], "left").filter("gone is null or not array_contains(gone, line_no)").drop("gone")
+    later = _later(firsts.dropDuplicates(LINE) if twice else firsts, lines_of(documents), part)
     return saved(copies.unionByName(later).distinct())
 
 
