@@ -6,8 +6,9 @@ boxes of ``FAN`` leaves each. A box has its least and greatest value in every co
 it lies in the sum of the per-coordinate intervals. A queue takes boxes by their upper bound, and a box is left out if its
 interval lies outside all score windows, or strictly below the kth score so far (a tie may still win by its smaller id).
 
-Pages are rows of a written table. Queries are packed in blocks and meet every page in an equi-join on (block, slot of pages): first
-their home page, which gives each a kth score to prune with, then all pages. Every page gives at most k rows a query.
+Pages are rows of a written table. Queries are packed in blocks and first meet their home page, which gives each a kth score to prune
+with, then all pages, in a Cartesian product of the partitions of both tables. A task goes through its pages block by block and gives at
+most k rows a window for all of them. No join is a broadcast: packed vectors fill many times the bytes that Spark expects from their files.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import saved, trim
 from lectern.llm.vectors import exact_in_double, grid, matrix, packed, unpacked, usable, width
 
-PAGE, FAN, BLOCK, SLOTS = 4096, 8, 512, 64
+PAGE, FAN, BLOCK = 4096, 8, 512
+#: Into how many partitions blocks are put at most, so that there are no more tasks than so many for each partition of pages.
+LANES = 8
 #: How many positives and negatives, and the window of a negative's score in hundredths of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 SCALE, EVERY = 256, 100
@@ -207,38 +210,60 @@ ASK = "id long, label long, q array<long>, low array<long>, high array<long>, fl
 HITS = "anchor long, slot int, id long, score long"
 
 
+class Asks:
+    """A block of queries, and what each has found in the pages that it has met."""
+
+    def __init__(self, asks: pa.RecordBatch, columns: int, k: int):
+        names = ("id", "label", "low", "high", "floor")
+        self.ids, self.labels, *windows = (asks.column(c).to_pylist() for c in names)
+        self.windows = [Windows(low, high, floor, k) for low, high, floor in zip(*windows)]
+        self.queries = matrix(asks.column("q"), columns)
+
+    def search(self, page: Page, same: bool) -> None:
+        queries = self.queries
+        if exact_in_double(queries, page.m):
+            queries = queries.astype(np.float64)
+            page.m, page.low, page.high = (x.astype(np.float64) for x in (page.m, page.low, page.high))
+        bounds = page.bounds(queries)
+        for i, (anchor, label, windows) in enumerate(zip(self.ids, self.labels, self.windows)):
+            fits = (page.labels == label) if same else (page.labels != label)
+            best_first(page, queries[i], tuple(b[i] for b in bounds), windows, fits & (page.ids != anchor))
+
+    def hits(self) -> pa.RecordBatch:
+        out = [(a, w, -row, int(score)) for a, x in zip(self.ids, self.windows) for w, heap in enumerate(x.found) for score, row in heap]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "slot", "id", "score"])
+
+
 def _searched(columns: int, k: int, same: bool):
-    """best_first of each query of a block in a page, as a function of joined rows; same tells which labels fit."""
+    """best_first of each query of a block in each page that it meets, as a function of joined rows; same tells which labels fit.
+
+    The rows of a block that follow one another are searched as one, so that they give k rows a window and the kth score of one prunes the next.
+    """
 
     def run(batches):
+        block = asks = None
         for batch in batches:
             for r in range(batch.num_rows):
-                yield one(batch.slice(r, 1))
+                row = batch.slice(r, 1)
+                get = lambda name: row.column(name)[0]  # noqa: B023,E731
+                if asks is None or get("block").as_py() != block:
+                    if asks:
+                        yield asks.hits()
+                    block, asks = get("block").as_py(), Asks(pa.RecordBatch.from_struct_array(get("asks").values), columns, k)
+                asks.search(paged(get), same)
+        if asks:
+            yield asks.hits()
         trim()
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        get = lambda name: batch.column(name)[0]
-        page = Page(
+    def paged(get) -> Page:
+        return Page(
             *(get(c).values.to_numpy(zero_copy_only=False) for c in ("ids", "labels")),
             unpacked(get("rows").as_py(), columns),
             *(get(c).as_py() for c in ("leaves", "inner")),
             *(unpacked(get(c).as_py(), columns) for c in ("low", "high")),
         )
-        asks = pa.RecordBatch.from_struct_array(get("asks").values)
-        queries = matrix(asks.column("q"), columns)
-        if exact_in_double(queries, page.m):
-            queries = queries.astype(np.float64)
-            page.m, page.low, page.high = (x.astype(np.float64) for x in (page.m, page.low, page.high))
-        bounds = page.bounds(queries)
-        out: list[tuple] = []
-        for i, (anchor, label, low, high, floor) in enumerate(zip(*(asks.column(c).to_pylist() for c in ("id", "label", "low", "high", "floor")))):
-            windows = Windows(low, high, floor, k)
-            fits = (page.labels == label) if same else (page.labels != label)
-            best_first(page, queries[i], tuple(b[i] for b in bounds), windows, fits & (page.ids != anchor))
-            out += [(anchor, w, -row, int(score)) for w, heap in enumerate(windows.found) for score, row in heap]
-        names = ["anchor", "slot", "id", "score"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=names)
 
     return run
 
@@ -249,6 +274,11 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join of two tables that both grow with the input, however small Spark takes one for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _search(pages: DataFrame, asks: DataFrame, columns: int, k: int, same: bool, block: int) -> DataFrame:
     """The k best rows of each window of asks (page, ASK columns), as (anchor, slot, id, score, rank); a written table.
 
@@ -256,19 +286,18 @@ def _search(pages: DataFrame, asks: DataFrame, columns: int, k: int, same: bool,
     """
     ask = F.struct("id", "label", "q", "low", "high", "floor").alias("ask")
     home = asks.select("page", ask).groupBy("page").agg(F.collect_list("ask").alias("asks"))  # no more than the page has rows
-    found = saved(pages.join(home, "page").drop("page").mapInArrow(_searched(columns, k, same), HITS))
+    found = saved(_merged(pages, home, "page").withColumnRenamed("page", "block").mapInArrow(_searched(columns, k, same), HITS))
     # A window whose home page has k rows takes the least of them for its floor.
     kth = found.groupBy("anchor", "slot").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
     floors = kth.groupBy(F.col("anchor").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "least"))).alias("known"))
     better = F.transform("floor", lambda f, w: F.greatest(f, F.coalesce(F.try_element_at("known", w), f)))
-    raised = asks.join(floors, "id", "left").withColumn("floor", F.when(F.col("known").isNull(), F.col("floor")).otherwise(better)).drop("known")
+    raised = _merged(asks, floors, "id", "left").withColumn("floor", F.when(F.col("known").isNull(), F.col("floor")).otherwise(better)).drop("known")
     blocks = max(1, -(-asks.count() // block))
     deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     packs = saved(raised.select(deal.alias("block"), ask).groupBy("block").agg(F.collect_list("ask").alias("asks")))
-    slot = F.pmod(F.xxhash64("page"), F.lit(SLOTS)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = pages.withColumn("slot", slot).withColumn("block", every(blocks)).join(packs.withColumn("slot", every(SLOTS)), ["block", "slot"])
-    hits = met.drop("block", "slot", "page").mapInArrow(_searched(columns, k, same), HITS)
+    # Blocks are the outer rows: a task holds its pages, and goes through all of them with one block after the other.
+    met = packs.coalesce(LANES).crossJoin(pages.drop("page").hint("shuffle_replicate_nl"))
+    hits = met.mapInArrow(_searched(columns, k, same), HITS)
     return saved(_best(hits, k))
 
 
@@ -293,7 +322,7 @@ def hard_negatives(
     pages, columns = tree_pages(points, page, fan)
     marked = (F.col("id") % EVERY == 0) if anchors is None else anchors
     places = pages.select("page", F.explode("ids").alias("id"))
-    asked = saved(points.filter(marked).join(places, "id"))
+    asked = saved(_merged(points.filter(marked), places, "id"))
     lowest, highest = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
     open_asks = asked.withColumns({"low": F.array(lowest), "high": F.array(highest), "floor": F.array(lowest)})
     best = _search(pages, open_asks, columns, positives, True, block)
@@ -304,11 +333,12 @@ def hard_negatives(
     window = F.struct("score", least.cast("long").alias("low"), most.cast("long").alias("high"))
     wanted = chosen.groupBy(F.col("anchor").alias("id")).agg(F.array_sort(F.collect_set(window)).alias("w"))
     wanted = wanted.withColumn("w", F.filter("w", lambda x: x["low"] <= x["high"])).filter(F.size("w") > 0)
-    windows = saved(asked.join(wanted, "id").withColumns({"low": F.col("w.low"), "high": F.col("w.high"), "floor": F.col("w.low")}))
+    windows = saved(_merged(asked, wanted, "id").withColumns({"low": F.col("w.low"), "high": F.col("w.high"), "floor": F.col("w.low")}))
     hits = _search(pages, windows.drop("w"), columns, negatives, False, block)
     slots = windows.select(F.col("id").alias("anchor"), F.posexplode("w.score").alias("slot", "score"))
-    pairs = chosen.join(slots, ["anchor", "score"]).select("anchor", "slot", "positive", F.col("score").alias("positive_score"))
-    found = pairs.join(hits.select("anchor", "slot", "rank", F.col("id").alias("negative"), F.col("score").alias("negative_score")), ["anchor", "slot"])
+    pairs = _merged(chosen, slots, ["anchor", "score"]).select("anchor", "slot", "positive", F.col("score").alias("positive_score"))
+    chosen_hits = hits.select("anchor", "slot", "rank", F.col("id").alias("negative"), F.col("score").alias("negative_score"))
+    found = _merged(pairs, chosen_hits, ["anchor", "slot"])
     return found.select(
         F.col("anchor").alias("anchor_id"),
         F.col("positive").alias("positive_id"),

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import codes, mixing, negatives, queries
 from tests.llm.conftest import frame
@@ -184,6 +185,43 @@ def test_ragged_vectors_count_as_filled_with_zeros(spark):
     assert found(negatives.hard_negatives(negatives.integer_points(vectors(spark, ragged)), page=8)) == hard(filled)
 
 
+def test_no_join_of_a_search_goes_through_the_driver(spark, monkeypatch):
+    """Tables of queries and rows grow with the input, and packed ones fill far more memory than their files."""
+    plans, write = [], negatives.saved
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(negatives, "saved", noted)
+    rows = clouds(160, 6, 2, copies=60, step=20)
+    out = negatives.hard_negatives(negatives.integer_points(vectors(spark, rows)), page=16, fan=2, block=3)
+    assert found(out) == hard(rows)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and sum("CartesianProduct" in p for p in plans) == 2
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_pages_that_follow_one_another_are_searched_as_one(spark):
+    """They give at most k rows a window together, not each of them; the next block begins anew."""
+    rows = clouds(160, 6, 2, copies=60, step=20)
+    points = negatives.integer_points(vectors(spark, rows))
+    pages, columns = negatives.tree_pages(points, 16, 2)
+    lowest, highest = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    asks = points.filter("id % 100 = 0").withColumns({"low": F.array(lowest), "high": F.array(highest), "floor": F.array(lowest)})
+    packs = asks.select((F.col("id") % 3).alias("block"), F.struct("id", "label", "q", "low", "high", "floor").alias("ask"))
+    packs = packs.groupBy("block").agg(F.collect_list("ask").alias("asks")).coalesce(1)
+    met = packs.crossJoin(pages.drop("page").coalesce(1).hint("shuffle_replicate_nl"))
+    hits = met.mapInArrow(negatives._searched(columns, 5, True), negatives.HITS).collect()
+    ok = {i: (y, [math.floor(256 * x) for x in v]) for i, v, y in rows}
+    want = []
+    for a, (y, q) in ok.items():
+        if a % 100 == 0:
+            scored = sorted((-sum(s * t for s, t in zip(q, w)), b) for b, (z, w) in ok.items() if b != a and z == y)
+            want += [(a, 0, b, -s) for s, b in scored[:5]]
+    assert pages.count() > 5 and sorted(tuple(h) for h in hits) == sorted(want)
+
+
 def test_a_search_opens_few_leaves_of_well_parted_rows(spark):
     """The queue prunes: rows far from a query's cloud are not looked at."""
     r = np.random.default_rng(1)
