@@ -28,12 +28,16 @@ from lectern.llm.vectors import exact_in_double, grid, matrix, packed, unpacked,
 PAGE, FAN, BLOCK = 4096, 8, 512
 #: Into how many partitions blocks are put at most, so that there are no more tasks than so many for each partition of pages.
 LANES = 8
+#: A page a task up to so many tasks, beyond them so many pages a task: a range sort sends the driver 300 keys for each task.
+TASKS, PAGES_A_TASK = 512, 16
 #: How many positives and negatives, and the window of a negative's score in hundredths of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 SCALE, EVERY = 256, 100
 #: Inner products of such components fit 64 bits up to 128 dimensions.
 LARGEST = 1 << 28
 
+#: Pages fill their files as they fill memory, so that partitions of files hold no more of them where vectors are equal.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 PAGES = "page long, ids array<long>, labels array<long>, rows binary, leaves array<int>, inner array<int>, low binary, high binary"
 
 
@@ -82,7 +86,7 @@ def tree_pages(points: DataFrame, page: int = PAGE, fan: int = FAN) -> tuple[Dat
     at = [F.coalesce(F.get("q", F.lit(d)), F.lit(0)) for d in dims[:2]]
     bounds = points.select(at[0].cast("double").alias("x")).approxQuantile("x", [k / slabs for k in range(1, slabs)], 0.1 / slabs) if slabs > 1 else []
     slab = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in sorted(bounds)]), lambda b: b < at[0]))
-    parts = max(1, min(-(-n // page), 1 << 16))
+    parts = max(1, min(-(-n // page), max(TASKS, -(-n // (page * PAGES_A_TASK)))))
     ranged = points.withColumns({"slab": slab, "next": at[1]}).repartitionByRange(parts, "slab", "next", "id").sortWithinPartitions("slab", "next", "id")
 
     def run(batches):
@@ -110,7 +114,8 @@ def tree_pages(points: DataFrame, page: int = PAGE, fan: int = FAN) -> tuple[Dat
         row = [number, ids.tolist(), labels.tolist(), packed(m), leaves, inner, packed(low), packed(high)]
         return pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, row))], schema=SCHEMA)
 
-    return saved(ranged.select("id", "label", "q", F.spark_partition_id().alias("part")).mapInArrow(run, PAGES)), columns
+    pages = ranged.select("id", "label", "q", F.spark_partition_id().alias("part")).mapInArrow(run, PAGES)
+    return saved(pages, **PLAIN), columns
 
 
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -189,9 +190,9 @@ def test_no_join_of_a_search_goes_through_the_driver(spark, monkeypatch):
     """Tables of queries and rows grow with the input, and packed ones fill far more memory than their files."""
     plans, write = [], negatives.saved
 
-    def noted(df):
+    def noted(df, **options):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return write(df)
+        return write(df, **options)
 
     monkeypatch.setattr(negatives, "saved", noted)
     rows = clouds(160, 6, 2, copies=60, step=20)
@@ -222,6 +223,19 @@ def test_pages_that_follow_one_another_are_searched_as_one(spark):
     assert pages.count() > 5 and sorted(tuple(h) for h in hits) == sorted(want)
 
 
+def test_pages_of_large_tables_are_made_by_few_tasks(spark, monkeypatch):
+    """Each partition of a range sort sends keys to the driver, so they grow slower than pages; equal vectors fill files as others do."""
+    rows = [(i, [1.0] * 6, i % 3) for i in range(300)]
+    monkeypatch.setattr(negatives, "TASKS", 3)
+    pages = negatives.tree_pages(negatives.integer_points(vectors(spark, rows)), page=2, fan=2)[0]
+    numbers = [r.page for r in pages.select("page").collect()]
+    assert len(set(numbers)) == len(numbers) >= 150 and len({n >> 32 for n in numbers}) <= 10
+    assert sorted(i for r in pages.select("ids").collect() for i in r.ids) == list(range(300))
+    large = negatives.tree_pages(negatives.integer_points(vectors(spark, rows)), page=300, fan=2)[0]
+    files = [p[len("file:") :].lstrip("/") for p in large.inputFiles()]
+    assert sum(os.path.getsize(f"/{p}") for p in files) > 300 * 6 * 4
+
+
 def test_a_search_opens_few_leaves_of_well_parted_rows(spark):
     """The queue prunes: rows far from a query's cloud are not looked at."""
     r = np.random.default_rng(1)
